@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_format, exact_dedup
+from corpusflow.llm import chat_format, decontaminate, exact_dedup, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,19 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(rows.unionByName(odd)))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.drop("hit_items", "hit_spans", "n_near")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -61,5 +70,64 @@ FROM t WINDOW w AS (PARTITION BY t)
 """
 
 
+ORACLES["op8_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, list_slice(w, s, s + least(len(w), 10) - 1) AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+ASSIGN_SQL = secret_scan.ASSIGN.replace("'", "''")
+
+ORACLES["op6_secret_scan"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+p(kind, re, k, least) AS (VALUES ('assign', '{ASSIGN_SQL}', 0, 6), ('access', '(AKIA[A-Z0-9]+)', 1, 20),
+  ('hex', '([0-9a-f]+)', 2, 24), ('owned', '([A-Za-z0-9_-]+)', 3, 20)),
+m AS (
+  SELECT doc_id, source, 'assign' AS kind, 0 AS k, unnest(list_zip(string_split_regex(t, '{ASSIGN_SQL}'), regexp_extract_all(t, '{ASSIGN_SQL}', 0), regexp_extract_all(t, '{ASSIGN_SQL}', 1))) AS z,
+    unnest(range(len(string_split_regex(t, '{ASSIGN_SQL}')))) AS i FROM d
+  UNION ALL SELECT doc_id, source, 'access', 1, unnest(list_zip(string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0))),
+    unnest(range(len(string_split_regex(t, 'AKIA[A-Z0-9]+')))) FROM d
+  UNION ALL SELECT doc_id, source, 'hex', 2, unnest(list_zip(string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0))),
+    unnest(range(len(string_split_regex(t, '[0-9a-f]+')))) FROM d
+  UNION ALL SELECT doc_id, source, 'owned', 3, unnest(list_zip(string_split_regex(t, '[A-Za-z0-9_-]+'), regexp_extract_all(t, '[A-Za-z0-9_-]+', 0), regexp_extract_all(t, '[A-Za-z0-9_-]+', 0))),
+    unnest(range(len(string_split_regex(t, '[A-Za-z0-9_-]+')))) FROM d),
+s AS (
+  SELECT doc_id, source, kind, k, z[3] AS v, z[2] AS match,
+         CAST(sum(length(z[1]) + coalesce(length(z[2]), 0)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS e FROM m),
+c AS (
+  SELECT doc_id, source, kind, k, v, e - length(match) AS b, e FROM s
+  WHERE match IS NOT NULL AND length(v) >= [6, 20, 24, 20][k + 1]
+    AND (k < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')))),
+x AS (
+  SELECT c.* FROM c WHERE k < 3 OR NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.k < 3 AND o.b < c.e AND c.b < o.e)),
+n AS (SELECT v, count(DISTINCT source) AS owners FROM x GROUP BY v),
+r AS (SELECT x.*, owners FROM x JOIN n USING (v) WHERE k < 3 OR owners = 1)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k IS NOT NULL), '') AS spans,
+  count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_copied
+FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
