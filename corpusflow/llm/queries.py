@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_format, decontaminate, exact_dedup, html_extract, packing, quality, secret_scan
+from corpusflow.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.drop("hit_items", "hit_spans", "n_near")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return out.select(
+        "doc.doc_id", "n_lines", "n_removed", "n_spans", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, docs, table(spark, sf_dir, "labels"))
@@ -142,5 +150,25 @@ FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id
 """
 
 
+ORACLES["op9_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+w AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
+e AS (SELECT s.doc_id, s.pos, min(t.pos) AS last FROM s JOIN s t ON t.doc_id = s.doc_id AND t.pos >= s.pos AND t.upto - s.upto + s.n >= 50 GROUP BY ALL),
+k AS (SELECT e.doc_id, e.pos, e.last, list_slice(d.l, e.pos + 1, e.last + 1) AS win FROM e JOIN d USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM r WHERE nth > 1),
+x AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, pos)),
+y AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM x),
+z AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
