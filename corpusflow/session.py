@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
