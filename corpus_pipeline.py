@@ -1,13 +1,66 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
+
+All stages but the last return the columns of documents. Rows with a null doc_id are never dropped by a decision about
+another row: decisions are joined back by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusflow.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from corpusflow.llm.text import small_enough
 from corpusflow.session import written
 
-STAGES: list = []
+#: Identifiers of dropped documents up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone(doc_id)."""
+    gone = written(gone.select("doc_id").distinct(), "pipeline-gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, BROADCAST_ROWS) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones of docs, doesn't reject."""
+    weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "text")
+    return quality.score(whole, weights).where(F.col("score") >= quality.THRESHOLD).select("doc.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later copies of repeated line runs."""
+    return line_dedup.without_repeats(docs)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id; documents without words stay."""
+    groups = ngram_join.ngram_components(docs)
+    return without(docs, groups.where("doc_id != component_id"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    hits = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, hits.where("contaminated"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", ngram_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
 
+#: SQL can't express the classifier, the line spans or the tokenizer: tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
