@@ -1,0 +1,251 @@
+"""From hits to passages: expansion, stitching, freshness, narrowing and rendering."""
+
+from __future__ import annotations
+
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusflow.functions import text as tx
+from corpusflow.operators.budget import PASSAGE_OVERHEAD
+
+# Limits and wordings of the context text.
+MAX_FILES, MAX_NAMES, MAX_REASON = 20, 8, 100
+NONE_FOUND = "No matching code was found."
+OVER_BUDGET = "The best match is longer than the space available and is shown on its own."
+
+KEY = ["rel_path", "kind", "parent", "symbol", "ordinal"]
+
+
+def passage_key() -> Column:
+    """The chunk itself where it is whole, else what its parts share; nulls are equal."""
+    return F.when(F.col("part").isNull(), F.struct(F.col("id"), *(F.lit(None).cast("string").alias(c) for c in KEY))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("id"), *(F.col(c).cast("string").alias(c) for c in KEY))
+    )
+
+
+def hits_to_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, key, score (best), rank (of the best placed), part_scores (part to best score)."""
+    rows = hits.select("question_id", "id", "score", "rank").join(chunks.select("id", "part", *KEY), "id").withColumn("key", passage_key())
+    by_part = rows.groupBy("question_id", "key", "part").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    pair = F.when(F.col("part").isNotNull(), F.struct("part", "score"))
+    out = by_part.groupBy("question_id", "key").agg(F.max("score").alias("score"), F.min("rank").alias("rank"), F.collect_list(pair).alias("ps"))
+    return out.select("question_id", "key", "score", "rank", F.map_from_entries(F.sort_array("ps")).alias("part_scores"))
+
+
+def siblings(chunks: DataFrame) -> DataFrame:
+    """Id, sibling_id, part: all parts of the same chunk; a whole chunk is only itself."""
+    a = chunks.select("id", passage_key().alias("key"))
+    b = chunks.select(F.col("id").alias("sibling_id"), "part", passage_key().alias("key"))
+    return a.join(b, a["key"].eqNullSafe(b["key"])).select("id", "sibling_id", "part")
+
+
+def missing_parts(parts: Column, count: Column) -> Column:
+    """The numbers below count that aren't in the array parts."""
+    return F.array_sort(F.array_except(F.sequence(F.lit(0), count - 1), parts))
+
+
+def stitch_lines(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, text of line-exact parts, each line once; null where they don't fit together.
+
+    parts(keys, part, start_line, end_line, text). They fit if each text has as many lines as its range, each part starts at
+    most one line after all before it end, none starts before the first or ends before an earlier one, and parts that
+    share a line agree in it.
+    """
+    order = W.partitionBy(*keys).orderBy("part")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    lines = F.split("text", "\n")
+    rows = parts.withColumn("ls", lines).withColumns(
+        {"reach": F.max("end_line").over(before), "begin": F.first("start_line").over(order.rowsBetween(W.unboundedPreceding, 0))}
+    )
+    ok = (F.size("ls") == F.col("end_line") - F.col("start_line") + 1) & (
+        F.col("reach").isNull() | ((F.col("end_line") >= F.col("reach")) & (F.col("start_line") <= F.col("reach") + 1) & (F.col("start_line") >= F.col("begin")))
+    )
+    each = rows.select(*keys, ok.alias("ok"), "start_line", F.posexplode("ls").alias("i", "line"))
+    by_line = each.groupBy(*keys, (F.col("start_line") + F.col("i")).alias("n")).agg(F.min("line").alias("line"), F.max("line").alias("other"), F.min("ok").alias("ok"))
+    whole = by_line.groupBy(*keys).agg(F.min(F.col("ok") & (F.col("line") == F.col("other"))).alias("ok"), F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    return whole.select(*keys, F.when(F.col("ok"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def stitch_overview(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """P5: keys, text of overview parts: the leading lines that all share once, then the rest; null if they share none."""
+    lists = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", F.split("text", "\n").alias("ls")))).alias("ps"))
+    all_lines = F.transform("ps", lambda p: p["ls"])
+    shortest = F.array_min(F.transform("ps", lambda p: F.size(p["ls"])))
+    lists = lists.withColumns({"all": all_lines, "shortest": shortest})
+    differs = F.filter(
+        F.sequence(F.lit(0), F.col("shortest") - 1), lambda i: F.size(F.array_distinct(F.transform("all", lambda ls: F.get(ls, i)))) > 1
+    )
+    lists = lists.withColumn("head", F.coalesce(F.get(differs, F.lit(0)), F.col("shortest")))
+    rest = F.flatten(F.transform("all", lambda ls: F.slice(ls, F.col("head") + 1, F.size(ls))))
+    text = F.array_join(F.concat(F.slice(F.get("all", F.lit(0)), 1, F.col("head")), rest), "\n")
+    return lists.select(*keys, F.when(F.col("head") > 0, text).alias("text"))
+
+
+def stitch_markers(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, text of the parts there are, each missing one named by a marker line."""
+    lists = parts.groupBy(*keys).agg(F.max("part_count").alias("n"), F.map_from_entries(F.collect_list(F.struct("part", "text"))).alias("have"))
+    each = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.coalesce(F.try_element_at("have", i), F.format_string("[... part %d of %d not available ...]", i + 1, F.col("n"))),
+    )
+    return lists.select(*keys, F.array_join(each, "\n").alias("text"))
+
+
+def stitch_from_source(passages: DataFrame, lines: DataFrame, live: DataFrame, stored: DataFrame) -> DataFrame:
+    """passages(pid, rel_path, start_line, end_line) with text from lines(rel_path, line_no, line), where the live hash is
+    the stored one and all of the lines exist."""
+    same = live.select("rel_path", F.col("hash").alias("a")).join(stored.select("rel_path", F.col("hash").alias("b")), "rel_path").where("a = b").select("rel_path")
+    wanted = passages.join(same, "rel_path", "left_semi").select("pid", "rel_path", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    got = wanted.join(lines, ["rel_path", "line_no"], "left").groupBy("pid")
+    ls = got.agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"), F.count("line").alias("have"), F.count("*").alias("want"))
+    return ls.select("pid", F.when(F.col("have") == F.col("want"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def freshness(passages: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
+    """passages(question_id, rel_path, ...) with status fresh, stale or deleted; live(rel_path, hash or null)."""
+    old = stored.select("rel_path", F.col("hash").alias("stored_hash"))
+    now = live.select("rel_path", F.col("hash").alias("live_hash"), F.lit(True).alias("there"))
+    rows = passages.join(old, "rel_path", "left").join(now, "rel_path", "left")
+    status = F.when(F.col("there").isNull(), "deleted").when(F.col("live_hash").isNull() | ~F.col("live_hash").eqNullSafe(F.col("stored_hash")), "stale").otherwise("fresh")
+    return rows.withColumn("status", status).drop("stored_hash", "live_hash", "there")
+
+
+def stale_lists(fresh: DataFrame) -> DataFrame:
+    """question_id, stale, deleted: sorted file names."""
+    pick = lambda s: F.sort_array(F.collect_set(F.when(F.col("status") == s, F.col("rel_path"))))
+    return fresh.groupBy("question_id").agg(pick("stale").alias("stale"), pick("deleted").alias("deleted"))
+
+
+def ceiling_tokens(budget: int) -> int:
+    """What a passage may cost before it is narrowed."""
+    return 2 * budget - 250
+
+
+def chosen_parts(costs: dict[int, int], scores: dict[int, float], target: int) -> list[int]:
+    """Hit parts by score while they fit (the first always), then the neighbours of each while there is room."""
+    hits = sorted((n for n in scores if n in costs), key=lambda n: -scores[n]) or [sorted(costs)[len(costs) // 2]]
+    taken, room = [hits[0]], target - PASSAGE_OVERHEAD - costs[hits[0]]
+    for n in hits[1:]:
+        if costs[n] > room:
+            break
+        taken.append(n)
+        room -= costs[n]
+    for n in [m for c in taken for m in (c - 1, c + 1)]:
+        if n in costs and n not in taken and costs[n] <= room:
+            taken.append(n)
+            room -= costs[n]
+    return sorted(taken)
+
+
+def narrow(parts: DataFrame, hits: DataFrame, target: int) -> DataFrame:
+    """question_id, pid, part of the parts shown of passages that are too long.
+
+    parts(pid, part, text) of those passages only, hits(question_id, pid, part_scores). The choice is greedy within one
+    passage, so each passage is one group.
+    """
+    rows = hits.join(parts, "pid").select("question_id", "pid", "part", (tx.estimate_tokens(F.col("text")) + 1).alias("cost"), F.try_element_at("part_scores", F.col("part")).alias("score"))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        costs = dict(zip(group["part"].tolist(), group["cost"].tolist()))
+        scores = {p: s for p, s in zip(group["part"].tolist(), group["score"].tolist()) if s == s and s is not None}
+        shown = chosen_parts(costs, scores, target)
+        return group.iloc[:1][["question_id", "pid"]].merge(pd.DataFrame({"part": shown}), how="cross")
+
+    return rows.groupBy("question_id", "pid").applyInPandas(choose, "question_id long, pid long, part int")
+
+
+def render_passage(
+    path: Column, start: Column, end: Column, parent: Column, symbol: Column, kind: Column, names: Column, text: Column, suffix: Column | None = None
+) -> Column:
+    """Header, and the text in a fence longer than any run of backticks in it."""
+    qualified = tx.qualified_name(parent, symbol)
+    more = F.when(F.size(names) > MAX_NAMES, F.format_string(", +%d more", F.size(names) - MAX_NAMES)).otherwise("")
+    members = F.concat(F.array_join(F.slice(names, 1, MAX_NAMES), ", "), more)
+    label = F.when(qualified != "", qualified).when(kind.isin("group", "module_code") & (F.size(names) > 0), members).otherwise(kind)
+    header = F.concat(F.lit("### "), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(" · "), label, F.lit(" ("), kind, F.lit(")"))
+    fence = tx.fence_for(text)
+    return F.concat(header, suffix if suffix is not None else F.lit(""), F.lit("\n"), fence, F.coalesce(tx.language(path), F.lit("")), F.lit("\n"), text, F.lit("\n"), fence)
+
+
+def file_list(names: Column) -> Column:
+    """At most MAX_FILES names in order, and how many more."""
+    shown = F.array_join(F.transform(F.slice(F.sort_array(names), 1, MAX_FILES), lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
+    return F.concat(shown, F.when(F.size(names) > MAX_FILES, F.format_string(", and %d more", F.size(names) - MAX_FILES)).otherwise(""))
+
+
+def notes(hidden: Column, stale: Column, deleted: Column, dropped: Column, over_budget: Column) -> Column:
+    """The notes block, or an empty text. hidden: array of (name, reason), the others names, a count and a flag."""
+    first = lambda r: F.element_at(F.split(F.trim(r), "\n"), 1)
+    short = lambda r: F.when(F.length(first(r)) > MAX_REASON, F.concat(F.substring(first(r), 1, MAX_REASON), F.lit("…"))).otherwise(first(r))
+    shown = F.array_join(F.transform(F.slice(F.array_sort(hidden), 1, MAX_FILES), lambda h: F.concat(F.lit("`"), h["name"], F.lit("` ("), short(h["reason"]), F.lit(")"))), ", ")
+    more = F.when(F.size(hidden) > MAX_FILES, F.format_string(", and %d more", F.size(hidden) - MAX_FILES)).otherwise("")
+    lines = F.array_compact(
+        F.array(
+            F.when(F.size(hidden) > 0, F.concat(F.lit("Files that could not be indexed (nothing from them is shown above, and they may matter): "), shown, more, F.lit("."))),
+            F.when(
+                F.size(stale) > 0,
+                F.concat(
+                    F.lit("Some results come from files that changed after they were indexed, so their line numbers and code may be out of date (marked STALE above): "),
+                    file_list(stale),
+                    F.lit(". Re-index to refresh."),
+                ),
+            ),
+            F.when(F.size(deleted) > 0, F.concat(F.lit("Results from files that no longer exist were left out: "), file_list(deleted), F.lit(". Re-index to refresh."))),
+            F.when(
+                dropped > 0,
+                F.concat(
+                    dropped.cast("string"),
+                    F.when(dropped == 1, " more matching result did not fit and was left out.").otherwise(" more matching results did not fit and were left out."),
+                ),
+            ),
+            F.when(over_budget, OVER_BUDGET),
+        )
+    )
+    return F.when(F.size(lines) > 0, F.concat(F.lit("[Notes]\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise("")
+
+
+def assemble_context(blocks: DataFrame, asked: DataFrame, max_tokens: int) -> DataFrame:
+    """question_id, text, shown, over_budget, tokens_used.
+
+    blocks(question_id, rank, block, stale_path or null), asked(question_id, hidden, deleted): every m of first blocks is
+    weighed with the notes that go with it, and the largest that fits wins; lengths alone decide, the text is built for
+    the winner. With blocks, m is never 0: the first alone without the note on what is left out, else flagged.
+    """
+    limit = 3 * max_tokens + 2
+    lists = blocks.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "block", "stale_path"))).alias("bs"))
+    rows = asked.join(lists, "question_id", "left").withColumn("bs", F.coalesce("bs", F.array().cast(lists.schema["bs"].dataType)))
+    rows = rows.withColumn("n", F.size("bs"))
+
+    def text_of(m: Column, told: Column, over: Column) -> Column:
+        some = F.slice("bs", 1, m)
+        body = F.when(m > 0, F.array_join(F.transform(some, lambda b: b["block"]), "\n\n")).otherwise(NONE_FOUND)
+        stale = F.array_distinct(F.array_compact(F.transform(some, lambda b: b["stale_path"])))
+        note = notes(F.col("hidden"), stale, F.col("deleted"), F.when(told, F.col("n") - m).otherwise(0), over)
+        return F.concat(body, F.when(note != "", F.concat(F.lit("\n\n"), note)).otherwise(""))
+
+    least = F.when(F.col("n") > 0, 1).otherwise(0)
+    tried = rows.select("question_id", "hidden", "deleted", "bs", "n", F.explode(F.sequence(least, F.col("n"))).alias("m"))
+    fits = tried.where(F.length(text_of(F.col("m"), F.lit(True), F.lit(False))) <= limit).groupBy("question_id").agg(F.max("m").alias("m"))
+    rows = rows.join(fits, "question_id", "left")
+    alone = text_of(F.lit(1), F.lit(False), F.lit(False))
+    rows = rows.withColumn("over_budget", F.col("m").isNull() & (F.col("n") > 0) & (F.length(alone) > limit))
+    text = F.when(F.col("m").isNotNull(), text_of(F.col("m"), F.lit(True), F.lit(False))).when(F.col("n") == 0, text_of(F.lit(0), F.lit(True), F.lit(False)))
+    text = F.coalesce(text, text_of(F.lit(1), F.lit(False), F.col("over_budget")))
+    out = rows.select("question_id", text.alias("text"), F.coalesce("m", least).alias("shown"), "over_budget")
+    return out.withColumn("tokens_used", tx.estimate_tokens(F.col("text")))
+
+
+def context_summary(passages: DataFrame) -> DataFrame:
+    """question_id, sources (array of path, score at 4 places, in rank order), best_score, n of the passages shown."""
+    item = F.struct("rank", "rel_path", F.round("score", 4).alias("score"))
+    out = passages.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("s"), F.max("score").alias("best_score"), F.count("*").alias("n"))
+    return out.select("question_id", F.transform("s", lambda x: F.struct(x["rel_path"].alias("rel_path"), x["score"].alias("score"))).alias("sources"), "best_score", "n")
+
+
+def build_messages(system: Column, history: Column, question: Column, context: Column) -> Column:
+    """Array of (role, content): system, history, then the question with its context."""
+    one = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))
+    return F.concat(one("system", system), history, one("user", F.concat(context, F.lit("\n\n"), question)))

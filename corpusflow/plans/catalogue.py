@@ -1,19 +1,963 @@
-"""The registered queries of the library and their SQL twins."""
+"""The registered queries of the library and their SQL twins.
+
+The given tables stand in for an index: documents are chunks, embeddings their vectors (vec_id is a doc_id), pages are
+files with paths, labels tag them (toxic: tests, quality 0: changelogs), conversations are messages and events are usage
+calls (user_id % 3 is the provider).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusflow.functions import text as tx
+from corpusflow.operators import admit, budget, chunk, embed, evaluate, passages, search, sync, talk, usage
+from corpusflow.sources import files as source_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+MODEL, DIM = "m1", 64
+NOW, ZONE = "2024-01-30 12:00:00", "America/New_York"
+TOKENS = 6000
+OVERHEAD = budget.PASSAGE_OVERHEAD
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return source_files.scan_table(spark, sf_dir, name)
+
+
+# --- the tables in their roles ---------------------------------------------------------------------------------------
+
+PATH_SQL = "concat(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), CASE page_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '/test_x.py' WHEN 2 THEN '/dist/a.js' WHEN 3 THEN '/CHANGELOG.md' WHEN 4 THEN '/data.json' ELSE '/Foo.java' END)"
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(PATH_SQL).alias("rel_path"), F.octet_length("html").cast("long").alias("size"), content.alias("content"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding", "label")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("is_test"), (F.col("quality") == 0).alias("is_changelog"))
+
+
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with a text: every second one asks for tests."""
+    return questions(spark, sf_dir).select("question_id", F.when(F.col("question_id") % 100 == 0, "which tests cover it").otherwise("where is it").alias("question"))
+
+
+def old_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index before a run: documents but every 11th, every 7th with another text, some without or with other records."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 11 != 0")
+    return d.select(
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("rel_path"),
+        tx.short_sha1(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))).alias("content_hash"),
+        F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("start_line"),
+        F.when(F.col("doc_id") % 13 != 0, F.when(F.col("doc_id") % 17 == 0, "m0").otherwise(MODEL)).alias("embed_model"),
+        F.when(F.col("doc_id") % 13 != 0, DIM).alias("embed_dim"),
+    )
+
+
+def new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents as a run finds them: every 19th is gone."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 19 != 0")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("rel_path"), tx.short_sha1(F.col("text")).alias("content_hash"), F.col("n_chars").alias("start_line"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"),
+        F.col("event_type").alias("kind"),
+        F.when(F.col("event_id") % 4 == 0, "failed").otherwise("done").alias("outcome"),
+        F.when(F.col("event_id") % 9 != 0, F.floor(F.abs("value"))).cast("long").alias("prompt_tokens"),
+        F.when(F.col("event_id") % 2 == 0, F.floor(F.abs("value") / 2)).cast("long").alias("thinking_tokens"),
+        F.floor(F.abs("value") / 3).cast("long").alias("answer_tokens"),
+        (F.col("event_id") % 5 == 0).alias("estimated"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"), (F.col("turn") % 3 != 2).alias("called"))
+
+
+Q_SQL = "q AS (SELECT vec_id AS question_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0)"
+COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+HITS_SQL = f"""{Q_SQL},
+all_hits AS (SELECT question_id, v.vec_id AS id, round(greatest(-1, least(1, {COS})), 12) AS score, v.label = q.label AS good FROM q, embeddings v WHERE v.vec_id <> q.question_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS raw_rank FROM all_hits)"""
+
+
+def raw_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search.topk(questions(spark, sf_dir), vectors(spark, sf_dir), k, not_self=True)
+
+
+# --- search and budgets ----------------------------------------------------------------------------------------------
+
+
+def ranked_passages(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (tx.estimate_tokens(F.col("text")) + OVERHEAD).alias("cost"))
+    return raw_hits(spark, sf_dir, k).join(docs, "id").select("question_id", F.col("raw_rank").alias("rank"), "id", "score", "cost")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_budget(spark, sf_dir)
+
+
+PASSAGES_SQL = f"""WITH {HITS_SQL},
+p AS (SELECT question_id, raw_rank AS rank, id, score, length(text) // 3 + {OVERHEAD} AS cost FROM hits JOIN documents ON doc_id = id WHERE raw_rank <= 10)"""
+
+
+@query(f"""{PASSAGES_SQL}, u AS (SELECT *, sum(cost) OVER (PARTITION BY question_id ORDER BY rank) AS used FROM p)
+SELECT question_id, rank, id AS vec_id, round(score, 6) AS score, cost, used <= {TOKENS} OR rank = 1 AS kept FROM u""")
+def topk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, V2, P10."""
+    kept = budget.fit_to_budget(ranked_passages(spark, sf_dir), TOKENS)
+    return kept.select("question_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "cost", "kept")
+
+
+@query(f"WITH {HITS_SQL} SELECT question_id, id, round(score, 6) AS score, raw_rank FROM hits WHERE raw_rank <= 10")
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2."""
+    return raw_hits(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: recall of the cells against exact search."""
+    q, v = questions(spark, sf_dir), vectors(spark, sf_dir)
+    near = search.topk_cells(q, v, 11, cells=22, probes=8).where("id != question_id")
+    return search.recall(near, raw_hits(spark, sf_dir, 10))
+
+
+@query(f"""WITH {HITS_SQL},
+x AS (SELECT *, greatest(0.05, max(score) OVER (PARTITION BY question_id) - 0.2) AS lim FROM hits WHERE raw_rank <= 30),
+k AS (SELECT *, round(score, 9) >= round(lim, 9) AS kept FROM x)
+SELECT question_id, id, round(score, 6) AS score, raw_rank, CAST(removed AS BIGINT) AS removed
+FROM (SELECT *, count(*) FILTER (NOT kept) OVER (PARTITION BY question_id) AS removed FROM k) WHERE kept""")
+def cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7."""
+    return search.cutoff(raw_hits(spark, sf_dir, 30), 0.05, 0.2).withColumn("score", F.round("score", 6))
+
+
+DEMOTE_SQL = f"""{HITS_SQL},
+t AS (SELECT h.*, coalesce(l.toxic = 1, false) AS is_test, coalesce(l.quality = 0, false) AS is_log, question_id % 100 = 0 AS wants_tests
+      FROM hits h LEFT JOIN labels l ON l.doc_id = h.id WHERE raw_rank <= 30),
+a AS (SELECT *, round(score - greatest(CASE WHEN is_test AND NOT wants_tests THEN 0.15 ELSE 0 END, CASE WHEN is_log THEN 0.3 ELSE 0 END), 9) AS adjusted FROM t),
+d AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY adjusted DESC, raw_rank) AS rank FROM a)"""
+
+
+@query(f"WITH {DEMOTE_SQL} SELECT question_id, id, round(score, 6) AS score, raw_rank, round(adjusted, 6) AS adjusted, rank FROM d WHERE rank <= 10")
+def demote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8, V9."""
+    out = search.demote(raw_hits(spark, sf_dir, 30), asked_texts(spark, sf_dir), tags(spark, sf_dir), 10)
+    return out.withColumns({"score": F.round("score", 6), "adjusted": F.round("adjusted", 6)})
+
+
+@query(f"""WITH {Q_SQL},
+seen AS (SELECT vec_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id WHERE source <> 'src3'),
+all_hits AS (SELECT question_id, v.vec_id AS id, round(greatest(-1, least(1, {COS})), 12) AS score FROM q, seen v),
+hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS raw_rank FROM all_hits),
+c AS (SELECT *, round(score, 9) >= round(greatest(0, max(score) OVER (PARTITION BY question_id) - 0.9), 9) AS kept FROM hits WHERE raw_rank <= 30),
+t AS (SELECT c.*, coalesce(l.toxic = 1, false) AS is_test, coalesce(l.quality = 0, false) AS is_log, question_id % 100 = 0 AS wants_tests FROM c LEFT JOIN labels l ON l.doc_id = c.id WHERE kept),
+a AS (SELECT *, round(score - greatest(CASE WHEN is_test AND NOT wants_tests THEN 0.15 ELSE 0 END, CASE WHEN is_log THEN 0.3 ELSE 0 END), 9) AS adjusted FROM t)
+SELECT * FROM (SELECT question_id, id, round(score, 6) AS score, raw_rank, row_number() OVER (PARTITION BY question_id ORDER BY adjusted DESC, raw_rank) AS rank FROM a) WHERE rank <= 10""")
+def search_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4, V2, V7, V9; the files of source src3 are flagged."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("rel_path"))
+    flagged = chunks.where("rel_path = 'src3'").select("rel_path").distinct()
+    asked = questions(spark, sf_dir).select("question_id", "embedding").join(asked_texts(spark, sf_dir), "question_id")
+    out = search.search(asked, vectors(spark, sf_dir), chunks, flagged, tags(spark, sf_dir), (MODEL, DIM), (MODEL, DIM), 10, 0.0, 0.9)
+    return out.select("question_id", "id", F.round("score", 6).alias("score"), "raw_rank", "rank")
+
+
+@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS (
+  SELECT question_id, rank, cost, true AS kept, cost AS used FROM p WHERE rank = 1
+  UNION ALL SELECT p.question_id, p.rank, p.cost, r.used + p.cost <= {TOKENS}, CASE WHEN r.used + p.cost <= {TOKENS} THEN r.used + p.cost ELSE r.used END
+  FROM r JOIN p ON p.question_id = r.question_id AND p.rank = r.rank + 1)
+SELECT question_id, rank, cost, kept FROM r""")
+def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11."""
+    return budget.squeeze_budget(ranked_passages(spark, sf_dir), TOKENS)
+
+
+@query("""WITH g AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM (SELECT DISTINCT source, doc_id FROM documents WHERE n_chars % 3 <> 0)),
+r AS (SELECT source, min(doc_id) AS a, max(doc_id) AS b FROM g GROUP BY source, i)
+SELECT source, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY source""")
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12."""
+    return budget.compress_ranges(table(spark, sf_dir, "documents").where("n_chars % 3 != 0"), ["source"], "doc_id")
+
+
+# --- admission, lines and chunks -------------------------------------------------------------------------------------
+
+FILES_SQL = f"f AS (SELECT page_id, {PATH_SQL} AS rel_path, strlen(html) AS size FROM pages)"
+
+
+@query(f"""WITH {FILES_SQL}, x AS (SELECT *, string_split(rel_path, '/') AS parts, regexp_extract(string_split(rel_path, '/')[-1], '^.+?(\\.[^.]+)$', 1) AS ext FROM f)
+SELECT page_id, reason, reason IS NULL AS admitted FROM (SELECT page_id, CASE
+  WHEN list_has_any(parts[:-2], ['.git', 'node_modules', 'venv', 'env', '__pycache__', 'dist', 'build', '.next', '.cache', 'coverage']) THEN 'directory'
+  WHEN parts[-1] IN ('package-lock.json', 'yarn.lock') OR ends_with(rel_path, '.min.js') THEN 'name'
+  WHEN ext NOT IN ('.py', '.js', '.ts', '.tsx', '.jsx', '.java', '.c', '.cpp', '.h', '.hpp', '.go', '.rs', '.rb', '.php', '.md', '.rst', '.json', '.yaml', '.yml') THEN 'extension'
+  WHEN size > 1000000 OR (ext IN ('.json', '.yaml', '.yml') AND size > 20000) THEN 'size' END AS reason FROM x)""")
+def admit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 to A4, A6, A7."""
+    return admit.admit(page_files(spark, sf_dir)).select("page_id", "reason", "admitted")
+
+
+@query(f"""WITH {FILES_SQL}, x AS (SELECT *, string_split(rel_path, '/')[-1] AS name, list_transform(string_split(rel_path, '/')[:-2], lambda d: lower(d)) AS dirs,
+  lower(regexp_extract(string_split(rel_path, '/')[-1], '^.+?(\\.[^.]+)$', 1)) AS ext FROM f)
+SELECT page_id, list_has_any(dirs, ['test', 'tests', '__tests__', '__mocks__', 'spec', 'specs', 'e2e', 'testdata']) OR regexp_matches(name, '^test_')
+    OR regexp_matches(name, '_test\\.[A-Za-z]+$') OR regexp_matches(name, '\\.(test|spec)\\.[A-Za-z]+$') OR regexp_matches(name, 'Tests?\\.(java|kt|cs)$') AS is_test,
+  ext IN ('', '.md', '.markdown', '.rst', '.txt') AND (regexp_replace(lower(left(name, length(name) - length(ext))), '[^a-z0-9]', '', 'g')
+    IN ('changelog', 'changes', 'history', 'news', 'releases', 'releasenotes', 'whatsnew') OR list_has_any(dirs, ['changelog', 'changes', 'newsfragments', 'changelog.d'])) AS is_changelog,
+  CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.md' THEN 'markdown' WHEN '.json' THEN 'json' END AS language FROM x""")
+def tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return admit.tag_paths(page_files(spark, sf_dir)).select("page_id", "is_test", "is_changelog", "language")
+
+
+@query(f"""WITH {FILES_SQL} SELECT page_id FROM f
+WHERE (regexp_matches(rel_path, '(^|/)dist/') OR (regexp_matches(rel_path, '(^|/)[^/]*\\.json(/|$)') AND NOT regexp_matches(rel_path, '(^|/)data\\.json(/|$)')) OR regexp_matches(rel_path, '(^|/)test_[^/]*\\.py(/|$)'))""")
+def ignored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, A5."""
+    rules = ["# rules", "dist/", "*.json", "!data.json", "**/test_*.py"]
+    lines = spark.createDataFrame(list(enumerate(rules)), "pos int, value string")
+    files = page_files(spark, sf_dir).select("page_id", "rel_path")
+    return files.join(admit.ignored_paths(files, source_files.ignore_patterns(lines)), "rel_path", "left_semi").select("page_id")
+
+
+@query("SELECT page_id, sha1(html) AS hash, regexp_matches(html, '^\\s*$') AS blank FROM pages")
+def fingerprint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8, A9, A11."""
+    out = admit.fingerprint(page_files(spark, sf_dir))
+    return out.select("page_id", "hash", tx.is_blank(tx.decode_text(F.col("content"))).alias("blank"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1."""
+    return chunk.explode_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS part, CAST(i * 2250 AS INTEGER) AS start, substr(text, i * 2250 + 1, 2400) AS window
+FROM (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 2400) / 2250)) AS BIGINT) + 1)) AS i FROM documents)""")
+def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K11."""
+    return chunk.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8, K9, K10, K12."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    parts = chunk.split_oversized(chunk.plain_chunks(docs, "doc_text"))
+    return parts.select("doc", "part", "part_count", "start_line", "end_line", "synthetic", F.length("text").alias("n_chars"), F.sha1("text").alias("sha1"))
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents as chunk rows, with their identity."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("rel_path"), F.col("lang").alias("symbol"), "text")
+    w = chunk.char_windows(d)
+    n = F.count("*").over(chunk.W.partitionBy("doc_id"))
+    return w.select(
+        "doc_id", "rel_path", F.lit("doc_text").alias("kind"), F.lit(None).cast("string").alias("parent"), "symbol",
+        F.when(n > 1, F.col("part")).alias("part"), F.when(n > 1, n.cast("int")).alias("part_count"), F.col("doc_id").alias("start_line"), F.col("window").alias("text"),
+    )
+
+
+CHUNKS_SQL = """w AS (SELECT doc_id, source, lang, i, substr(text, i * 2250 + 1, 2400) AS win, n
+  FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(0, ceil((length(text) - 2400) / 2250)) AS BIGINT) + 1 AS n FROM documents))),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS ordinal FROM documents),
+e AS (SELECT w.*, ordinal, source || ' · ' || lang || CASE WHEN n > 1 THEN ' (part ' || (i + 1) || '/' || n || ')' ELSE '' END || chr(10) || win AS embed_text FROM w JOIN o USING (doc_id))"""
+
+
+@query(f"""WITH {CHUNKS_SQL}
+SELECT doc_id, left(sha1(source || '::' || lang || '::doc_text::' || ordinal || CASE WHEN n > 1 THEN '.' || i ELSE '' END), 16) AS id, CAST(ordinal AS BIGINT) AS ordinal,
+  left(sha1(embed_text), 16) AS content_hash, length(win) // 3 AS tokens FROM e""")
+def chunk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K14, K15."""
+    return chunk.assign_identity(document_chunks(spark, sf_dir)).select("doc_id", "id", "ordinal", "content_hash", "tokens")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS doc, CAST(NULL AS INTEGER) AS line_no WHERE false")
+def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of split documents leave no line uncovered, so no row comes back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    parts = chunk.split_oversized(chunk.plain_chunks(docs, "doc_text")).withColumn("doc", F.col("doc").cast("long"))
+    return chunk.coverage_check(parts, chunk.explode_lines(docs))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN NULL ELSE 'doc_intro' END AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY ALL""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 to K6: the documents have no headings, so each is one intro."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    return chunk.markdown_sections(docs).groupBy("doc", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS r FROM documents),
+s AS (SELECT *, trim(line) <> '' AS solid FROM l),
+g AS (SELECT *, r - row_number() OVER (PARTITION BY doc_id, solid ORDER BY r) AS i FROM s)
+SELECT doc_id AS doc, CAST(min(r) AS INTEGER) AS start_row, CAST(max(r) AS INTEGER) AS end_row FROM g WHERE solid GROUP BY doc_id, i""")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7."""
+    return chunk.markdown_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+# --- incremental maintenance -----------------------------------------------------------------------------------------
+
+SYNC_SQL = f"""o AS (SELECT doc_id AS id, source AS rel_path, left(sha1(CASE WHEN doc_id % 7 = 0 THEN text || 'old' ELSE text END), 16) AS h, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS line,
+    CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 17 = 0 THEN 'm0' ELSE '{MODEL}' END END AS m, CASE WHEN doc_id % 13 <> 0 THEN {DIM} END AS d FROM documents WHERE doc_id % 11 <> 0),
+n AS (SELECT doc_id AS id, source AS rel_path, left(sha1(text), 16) AS h, n_chars AS line FROM documents WHERE doc_id % 19 <> 0),
+plan AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'gone' WHEN o.id IS NULL THEN 'new' WHEN o.h <> n.h THEN 'changed'
+    WHEN m IS DISTINCT FROM '{MODEL}' OR d IS DISTINCT FROM {DIM} THEN 'needs_vector' WHEN o.line <> n.line THEN 'moved' ELSE 'unchanged' END AS bucket FROM o FULL JOIN n ON o.id = n.id)"""
+
+
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.plan_sync(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir), MODEL, DIM)
+
+
+@query(f"WITH {SYNC_SQL} SELECT * FROM plan")
+def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2."""
+    return plan(spark, sf_dir)
+
+
+@query(f"""WITH {SYNC_SQL} SELECT count(*) FILTER (bucket = 'new') AS "new", count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'needs_vector') AS needs_vector,
+  count(*) FILTER (bucket = 'moved') AS moved, count(*) FILTER (bucket = 'unchanged') AS unchanged, count(*) FILTER (bucket = 'gone') AS gone,
+  count(*) FILTER (bucket IN ('new', 'changed', 'needs_vector')) AS embedded FROM plan""")
+def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3, C15."""
+    return sync.index_report(plan(spark, sf_dir))
+
+
+@query(f"""WITH {SYNC_SQL} SELECT n.id, n.rel_path, n.h AS content_hash, n.line AS start_line,
+  CASE WHEN n.id % 2 = 0 AND bucket IN ('new', 'changed', 'needs_vector') THEN '{MODEL}' WHEN o.h = n.h THEN m END AS embed_model,
+  CAST(CASE WHEN n.id % 2 = 0 AND bucket IN ('new', 'changed', 'needs_vector') THEN {DIM} WHEN o.h = n.h THEN d END AS INTEGER) AS embed_dim
+FROM n LEFT JOIN o ON o.id = n.id JOIN plan ON plan.id = n.id""")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: of the chunks to embed, those with an even id have been."""
+    done = sync.to_embed(plan(spark, sf_dir)).where("id % 2 = 0")
+    return sync.upsert_chunks(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir), done, MODEL, DIM)
+
+
+@query("""WITH s AS (SELECT source AS rel_path, sha1(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1)
+SELECT rel_path, rel_path NOT IN ('src1', 'src2', 'src3', 'src4') AS skip FROM s""")
+def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sources one has changed, one has other settings, one an error, one a pending chunk."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha1("text").alias("h")))), lambda x: x["h"]), "")
+    scanned = docs.groupBy(F.col("source").alias("rel_path")).agg(F.sha1(text).alias("hash"))
+    of = lambda n: F.col("rel_path") == f"src{n}"
+    state = scanned.select(
+        "rel_path", F.when(of(1), "x").otherwise(F.col("hash")).alias("hash"), F.when(of(2), "s0").otherwise("s1").alias("settings"), F.when(of(3), "bad").alias("index_error")
+    )
+    return sync.skip_unchanged(scanned, state, "s1", scanned.where(of(4)).select("rel_path")).select("rel_path", "skip")
+
+
+@query(f"WITH {SYNC_SQL} SELECT id FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = o.id)")
+def gone_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5."""
+    return sync.gone_ids(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE source NOT IN ('src5', 'src6') AND doc_id % 11 <> 0")
+def drop_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6."""
+    scan = table(spark, sf_dir, "documents").select(F.col("source").alias("rel_path")).where("rel_path not in ('src5', 'src6')")
+    return sync.drop_vanished(old_chunks(spark, sf_dir), scan).select("id")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 11 = 0 OR vec_id NOT IN (SELECT doc_id FROM documents)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7."""
+    return sync.orphan_vectors(vectors(spark, sf_dir), old_chunks(spark, sf_dir)).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8."""
+    return sync.lost_vectors(old_chunks(spark, sf_dir), vectors(spark, sf_dir)).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id NOT IN (SELECT vec_id FROM embeddings))")
+def needs_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After lost records are cleared."""
+    healed = sync.heal_lost(old_chunks(spark, sf_dir), vectors(spark, sf_dir)).withColumn("part", F.lit(None).cast("int"))
+    return sync.needs_embedding(healed, MODEL, DIM).select("id")
+
+
+@query(f"SELECT DISTINCT CASE WHEN doc_id % 17 = 0 THEN 'm0' ELSE '{MODEL}' END AS embed_model, {DIM} AS embed_dim FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0")
+def models_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12."""
+    return sync.models_in_use(old_chunks(spark, sf_dir))
+
+
+@query("""SELECT lang AS project_id, count(DISTINCT source) AS files, count(DISTINCT CASE WHEN source IN ('src1', 'src2') THEN source END) AS flagged, count(*) AS chunks, true AS indexed
+FROM documents GROUP BY lang""")
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language is a project, a source in it a file."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("project_id"), "source")
+    files = d.distinct().withColumn("index_error", F.when(F.col("source").isin("src1", "src2"), "bad"))
+    return sync.project_catalogue(d.select("project_id").distinct(), files, d).select("project_id", "files", "flagged", "chunks", "indexed")
+
+
+@query("""SELECT rule, event_id AS key FROM (SELECT event_id, unnest(['kind', 'outcome', 'tokens']) AS rule, event_type, value FROM events)
+WHERE rule = 'kind' AND event_type NOT IN ('answer', 'test')""")
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, U1."""
+    return sync.check_constraints(calls(spark, sf_dir), "usage_calls", "id")
+
+
+@query("""SELECT source AS rel_path, max(CASE WHEN source = 'src1' THEN 'broken' WHEN source = 'src2' THEN 'bad' END) AS index_error FROM documents WHERE source <> 'src9' OR true GROUP BY source""")
+def flag_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src1 fails, src2 is known to, src3 succeeds again."""
+    paths = table(spark, sf_dir, "documents").select(F.col("source").alias("rel_path")).distinct()
+    state = paths.withColumn("index_error", F.when(F.col("rel_path").isin("src2", "src3"), "bad"))
+    failed = paths.where("rel_path = 'src1'").withColumn("reason", F.lit("broken"))
+    return sync.flag_failures(state, failed, paths.where("rel_path = 'src3'")).select("rel_path", "index_error")
+
+
+@query("""SELECT count(DISTINCT CASE WHEN n_chars > 15000 THEN doc_id END) AS new_failures, (SELECT count(*) FROM documents) AS files,
+  count(DISTINCT CASE WHEN n_chars > 15000 THEN doc_id END) <= greatest(3.0, 0.05 * (SELECT count(*) FROM documents)) AS publish FROM documents WHERE doc_id % 3 <> 0""")
+def skip_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel_path"), "n_chars")
+    return sync.skip_gate(d.where("n_chars > 15000"), d.where("rel_path % 3 = 0"), d)
+
+
+# --- embedding -------------------------------------------------------------------------------------------------------
+
+HASHED_SQL = """h AS (SELECT doc_id, sha256('0:' || text) || sha256('1:' || text) AS x FROM documents),
+b AS (SELECT doc_id, list_transform(range(64), lambda i: (CAST('0x' || substr(x, i * 2 + 1, 2) AS INTEGER)) / 127.5 - 1) AS v FROM h)"""
+
+
+@query(f"WITH {HASHED_SQL} SELECT doc_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squares, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS first_value, 64 AS dim FROM b")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("embed_text"))
+    raw = embed.hash_vector(F.col("embed_text"), 64)
+    squares = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)
+    out = embed.hash_embed(d).withColumn("squares", F.round(squares, 6))
+    return out.select("doc_id", "squares", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"), F.col("embed_dim").alias("dim"))
+
+
+@query("""SELECT doc_id AS id, source AS rel_path FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars > 20000)""")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source with a document over the limit is withheld whole."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("rel_path"), "n_chars")
+    return embed.quarantine_too_long(d, 20000, "n_chars")[0].select("id", "rel_path")
+
+
+@query("""SELECT vec_id AS id, 'dimension' AS rule FROM embeddings WHERE vec_id % 100 = 1 UNION ALL SELECT vec_id, 'zero' FROM embeddings WHERE vec_id % 100 = 2""")
+def vector_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some vectors are cut short, some set to zero."""
+    cut = F.when(F.col("id") % 100 == 1, F.slice("embedding", 1, 32)).when(F.col("id") % 100 == 2, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return embed.validate_vectors(vectors(spark, sf_dir).withColumn("embedding", cut), DIM)
+
+
+@query("""SELECT item_id AS question_id, 'raw' AS variant, text FROM benchmark UNION ALL SELECT item_id, 'alt', 'Represent this question for searching relevant code: ' || text FROM benchmark
+UNION ALL SELECT item_id, 'instruct', 'Instruct: Given a question about a codebase, retrieve the code that answers it' || chr(10) || 'Query: ' || text FROM benchmark""")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5."""
+    return embed.query_variants(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")))
+
+
+@query("""WITH r AS (SELECT doc_id AS seq, lang, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents), f AS (SELECT *, min(seq) OVER (PARTITION BY lang, i) AS first FROM r)
+SELECT seq, lang AS rel_path, first || '.' || ((seq - first) // 16) AS batch FROM f""")
+def file_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6."""
+    return embed.batch_assign(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("rel_path")), "per_file", 16)
+
+
+@query()
+def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.ceil(F.greatest(F.col("n_chars"), F.lit(1)) / 2400).cast("long").alias("n_chunks"))
+    return embed.even_sample(d, 200)
+
+
+# --- passages --------------------------------------------------------------------------------------------------------
+
+
+def window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in overlapping windows of 12 lines that step by 9; every 7th document misses its second part."""
+    ls = chunk.explode_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), "text"))
+    part = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("line_no") - 12) / 9).cast("int")), F.floor((F.col("line_no") - 1) / 9).cast("int"))).alias("part")
+    rows = ls.select("pid", "line_no", "line", part).groupBy("pid", "part")
+    rows = rows.agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    n = F.count("*").over(chunk.W.partitionBy("pid")).cast("int")
+    rows = rows.select("pid", "part", "start_line", "end_line", text.alias("text"), n.alias("part_count"))
+    return rows.where("not (pid % 7 = 0 and part = 1)")
+
+
+@query("""SELECT doc_id AS pid, CASE WHEN doc_id % 7 = 0 AND len(l) > 18 THEN NULL WHEN doc_id % 7 = 0 AND len(l) > 9 THEN array_to_string(l[:12], chr(10)) ELSE text END AS text
+FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)""")
+def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4."""
+    return passages.stitch_lines(window_parts(spark, sf_dir), ["pid"])
+
+
+@query("""SELECT doc_id AS pid, CASE WHEN doc_id % 7 = 0 AND n > 1 THEN [1] ELSE [] END AS missing FROM (SELECT doc_id, CAST(ceil(len(string_split(text, chr(10))) / 9) AS INTEGER) AS n FROM documents) WHERE true""")
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3."""
+    have = window_parts(spark, sf_dir).groupBy("pid").agg(F.collect_set("part").alias("parts"), F.max("part_count").alias("n"))
+    return have.select("pid", passages.missing_parts(F.col("parts"), F.col("n")).alias("missing"))
+
+
+@query()
+def stitch_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6."""
+    return passages.stitch_markers(window_parts(spark, sf_dir), ["pid"])
+
+
+@query(f"""WITH {HITS_SQL}, p AS (SELECT question_id, raw_rank AS rank, id, score, source FROM hits JOIN documents ON doc_id = id WHERE raw_rank <= 10)
+SELECT question_id, source, min(rank) AS rank, round(max(score), 6) AS score, count(*) AS parts FROM p GROUP BY question_id, source""")
+def passages_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source are the parts of one chunk."""
+    d = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    chunks = d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("int").alias("part"), F.col("source").alias("rel_path"), F.lit("doc_text").alias("kind"), none.alias("parent"), none.alias("symbol"), F.lit(0).alias("ordinal"))
+    hits = raw_hits(spark, sf_dir, 10).select("question_id", "id", "score", F.col("raw_rank").alias("rank"))
+    out = passages.hits_to_passages(hits, chunks)
+    return out.select("question_id", F.col("key.rel_path").alias("source"), "rank", F.round("score", 6).alias("score"), F.size("part_scores").cast("long").alias("parts"))
+
+
+FRESH_SQL = f"""{PASSAGES_SQL}, s AS (SELECT p.*, CASE WHEN id % 10 = 3 THEN 'deleted' WHEN id % 10 IN (4, 5) THEN 'stale' ELSE 'fresh' END AS status FROM p)"""
+
+
+def fresh_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), "doc_id", F.sha1("text").alias("hash"))
+    live = d.where("doc_id % 10 != 3").select("rel_path", F.when(F.col("doc_id") % 10 == 4, "x").when(F.col("doc_id") % 10 != 5, F.col("hash")).alias("hash"))
+    return passages.freshness(ranked_passages(spark, sf_dir).withColumn("rel_path", F.col("id").cast("string")), d, live)
+
+
+@query(f"{FRESH_SQL} SELECT question_id, rank, id, status FROM s")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8."""
+    return fresh_passages(spark, sf_dir).select("question_id", "rank", "id", "status")
+
+
+CONTEXT_SQL = f"""{FRESH_SQL}, live AS (SELECT s.*, text, lang FROM s JOIN documents ON doc_id = id WHERE status <> 'deleted'),
+b AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS r, id, status, '### ' || id || ':1-1 · ' || lang || ' (doc_text)' || chr(10) || '```' || chr(10) || text || chr(10) || '```' AS block FROM live),
+del AS (SELECT question_id, list(DISTINCT CAST(id AS VARCHAR) ORDER BY CAST(id AS VARCHAR)) FILTER (status = 'deleted') AS d FROM s GROUP BY question_id),
+n AS (SELECT question_id, count(*) AS n FROM b GROUP BY question_id),
+m AS (SELECT question_id, n, unnest(range(1, n + 1)) AS m FROM n),
+t AS (SELECT m.question_id, m.m, n, string_agg(block, chr(10) || chr(10) ORDER BY r) AS body, list(DISTINCT CAST(id AS VARCHAR) ORDER BY CAST(id AS VARCHAR)) FILTER (status = 'stale') AS st FROM m JOIN b ON b.question_id = m.question_id AND r <= m GROUP BY ALL),
+k AS (SELECT t.*, list_filter([
+  CASE WHEN st IS NOT NULL THEN '- Some results come from files that changed after they were indexed, so their line numbers and code may be out of date (marked STALE above): ' || array_to_string(list_transform(st, lambda x: '`' || x || '`'), ', ') || '. Re-index to refresh.' END,
+  CASE WHEN d IS NOT NULL THEN '- Results from files that no longer exist were left out: ' || array_to_string(list_transform(d, lambda x: '`' || x || '`'), ', ') || '. Re-index to refresh.' END,
+  CASE WHEN n > m THEN '- ' || (n - m) || CASE WHEN n - m = 1 THEN ' more matching result did not fit and was left out.' ELSE ' more matching results did not fit and were left out.' END END], lambda x: x IS NOT NULL) AS notes FROM t JOIN del USING (question_id)),
+f AS (SELECT *, body || CASE WHEN len(notes) > 0 THEN chr(10) || chr(10) || '[Notes]' || chr(10) || array_to_string(notes, chr(10)) ELSE '' END AS text FROM k),
+w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY m DESC) AS best FROM f WHERE length(text) <= 3 * {TOKENS} + 2)
+SELECT question_id, sha256(text) AS sha256, CAST(m AS INTEGER) AS shown, false AS over_budget, length(text) // 3 AS tokens_used FROM w WHERE best = 1"""
+
+
+@query(CONTEXT_SQL)
+def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At this budget the first passage of every question fits."""
+    rows = fresh_passages(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    shown = rows.where("status != 'deleted'").join(docs, "id")
+    none = F.lit(None).cast("string")
+    block = passages.render_passage(F.col("rel_path"), F.lit(1), F.lit(1), none, F.col("lang"), F.lit("doc_text"), F.array().cast("array<string>"), F.col("text"))
+    made = shown.select("question_id", "rank", block.alias("block"), F.when(F.col("status") == "stale", F.col("rel_path")).alias("stale_path"))
+    hidden = F.array().cast("array<struct<name:string,reason:string>>")
+    asked = passages.stale_lists(rows).select("question_id", hidden.alias("hidden"), "deleted")
+    out = passages.assemble_context(made, asked, TOKENS)
+    return out.select("question_id", F.sha2("text", 256).alias("sha256"), "shown", "over_budget", "tokens_used")
+
+
+@query()
+def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages over the ceiling of a small budget, each hit in its third part."""
+    parts = window_parts(spark, sf_dir)
+    long = parts.groupBy("pid").agg(F.sum(tx.estimate_tokens(F.col("text"))).alias("t")).where(F.col("t") + OVERHEAD > passages.ceiling_tokens(1000)).select("pid")
+    hits = long.select(F.lit(0).cast("long").alias("question_id"), "pid", F.create_map(F.lit(2), F.lit(0.9)).alias("part_scores"))
+    return passages.narrow(parts.join(long, "pid", "left_semi").select("pid", "part", "text"), hits, 1000)
+
+
+# --- conversations ---------------------------------------------------------------------------------------------------
+
+TALK_SQL = "m AS (SELECT conv_id AS conversation_id, turn AS id, role, text AS content, turn % 3 <> 2 AS called FROM conversations)"
+
+
+@query(f"""WITH {TALK_SQL}, c AS (SELECT * FROM m WHERE role = 'user' OR (role = 'assistant' AND called)),
+w AS (SELECT *, max(CASE WHEN role = 'user' THEN id END) OVER (PARTITION BY conversation_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_id FROM c)
+SELECT conversation_id, user_id, min(id) AS assistant_id FROM w WHERE role = 'assistant' AND user_id IS NOT NULL GROUP BY ALL""")
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4."""
+    return talk.pair_turns(messages(spark, sf_dir))
+
+
+@query(f"""WITH {TALK_SQL}, x AS (SELECT *, lead(role) OVER w AS nr, lead(id) OVER w AS ni, lag(role) OVER w AS lr FROM m WINDOW w AS (PARTITION BY conversation_id ORDER BY id))
+SELECT conversation_id, CASE WHEN role = 'user' THEN id END AS question_id, CASE WHEN role = 'user' THEN CASE WHEN nr = 'assistant' THEN ni END ELSE id END AS answer_id
+FROM x WHERE role = 'user' OR (role = 'assistant' AND lr IS DISTINCT FROM 'user')""")
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5."""
+    return talk.entries(messages(spark, sf_dir))
+
+
+@query(f"""WITH {TALK_SQL}, c AS (SELECT * FROM m WHERE role = 'user' OR (role = 'assistant' AND called)),
+w AS (SELECT *, max(CASE WHEN role = 'user' THEN id END) OVER (PARTITION BY conversation_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_id FROM c),
+p AS (SELECT conversation_id, user_id, min(id) AS a FROM w WHERE role = 'assistant' AND user_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT p.conversation_id, user_id AS turn, q.content AS question, CASE WHEN length(a.content) > 2000 THEN left(a.content, 2000) || '…' ELSE a.content END AS answer
+  FROM p JOIN m q ON q.conversation_id = p.conversation_id AND q.id = user_id JOIN m a ON a.conversation_id = p.conversation_id AND a.id = p.a),
+u AS (SELECT *, sum(length(question) // 3 + length(answer) // 3) OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS used FROM t)
+SELECT conversation_id, turn, length(answer) AS answer_chars, CAST(used AS BIGINT) AS used FROM u WHERE used <= 1500""")
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6."""
+    m = messages(spark, sf_dir)
+    text = m.select("conversation_id", "id", "content")
+    pairs = talk.pair_turns(m)
+    asked = pairs.join(text.withColumnsRenamed({"id": "user_id", "content": "question"}), ["conversation_id", "user_id"])
+    both = asked.join(text.withColumnsRenamed({"id": "assistant_id", "content": "answer"}), ["conversation_id", "assistant_id"])
+    kept = talk.history_budget(both.withColumnRenamed("user_id", "turn"))
+    return kept.select("conversation_id", "turn", F.length("answer").cast("long").alias("answer_chars"), "used")
+
+
+@query("""SELECT conv_id AS id, left(regexp_replace(trim(min_by(text, turn) FILTER (role = 'user')), '\\s+', ' ', 'g'), 60) AS title, count(*) AS messages FROM conversations GROUP BY conv_id""")
+def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, T3."""
+    m = messages(spark, sf_dir)
+    first = m.groupBy("conversation_id").agg(F.min_by("content", F.when(F.col("role") == "user", F.col("id"))).alias("q"), F.max("id").alias("updated_at"))
+    convs = first.select(F.col("conversation_id").alias("id"), F.lit(1).alias("project_id"), talk.title_of(F.col("q")).alias("title"), "updated_at")
+    return talk.list_conversations(convs, m, 1).select("id", "title", "messages")
+
+
+@query("""WITH e AS (SELECT conv_id AS stream_id, turn AS seq, CASE role WHEN 'assistant' THEN 'delta' WHEN 'user' THEN 'thinking' ELSE 'context' END AS type, text FROM conversations),
+x AS (SELECT *, CASE WHEN type = lag(type) OVER w AND type IN ('delta', 'thinking') THEN 0 ELSE 1 END AS s FROM e WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+y AS (SELECT *, sum(s) OVER (PARTITION BY stream_id ORDER BY seq) AS r FROM x)
+SELECT stream_id, min(seq) AS seq, any_value(type) AS type, sha256(CASE WHEN any_value(type) = 'delta' THEN string_agg(text, '' ORDER BY seq) ELSE max_by(text, seq) END) AS sha256 FROM y GROUP BY stream_id, r""")
+def coalesced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "assistant", "delta").when(F.col("role") == "user", "thinking").otherwise("context")
+    events = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), kind.alias("type"), "text")
+    return talk.coalesce_events(events).select("stream_id", "seq", "type", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""SELECT conv_id AS stream_id, CASE max_by(turn % 3, turn) WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE CASE WHEN max(turn) = 0 THEN 'stopped' ELSE CASE max_by(turn % 3, CASE WHEN turn % 3 < 2 THEN turn END) WHEN 0 THEN 'done' ELSE 'failed' END END END AS outcome
+FROM conversations GROUP BY conv_id""")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T11."""
+    kind = F.when(F.col("turn") % 3 == 0, "done").when(F.col("turn") % 3 == 1, "error").otherwise("delta")
+    return talk.stream_outcome(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), kind.alias("type")))
+
+
+@query("""SELECT conv_id AS stream_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, CASE WHEN conv_id % 2 = 0 THEN 'stop' END AS finish, false AS incomplete FROM conversations GROUP BY conv_id""")
+def assembled_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a piece of a model's reply; a [DONE] line follows."""
+    c = table(spark, sf_dir, "conversations")
+    stop = F.when(F.col("conv_id") % 2 == 0, "stop")
+    piece = F.struct(F.lit("m").alias("model"), F.array(F.struct(stop.alias("finish_reason"), F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))
+    lines_ = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), F.to_json(piece)).alias("line"))
+    done = c.select(F.col("conv_id").alias("stream_id")).distinct().select("stream_id", F.lit(1 << 40).alias("seq"), F.lit("data: [DONE]").alias("line"))
+    return talk.assemble_stream(lines_.unionByName(done)).select("stream_id", F.sha2("text", 256).alias("sha256"), "finish", "incomplete")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS thinking_chars, CASE WHEN turn % 2 = 0 THEN 2 ELSE length(text) END AS answer_chars FROM conversations""")
+def thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second text stands in a leading think block."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" <think>"), F.col("text"), F.lit("</think>\n\nok"))).otherwise(F.col("text"))
+    think, answer = talk.split_thinking(text)
+    return c.select("conv_id", "turn", F.length(think).cast("long").alias("thinking_chars"), F.length(answer).cast("long").alias("answer_chars"))
+
+
+# --- usage -----------------------------------------------------------------------------------------------------------
+
+CALLS_SQL = """calls AS (SELECT event_id AS id, ts AS called_at, 'p' || (user_id % 3) AS provider, CASE WHEN event_id % 9 <> 0 THEN CAST(floor(abs(value)) AS BIGINT) END AS pt,
+  CASE WHEN event_id % 2 = 0 THEN CAST(floor(abs(value) / 2) AS BIGINT) END AS tt, CAST(floor(abs(value) / 3) AS BIGINT) AS at_, event_id % 5 = 0 AS estimated FROM events),
+bounds(win, win_order, start, next_start, rolling) AS (VALUES ('minute', 0, TIMESTAMP '2024-01-30 11:59:00', NULL::TIMESTAMP, true), ('hour', 1, TIMESTAMP '2024-01-30 11:00:00', NULL, true),
+  ('day', 2, TIMESTAMP '2024-01-30 05:00:00', TIMESTAMP '2024-01-31 05:00:00', false), ('week', 3, TIMESTAMP '2024-01-29 05:00:00', TIMESTAMP '2024-02-05 05:00:00', false),
+  ('month', 4, TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-02-01 05:00:00', false)),
+tot AS (SELECT provider, win, count(*) AS requests, CAST(sum(coalesce(pt, 0) + coalesce(tt, 0) + coalesce(at_, 0)) AS BIGINT) AS tokens, count(*) FILTER (estimated) AS estimated_calls, min(called_at) AS oldest
+  FROM calls JOIN bounds ON called_at >= start GROUP BY provider, win)"""
+LIMITS_SQL = "lim(provider, win, kind, kind_order, lim) AS (SELECT p, w, k, o, l FROM (VALUES ('p0'), ('p1'), ('p2')) t(p), (VALUES ('day', 'tokens', 0, 5000), ('day', 'requests', 1, 200), ('month', 'tokens', 0, 400000)) u(w, k, o, l))"
+REPORT_SQL = f"""{CALLS_SQL}, {LIMITS_SQL},
+rep AS (SELECT lim.provider, lim.win, win_order, kind, kind_order, lim, coalesce(CASE WHEN kind = 'tokens' THEN tokens ELSE requests END, 0) AS used, next_start
+  FROM lim LEFT JOIN tot ON tot.provider = lim.provider AND tot.win = lim.win JOIN bounds ON bounds.win = lim.win)"""
+
+
+def usage_totals_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bounds = usage.window_bounds(spark, NOW, ZONE)
+    return usage.totals(calls(spark, sf_dir), bounds), bounds
+
+
+def limits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published limits of every provider in the log."""
+    day = F.struct(F.lit(5000).cast("long").alias("tokens"), F.lit(200).cast("long").alias("requests"))
+    month = F.struct(F.lit(400000).cast("long").alias("tokens"), F.lit(None).cast("long").alias("requests"))
+    known = calls(spark, sf_dir).select("provider").distinct().withColumn("limits", F.create_map(F.lit("day"), day, F.lit("month"), month))
+    saved = known.select("provider", F.lit("not json").alias("value"))
+    return usage.load_limits(saved, known)
+
+
+@query(f"WITH {CALLS_SQL} SELECT provider, win AS \"window\", requests, tokens, estimated_calls FROM tot")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2, U3."""
+    return usage_totals_of(spark, sf_dir)[0].drop("oldest")
+
+
+@query(f"""WITH {REPORT_SQL} SELECT provider, win AS "window", kind, CAST(lim AS BIGINT) AS "limit", used, round(100.0 * used / lim, 1) AS percent, used >= lim AS reached,
+  CAST(epoch(next_start - TIMESTAMP '2024-01-30 12:00:00') AS DOUBLE) AS resets_in,
+  CASE WHEN used >= lim OR round(100.0 * used / lim, 1) >= 90 THEN 'danger' WHEN round(100.0 * used / lim, 1) >= 75 THEN 'warn' ELSE 'quiet' END AS tone FROM rep""")
+def limit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4, U5, U7."""
+    total, bounds = usage_totals_of(spark, sf_dir)
+    out = usage.limit_report(limits_of(spark, sf_dir), total, bounds, NOW)
+    return out.select("provider", "window", "kind", "limit", "used", "percent", "reached", "resets_in", "tone")
+
+
+SNAP_SQL = """snap AS (SELECT 'p' || (user_id % 3) AS provider, max(ts) AS seen_at, max_by(event_id % 100, (ts, event_id)) AS e FROM events WHERE event_id % 50 = 0 GROUP BY 1)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id % 50 = 0")
+    text = lambda c: F.lit(c) if isinstance(c, str) else c.cast("string")
+    headers = {"X-RateLimit-Limit-Requests": "1000", "x-ratelimit-remaining-requests": F.col("event_id") % 100, "x-ratelimit-reset-requests": "400d", "server": "x"}
+    pairs = [v for k, c in headers.items() for v in (F.lit(k), text(c))]
+    at = F.col("ts").cast("timestamp")
+    return usage.latest_snapshot(e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.create_map(*pairs).alias("headers"), F.struct(at.alias("at"), "event_id").alias("at")))
+
+
+@query(f"WITH {SNAP_SQL} SELECT provider, CAST(e AS VARCHAR) AS remaining, 3 AS headers, seen_at FROM snap")
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8."""
+    out = snapshots(spark, sf_dir)
+    return out.select("provider", F.element_at("headers", "x-ratelimit-remaining-requests").alias("remaining"), F.size(F.map_keys("headers")).alias("headers"), F.col("at.at").cast("timestamp_ntz").alias("seen_at"))
+
+
+BUCKET_SQL = f"""{SNAP_SQL}, b AS (SELECT provider, CAST(e AS BIGINT) AS l, greatest(0, epoch(TIMESTAMP '{NOW}' - seen_at)) AS age FROM snap),
+bucket AS (SELECT provider, 'requests' AS kind, 1000 AS lim, CAST(round_even(l + (1000 - l) * age / 34560000.0, 0) AS BIGINT) AS remaining FROM b)"""
+
+
+def buckets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.bucket_now(snapshots(spark, sf_dir).withColumn("at", F.col("at.at")), NOW)
+
+
+@query(f"WITH {BUCKET_SQL} SELECT provider, kind, CAST(lim AS BIGINT) AS \"limit\", remaining, lim - remaining AS used, round_even(100.0 * (lim - remaining) / lim, 1) AS percent FROM bucket")
+def bucket_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U9, U10."""
+    return buckets_of(spark, sf_dir).select("provider", "kind", "limit", "remaining", "used", "percent")
+
+
+@query(f"""WITH {REPORT_SQL}, {BUCKET_SQL},
+u AS (SELECT provider, 0 AS source, win, win_order, kind, kind_order, round(100.0 * used / lim, 1) AS percent FROM rep
+  UNION ALL SELECT provider, 1, NULL, 9, kind, 1, round_even(100.0 * (lim - remaining) / lim, 1) FROM bucket)
+SELECT provider, source, win AS "window", kind, percent FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY percent DESC, source, win_order, kind_order) AS r FROM u) WHERE r = 1""")
+def closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U11."""
+    total, bounds = usage_totals_of(spark, sf_dir)
+    return usage.closest_limit(usage.limit_report(limits_of(spark, sf_dir), total, bounds, NOW), buckets_of(spark, sf_dir))
+
+
+@query(f"WITH {CALLS_SQL} SELECT provider, count(*) AS calls, round(sum(coalesce(tt, 0)) / sum(coalesce(tt, 0) + coalesce(at_, 0)), 4) AS thinking_share FROM calls GROUP BY provider")
+def thinking_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U12."""
+    return usage.thinking_share(calls(spark, sf_dir))
+
+
+# --- evaluation: a hit is right when its label is the question's ------------------------------------------------------
+
+RANK_SQL = f"""{HITS_SQL}, asked AS (SELECT question_id, label, CASE WHEN question_id % 150 = 0 THEN 'tests' ELSE 'code' END AS kind, CASE WHEN question_id % 100 = 0 THEN 'holdout' ELSE 'tune' END AS split FROM q),
+ranks AS (SELECT a.*, min(raw_rank) FILTER (good) AS rank FROM asked a LEFT JOIN hits h ON h.question_id = a.question_id AND raw_rank <= 30 GROUP BY ALL)"""
+
+
+def eval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = questions(spark, sf_dir)
+    return q.select(
+        F.col("question_id").alias("id"), F.lit("r").alias("repo"), F.when(F.col("question_id") % 150 == 0, "tests").otherwise("code").alias("kind"),
+        F.when(F.col("question_id") % 100 == 0, "holdout").otherwise("tune").alias("split"), F.lit("x").alias("question"),
+        F.array(F.struct(F.col("label").cast("string").alias("path"), F.lit(None).cast("string").alias("symbol"))).alias("expect"),
+    )
+
+
+def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("path"))
+    none = F.lit(None).cast("string")
+    hits = raw_hits(spark, sf_dir, 30).join(labels, "id")
+    return hits.select("question_id", F.col("raw_rank").alias("pos"), "id", "score", "path", none.alias("symbol"), none.alias("parent"), F.array().cast("array<string>").alias("names"))
+
+
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.score_questions(eval_questions(spark, sf_dir), eval_hits(spark, sf_dir))
+
+
+@query(f"""WITH {RANK_SQL} SELECT split, kind, count(*) AS n, avg(CAST(coalesce(rank <= 1, false) AS INTEGER)) AS top1, avg(CAST(coalesce(rank <= 3, false) AS INTEGER)) AS top3,
+  avg(CAST(coalesce(rank <= 10, false) AS INTEGER)) AS top10, coalesce(list(question_id ORDER BY question_id) FILTER (rank IS NULL), []) AS misses FROM ranks GROUP BY ROLLUP (split, kind)""")
+def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2, R3, R5, R6."""
+    return evaluate.hit_rates(eval_scores(spark, sf_dir))
+
+
+@query("SELECT item_id AS id, 'no_answer' AS rule FROM benchmark WHERE item_id % 5 = 1 UNION ALL SELECT item_id, 'split' FROM benchmark WHERE item_id % 5 = 2")
+def question_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1."""
+    b = table(spark, sf_dir, "benchmark")
+    answer = F.array(F.struct(F.lit("a").alias("path"), F.lit(None).cast("string").alias("symbol")))
+    qs = b.select(
+        F.col("item_id").alias("id"), F.lit("r").alias("repo"), F.lit("code").alias("kind"), F.when(F.col("item_id") % 5 != 2, "tune").otherwise("other").alias("split"),
+        F.col("text").alias("question"), F.when(F.col("item_id") % 5 != 1, answer).otherwise(F.array().cast("array<struct<path:string,symbol:string>>")).alias("expect"),
+    )
+    return evaluate.validate_questions(qs, b.select(F.lit("r").alias("repo")).distinct())
+
+
+POLICIES = [("none", "none", 0.0), ("hide", "hide", 0.0), ("gated", "hide_gated", 0.0), ("half", "multiply", 0.5), ("demote", "demote", 0.15), ("ungated", "demote_ungated", 0.15)]
+REPLAY_SQL = f"""{HITS_SQL}, pol(policy, kind, amount) AS (VALUES {", ".join(f"('{p}', '{k}', {a})" for p, k, a in POLICIES)}),
+t AS (SELECT h.*, coalesce(l.toxic = 1, false) AS it, coalesce(l.quality = 0, false) AS il, question_id % 100 = 0 AS wt FROM hits h LEFT JOIN labels l ON l.doc_id = h.id WHERE raw_rank <= 30),
+x AS (SELECT t.*, policy, kind, amount, it AND NOT (kind NOT IN ('hide', 'demote_ungated') AND wt) AS a, il AS b FROM t, pol),
+y AS (SELECT *, round(CASE WHEN kind = 'multiply' THEN CASE WHEN a OR b THEN score * amount ELSE score END
+    WHEN kind LIKE 'demote%' THEN score - greatest(CASE WHEN a THEN amount ELSE 0 END, CASE WHEN b THEN 2 * amount ELSE 0 END) ELSE score END, 9) AS adjusted FROM x WHERE NOT (kind LIKE 'hide%' AND (a OR b))),
+z AS (SELECT *, row_number() OVER (PARTITION BY policy, question_id ORDER BY adjusted DESC, raw_rank) AS rank FROM y)"""
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = raw_hits(spark, sf_dir, 30).join(tags(spark, sf_dir), "id", "left").fillna(False, ["is_test", "is_changelog"])
+    tests, logs = search.intent(F.col("question"))
+    pool = pool.join(asked_texts(spark, sf_dir).select("question_id", tests.alias("wants_tests"), logs.alias("wants_changelog")), "question_id")
+    policies = spark.createDataFrame(POLICIES, "policy string, kind string, amount double")
+    return evaluate.replay(pool.withColumnRenamed("raw_rank", "pos"), policies)
+
+
+@query(f"WITH {REPLAY_SQL} SELECT policy, question_id, id, round(adjusted, 6) AS adjusted, rank FROM z WHERE rank <= 10")
+def replay_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8."""
+    return replayed(spark, sf_dir).withColumn("adjusted", F.round("adjusted", 6))
+
+
+POLICY_SQL = f"""{REPLAY_SQL}, r AS (SELECT p.policy, q.question_id, min(z.rank) FILTER (z.good AND z.rank <= 10) AS rank FROM pol p CROSS JOIN q LEFT JOIN z ON z.policy = p.policy AND z.question_id = q.question_id GROUP BY ALL)"""
+
+
+@query(f"""WITH {POLICY_SQL}, c AS (SELECT r.*, coalesce(b.rank, 999) AS r0, coalesce(r.rank, 999) AS r1 FROM r JOIN r b ON b.question_id = r.question_id AND b.policy = 'none'),
+s AS (SELECT policy, count(*) FILTER (rank <= 1) AS top1, count(*) FILTER (rank <= 3) AS top3, count(*) FILTER (rank <= 10) AS top10, count(*) FILTER (r1 < r0) AS better, count(*) FILTER (r1 > r0) AS worse,
+  count(*) FILTER (r1 = r0) AS same, count(*) FILTER (r1 > r0 AND question_id % 150 = 0) > 0 AS tests_worse FROM c GROUP BY policy)
+SELECT *, CASE WHEN abs(better - worse) <= 2 THEN 'tie' WHEN better > worse THEN 'better' ELSE 'worse' END AS verdict FROM s""")
+def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7, R11."""
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("own"))
+    hits = replayed(spark, sf_dir).join(label, "id").join(questions(spark, sf_dir).select("question_id", "label"), "question_id").where("own = label")
+    best = hits.groupBy("policy", "question_id").agg(F.min("rank").alias("rank"))
+    kinds = eval_questions(spark, sf_dir).select(F.col("id").alias("question_id"), "kind")
+    policies = spark.createDataFrame([(p,) for p, *_ in POLICIES], "policy string")
+    every = kinds.crossJoin(F.broadcast(policies))
+    return evaluate.policy_table(every.join(best, ["policy", "question_id"], "left"))
+
+
+@query(f"""WITH {RANK_SQL}, g(rule, value) AS (VALUES ('floor', 0.1), ('floor', 0.2), ('margin', 0.05), ('margin', 0.1)),
+h AS (SELECT hits.*, max(score) OVER (PARTITION BY question_id) AS best FROM hits WHERE raw_rank <= 30),
+k AS (SELECT rule, CAST(value AS DOUBLE) AS value, h.question_id, raw_rank, round(score, 9) >= round(CASE WHEN rule = 'floor' THEN value ELSE best - value END, 9) AS kept, rank FROM h, g, ranks WHERE ranks.question_id = h.question_id),
+p AS (SELECT rule, value, question_id, count(*) FILTER (kept) AS kept, count(*) FILTER (raw_rank = rank AND NOT kept) AS lost FROM k GROUP BY ALL)
+SELECT rule, value, CAST(sum(lost) AS BIGINT) AS answers_lost, 0 AS negatives_silenced, avg(kept) AS mean_kept FROM p GROUP BY rule, value""")
+def floor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R14."""
+    grid = spark.createDataFrame([("floor", 0.1), ("floor", 0.2), ("margin", 0.05), ("margin", 0.1)], "rule string, value double")
+    asked = eval_scores(spark, sf_dir).select("question_id", "kind", "rank")
+    return evaluate.floor_simulation(eval_hits(spark, sf_dir).select("question_id", "pos", "score"), asked, grid)
+
+
+@query(f"""WITH {RANK_SQL}, s AS (SELECT r.question_id, split AS repo, CASE WHEN r.question_id % 150 = 0 THEN 'negative' ELSE 'code' END AS kind, r.rank, a.score AS answer_score, b.score AS best_score
+  FROM ranks r LEFT JOIN hits a ON a.question_id = r.question_id AND a.raw_rank = r.rank LEFT JOIN hits b ON b.question_id = r.question_id AND b.raw_rank = 1)
+SELECT repo, round(min(answer_score) FILTER (kind = 'code' AND rank <= 3), 6) AS w, round(max(best_score) FILTER (kind = 'negative'), 6) AS n, round(min(answer_score) FILTER (kind = 'code' AND rank <= 10), 6) AS a10
+FROM s GROUP BY GROUPING SETS ((repo), ())""")
+def floor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third question is taken for a negative."""
+    s = eval_scores(spark, sf_dir)
+    h = eval_hits(spark, sf_dir).select("question_id", "pos", "score")
+    answer = s.join(h, ["question_id"]).where("pos = rank").select("question_id", F.col("score").alias("answer_score"))
+    best = h.where("pos = 1").select("question_id", F.col("score").alias("best_score"))
+    rows = s.join(answer, "question_id", "left").join(best, "question_id", "left").select("question_id", F.col("split").alias("repo"), F.when(F.col("kind") == "tests", "negative").otherwise("code").alias("kind"), "rank", "answer_score", "best_score")
+    return evaluate.floor_stats(rows).select("repo", *(F.round(c, 6).alias(c) for c in ("w", "n", "a10")))
+
+
+@query(f"""WITH {RANK_SQL} SELECT question_id, CASE WHEN rank = 1 THEN 'in_context' WHEN rank IS NULL THEN 'not_retrieved' WHEN rank <= 3 THEN 'top3_not_shown' WHEN rank <= 10 THEN 'rank_4_10' ELSE 'rank_11_30' END AS cause FROM ranks""")
+def misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first hit is taken for shown."""
+    hits = eval_hits(spark, sf_dir)
+    shown = evaluate.in_context(eval_questions(spark, sf_dir), hits.where("pos = 1"))
+    ranks = eval_scores(spark, sf_dir).select("question_id", F.col("rank").alias("pool_rank")).join(shown, "question_id")
+    return evaluate.label_misses(ranks)
+
+
+@query(f"""WITH {RANK_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (rank = 1) AS found, count(*) FILTER (rank IS NULL) AS not_retrieved FROM ranks)
+SELECT n, found, not_retrieved, CAST(ceil(0.85 * n - 1e-9) AS BIGINT) AS target, NOT (found < ceil(0.85 * n - 1e-9) AND not_retrieved >= 3) AS passed FROM c""")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R16."""
+    return evaluate.gate(misses(spark, sf_dir))
+
+
+BUDGETS = (500, 1000, 2000, 4000)
+
+
+@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, bs(budget) AS (VALUES {", ".join(f"({b})" for b in BUDGETS)}), g AS (SELECT p.*, h.good FROM p JOIN hits h USING (question_id, id)),
+pre AS (SELECT budget, question_id, rank, good, sum(cost) OVER (PARTITION BY budget, question_id ORDER BY rank) <= budget OR rank = 1 AS kept FROM g, bs),
+r AS (SELECT budget, question_id, rank, cost, good, true AS kept, cost AS used FROM g, bs WHERE rank = 1
+  UNION ALL SELECT budget, g.question_id, g.rank, g.cost, g.good, r.used + g.cost <= budget, CASE WHEN r.used + g.cost <= budget THEN r.used + g.cost ELSE r.used END FROM r JOIN g ON g.question_id = r.question_id AND g.rank = r.rank + 1),
+a AS (SELECT budget, question_id, bool_or(good AND kept) AS prefix FROM pre GROUP BY ALL), b AS (SELECT budget, question_id, bool_or(good AND kept) AS squeeze FROM r GROUP BY ALL),
+s AS (SELECT budget, count(*) AS questions, count(*) FILTER (prefix) AS prefix, count(*) FILTER (squeeze) AS squeeze, count(*) FILTER (squeeze AND NOT prefix) AS recovered FROM a JOIN b USING (budget, question_id) GROUP BY budget)
+SELECT *, recovered >= 3 AND budget >= 4000 AS switch FROM s""")
+def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage answers when its label is the question's."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("own"))
+    rows = ranked_passages(spark, sf_dir).join(own, "id").join(questions(spark, sf_dir).select("question_id", "label"), "question_id")
+    rows = rows.select("question_id", F.col("rank").cast("long").alias("rank"), "cost", (F.col("own") == F.col("label")).alias("good"))
+    parts = []
+    for b in BUDGETS:
+        fits = budget.fit_to_budget(rows, b).groupBy("question_id").agg(F.max(F.col("good") & F.col("kept")).alias("prefix"))
+        squeezed = budget.squeeze_budget(rows, b).select("question_id", "rank", "kept").join(rows, ["question_id", "rank"])
+        found = squeezed.groupBy("question_id").agg(F.max(F.col("good") & F.col("kept")).alias("squeeze"))
+        parts.append(fits.join(found, "question_id").withColumn("budget", F.lit(b)))
+    return evaluate.budget_table(sync.union_all(parts))
+
+
+@query(f"""WITH {RANK_SQL}, d0 AS (SELECT h.*, coalesce(l.toxic = 1, false) AS it, coalesce(l.quality = 0, false) AS il FROM hits h LEFT JOIN labels l ON l.doc_id = h.id WHERE raw_rank <= 30),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score - greatest(CASE WHEN it AND question_id % 100 <> 0 THEN 0.15 ELSE 0 END, CASE WHEN il THEN 0.3 ELSE 0 END), 9) DESC, raw_rank) AS rank FROM d0),
+st AS (SELECT 'off' AS stage, question_id, split, rank FROM ranks UNION ALL SELECT 'on', a.question_id, split, min(d1.rank) FILTER (good AND d1.rank <= 10) FROM asked a LEFT JOIN d1 ON d1.question_id = a.question_id GROUP BY ALL)
+SELECT stage, split, count(*) AS n, count(*) FILTER (rank <= 1) AS top1, count(*) FILTER (rank <= 3) AS top3, count(*) FILTER (rank <= 10) AS top10, count(*) FILTER (rank = 1) AS in_context FROM st GROUP BY stage, split""")
+def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With and without demotion."""
+    qs = eval_questions(spark, sf_dir)
+    off = eval_scores(spark, sf_dir).select(F.lit("off").alias("stage"), "question_id", "split", "rank")
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("path"))
+    none = F.lit(None).cast("string")
+    hits = search.demote(raw_hits(spark, sf_dir, 30), asked_texts(spark, sf_dir), tags(spark, sf_dir), 10).join(label, "id")
+    on = evaluate.score_questions(qs, hits.select("question_id", F.col("rank").alias("pos"), "path", none.alias("symbol"), none.alias("parent"), F.array().cast("array<string>").alias("names")))
+    both = off.unionByName(on.select(F.lit("on").alias("stage"), "question_id", "split", "rank"))
+    return evaluate.stage_summary(both.withColumn("found", F.coalesce(F.col("rank") == 1, F.lit(False))))
+
+
