@@ -70,7 +70,7 @@ def admit(files: DataFrame, patterns: DataFrame | None = None, extensions=EXTENS
         F.when(too_large(path, F.col("size")), "size"),
         F.when(is_binary(F.col("content")), "binary") if "content" in files.columns else F.lit(None).cast("string"),
     )
-    return files.drop("hidden").withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
+    return files.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull()).drop("hidden")
 
 
 def tag_paths(files: DataFrame) -> DataFrame:

@@ -141,8 +141,8 @@ PASSAGES_SQL = f"""WITH {HITS_SQL},
 p AS (SELECT question_id, raw_rank AS rank, id, score, length(text) // 3 + {OVERHEAD} AS cost FROM hits JOIN documents ON doc_id = id WHERE raw_rank <= 10)"""
 
 
-@query(f"""{PASSAGES_SQL}, u AS (SELECT *, sum(cost) OVER (PARTITION BY question_id ORDER BY rank) AS used FROM p)
-SELECT question_id, rank, id AS vec_id, round(score, 6) AS score, cost, used <= {TOKENS} OR rank = 1 AS kept FROM u""")
+@query(f"""{PASSAGES_SQL}, u AS (SELECT *, sum(cost) OVER (PARTITION BY question_id ORDER BY rank) AS used, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM p)
+SELECT question_id, rank, id AS vec_id, round(score, 6) AS score, cost, used <= {TOKENS} OR i = 1 AS kept FROM u""")
 def topk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1, V2, P10."""
     kept = budget.fit_to_budget(ranked_passages(spark, sf_dir), TOKENS)
@@ -204,10 +204,10 @@ def search_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", "id", F.round("score", 6).alias("score"), "raw_rank", "rank")
 
 
-@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS (
-  SELECT question_id, rank, cost, true AS kept, cost AS used FROM p WHERE rank = 1
-  UNION ALL SELECT p.question_id, p.rank, p.cost, r.used + p.cost <= {TOKENS}, CASE WHEN r.used + p.cost <= {TOKENS} THEN r.used + p.cost ELSE r.used END
-  FROM r JOIN p ON p.question_id = r.question_id AND p.rank = r.rank + 1)
+@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM p), r AS (
+  SELECT question_id, rank, i, cost, true AS kept, cost AS used FROM o WHERE i = 1
+  UNION ALL SELECT o.question_id, o.rank, o.i, o.cost, r.used + o.cost <= {TOKENS}, CASE WHEN r.used + o.cost <= {TOKENS} THEN r.used + o.cost ELSE r.used END
+  FROM r JOIN o ON o.question_id = r.question_id AND o.i = r.i + 1)
 SELECT question_id, rank, cost, kept FROM r""")
 def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11."""
@@ -924,10 +924,10 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUDGETS = (500, 1000, 2000, 4000)
 
 
-@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, bs(budget) AS (VALUES {", ".join(f"({b})" for b in BUDGETS)}), g AS (SELECT p.*, h.good FROM p JOIN hits h USING (question_id, id)),
-pre AS (SELECT budget, question_id, rank, good, sum(cost) OVER (PARTITION BY budget, question_id ORDER BY rank) <= budget OR rank = 1 AS kept FROM g, bs),
-r AS (SELECT budget, question_id, rank, cost, good, true AS kept, cost AS used FROM g, bs WHERE rank = 1
-  UNION ALL SELECT budget, g.question_id, g.rank, g.cost, g.good, r.used + g.cost <= budget, CASE WHEN r.used + g.cost <= budget THEN r.used + g.cost ELSE r.used END FROM r JOIN g ON g.question_id = r.question_id AND g.rank = r.rank + 1),
+@query(f"""{PASSAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, bs(budget) AS (VALUES {", ".join(f"({b})" for b in BUDGETS)}), g AS (SELECT p.*, h.good, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM p JOIN hits h USING (question_id, id)),
+pre AS (SELECT budget, question_id, rank, good, sum(cost) OVER (PARTITION BY budget, question_id ORDER BY rank) <= budget OR i = 1 AS kept FROM g, bs),
+r AS (SELECT budget, question_id, i, cost, good, true AS kept, cost AS used FROM g, bs WHERE i = 1
+  UNION ALL SELECT budget, g.question_id, g.i, g.cost, g.good, r.used + g.cost <= budget, CASE WHEN r.used + g.cost <= budget THEN r.used + g.cost ELSE r.used END FROM r JOIN g ON g.question_id = r.question_id AND g.i = r.i + 1),
 a AS (SELECT budget, question_id, bool_or(good AND kept) AS prefix FROM pre GROUP BY ALL), b AS (SELECT budget, question_id, bool_or(good AND kept) AS squeeze FROM r GROUP BY ALL),
 s AS (SELECT budget, count(*) AS questions, count(*) FILTER (prefix) AS prefix, count(*) FILTER (squeeze) AS squeeze, count(*) FILTER (squeeze AND NOT prefix) AS recovered FROM a JOIN b USING (budget, question_id) GROUP BY budget)
 SELECT *, recovered >= 3 AND budget >= 4000 AS switch FROM s""")

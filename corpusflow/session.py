@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     spark = (
@@ -25,6 +30,20 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, once for each application."""
+    context = spark.sparkContext
+    if not getattr(context, "_corpusflow_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="spark-corpusflow-")) / "corpusflow_package.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._corpusflow_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
@@ -41,7 +60,13 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
+    # the shuffle files of this job are of no use once its table is written
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     return spark.read.schema(df.schema).parquet(path)
 
 

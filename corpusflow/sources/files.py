@@ -13,7 +13,10 @@ MAX_SLICE, MAX_LINE = 500, 2000
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, size, mtime, content of all files below root; unread columns are pruned, sizes filter at the source."""
+    """rel_path, size, mtime, content of all files below root; unread columns are pruned, sizes filter at the source.
+
+    Names with a leading dot or underscore are skipped by the source.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     rel = F.substring_index("path", base + "/", -1)
@@ -46,12 +49,20 @@ def ignore_patterns(lines: DataFrame) -> DataFrame:
 
 
 def read_ignore_patterns(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
-    """S3: of the ignore file at the root; none where there is no such file."""
+    """S3: of the ignore file at the root; none where there is no such file.
+
+    Spark's readers skip names with a leading dot, so this one small file is read through the file system itself.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return ignore_patterns(spark.createDataFrame([], "pos int, value string"))
-    whole = spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True)
-    return ignore_patterns(whole.select(F.posexplode(F.split("value", "\n")).alias("pos", "value")))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = ""
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    return ignore_patterns(spark.createDataFrame(list(enumerate(text.splitlines())), "pos int, value string"))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

@@ -52,7 +52,7 @@ class AnswerStream(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("answer", "text string, seq long, events long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         text, last, n = self.state.get() if self.state.exists() else ("", -1, 0)
         outcome = None
         for batch in rows:
@@ -71,9 +71,9 @@ class AnswerStream(StatefulProcessor):
             self.state.update((text, last, n))
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + IDLE_MS)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             text, _, n = self.state.get()
             self.state.clear()
