@@ -8,9 +8,10 @@ lowest: the highest-ranking partition in which two sets agree is signed by both
 them, so were all the others in which they agree, and those are more than e). So e leaves room to skip partitions that
 say little, empty ones and those of passages that very many documents share, without losing a pair.
 
-Sets that share a signature make a bucket. A bucket isn't expanded into pairs: one member is compared with the others,
-and only where the bucket still spans several components are further members compared, with those of other components,
-and only if the distances already known allow a link (Jaccard distance obeys the triangle inequality).
+Sets that share a signature make a bucket. A bucket isn't expanded into pairs: its pivot, the member of the most buckets,
+is compared with the others. Members that are neither linked to it nor in its component can only be linked to another
+member if both differ from the pivot in the same features, so they are joined on those, with prefix filtering, instead of
+being compared with the whole group.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ SPARE = 0.35
 COMMON, COUNTED, SEEN = 64, 1 << 21, 3
 #: Common features kept for ranking, the most frequent ones; bits of the table that they are looked up in.
 MOST_COMMON, TABLE_BITS = 1_000_000, 24
-#: Members of a bucket compared with the others in one later round.
-PIVOTS = 16
+#: Sets that share an element in which they differ from a pivot, up to which they are compared with each other.
+CROWD = 64
+#: Members of a bucket, up to which those that may be linked are compared with each other at once.
+FEW = 12
 #: Buckets up to this size are recognised as equal by their members.
 SMALL_BUCKET = 1024
 #: Rows of identifiers up to which they are broadcast.
@@ -274,49 +277,128 @@ def feature_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, distance (Jaccard), linked for edges(u, v)."""
+    """u, v, nu, nv (sizes), same (size of the intersection), linked for edges(u, v)."""
     left = sets.select(F.col("node").alias("u"), F.col("features").alias("fu"))
     right = sets.select(F.col("node").alias("v"), F.col("features").alias("fv"))
     both = edges.join(left, "u").join(right, "v")
-    same = F.size(F.array_intersect("fu", "fv"))
-    sized = both.select("u", "v", same.alias("same"), (F.size("fu") + F.size("fv")).alias("total"))
-    return sized.select(
-        "u", "v", (1 - F.col("same") / (F.col("total") - F.col("same"))).alias("distance"), (100 * F.col("same") >= PERCENT * (F.col("total") - F.col("same"))).alias("linked")
+    sized = both.select("u", "v", F.size("fu").alias("nu"), F.size("fv").alias("nv"), F.size(F.array_intersect("fu", "fv")).alias("same"))
+    return sized.withColumn("linked", 100 * F.col("same") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("same")))
+
+
+def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """roots(node, root) with the links of new(u, v, linked) taken in."""
+    links = new.where("linked").select("u", "v")
+    if roots is not None:
+        if links.isEmpty():
+            return roots
+        links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return written(components(links), "ngram-roots")
+
+
+def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the root of a node as another column; a node without links is its own."""
+    own = roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def spokes(bucket: DataFrame) -> DataFrame:
+    """bucket, u, v, members: in each bucket its pivot u, the member of the most buckets, with each other member v."""
+    degree = bucket.groupBy("node").agg(F.count("*").alias("degree"))
+    pivot = bucket.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p"), F.count("*").alias("members"))
+    return bucket.join(pivot.select("bucket", F.col("p.node").alias("u"), "members"), "bucket").where("node != u").select("bucket", "u", F.col("node").alias("v"), "members")
+
+
+def unresolved(star: DataFrame) -> DataFrame:
+    """c, node, root, apart, size, n, gap and bounds of clusters with members in different components.
+
+    star is compared edges with root and c_root. n is the number of features in which node and c differ, gap is n less
+    the part that a link of the node may differ in on its own account.
+    """
+    rows = star.select(
+        F.col("u").alias("c"), F.col("v").alias("node"), "root", (F.col("root") != F.col("c_root")).alias("apart"), F.col("nv").alias("size"),
+        (F.col("nu") + F.col("nv") - 2 * F.col("same")).alias("n"),
+    )
+    rows = rows.withColumn("gap", F.col("n") - F.col("size") * ((100 - PERCENT) / (100 + PERCENT)))
+    far = rows.groupBy("c").agg(
+        F.min(F.when(F.col("apart"), F.col("gap"))).alias("least_apart"), F.min("gap").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")
     )
+    return written(rows.join(far.where("least_apart is not null and r0 != r1").drop("r0", "r1"), "c"), "ngram-clusters")
+
+
+def few_pairs(spoke: DataFrame, star: DataFrame) -> DataFrame:
+    """(u, v) of the members of small buckets in different components that the distances to their pivot let be linked."""
+    distance = (1 - F.col("same") / (F.col("nu") + F.col("nv") - F.col("same"))).alias("distance")
+    own = spoke.where(F.col("members").between(3, FEW)).join(star.select("u", "v", "root", F.col("nv").alias("size"), distance), ["u", "v"])
+    own = own.select("bucket", F.col("v").alias("node"), "root", "size", "distance")
+    a, b = own.alias("a"), own.alias("b")
+    near = F.abs(F.col("a.distance") - F.col("b.distance")) <= 1 - PERCENT / 100 + 1e-9
+    sizes = (F.col("a.size") * 100 >= F.col("b.size") * PERCENT) & (F.col("b.size") * 100 >= F.col("a.size") * PERCENT)
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near & sizes
+    return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of unresolved() with pos, element, common: in which features members differ from their pivot c.
+
+    pos orders a member's features, the rarer in the cluster first.
+    """
+    own = sets.select("node", F.col("features").alias("f"))
+    centre = sets.select(F.col("node").alias("c"), F.col("features").alias("g"))
+    each = rows.join(centre, "c").join(own, "node")
+    element = F.explode(F.concat(F.array_except("f", "g"), F.array_except("g", "f"))).alias("element")
+    each = written(each.select("c", "node", "root", "apart", "size", "n", "gap", "least", "least_apart", element), "ngram-differences")
+    common = each.groupBy("c", "element").agg(F.count("*").alias("common"))
+    order = W.partitionBy("c", "node").orderBy("common", "element")
+    return each.join(common, ["c", "element"]).withColumn("pos", F.row_number().over(order))
+
+
+def shared_differences(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs(u, v), buckets(bucket, node)): what members of a cluster in different components may still be linked.
+
+    With E the features in which a set differs from the pivot, two sets x and y differ in |Ex| + |Ey| - 2 |Ex and Ey|. For
+    y that the pivot isn't linked to, a link of x and y therefore needs at least t >= 1 common elements of Ex and Ey, and
+    one of them among the first |E| - t + 1 of both. Members apart from the pivot's component take part with a long prefix
+    against members of it, and with a short one among themselves; elements that many of those share make new buckets.
+    """
+    most = F.col("n") - F.floor(F.col("size") / 4)  # as the other set differs in no fewer features than both share
+    need = lambda other: F.greatest(F.lit(1), most, F.ceil((F.col("gap") + other) / 2 - 1e-9))
+    rows = each.withColumn("short", F.col("pos") <= F.col("n") - need(F.col("least_apart")) + 1)
+    long = F.col("pos") <= F.col("n") - need(F.col("least")) + 1
+    rows = rows.where((F.col("common") > 1) & (F.col("short") | (F.col("apart") & long)))
+    crowd = rows.groupBy("c", "element").agg(F.count_if(F.col("apart")).alias("outside"), F.count_if(F.col("apart") & F.col("short")).alias("crowd"), F.count("*").alias("all"))
+    crowd = crowd.where((F.col("all") > 1) & (F.col("outside") > 0) & ((F.col("all") > F.col("outside")) | (F.col("crowd") > 1)))
+    rows = written(rows.join(crowd.drop("all", "outside"), ["c", "element"]).select("c", "element", "crowd", "node", "root", "apart", "n", "gap", "pos", "short"), "ngram-prefixes")
+    a, b = rows.where("apart").alias("a"), rows.alias("b")
+    t = F.greatest(F.lit(1), F.ceil((F.col("a.gap") + F.col("b.gap")) / 2 - 1e-9))
+    roles = ~F.col("b.apart") | (F.col("a.short") & F.col("b.short") & (F.col("a.node") < F.col("b.node")) & (F.col("a.crowd") <= CROWD))
+    near = (F.col("a.pos") <= F.col("a.n") - t + 1) & (F.col("b.pos") <= F.col("b.n") - t + 1)
+    on = (F.col("a.c") == F.col("b.c")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.root") != F.col("b.root")) & roles & near
+    pairs = a.join(b, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    crowded = rows.where((F.col("crowd") > CROWD) & F.col("apart") & F.col("short"))
+    return pairs, crowded.select(F.xxhash64("c", "element").alias("bucket"), "node").distinct()
 
 
 def linked_components(bucket: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, root for all nodes that have a link."""
-    pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"))
-    edges = bucket.join(pivot, "bucket").where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    known = written(compared(edges, sets), "ngram-compared")
-    links = known.where("linked").select("u", "v")
-    roots = written(components(links), "ngram-roots")
-    # later rounds: members but the pivot, with their distance to it, in buckets of several components
-    far = known.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "distance")
-    active = bucket.join(pivot, "bucket").where("node != pivot").join(far, ["pivot", "node"]).select("bucket", "node", "distance")
-    limit = 1 - PERCENT / 100 + 1e-9
+    """node, root for all nodes that have a link.
+
+    Each level compares a pivot of each bucket with the others, then the pairs that may be linked beside it. What is left
+    is a bucket of elements that very many sets share in which they differ from a pivot; the pivots are no longer in it.
+    """
+    roots = None
     while True:
-        root = roots.select("node", F.col("root"))
-        rows = active.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spans = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        rows = written(rows.join(spans, "bucket"), "ngram-active")
-        if rows.isEmpty():
+        spoke = written(spokes(bucket), "ngram-spokes")
+        star = written(compared(spoke.select("u", "v").distinct(), sets), "ngram-stars")
+        roots = merged(roots, star)
+        both = rooted(rooted(star, roots, "u", "c_root"), roots, "v", "root")
+        large = spoke.where(F.col("members") > FEW).select("u", "v").distinct()
+        pairs, crowded = shared_differences(differences(unresolved(both.join(large, ["u", "v"], "left_semi")), sets))
+        new = written(compared(pairs.unionByName(few_pairs(spoke, both)).distinct(), sets), "ngram-pairs")
+        roots = merged(roots, new)
+        left = rooted(written(crowded, "ngram-crowded"), roots, "node", "root")
+        spans = left.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+        bucket = written(left.join(spans, "bucket").select("bucket", "node"), "ngram-buckets")
+        if bucket.isEmpty():
             return roots
-        weight = rows.groupBy("bucket", "root").agg(F.count("*").alias("weight"))
-        order = W.partitionBy("bucket").orderBy("weight", "root", "node")
-        ranked = written(rows.join(weight, ["bucket", "root"]).withColumn("rank", F.row_number().over(order)), "ngram-ranked")
-        first = ranked.where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("distance").alias("p_distance"), F.col("rank").alias("p_rank"))
-        pairs = ranked.join(first, "bucket").where("rank > p_rank and root != p_root").where(F.abs(F.col("distance") - F.col("p_distance")) <= limit)
-        edges = pairs.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-        edges = written(edges.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "ngram-edges")
-        new = written(compared(edges, sets), "ngram-compared")
-        known = known.unionByName(new)
-        fresh = new.where("linked").select("u", "v")
-        if not fresh.isEmpty():
-            links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(fresh)
-            roots = written(components(links), "ngram-roots")
-        active = ranked.where(F.col("rank") > PIVOTS).select("bucket", "node", "distance")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
