@@ -35,11 +35,11 @@ def hits_to_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("question_id", "key", "score", "rank", F.map_from_entries(F.sort_array("ps")).alias("part_scores"))
 
 
-def siblings(chunks: DataFrame) -> DataFrame:
-    """Id, sibling_id, part: all parts of the same chunk; a whole chunk is only itself."""
-    a = chunks.select("id", passage_key().alias("key"))
-    b = chunks.select(F.col("id").alias("sibling_id"), "part", passage_key().alias("key"))
-    return a.join(b, a["key"].eqNullSafe(b["key"])).select("id", "sibling_id", "part")
+def siblings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Id, sibling_id, part: for each of wanted(id) all parts of the same chunk; a whole chunk is only itself."""
+    a = chunks.join(wanted.select("id"), "id", "left_semi").select("id", passage_key().alias("key"))
+    b = chunks.select(F.col("id").alias("sibling_id"), "part", passage_key().alias("other"))
+    return a.join(b, F.col("key").eqNullSafe(F.col("other"))).select("id", "sibling_id", "part")
 
 
 def missing_parts(parts: Column, count: Column) -> Column:

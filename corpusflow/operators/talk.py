@@ -172,7 +172,7 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 
 def stage_timings(asked: Column, found: Column, first: Column, answer: Column, end: Column) -> dict[str, Column]:
     """Whole milliseconds of search, wait, thinking, writing and total; null for a stage that didn't happen."""
-    ms = lambda a, b: F.greatest(F.lit(0), F.round((b - a) * 1000)).cast("long")
+    ms = lambda a, b: F.when((b - a).isNotNull(), F.greatest(F.lit(0), F.round((b - a) * 1000)).cast("long"))
     return {
         "search": ms(asked, found),
         "wait": ms(found, F.coalesce(first, answer)),

@@ -961,3 +961,83 @@ def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.stage_summary(both.withColumn("found", F.coalesce(F.col("rank") == 1, F.lit(False))))
 
 
+
+
+# --- summaries -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, abs(value) / 1000 AS s, 2 * abs(value) / 1000 AS f, 4 * abs(value) / 1000 AS w, 10 * abs(value) / 1000 AS z, event_id % 3 <> 0 AS thinks, event_id % 7 <> 0 AS answers FROM events)
+SELECT event_id, CAST(round(s * 1000) AS BIGINT) AS search_ms, CAST(round((CASE WHEN thinks THEN f WHEN answers THEN w END - s) * 1000) AS BIGINT) AS wait_ms,
+  CASE WHEN thinks THEN CAST(round((CASE WHEN answers THEN w ELSE z END - f) * 1000) AS BIGINT) END AS thinking_ms,
+  CASE WHEN answers THEN CAST(round((z - w) * 1000) AS BIGINT) END AS writing_ms, CAST(round(z * 1000) AS BIGINT) AS total_ms FROM e""")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of calls that searched for v ms, thought after 2 v and wrote after 4 v, if they did."""
+    e = table(spark, sf_dir, "events").select("event_id", F.abs("value").alias("v"))
+    at = lambda k: k * F.col("v") / 1000
+    first, answer = F.when(F.col("event_id") % 3 != 0, at(2)), F.when(F.col("event_id") % 7 != 0, at(4))
+    out = talk.stage_timings(F.lit(0.0), at(1), first, answer, at(10))
+    return e.select("event_id", *(c.alias(f"{n}_ms") for n, c in out.items()))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN greatest(0, 50 - turn * 20) WHEN turn % 3 = 0 THEN 7 ELSE length(text) // 3 END AS answer_tokens, turn * 20 AS thinking_tokens, turn % 2 <> 0 AS estimated FROM conversations""")
+def token_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even turns report 50 tokens, of which 20 for each turn are thinking; of the others every third has pieces."""
+    c = table(spark, sf_dir, "conversations")
+    even = F.col("turn") % 2 == 0
+    out = talk.token_summary(even, F.when(even, F.lit(50).cast("long")), F.col("turn") * 20, F.when(F.col("turn") % 3 == 0, F.lit(7).cast("long")), F.col("text"))
+    return c.select("conv_id", "turn", *(v.alias(k) for k, v in out.items()))
+
+
+@query(f"WITH {FILES_SQL} SELECT page_id AS doc, rel_path || ':3-' || (page_id + 3) AS citation, rel_path, 3 AS start_line, CAST(page_id + 3 AS INTEGER) AS end_line FROM f")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of pages, cited twice."""
+    one = F.concat("rel_path", F.lit(":3-"), (F.col("page_id") + 3).cast("string"))
+    return talk.extract_citations(page_files(spark, sf_dir).select(F.col("page_id").alias("doc"), F.concat(F.lit("see 【"), one, F.lit("】 and "), one).alias("text")))
+
+
+@query("""SELECT doc_id AS doc, 'prose' AS kind, CAST(NULL AS VARCHAR) AS lang, 1 AS parts FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, 'prose', NULL, 1 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'code', 'py', 1 FROM documents WHERE doc_id % 2 = 0""")
+def fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document ends in an open fence."""
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n```py\nx = 1"))).otherwise(F.col("text"))
+    return talk.split_fences(d.select(F.col("doc_id").alias("doc"), text.alias("text"))).groupBy("doc", "kind", "lang").agg(F.count("*").alias("parts"))
+
+
+@query(f"{PASSAGES_SQL} SELECT question_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS sources, round(max(score), 4) AS best_score, count(*) AS n FROM p GROUP BY question_id")
+def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17."""
+    out = passages.context_summary(ranked_passages(spark, sf_dir).withColumn("rel_path", F.col("id").cast("string")))
+    return out.select("question_id", F.array_join(F.transform("sources", lambda s: s["rel_path"]), ",").alias("sources"), F.round("best_score", 4).alias("best_score"), "n")
+
+
+@query("""SELECT item_id, 2 AS n, sha256('system:s|user:' || text || chr(10) || chr(10) || 'q' || item_id) AS sha256 FROM benchmark""")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as contexts, without history."""
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    m = passages.build_messages(F.lit("s"), none, F.concat(F.lit("q"), F.col("item_id").cast("string")), F.col("text"))
+    told = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(m).alias("n"), F.sha2(told, 256).alias("sha256"))
+
+
+@query("""SELECT 'p' || (user_id % 3) AS repo, count(*) AS queries, round(median(abs(value)), 6) AS median_ms, round(max(abs(value)), 6) AS max_ms, round(median(abs(value) / 2), 6) AS rest_ms FROM events GROUP BY 1""")
+def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of each call is a known stage."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.abs("value"))
+    rows = e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("repo"), F.col("v").alias("total_ms"), F.create_map(F.lit("embed"), F.col("v") / 2, F.lit("total"), F.col("v")).alias("stages"))
+    return evaluate.timing_summary(rows).select("repo", "queries", *(F.round(c, 6).alias(c) for c in ("median_ms", "max_ms", "rest_ms")))
+
+
+@query(f"WITH {RANK_SQL} SELECT count(*) AS questions, count(*) FILTER (coalesce(rank <= 3, false) = coalesce(rank <= 1, false)) AS agree FROM ranks")
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in the first three against answers in the first place."""
+    s = eval_scores(spark, sf_dir)
+    return evaluate.agreement(s.select("question_id", F.col("top3").alias("found")), s.select("question_id", F.col("top1").alias("found")))
+
+
+@query("""SELECT doc_id || '.0' AS id, doc_id || '.' || i AS sibling_id FROM (SELECT doc_id, unnest(range(CAST(greatest(0, ceil((length(text) - 2400) / 2250)) AS BIGINT) + 1)) AS i FROM documents)""")
+def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of each document's first one."""
+    name = F.concat_ws(".", "doc_id", F.coalesce("part", F.lit(0)))
+    chunks = document_chunks(spark, sf_dir).select(name.alias("id"), "part", "rel_path", "kind", "parent", "symbol", F.col("doc_id").alias("ordinal"))
+    return passages.siblings(chunks, chunks.where("part is null or part = 0")).select("id", "sibling_id")
