@@ -2,8 +2,10 @@
 
 A document is a sequence of lines, a line's identifier a 128-bit digest of its bytes. From each line starts a window: the
 fewest lines from there on that have MIN_WORDS words together. A line is removed if any window over it also starts
-earlier in the corpus (smaller doc_id, or the same document and an earlier line): overlapping repeated windows add up to
-the maximal repeated runs, the intervals of a common prefix of at least a window in the suffix array.
+earlier in the corpus (smaller doc_id, or the same document and an earlier line). These windows alone leave the tail of a
+repeated run, the lines from whose start less than a window is left. With `whole`, the fewest lines that END at each line
+are windows too; both together cover exactly the maximal repeated runs: of a repeated run, a line either starts a window
+within it, or has less than a window up to the run's end and so lies in the window that ends there.
 
 Prefix doubling ranks the suffixes: rank 0 is the line's identifier, and rank k + 1 joins rank k here with rank k 2**k
 lines on. Before each doubling, suffixes whose rank no other one has are dropped with all that they could still match:
@@ -29,7 +31,7 @@ MIN_WORDS = 50
 #: Documents with removed lines up to which their spans are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-SUFFIX = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("m", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+SUFFIX = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("m", pa.int32()), ("back", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def key(docs: DataFrame) -> Column:
@@ -38,7 +40,10 @@ def key(docs: DataFrame) -> Column:
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, row, pos, m, a, b for each line: m lines make its window (0: the text ends before), (a, b) is rank 0."""
+    """doc_id, row, pos, m, back, a, b for each line: m lines from it make its window (0: the text ends before), (a, b) is rank 0.
+
+    back: so many lines up to it make the window that ends there (0: the text starts after, or that is a line's m already).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,15 +54,17 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 sums = np.cumsum([0, *(len(x.split()) for x in lines)])
                 ends = np.searchsorted(sums, sums[:-1] + min_words)  # the first end with enough words
                 m = np.where(ends <= n, ends - np.arange(n), 0)
+                starts = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1  # the last start with enough words
+                back = np.where((starts >= 0) & (ends[starts] != np.arange(n) + 1), np.arange(n) + 1 - starts, 0)
                 ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in lines), np.int64).reshape(-1, 2)
-                for cs, v in zip(out, (np.full(n, doc_id or 0), np.full(n, row), np.arange(n), m, ids[:, 0], ids[:, 1])):
+                for cs, v in zip(out, (np.full(n, doc_id or 0), np.full(n, row), np.arange(n), m, back, ids[:, 0], ids[:, 1])):
                     cs.append(v)
             if out[0]:
                 cols = [np.concatenate(cs) for cs in out]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SUFFIX)], schema=SUFFIX)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), key(docs).alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, pos int, m int, a long, b long").dropDuplicates(["row", "pos"])
+    return rows.mapInArrow(run, "doc_id long, row long, pos int, m int, back int, a long, b long").dropDuplicates(["row", "pos"])
 
 
 def ahead(some: DataFrame, suffix: DataFrame, far: Column) -> DataFrame:
@@ -77,14 +84,19 @@ def repeated(suffix: DataFrame) -> DataFrame:
     return suffix.join(many, ["a", "b"], "left_semi")
 
 
-def windows(suffix: DataFrame) -> DataFrame:
+def windows(suffix: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, row, pos, m, a, b of windows, (a, b) a digest of their lines, leaving out those that can't be repeated."""
     out = None
-    step, longest = 1, suffix.agg(F.max("m")).first()[0] or 0
+    ends = suffix.where("back > 0").select("doc_id", "row", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("m"))
+    step, longest = 1, suffix.agg(F.max(F.greatest("m", "back") if whole else "m")).first()[0] or 0
+    suffix = suffix.drop("back")
     while step <= longest:
         suffix = written(repeated(suffix), "lines-rank")
         mine = (F.col("m") >= step) & (F.col("m") < 2 * step)
-        last = ahead(suffix.where(mine), suffix, F.col("m") - step)
+        asked = suffix.where(mine)
+        if whole:
+            asked = asked.unionByName(ends.where(mine).join(suffix.drop("doc_id", "m"), ["row", "pos"]))
+        last = ahead(asked, suffix, F.col("m") - step)
         done = written(last.select("doc_id", "row", "pos", "m", *digest("m", "a", "b", "a2", "b2")), "lines-window")
         out = done if out is None else out.unionByName(done)
         suffix = ahead(suffix, suffix, F.lit(step)).select("doc_id", "row", "pos", "m", *digest("a", "b", "a2", "b2"))
@@ -92,24 +104,25 @@ def windows(suffix: DataFrame) -> DataFrame:
     return suffix.limit(0) if out is None else out
 
 
-def covered(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def covered(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """row, spans: the windows (pos, m) of each document that start earlier somewhere else."""
-    found = windows(written(suffixes(docs, min_words), "lines-suffix"))
+    found = windows(written(suffixes(docs, min_words), "lines-suffix"), whole)
     place = F.struct("doc_id", "row", "pos")
     first = written(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "lines-first")
     later = found.join(first, ["a", "b"]).where(place != F.col("first"))
     return later.groupBy("row").agg(F.collect_list(F.struct("pos", "m")).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc (the row of docs as it came), kept_text, n_lines, n_removed, n_spans for each row of docs(doc_id, text, ...).
 
     n_spans counts maximal runs of removed lines. A null text stays null and has no lines; an empty one has one empty
     line. A null doc_id counts as 0; rows that share doc_id and text are one document, rows that share only the doc_id
     follow each other by a hash of the text. Blank and short lines go only as parts of repeated windows. Other columns
-    come along in doc, whatever their names; an empty table gives no rows.
+    come along in doc, whatever their names; an empty table gives no rows. whole: repeated runs of at least min_words words
+    go up to their last line; without it up to min_words - 1 words of their tails stay, as in the SQL of op9_line_dedup.
     """
-    spans = written(covered(docs.select("doc_id", "text"), min_words), "lines-covered")
+    spans = written(covered(docs.select("doc_id", "text"), min_words, whole), "lines-covered")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), key(docs).alias("row"))
     few = F.broadcast(spans) if small_enough(spans, BROADCAST_ROWS) else spans
     joined = rows.join(few, "row", "left").select("doc", F.col("doc.text").alias("text"), "spans")

@@ -55,14 +55,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.drop("hit_items", "hit_spans", "n_near")
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+def line_digests(out: DataFrame) -> DataFrame:
     kept = F.coalesce("kept_text", F.lit(""))
     return out.select(
         "doc.doc_id", "n_lines", "n_removed", "n_spans", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
+def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the tails of repeated runs, which the SQL of op9_line_dedup keeps."""
+    return line_digests(line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole=True))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, docs, table(spark, sf_dir, "labels"))
