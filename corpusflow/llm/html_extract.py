@@ -14,7 +14,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +40,24 @@ HINTS = (
 )
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog")
 CONTENT = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements whose start closes an open p.
+CLOSES_P = frozenset((
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", *HEADINGS, "header", "hgroup", "hr", "li", "listing", "main", "menu", "nav", "ol", "p", "plaintext", "pre", "search", "section",
+    "summary", "table", "ul", "xmp",
+))
+#: What a start tag closes besides: the names, and the elements beyond which it doesn't look.
+LISTS, TABLE, ROWS = ("ul", "ol", "menu", "dir"), ("table",), ("tbody", "thead", "tfoot")
+IMPLIED = {
+    "li": (("li",), LISTS), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("optgroup", "datalist")),
+    "optgroup": (("optgroup", "option"), ("datalist",)), "rt": (("rt", "rp"), ("ruby",)), "rp": (("rt", "rp"), ("ruby",)),
+    "td": (("td", "th"), ("tr", *TABLE)), "th": (("td", "th"), ("tr", *TABLE)), "tr": (("tr", "caption", "colgroup"), (*ROWS, *TABLE)),
+    **{name: ((*ROWS, "caption", "colgroup"), TABLE) for name in (*ROWS, "caption", "colgroup")}, "button": (("button",), ()), "a": (("a",), ()),
+}
+#: Elements that neither an implied end nor an end tag from inside reaches beyond.
+SCOPES = frozenset(("table", "td", "th", "caption"))
+SCOPES_OF_P = SCOPES | {"button"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
@@ -68,10 +86,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
     dropped: within an element that never holds content. labelled: within an article or main element.
     """
-    stack: list[tuple[str, bool, int]] = []  # open elements that matter: boilerplate or content
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, content
     dropped = content = 0
     raw = ""
-    depth: Counter = Counter()
+    count: Counter = Counter()  # of the open elements by name
+
+    def close(at: int, upto: int | None = None) -> None:
+        nonlocal dropped, content
+        for name, bad, own in stack[at:upto]:
+            dropped -= bad
+            content -= own
+            count[name] -= 1
+        del stack[at:upto]
+
+    def innermost(names: tuple[str, ...], beyond: Container[str]) -> int | None:
+        """The place of the innermost open element of these names that isn't outside of one of `beyond`."""
+        if any(count[n] for n in names):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in names:
+                    return k
+                if stack[k][0] in beyond:
+                    return None
+        return None
+
     for m in TOKEN.finditer(page):
         closing, name = m[1], (m[2] or "").lower()
         if raw:
@@ -85,28 +122,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 continue  # a comment or declaration
             yield "text", entities.unescape(text), dropped > 0, content > 0
         elif closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name and stack[k][2] == depth[name]), None)
-            if depth[name]:
-                depth[name] -= 1
+            table_part = name in SCOPES or name in ROWS or name == "tr"
+            at = innermost(HEADINGS if name in HEADINGS else (name,), TABLE if table_part and name != "table" else () if name == "table" else SCOPES)
+            inline = name in INLINE
+            if at is not None and not inline:
+                close(at + 1)  # whatever was left open in it
             yield "tag", "/" + name, dropped > 0, content > 0
             if at is not None:
-                for _, bad, _ in stack[at:]:
-                    dropped -= bad
-                    content -= not bad
-                del stack[at:]
+                close(at, at + 1)  # blocks within an inline element stay open
         else:
             own_end = m[3].rstrip().endswith("/")
+            if name in CLOSES_P and (at := innermost(("p",), SCOPES_OF_P)) is not None:
+                close(at)
+            if name in IMPLIED and (at := innermost(IMPLIED[name][0], IMPLIED[name][1] or SCOPES)) is not None:
+                close(at, at + 1 if name == "a" else None)
+            elif name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+                close(len(stack) - 1)
             if name in RAW:
                 raw = "" if own_end and name in ("svg", "math") else name
                 yield "tag", name, True, content > 0
                 continue
             bad = is_boilerplate(name, m[3], content > 0)
             if name not in VOID:
-                depth[name] += 1
-                if bad or name in CONTENT:
-                    stack.append((name, bad, depth[name]))
-                    dropped += bad
-                    content += not bad
+                own = not bad and name in CONTENT
+                stack.append((name, bad, own))
+                count[name] += 1
+                dropped += bad
+                content += own
             yield "tag", name, dropped > 0 or bad, content > 0
 
 
@@ -166,7 +208,8 @@ def region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, learned: dict[str, float]) -> str:
     """The text of the best region: blocks in page order joined by an empty line, white space within a block one space.
 
-    Null, empty and wordless pages give an empty text. Unclosed elements end with the page.
+    Null, empty and wordless pages give an empty text. Omitted end tags are implied as in HTML; what is still open ends with
+    the element around it, or with the page.
     """
     seen = list(tokens(page or ""))
     scores, near = [], "body"

@@ -3,7 +3,7 @@
 import random
 import re
 
-from corpusflow.llm import line_dedup
+from corpusflow.llm import html_extract, line_dedup
 
 
 def docs_frame(spark, rows):
@@ -45,3 +45,21 @@ def test_line_dedup_whole_removes_the_tails_of_repeated_runs(spark):
     assert got[2].split("\n")[1:] == ["own end"] and got[4] == "own" and got[5] == ""
     short = {x.doc.doc_id: x.kept_text for x in line_dedup.line_dedup(docs_frame(spark, rows)).collect()}
     assert three[2] in short[2] and two[1] in short[4]  # what the windows that start at a line leave
+
+
+def test_html_unclosed_boilerplate_ends_where_html_ends_it():
+    text = lambda page: html_extract.extract(page, {})
+    body = "<article><h1>Title</h1><p>One two</p><p>Three four</p></article>"
+    whole = "Title\n\nOne two\n\nThree four"
+    assert text(f"<body><p class=ad>Buy this<p>Intro</p>{body}</body>") == "Intro\n\n" + whole
+    assert text("<article><p>One<p class=ad>Buy this<p>Two</p><p>Three</p></article>") == "One\n\nTwo\n\nThree"
+    assert text("<article><ul><li>One<li class=ad>Buy<li>Two</ul><p>Three</p></article>") == "One\n\nTwo\n\nThree"
+    assert text("<dl><dt>A<dd class=ad>Buy<dt>B<dd>C</dl>") == "A\n\nB\n\nC"
+    assert text("<table><tr><td>A<td class=ad>Buy<td>B<tr class=ad><td>Buy<tr><td>C</table>") == "A\n\nB\n\nC"
+    assert text(f"<body><div><p class=ad>Buy this</div>{body}") == whole and text(f"<div><span class=ad>Buy</div>{body}") == whole
+    assert text(f"<ul><li class=ad>Buy<ul><li>this</ul>now</ul>{body}") == whole  # an inner list doesn't end it
+    assert text("<article><p>One <span class=ad>Buy <span>this</span> now</span> two</p></article>") == "One two"
+    assert text("<article><div class=ad><table><tr><td></div>Buy</table></div><p>One</p></article>") == "One"
+    assert text("<article><p>A</p><aside><p>side</aside><p>B</p></article>") == "A\n\nB"
+    seen = html_extract.counted("<body><p class=ad>Buy<p>out</p><article><p>in words here</article></body>")
+    assert seen["word p", True] == 3 and seen["word p", False] == 1
