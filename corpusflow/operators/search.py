@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusflow.session import written
+
 #: Questions scored in one pass over the vectors: the block that is broadcast is bounded, more questions take more passes.
 QUESTION_BLOCK = 4096
 #: Margin that a test or (twice) a changelog loses when hits are ordered, and the pool that is ordered anew.
@@ -85,26 +89,81 @@ def topk(questions: DataFrame, vectors: DataFrame, k: int, not_self: bool = Fals
     return found.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 
 
+def cell_topk(block: np.ndarray, ids: list, probed: np.ndarray, placed: DataFrame, k: int) -> DataFrame:
+    """question_id, id, score: the best k of each partition of placed(id, embedding, cell) for each question, in its probed cells only."""
+    shared = placed.sparkSession.sparkContext.broadcast((block, np.array(ids), probed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, own, probed = shared.value
+        best_id, best = np.zeros((len(own), k), np.int64), np.full((len(own), k), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec_ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            unit = unit_rows(batch.column(1), questions.shape[1])
+            for c in np.unique(cell):
+                asked, here = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
+                if not len(asked):
+                    continue
+                score = np.clip(np.round(questions[asked] @ unit[here].T, 12), -1, 1)
+                all_id = np.concatenate([best_id[asked], np.broadcast_to(vec_ids[here], score.shape)], axis=1)
+                score = np.concatenate([best[asked], score], axis=1)
+                order = np.lexsort((all_id, -score), axis=1)[:, :k]
+                best_id[asked], best[asked] = np.take_along_axis(all_id, order, 1), np.take_along_axis(score, order, 1)
+        ok = np.isfinite(best)
+        question = np.broadcast_to(own[:, None], best.shape)[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(question), pa.array(best_id[ok]), pa.array(best[ok])], names=["question_id", "id", "score"])
+
+    return placed.select("id", "embedding", "cell").mapInArrow(run, "question_id long, id long, score double")
+
+
 def topk_cells(questions: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, seed: int = 7) -> DataFrame:
-    """V3: approximate: vectors in k-means cells, each question scored exactly inside its nearest cells only."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """V3: question_id, id, score, raw_rank, scanned; exact top-k by k-means cells.
 
-    from corpusflow.functions.vectors import cosine
+    Each question is scored in its `probes` nearest cells first, then in all cells that the angles to their centres and
+    their radii don't exclude by the k-th score so far. scanned is the share of all vectors that the question was scored with.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
     as_doubles = F.transform("embedding", lambda x: x.cast("double"))
-    vs = vectors.select("id", as_doubles.alias("v")).withColumn("features", array_to_vector("v"))
-    qs = questions.select("question_id", as_doubles.alias("q"))
+    vs = vectors.select("id", "embedding", array_to_vector(as_doubles).alias("features"))
     model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(vs)
-    placed = model.transform(vs).select("id", "v", F.col("prediction").alias("cell"))
-    spark = vectors.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, c array<double>")
-    near = qs.crossJoin(F.broadcast(centres)).withColumn("near", cosine(F.col("q"), F.col("c")))  # questions x cells, a parameter
-    pick = W.partitionBy("question_id").orderBy(F.desc("near"), "cell")
-    probed = near.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= probes).select("question_id", "q", "cell")
-    scored = placed.join(probed, "cell").select("question_id", "id", F.round(cosine(F.col("q"), F.col("v")), 12).alias("score"))
+    placed = written(model.transform(vs).select("id", "embedding", F.col("prediction").alias("cell")), "cells-placed")
+    centres = np.array(model.clusterCenters(), dtype=np.float64)
+    centres /= np.sqrt((centres * centres).sum(axis=1))[:, None]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = batch.column(1).to_numpy(zero_copy_only=False)
+                cos = (unit_rows(batch.column(0), centres.shape[1]) * centres[cell]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["cell", "angle"])
+
+    sizes, radius = np.zeros(len(centres)), np.zeros(len(centres))
+    angles = placed.select("embedding", "cell").mapInArrow(spread, "cell int, angle double")
+    for r in angles.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a cell
+        sizes[r.cell], radius[r.cell] = r.n, r.angle
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
+    ranked = lambda hits: hits.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
+    spark, parts = vectors.sparkSession, []
+    rows = questions.select("question_id", "embedding").orderBy("question_id").toLocalIterator()
+    while k and (some := list(islice(rows, QUESTION_BLOCK))):
+        ids, block = [r.question_id for r in some], np.array([r.embedding for r in some], dtype=np.float64)
+        block /= np.sqrt((block * block).sum(axis=1))[:, None]
+        angle = np.arccos(np.clip(block @ centres.T, -1, 1))
+        first = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1) < probes
+        hits = written(ranked(cell_topk(block, ids, first, placed, k)).drop("raw_rank"), "cells-first")
+        worst = dict(hits.groupBy("question_id").agg(F.min("score"), F.count("*")).where(F.col("count(1)") == k).drop("count(1)").collect())
+        # no vector of a cell is nearer than the angle to its centre less its radius; the slack is for rounding
+        bound = np.cos(np.clip(angle - radius - 1e-6, 0, np.pi))
+        rest = ~first & (bound >= np.array([worst.get(i, -1.0) for i in ids])[:, None] - 1e-9)
+        scanned = (first | rest) @ sizes / max(1.0, sizes.sum())
+        shares = spark.createDataFrame([(i, float(x)) for i, x in zip(ids, scanned)], "question_id long, scanned double")
+        both = hits.unionByName(cell_topk(block, ids, rest, placed, k)) if rest.any() else hits
+        parts.append(ranked(both).join(F.broadcast(shares), "question_id").select("question_id", "id", "score", "raw_rank", "scanned"))
+    empty = spark.createDataFrame([], "question_id long, id long, score double, raw_rank int, scanned double")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -157,10 +157,11 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: recall of the cells against exact search."""
+    """V3: recall of the cells against exact search, and the share of the vectors that they were scored with."""
     q, v = questions(spark, sf_dir), vectors(spark, sf_dir)
-    near = search.topk_cells(q, v, 11, cells=22, probes=8).where("id != question_id")
-    return search.recall(near, raw_hits(spark, sf_dir, 10))
+    found = search.topk_cells(q, v, 11, cells=22, probes=8)
+    shares = found.where("raw_rank = 1").select("question_id", "scanned")
+    return search.recall(found.where("id != question_id"), raw_hits(spark, sf_dir, 10)).join(shares, "question_id", "left")
 
 
 @query(f"""WITH {HITS_SQL},
