@@ -2,14 +2,17 @@
 
 The index is a table of postings (term, doc_id, pos) of every word of the corpus that any benchmark item has, and a row
 without a term for each document with its number of words. A window of ten item words can occur in a document only where its
-rarest terms stand at the window's distances. So the postings of each window's two rarest terms (by the whole corpus's
-counts) are shifted by their offset in the item, and what is left after intersecting them are alignments: a document, an
-item and the distance between their positions. At each alignment the item's words are laid beside the document's; runs
+rarest terms stand at the window's distances. So the postings of each window's rarest terms (by the whole corpus's counts)
+are shifted by their offset in the item, and what is left after intersecting them are alignments: a document, an item and
+the distance between their positions. Exact matches need the two rarest. A proximity match may lack any words, of ten as
+many as NEAR allows: so many more terms are taken, of which any two must stand in place. At each alignment the item's words are laid beside the document's; runs
 of ten equal words are exact phrase matches, and windows with at least eight of ten are proximity matches.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,15 +52,35 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.where(F.startswith("word", F.lit(" ")) | F.col("term").isNotNull()).select("row", "term", F.col("pos").cast("int").alias("pos"))
 
 
-def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """For each window of each item its two rarest terms: item, start, need, term, at (the term's place in the item)."""
+def anchors(items: DataFrame, counts: DataFrame, near: bool = True) -> DataFrame:
+    """For each window of each item its rarest terms: item, start, need, term, at (the term's place in the item).
+
+    Two terms, and with near one more for each word of the window that a proximity match may lack.
+    """
     placed = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    # a term that no document has can't be part of a match: its count is 0 and it is the rarest
+    # a term that no document has can't be part of an exact match: its count is 0 and it is the rarest
     placed = placed.withColumn("term", F.xxhash64("word")).join(counts, "term", "left").fillna(0, ["df"])
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - (WINDOW - 1)), F.greatest(F.lit(0), F.least(F.col("at"), F.col("n") - WINDOW)))
     windows = placed.withColumn("start", F.explode(starts)).withColumn("need", F.least(F.lit(2), F.col("n")))
     order = W.partitionBy("item", "start").orderBy("df", "at")
-    return windows.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("item", "start", "need", "term", "at")
+    size = F.least(F.col("n"), F.lit(WINDOW))
+    lacking = F.floor(size * (WINDOW - NEAR) / WINDOW) if near else F.lit(0)
+    return windows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 + lacking).select("item", "start", "need", "term", "at")
+
+
+def near_alignments(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    """row, item, shift where two anchors less than a window apart stand in place: all alignments(), and a few more.
+
+    An anchor counts once for all windows that it is of. Its place is a bit of a word that goes round: places that share a
+    bit are 64 apart, so never in one window.
+    """
+    places = anchored.groupBy("item", "term", "at").agg(F.max("need").alias("need"))
+    bit = F.expr("shiftleft(1L, at % 64)")
+    hits = index.join(hint(places), "term").select("row", "item", "need", (F.col("pos") - F.col("at")).alias("shift"), bit.alias("bit"))
+    held = hits.groupBy("row", "item", "shift").agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need"))
+    turned = lambda d: F.shiftleft("bits", d).bitwiseOR(F.shiftrightunsigned("bits", 64 - d))
+    close = reduce(Column.bitwiseOR, [F.col("bits").bitwiseAND(turned(d)) for d in range(1, WINDOW)])
+    return held.where((F.col("need") == 1) | (close != 0)).select("row", "item", "shift")
 
 
 def alignments(index: DataFrame, anchored: DataFrame) -> DataFrame:
@@ -84,20 +107,22 @@ def compared(found: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.dropDuplicates(["row", "item_id", "shift", "size", "full"])  # repeated rows of docs
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, hit_items, hit_spans for each row of docs.
 
     docs(doc_id, text), items(item_id, text); other columns are ignored. Null texts have no words and hit nothing, as do
     items without words; items of fewer than ten words are one window. Repeated rows of docs are judged each by itself;
     items that share an identifier count once in n_items and items_sha256; a null item_id counts as the text "null".
-    An empty benchmark hits nothing, an empty corpus gives no rows. hit_spans are (start, end) in words.
+    An empty benchmark hits nothing, an empty corpus gives no rows. hit_spans are (start, end) in words. n_near counts the
+    proximity matches: windows of an item, at a place of the document, with eight of ten words in place but not all. Without
+    near, which spares their search, n_near is null.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     items = written(item_words(items.select("item_id", "text")), "bench-items")
     terms = items.select(F.explode("words").alias("word")).distinct()
     index = written(postings(docs, terms.withColumn("term", F.xxhash64("word"))), "bench-postings")
     counts = index.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    found = written(alignments(index, written(anchors(items, counts), "bench-anchors")), "bench-alignments")
+    found = written((near_alignments if near else alignments)(index, written(anchors(items, counts, near), "bench-anchors")), "bench-alignments")
     pairs = compared(found, items, docs)
     span = F.transform("full", lambda i: F.struct((i + F.col("shift")).alias("start"), (i + F.col("shift") + F.col("size")).alias("end")))
     per_item = pairs.select("row", F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), span.alias("spans"), "near")
@@ -113,10 +138,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     ends = F.arrays_zip(F.array_sort(F.array_except("at", after)).alias("start"), F.array_sort(F.array_except(after, "at")).alias("end"))
     hits = hits.select("row", "ids", "near", F.size("at").alias("n_hit"), ends.alias("hit_spans"))
     total = index.where("term is null").groupBy("row").agg(F.max("pos").alias("n_words"))
-    return docs.select("doc_id", "row").join(total, "row", "left").join(hits, "row", "left").select(*digest_columns())
+    return docs.select("doc_id", "row").join(total, "row", "left").join(hits, "row", "left").select(*digest_columns(near))
 
 
-def digest_columns() -> list[Column]:
+def digest_columns(near: bool) -> list[Column]:
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return [
@@ -126,7 +151,7 @@ def digest_columns() -> list[Column]:
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.coalesce(F.col("near"), F.lit(0)).cast("long").alias("n_near"),
+        (F.coalesce(F.col("near"), F.lit(0)) if near else F.lit(None)).cast("long").alias("n_near"),
         ids.alias("hit_items"),
         F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),
     ]

@@ -51,10 +51,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The exact matches only, as in the SQL."""
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
     return hits.drop("hit_items", "hit_spans", "n_near")
 
 
+def op8_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of proximity matches."""
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.drop("hit_items", "hit_spans")
+
+
 def line_digests(out: DataFrame) -> DataFrame:
     kept = F.coalesce("kept_text", F.lit(""))
     return out.select(
