@@ -4,7 +4,7 @@ A page is a sequence of tokens: words and tags. Words score positive, tags negat
 pages: pages that mark their own content with one `article` or `main` element label every token of theirs as inside or
 outside. A word's weight depends on the kind of element that it stands in, a tag's on its name; the weight is the smoothed
 log odds of being inside. One linear scan finds the contiguous run with the largest sum. Elements that are never content
-(scripts, styles, forms, menus, and those whose class or id names an advert, notice or comment) are taken out first: they
+(scripts, styles, forms, menus, and those whose class or id as a whole names an advert, notice or comment) are taken out first: they
 neither add to a sum nor take from it, and end a block. What is left of the region is joined by blocks.
 """
 
@@ -38,6 +38,17 @@ HINTS = (
     "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "widget", "toolbar",
     "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "search",
 )
+#: Hints that name boilerplate wherever they stand; inside an article or main only these count.
+PLAIN = (
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "sidebar", "navbar", "breadcrumb",
+    "breadcrumbs", "comments", "commentlist", "disqus", "cookie", "cookies", "gdpr", "popup", "newsletter", "pagination", "pager",
+)
+#: Words beside a hint that say nothing about what an element holds. With any other word a name is not boilerplate as a whole.
+FRAME = (
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "container", "content", "div", "fixed", "form", "global", "group",
+    "inline", "inner", "item", "items", "left", "links", "list", "main", "mobile", "module", "outer", "overlay", "panel", "primary", "right",
+    "row", "secondary", "section", "site", "slot", "sticky", "thread", "top", "unit", "wrap", "wrapper",
+)
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog")
 CONTENT = ("article", "main")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -66,17 +77,21 @@ SPACES = re.compile(r"[\t\n\f\r ]+")
 
 
 def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never holds content. inside: it stands within an article, where a header may hold the title."""
+    """Whether an element never holds content.
+
+    inside: it stands within an article, where a header may hold the title and only PLAIN hints count. A class or id counts if
+    all its words are hints, frame words or numbers, with a hint among them; on headings none does.
+    """
     if name in BOILERPLATE:
         return not (inside and name == "header")
     for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values).lower(), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in CONTENT and name not in ("body", "html"):
+        if key in ("class", "id") and name not in (*CONTENT, *HEADINGS, "body", "html"):
             for one in value.split():
-                parts = NAMES.findall(one)
-                if parts and (parts[0] in HINTS or parts[-1] in HINTS):
+                parts = [x for x in NAMES.findall(one) if x not in FRAME and not x.isdigit()]
+                if parts and all(x in HINTS for x in parts) and (not inside or any(x in PLAIN for x in parts)):
                     return True
     return False
 

@@ -63,3 +63,17 @@ def test_html_unclosed_boilerplate_ends_where_html_ends_it():
     assert text("<article><p>A</p><aside><p>side</aside><p>B</p></article>") == "A\n\nB"
     seen = html_extract.counted("<body><p class=ad>Buy<p>out</p><article><p>in words here</article></body>")
     assert seen["word p", True] == 3 and seen["word p", False] == 1
+
+
+def test_html_everyday_names_keep_their_content():
+    text = lambda page: html_extract.extract(page, {})
+    for tag in (
+        "h2 id=search", 'h2 class="section-header"', "section id=legal-history", "p class=related", 'div class="share-price-table"', 'div class="entry-header"',
+        "div class=notice", 'div class="cookie-recipes"', 'div class="has-sidebar"', "h2 class=ad",
+    ):
+        assert text(f"<article><p>One</p><{tag}>Two</{tag.split()[0]}><p>Three</p></article>") == "One\n\nTwo\n\nThree", tag
+    for tag in ("div class=ad", 'div class="ad-slot-3"', "div id=comments", 'div class="sidebar-left"', 'div class="x newsletter-signup"', 'div class="cookie-notice"'):
+        assert text(f"<article><p>One</p><{tag}>Two</div><p>Three</p></article>") == "One\n\nThree", tag
+    for tag in ("div class=notice", 'div class="site-header"', "div id=search", 'div class="share-buttons"', 'div class="related-links"'):
+        assert text(f"<body><{tag}>Two</div><article><p>One</p></article></body>") == "One", tag
+    assert text('<body><div class="has-sidebar"><div class="entry-header"><h1 class=header>One</h1></div><p>Two</p></div></body>') == "One\n\nTwo"
