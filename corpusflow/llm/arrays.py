@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are laid out at a time; a longer text is laid out alone.
 CHUNK = 1 << 20
@@ -14,6 +15,8 @@ _RANDOM = np.random.default_rng(20240229)
 BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a word up to which a polynomial hashes it; modulo a power of two, long words can be made to clash.
+LONG_WORD = 24
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,3 +96,12 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(cut):  # two texts meet without white space between them
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: Powers) -> np.ndarray:
+    """A hash of each word data[start:end]: its polynomial, of long words xxh3."""
+    length = ends - starts
+    out = mixed(span_hashes(prefix_sums(data, power), starts, ends, power) + length.astype(np.uint64) * np.uint64(BASE))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out

@@ -2,16 +2,17 @@
 
 Sets fall into bands by size, each a quarter wider than the one before, so that similar sets are in one band or in
 neighbouring ones; instance i of the join serves bands i and i + 1. Similar sets of an instance differ in at most k
-features. The feature domain is cut into k + 1 + e partitions by ranges of the features' hashes. Two similar sets agree
-in all features of at least 1 + e partitions. Each set ranks its partitions by content alone and signs all but the e
-lowest: the highest-ranking partition in which two sets agree is signed by both (were it among the e lowest of one of
-them, so were all the others in which they agree, and those are more than e). So e leaves room to skip partitions that
-say little, empty ones and those of passages that very many documents share, without losing a pair.
+features. The feature domain is cut into more than k partitions by ranges of the features' hashes; each partition in
+which two sets agree is a signature that they share. All signatures are counted, so that it is known how many sets have
+each. A set signs its k + 1 rarest partitions: as at most k of a set's partitions differ from those of a similar one, the
+rarest partition in which the two agree is among the k + 1 rarest of both. Partitions that no other set has take up places
+without making candidates; a set with k + 1 of them has no partner at all.
 
 Sets that share a signature make a bucket. A bucket isn't expanded into pairs: its pivot, the member of the most buckets,
-is compared with the others. Members that are neither linked to it nor in its component can only be linked to another
-member if both differ from the pivot in the same features, so they are joined on those, with prefix filtering, instead of
-being compared with the whole group.
+is compared with the others, and members in one component need no further look. Members of buckets that still hold several
+components are joined by prefix filtering on their features, the rarest first, where only pairs of different components
+count. Before features are compared, a parity sketch bounds the number in which two sets differ from below. All bounds
+are exact: no linked pair is lost, and every link rests on the features themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,20 +33,11 @@ from corpusflow.session import dropped, written
 N = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Partitions that may be skipped, as a share of k + 1.
-SPARE = 0.35
-#: A feature that so many distinct sets have says little. The counts come from buffers of COUNTED features each; features
-#: that stand less than SEEN times in a buffer aren't added. They only rank partitions: any counts give the same links.
-COMMON, COUNTED, SEEN = 64, 1 << 21, 3
-#: Common features kept for ranking, the most frequent ones; bits of the table that they are looked up in.
-MOST_COMMON, TABLE_BITS = 1_000_000, 24
-#: Sets that share an element in which they differ from a pivot, up to which they are compared with each other.
-CROWD = 64
-#: Members of a bucket, up to which those that may be linked are compared with each other at once.
-FEW = 12
-#: Buckets up to this size are recognised as equal by their members.
-SMALL_BUCKET = 1024
-#: Rows of identifiers up to which they are broadcast.
+#: Partitions for each feature in which similar sets may differ, and the least number of them.
+PARTS, FEWEST_PARTS = 2, 16
+#: Copies of a set sign once within so many sets of a task; further copies are folded after the shuffle.
+REMEMBERED = 1 << 20
+#: Rows of identifiers up to which they are broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 
 MULTIPLIERS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(N)]
@@ -61,19 +53,21 @@ def bands(longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def differing(last: int) -> int:
-    """The most features that similar sets of an instance whose lower band ends at `last` differ in.
+def differing(a, b):
+    """The most features that similar sets of sizes a and b differ in: intersection >= (a + b) * PERCENT / (100 + PERCENT)."""
+    return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
-    Of sizes a <= b <= a * 100 / PERCENT; intersection >= (a + b) * PERCENT / (100 + PERCENT).
-    """
-    return (last + last * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
+
+def largest(size):
+    """The largest size that a set similar to one of `size` may have."""
+    return size * 100 // PERCENT
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, power: arrays.Powers) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles, sorted by text and hash."""
+    data = arrays.TO_LOWER[data]
     starts, ends, text = arrays.words(data, bounds)
-    sums = arrays.prefix_sums(arrays.TO_LOWER[data], power)
-    word = arrays.mixed(arrays.span_hashes(sums, starts, ends, power) + (ends - starts).astype(np.uint64) * SALT)
+    word = arrays.word_hashes(data, starts, ends, power)
     n = np.bincount(text, minlength=len(bounds) - 1)
     h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(word) >= N:
@@ -106,299 +100,281 @@ def sums_by(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return total[ends] - total[ends - np.bincount(of, minlength=n)]
 
 
-def set_ids(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """An identifier of each set that depends on its features alone; of sets without features 0."""
+def set_ids(of: np.ndarray, h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """An identifier of each set that depends on its features and the salt alone; of sets without features 0."""
     size = np.bincount(of, minlength=n)
-    return np.where(size > 0, arrays.mixed(sums_by(of, arrays.mixed(h ^ SALT), n) + size.astype(np.uint64)), np.uint64(0))
+    own = sums_by(of, arrays.mixed(h ^ (SALT ^ np.uint64(salt))), n)
+    return np.where(size > 0, arrays.mixed(own + size.astype(np.uint64)), np.uint64(0))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, row, node (the set's identifier), n. kind 1: node is a feature and n how often a buffer had it."""
-    names = ["kind", "doc_id", "row", "node", "n"]
+def partitions(of: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For both instances that each of n sets takes part in: instance, need (how many partitions it signs), parts, base, cell.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, held, seen = arrays.Powers(), [], set()
+    The partitions of set i are base[i] ... base[i] + parts[i] - 1, cell is the partition of each feature. A set that can
+    only be similar to equal ones has no partitions.
+    """
+    size = np.bincount(of, minlength=n)
+    last = np.array([b for _, b in bands(int(size.max(initial=1)) + 1)])
+    band = np.searchsorted(last, size)
+    for instance, other in ((band - 1, size), (band, largest(size))):  # with sets of at most its own size, and larger ones
+        k = differing(size, other)
+        use = (instance >= 0) & (size > 0) & (k > 0)
+        most = last[np.maximum(instance, 0)]
+        parts = np.where(use, np.maximum(PARTS * (differing(most, largest(most)) + 1), FEWEST_PARTS), 0)
+        base = np.cumsum(parts) - parts
+        cell = base[of] + ((h >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        yield instance, np.where(use, k + 1, 0), parts, base, cell
+
+
+def signed(of: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For both instances of n sets: (text, signature) of their partitions, and how many each needs to sign.
+
+    The two lowest bits of a signature are the lowest one of the instance's number and whether the partition is empty. Empty
+    partitions come last in the order of partitions. They are left out unless a set has too few others; sets that agree in
+    empty partitions only both have too few others.
+    """
+    size = np.bincount(of, minlength=n)
+    content = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h + SALT), dtype=np.uint64)])
+    for instance, need, parts, base, cell in partitions(of, h, n):
+        use = parts[of] > 0
+        count = np.bincount(cell[use], minlength=int(parts.sum()))
+        text = np.repeat(np.arange(n), parts)
+        filled = np.bincount(text, count > 0, minlength=n).astype(np.int64)
+        told = np.flatnonzero((count > 0) | (filled < need)[text])
+        text = text[told]
+        # the features of a text lie in the order of their partitions
+        before = np.cumsum(count) - count
+        skipped = (np.cumsum(size) - size)[text] - before[base[text]]
+        begin = before[told] + skipped
+        where = (instance[text] << 32 | (told - base[text])).astype(np.uint64)
+        sig = arrays.mixed(content[begin + count[told]] - content[begin] + arrays.mixed(where + SALT))
+        slot = (instance[text] & 1) + 2 * (count[told] == 0)
+        yield text, sig & ~np.uint64(3) | slot.astype(np.uint64), need
+
+
+PROFILE = "doc_id long, row long, node long, check long, n long, spare array<long>"
+
+
+def profiles(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, row, node (the set's identifier), check (another one), n, spare for each row of docs.
 
-        def common() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            found, n = found[n >= SEEN], n[n >= SEEN]
-            none = pa.nulls(len(n), pa.int64())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), none, none, pa.array(found.view(np.int64)), pa.array(n)], names=names)
+    spare: how many of its partitions a set needn't sign, by the two lowest bits of their signatures.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = arrays.Powers()
         for batch in batches:
             for first, data, bounds in arrays.chunks(batch.column(2)):
                 count = len(bounds) - 1
                 of, h = shingles(data, bounds, power)
-                node, n = set_ids(of, h, count), np.bincount(of, minlength=count)
+                spare = np.zeros((count, 4), np.int64)
+                for instance, need, parts, base, cell in partitions(of, h, count):
+                    use = parts[of] > 0
+                    filled = np.bincount(np.repeat(np.arange(count), parts), np.bincount(cell[use], minlength=int(parts.sum())) > 0, count).astype(np.int64)
+                    spare[np.arange(count), instance & 1] = filled - need
+                    spare[np.arange(count), (instance & 1) + 2] = parts - need
+                ids = [set_ids(of, h, count, salt).view(np.int64), set_ids(of, h, count, salt + 1).view(np.int64), np.bincount(of, minlength=count)]
                 own = batch.slice(first, count)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(count, np.int8)), own.column(0), own.column(1), pa.array(node.view(np.int64)), pa.array(n)], names=names)
-                fresh = np.zeros(count, bool)  # copies of a set count once
-                for i, x in enumerate(node.tolist()):
-                    if x not in seen:
-                        fresh[i] = True
-                        seen.add(x)
-                held.append(h[fresh[of]])
-                if sum(map(len, held)) >= COUNTED:
-                    yield common()
-                    seen.clear()
-        yield common()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * count + 1, 4, dtype=np.int32)), pa.array(spare.ravel()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *map(pa.array, ids), lists], names=["doc_id", "row", "node", "check", "n", "spare"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "kind byte, doc_id long, row long, node long, n long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, PROFILE)
 
 
-def common_features(profile: DataFrame) -> np.ndarray:
-    """A table of bits: whether a feature may be a common one. At most MOST_COMMON features come to the driver."""
-    total = profile.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    top = total.orderBy(F.desc("n"), "node").limit(MOST_COMMON).select("node").toArrow().column(0).to_numpy()
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[(top.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return np.packbits(table)
+def identified(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written profiles and the salt with which no two different sets share an identifier."""
+    salt = 0
+    while True:
+        profile = written(profiles(docs, salt), "ngram-profiles")
+        if profile.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").isEmpty():
+            return profile, salt
+        dropped(profile)
+        salt += 2
 
 
-def signed(of: np.ndarray, h: np.ndarray, n: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of the partitions that each of n sets signs, for both of the instances that it takes part in."""
-    size = np.bincount(of, minlength=n)
-    limits = bands(int(size.max(initial=1)) + 1)
-    last = np.array([b for _, b in limits])
-    band = np.searchsorted(last, size)
-    light = ~common[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    content = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h + SALT), dtype=np.uint64)])
-    k_of = np.array([differing(b) for b in last])
-    out = []
-    for instance in (band - 1, band):
-        k = np.where((instance >= 0) & (size > 0), k_of[np.maximum(instance, 0)], 0)
-        k1 = np.where(k > 0, k + 1, 0)  # where no feature may differ, similar sets are equal and need no signature
-        spare = np.ceil(k1 * SPARE).astype(np.int64)
-        parts = k1 + spare
-        base = np.cumsum(parts) - parts
-        cell = base[of] + ((h >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        use = parts[of] > 0
-        total = int(parts.sum())
-        count = np.bincount(cell[use], minlength=total)
-        rare = np.bincount(cell[use], light[use], minlength=total).astype(np.int64)
-        text = np.repeat(np.arange(n), parts)
-        # the features of a text lie in the order of their partitions
-        begin = (np.cumsum(size) - size)[text] + np.cumsum(count) - count - (np.cumsum(count) - count)[base[text]]
-        part = np.arange(total) - base[text]
-        where = (instance[text] << 32 | part).astype(np.uint64)
-        sig = arrays.mixed(content[begin + count] - content[begin] + arrays.mixed(where + SALT))
-        rank = np.minimum(rare, 255).astype(np.uint64) << np.uint64(56) | np.minimum(count, 255).astype(np.uint64) << np.uint64(48) | sig >> np.uint64(16)
-        order = np.argsort(rank)
-        order = order[np.argsort(text[order].astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")]
-        kept = order[part >= spare[text]]  # position within the text, by rank: the lowest `spare` are skipped
-        out.append((text[kept], sig[kept]))
-    return np.concatenate([t for t, _ in out]), np.concatenate([s for _, s in out])
-
-
-def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(sig, node); of copies within a task only the first signs."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def signatures(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """(key, node): the signatures of all partitions of all sets; of copies within a task only the first counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, seen, table = arrays.Powers(), set(), np.unpackbits(shared.value).view(bool)
+        power, seen = arrays.Powers(), set()
         for batch in batches:
             for _, data, bounds in arrays.chunks(batch.column(0)):
                 count = len(bounds) - 1
                 of, h = shingles(data, bounds, power)
-                node = set_ids(of, h, count)
+                node = set_ids(of, h, count, salt)
                 fresh = np.zeros(count, bool)
                 for i, x in enumerate(node.tolist()):
                     if x not in seen:
                         fresh[i] = True
                         seen.add(x)
-                if len(seen) > COUNTED:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 use = fresh[of]
-                text, sig = signed(of[use], h[use], count, table)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[text].view(np.int64))], names=["sig", "node"])
+                for text, sig, _ in signed(of[use], h[use], count):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[text].view(np.int64))], names=["key", "node"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
-    """(bucket, node) of signatures with several sets. Small buckets with the same members have the same name."""
+def shared(rows: DataFrame) -> DataFrame:
+    """The distinct rows(key, node) whose key several nodes have. Tasks stream over sorted rows and hold one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = node = np.zeros(0, np.int64)
-        last = (0, 0)
-        large = None  # the signature of a bucket of which rows have been sent on already
-
-        def emit(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]) - 1
-            size = np.bincount(run)
-            on = np.full(len(sig), False) if large is None else sig == large
-            many = (size[run] > 1) | on
-            name = arrays.mixed(sums_by(run, arrays.mixed(node.view(np.uint64)), len(size)) + size.astype(np.uint64)).view(np.int64)
-            names = np.where((size[run] <= SMALL_BUCKET) & ~on, name[run], sig)
-            names, node = names[many], node[many]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(node)], names=["bucket", "node"])
-
+        before: tuple[int, int] | None = None  # the last row, and whether it is the first of its key and not sent on yet
+        lone = False
         for batch in batches:
-            s, n = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(s):
+            key, node = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(key):
                 continue
-            new = np.ones(len(s), bool)  # copies from several tasks
-            new[1:] = (s[1:] != s[:-1]) | (n[1:] != n[:-1])
-            new[0] = last != (s[0], n[0])
-            last = (s[-1], n[-1])
-            sig, node = np.concatenate([sig, s[new]]), np.concatenate([node, n[new]])
-            if not len(sig):
+            past = before or (~key[0], 0)
+            old_key, old_node = (np.concatenate([[p], v[:-1]]) for p, v in zip(past, (key, node)))
+            new = (key != old_key) | (node != old_node)
+            first = (key != old_key)[new]
+            key, node = key[new], node[new]
+            if not len(key):
                 continue
-            cut = int(np.searchsorted(sig, sig[-1]))  # the last bucket may go on
-            if cut:
-                yield emit(sig[:cut], node[:cut])
-                large = None if large != sig[-1] else large
-                sig, node = sig[cut:], node[cut:]
-            if len(sig) > SMALL_BUCKET:
-                large = sig[-1]
-                yield emit(sig, node)
-                sig, node = sig[:0], node[:0]
-        if len(sig):
-            yield emit(sig, node)
+            if lone and not first[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in before], names=["key", "node"])
+            kept = ~first
+            kept[:-1] |= ~first[1:]
+            before, lone = (int(key[-1]), int(node[-1])), bool(first[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
+def ranked(rows: DataFrame, *group: str) -> DataFrame:
+    """rows(key, node, ...) with pos, the place of the key among those of the node (and group), the rarest first, and held, how many it has."""
+    each = W.partitionBy("node", *group)
+    many = rows.groupBy("key").agg(F.count("*").alias("many"))
+    return rows.join(many, "key").select(*rows.columns, F.row_number().over(each.orderBy("many", "key")).alias("pos"), F.count("*").over(each).alias("held"))
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "bucket long, node long").distinct()
 
+def buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, node) of shared signatures(key, node) that several sets sign; nodes(node, spare)."""
+    own = ranked(rows.withColumn("slot", F.col("key").bitwiseAND(3).cast("int")), "slot").join(nodes, "node")
+    own = written(own.where(F.col("pos") <= F.col("held") - F.get("spare", "slot")).select(F.col("key").alias("bucket"), "node"), "ngram-signed")
+    several = own.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    bucket = written(own.join(several, "bucket"), "ngram-buckets")
+    dropped(own)
+    return bucket
 
-def feature_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, features of each node of nodes(node, row), from the document that stands for it."""
+
+def feature_sets(docs: DataFrame, nodes: DataFrame, salt: int = 0) -> DataFrame:
+    """node, n, sketch, features of each node of nodes(node, row), from the document that stands for it.
+
+    sketch: the parities of the numbers of features in 64 * len(sketch) >= 2 * n cells; sketches of two lengths are compared
+    by folding the longer one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = arrays.Powers()
         for batch in batches:
             for first, data, bounds in arrays.chunks(batch.column(1)):
+                count = len(bounds) - 1
                 of, h = shingles(data, bounds, power)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(bounds) - 1))]).astype(np.int32)
+                n = np.bincount(of, minlength=count)
+                same = set_ids(of, h, count, salt).view(np.int64) == batch.column(0).slice(first, count).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                long = 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(long)])
+                cell = (at[of] + ((h >> np.uint64(6)).astype(np.int64) & (long[of] - 1))) * 64 + (h & np.uint64(63)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=int(at[-1]) * 64) & 1).astype(np.uint8)
+                words = np.packbits(odd, bitorder="little").view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bounds) - 1), lists], names=["node", "features"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), pa.array(n), sketch, lists], names=["node", "n", "sketch", "features"])
+                yield out.filter(pa.array(same))
 
     few = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
-    return docs.join(few, "row").select("node", "text").mapInArrow(run, "node long, features array<long>").dropDuplicates(["node"])
+    rows = docs.join(few, "row").select("node", "text").mapInArrow(run, "node long, n long, sketch array<long>, features array<long>")
+    return rows.dropDuplicates(["node"])
 
 
-def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, nu, nv (sizes), same (size of the intersection), linked for edges(u, v)."""
-    left = sets.select(F.col("node").alias("u"), F.col("features").alias("fu"))
-    right = sets.select(F.col("node").alias("v"), F.col("features").alias("fv"))
-    both = edges.join(left, "u").join(right, "v")
-    sized = both.select("u", "v", F.size("fu").alias("nu"), F.size("fv").alias("nv"), F.size(F.array_intersect("fu", "fv")).alias("same"))
-    return sized.withColumn("linked", 100 * F.col("same") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("same")))
+def may_link(nu: Column, nv: Column, same: Column) -> Column:
+    """Whether sets of these sizes may be linked if at most `same` features are in both."""
+    return same * (100 + PERCENT) >= PERCENT * (nu + nv)
 
 
-def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
-    """roots(node, root) with the links of new(u, v, linked) taken in."""
-    links = new.where("linked").select("u", "v")
-    if roots is not None:
-        if links.isEmpty():
-            return roots
-        links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    return written(components(links), "ngram-roots")
+def differ(a: Column, b: Column) -> Column:
+    """A lower bound of the number of features in which two sets differ, from their sketches."""
+    half = lambda s: F.zip_with(F.slice(s, 1, F.size(s) / 2), F.slice(s, F.size(s) / 2 + 1, F.size(s) / 2), lambda x, y: x.bitwiseXOR(y))
+    bits = lambda s, t: F.aggregate(F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) > F.size(b), bits(half(a), b)).otherwise(bits(a, half(b)))
 
 
-def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
-    """rows with the root of a node as another column; a node without links is its own."""
-    own = roots.select(F.col("node").alias(node), F.col("root").alias(name))
-    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+def linked(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct edges(u, v) of linked sets: by sizes and sketches first, then by the features themselves."""
+    side = lambda x, *cols: sets.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in cols))
+    both = edges.select("u", "v").distinct().join(side("u", "n", "sketch"), "u").join(side("v", "n", "sketch"), "v")
+    sizes = may_link(F.col("nu"), F.col("nv"), F.least("nu", "nv"))
+    near = both.where(sizes).where((F.col("nu") + F.col("nv") - differ(F.col("sketchu"), F.col("sketchv"))) * (100 + PERCENT) >= 2 * PERCENT * (F.col("nu") + F.col("nv")))
+    near = written(near.select("u", "v", "nu", "nv"), "ngram-near")
+    whole = near.join(side("u", "features"), "u").join(side("v", "features"), "v")
+    same = F.size(F.array_intersect("featuresu", "featuresv"))
+    found = written(whole.where(may_link(F.col("nu"), F.col("nv"), same)).select("u", "v"), "ngram-links")
+    dropped(near)
+    return found
 
 
 def spokes(bucket: DataFrame) -> DataFrame:
-    """bucket, u, v, members: in each bucket its pivot u, the member of the most buckets, with each other member v."""
+    """u, v: in each bucket its pivot u, the member of the most buckets, with each other member v."""
     degree = bucket.groupBy("node").agg(F.count("*").alias("degree"))
-    pivot = bucket.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p"), F.count("*").alias("members"))
-    return bucket.join(pivot.select("bucket", F.col("p.node").alias("u"), "members"), "bucket").where("node != u").select("bucket", "u", F.col("node").alias("v"), "members")
+    pivot = bucket.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p"))
+    return bucket.join(pivot.select("bucket", F.col("p.node").alias("u")), "bucket").where("node != u").select("u", F.col("node").alias("v"))
 
 
-def unresolved(star: DataFrame) -> DataFrame:
-    """c, node, root, apart, size, n, gap and bounds of clusters with members in different components.
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their node; a node without links is its own."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    star is compared edges with root and c_root. n is the number of features in which node and c differ, gap is n less
-    the part that a link of the node may differ in on its own account.
-    """
-    rows = star.select(
-        F.col("u").alias("c"), F.col("v").alias("node"), "root", (F.col("root") != F.col("c_root")).alias("apart"), F.col("nv").alias("size"),
-        (F.col("nu") + F.col("nv") - 2 * F.col("same")).alias("n"),
-    )
-    rows = rows.withColumn("gap", F.col("n") - F.col("size") * ((100 - PERCENT) / (100 + PERCENT)))
-    far = rows.groupBy("c").agg(
-        F.min(F.when(F.col("apart"), F.col("gap"))).alias("least_apart"), F.min("gap").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")
-    )
-    return written(rows.join(far.where("least_apart is not null and r0 != r1").drop("r0", "r1"), "c"), "ngram-clusters")
-
-
-def few_pairs(spoke: DataFrame, star: DataFrame) -> DataFrame:
-    """(u, v) of the members of small buckets in different components that the distances to their pivot let be linked."""
-    distance = (1 - F.col("same") / (F.col("nu") + F.col("nv") - F.col("same"))).alias("distance")
-    own = spoke.where(F.col("members").between(3, FEW)).join(star.select("u", "v", "root", F.col("nv").alias("size"), distance), ["u", "v"])
-    own = own.select("bucket", F.col("v").alias("node"), "root", "size", "distance")
-    a, b = own.alias("a"), own.alias("b")
-    near = F.abs(F.col("a.distance") - F.col("b.distance")) <= 1 - PERCENT / 100 + 1e-9
-    sizes = (F.col("a.size") * 100 >= F.col("b.size") * PERCENT) & (F.col("b.size") * 100 >= F.col("a.size") * PERCENT)
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near & sizes
-    return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-
-
-def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of unresolved() with pos, element, common: in which features members differ from their pivot c.
-
-    pos orders a member's features, the rarer in the cluster first.
-    """
-    own = sets.select("node", F.col("features").alias("f"))
-    centre = sets.select(F.col("node").alias("c"), F.col("features").alias("g"))
-    each = rows.join(centre, "c").join(own, "node")
-    element = F.explode(F.concat(F.array_except("f", "g"), F.array_except("g", "f"))).alias("element")
-    each = written(each.select("c", "node", "root", "apart", "size", "n", "gap", "least", "least_apart", element), "ngram-differences")
-    common = each.groupBy("c", "element").agg(F.count("*").alias("common"))
-    order = W.partitionBy("c", "node").orderBy("common", "element")
-    return each.join(common, ["c", "element"]).withColumn("pos", F.row_number().over(order))
-
-
-def shared_differences(each: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs(u, v), buckets(bucket, node)): what members of a cluster in different components may still be linked.
-
-    With E the features in which a set differs from the pivot, two sets x and y differ in |Ex| + |Ey| - 2 |Ex and Ey|. For
-    y that the pivot isn't linked to, a link of x and y therefore needs at least t >= 1 common elements of Ex and Ey, and
-    one of them among the first |E| - t + 1 of both. Members apart from the pivot's component take part with a long prefix
-    against members of it, and with a short one among themselves; elements that many of those share make new buckets.
+
+def unresolved(bucket: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root of the members of buckets that hold several components."""
+    own = rooted(bucket, roots)
+    several = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    return own.join(several, "bucket").select("node", "root").distinct()
+
+
+def prefix_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: the pairs of different components among open_nodes(node, root) that prefix filtering lets be linked.
+
+    With all features in one order, two sets that are linked share one of the first n - s + 1 of each, if s is the least
+    that they then share; s >= PERCENT / 100 * n. The first feature that both have also tells how many more they can share.
+    In each feature's list the pairs within its most frequent component, as a rule almost all, are left out.
     """
-    most = F.col("n") - F.floor(F.col("size") / 4)  # as the other set differs in no fewer features than both share
-    need = lambda other: F.greatest(F.lit(1), most, F.ceil((F.col("gap") + other) / 2 - 1e-9))
-    rows = each.withColumn("short", F.col("pos") <= F.col("n") - need(F.col("least_apart")) + 1)
-    long = F.col("pos") <= F.col("n") - need(F.col("least")) + 1
-    rows = rows.where((F.col("common") > 1) & (F.col("short") | (F.col("apart") & long)))
-    crowd = rows.groupBy("c", "element").agg(F.count_if(F.col("apart")).alias("outside"), F.count_if(F.col("apart") & F.col("short")).alias("crowd"), F.count("*").alias("all"))
-    crowd = crowd.where((F.col("all") > 1) & (F.col("outside") > 0) & ((F.col("all") > F.col("outside")) | (F.col("crowd") > 1)))
-    rows = written(rows.join(crowd.drop("all", "outside"), ["c", "element"]).select("c", "element", "crowd", "node", "root", "apart", "n", "gap", "pos", "short"), "ngram-prefixes")
-    a, b = rows.where("apart").alias("a"), rows.alias("b")
-    t = F.greatest(F.lit(1), F.ceil((F.col("a.gap") + F.col("b.gap")) / 2 - 1e-9))
-    roles = ~F.col("b.apart") | (F.col("a.short") & F.col("b.short") & (F.col("a.node") < F.col("b.node")) & (F.col("a.crowd") <= CROWD))
-    near = (F.col("a.pos") <= F.col("a.n") - t + 1) & (F.col("b.pos") <= F.col("b.n") - t + 1)
-    on = (F.col("a.c") == F.col("b.c")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.root") != F.col("b.root")) & roles & near
+    own = written(sets.join(open_nodes, "node").select("node", "root", "n", "features"), "ngram-open")
+    each = written(shared(own.select(F.explode("features").alias("key"), "node")), "ngram-features")
+    rest = F.col("n") - F.col("held") + F.col("pos")  # features that no other set has come first
+    first = ranked(each).join(own.select("node", "root", "n"), "node").withColumn("pos", rest)
+    first = first.where(may_link(F.col("n"), F.ceil(F.col("n") * PERCENT / 100), F.col("n") - F.col("pos") + 1))
+    first = written(first.select("key", "node", "root", "n", "pos"), "ngram-prefixes")
+    by_root = first.groupBy("key", "root").agg(F.count("*").alias("many"))
+    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    open_rows = written(first.join(main.select("key", "main"), "key"), "ngram-postings")
+    a, b = open_rows.where("root != main").alias("a"), open_rows.alias("b")
+    more = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) + 1
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & may_link(F.col("a.n"), F.col("b.n"), more)
     pairs = a.join(b, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    crowded = rows.where((F.col("crowd") > CROWD) & F.col("apart") & F.col("short"))
-    return pairs, crowded.select(F.xxhash64("c", "element").alias("bucket"), "node").distinct()
+    pairs = written(pairs, "ngram-pairs")
+    dropped(own, each, first, open_rows)
+    return pairs
 
 
 def linked_components(bucket: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, root for all nodes that have a link.
-
-    Each level compares a pivot of each bucket with the others, then the pairs that may be linked beside it. What is left
-    is a bucket of elements that very many sets share in which they differ from a pivot; the pivots are no longer in it.
-    """
-    roots = None
-    while True:
-        spoke = written(spokes(bucket), "ngram-spokes")
-        star = written(compared(spoke.select("u", "v").distinct(), sets), "ngram-stars")
-        roots = merged(roots, star)
-        both = rooted(rooted(star, roots, "u", "c_root"), roots, "v", "root")
-        large = spoke.where(F.col("members") > FEW).select("u", "v").distinct()
-        pairs, crowded = shared_differences(differences(unresolved(both.join(large, ["u", "v"], "left_semi")), sets))
-        new = written(compared(pairs.unionByName(few_pairs(spoke, both)).distinct(), sets), "ngram-pairs")
-        roots = merged(roots, new)
-        left = rooted(written(crowded, "ngram-crowded"), roots, "node", "root")
-        spans = left.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        bucket = written(left.join(spans, "bucket").select("bucket", "node"), "ngram-buckets")
-        if bucket.isEmpty():
-            return roots
+    """node, root for all nodes that have a link."""
+    star = linked(spokes(bucket), sets)
+    roots = written(components(star), "ngram-roots")
+    open_nodes = written(unresolved(bucket, roots), "ngram-unresolved")
+    pairs = prefix_pairs(open_nodes, sets)
+    more = linked(pairs, sets)
+    if not more.isEmpty():
+        before = roots
+        roots = written(components(more.unionByName(before.select(F.col("node").alias("u"), F.col("root").alias("v")))), "ngram-roots")
+        dropped(before)
+    dropped(star, open_nodes, pairs, more)
+    return roots
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -411,15 +387,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    profile = written(profiles(rows), "ngram-profiles")
-    bucket = written(buckets(signatures(rows, common_features(profile))), "ngram-buckets")
-    own = profile.where("kind = 0 and n > 0")
-    stand_in = own.groupBy("node").agg(F.min("row").alias("row"))
-    sets = written(feature_sets(rows, written(stand_in.join(bucket.select("node").distinct(), "node", "left_semi"), "ngram-nodes")), "ngram-sets")
+    profile, salt = identified(rows)
+    own = profile.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("spare").alias("spare"))
+    signs = written(shared(signatures(rows, salt)), "ngram-signatures")
+    bucket = buckets(signs, own.select("node", "spare"))
+    nodes = written(own.select("node", "row").join(bucket.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    sets = written(feature_sets(rows, nodes, salt), "ngram-sets")
     roots = linked_components(bucket, sets)
-    dropped(sets)
-    named = profile.where("kind = 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    lowest = written(lowest, "ngram-names")
+    dropped(signs, bucket, nodes, sets)
+    named = rooted(profile, roots)
+    lowest = written(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-names")
     joined = named.join(lowest, "root", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -134,10 +134,9 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == brute.cut_repeats(rows)
 
 
-@pytest.mark.parametrize("crowd", [0, 64])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    r = random.Random(3 + crowd)
+@pytest.mark.parametrize("seed", [3, 67])
+def test_ngram_join_equals_brute_force(spark, seed):
+    r = random.Random(seed)
     words = ["".join(r.choice("abcdeéF") for _ in range(r.randint(1, 6))) for _ in range(400)]
     bases = [[r.choice(words) for _ in range(r.choice([3, 5, 8, 9, 12, 20, 40, 80, 200]))] for _ in range(25)]
     licence = [r.choice(words) for _ in range(40)]
@@ -158,21 +157,58 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, crowd):
 
 
 def test_signatures_meet_at_the_threshold():
-    """Sets that differ as much as they may always share a signature, whatever features count as common."""
+    """Sets that differ as much as they may always sign a common partition, however many sets have each."""
     r = np.random.default_rng(5)
     for size in (4, 5, 9, 17, 40, 111, 300):
         for _ in range(20):
             base = r.integers(0, 2**64, size, dtype=np.uint64)
             other = size + int(r.integers(0, size // 4 + 1))
             same = -(-80 * (size + other) // 180)
-            if same > size:
+            if same > size or same == size == other:
                 continue
             two = np.concatenate([base[:same], r.integers(0, 2**64, other - same, dtype=np.uint64)])
             of = np.repeat([0, 1], [size, other])
             h = np.concatenate([np.sort(base), np.sort(two)])
-            common = r.random(1 << ngram_join.TABLE_BITS) < r.choice([0, 0.5, 1])
-            text, sig = ngram_join.signed(of, h, 2, common)
-            assert same == size == other or set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
+            roles = list(ngram_join.signed(of, h, 2))
+            each = [[sig[text == k].tolist() for text, sig, _ in roles] for k in (0, 1)]
+            both = {x for e in each[0] for x in e} & {x for e in each[1] for x in e}
+            rank = {x: (x & 2, int(r.integers(2, 5)) if x in both else int(r.integers(1, 5)), x) for es in each for e in es for x in e}
+            own = [set(), set()]
+            for k, es in enumerate(each):
+                for e, (_, _, need) in zip(es, roles):
+                    full = [x for x in e if not x & 2]
+                    assert len(e) >= need[k] and (len(full) == len(e) or len(full) < need[k])
+                    own[k] |= set(sorted(e, key=rank.get)[: need[k]])
+            assert own[0] & own[1]
+
+
+def test_long_words_do_not_clash(spark):
+    """A word of Thue and Morse and its complement, which polynomials modulo a power of two can't tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    assert sorted(map(tuple, ngram_join.ngram_components(frame(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_sets_with_one_identifier_get_another_salt(spark, monkeypatch):
+    plain = ngram_join.profiles
+    monkeypatch.setattr(ngram_join, "profiles", lambda d, salt=0: plain(d, salt).withColumn("node", F.lit(7).cast("long") if salt == 0 else F.col("node")))
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "A b c d e f")]
+    assert sorted(map(tuple, ngram_join.ngram_components(frame(spark, rows)).collect())) == [(1, 2, 1), (2, 2, 2), (3, 2, 1)]
+
+
+def test_sketches_bound_the_difference(spark):
+    r = np.random.default_rng(9)
+    for n, m in ((40, 50), (60, 70), (300, 310), (1000, 1100)):
+        same = r.integers(0, 2**63, min(n, m) - 10)
+        sets = [np.concatenate([same, r.integers(0, 2**63, k - len(same))]) for k in (n, m)]
+        sketches = []
+        for s in sets:
+            length = 1 << int(np.ceil(np.log2(max(len(s) / 32, 1))))
+            odd = np.bincount((s >> 6 & length - 1) * 64 + (s & 63), minlength=64 * length) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist())
+        got = spark.createDataFrame([tuple(sketches)], "a array<long>, b array<long>").select(ngram_join.differ(F.col("a"), F.col("b"))).first()[0]
+        apart = len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+        assert apart * 0.6 <= got <= apart
 
 
 def test_components(spark):
