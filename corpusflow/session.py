@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
+#: Shuffle files go when the job that wrote them is done: its table is written, or its rows are with the driver.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The paths of the tables written in the innermost scratch().
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -47,34 +52,66 @@ def shipped(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and kept as the setting.
+    Only in local mode may that be unset: a temporary folder is made and kept as the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-corpusflow-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Sets CLEAN_UP for the session unless the session has set it itself. Within scratch() the table goes at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # the shuffle files of this job are of no use once its table is written
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
+    if spark.conf.get(CLEAN_UP, None) is None:
+        spark.conf.set(CLEAN_UP, "true")
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of tables made by written() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         files = df.inputFiles()
         if files:
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(df.sparkSession, [files[0].rsplit("/", 1)[0]])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are written within, once nothing reads them any more: their last reader belongs within too.
+
+    Operators return frames that read such tables when their rows are asked for. So write what comes of them, or collect it,
+    within; kept() holds a table back.
+    """
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        paths = _tables.get() or []
+        _tables.reset(token)
+        deleted(spark, paths)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, a table made by written(), which outlives the scratch() that it was written in."""
+    paths = _tables.get()
+    if paths:
+        own = df.inputFiles()
+        _tables.set([p for p in paths if not any(p.rsplit("/", 1)[1] in f for f in own)])
+    return df
