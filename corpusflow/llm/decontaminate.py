@@ -107,7 +107,7 @@ def compared(found: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.dropDuplicates(["row", "item_id", "shift", "size", "full"])  # repeated rows of docs
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, near: bool = True, row: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, hit_items, hit_spans for each row of docs.
 
     docs(doc_id, text), items(item_id, text); other columns are ignored. Null texts have no words and hit nothing, as do
@@ -115,9 +115,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, near: bool = True) -> DataF
     items that share an identifier count once in n_items and items_sha256; a null item_id counts as the text "null".
     An empty benchmark hits nothing, an empty corpus gives no rows. hit_spans are (start, end) in words. n_near counts the
     proximity matches: windows of an item, at a place of the document, with eight of ten words in place but not all. Without
-    near, which spares their search, n_near is null.
+    near, which spares their search, n_near is null. row names a column of docs that no two rows share, which then comes along.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    docs = docs.select("doc_id", "text", F.col(row).alias("row") if row else F.xxhash64("doc_id", "text").alias("row"))
     items = written(item_words(items.select("item_id", "text")), "bench-items")
     terms = items.select(F.explode("words").alias("word")).distinct()
     index = written(postings(docs, terms.withColumn("term", F.xxhash64("word"))), "bench-postings")
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, near: bool = True) -> DataF
     ends = F.arrays_zip(F.array_sort(F.array_except("at", after)).alias("start"), F.array_sort(F.array_except(after, "at")).alias("end"))
     hits = hits.select("row", "ids", "near", F.size("at").alias("n_hit"), ends.alias("hit_spans"))
     total = index.where("term is null").groupBy("row").agg(F.max("pos").alias("n_words"))
-    return docs.select("doc_id", "row").join(total, "row", "left").join(hits, "row", "left").select(*digest_columns(near))
+    return docs.select("doc_id", "row").join(total, "row", "left").join(hits, "row", "left").select(*digest_columns(near), *([F.col("row").alias(row)] if row else []))
 
 
 def digest_columns(near: bool) -> list[Column]:

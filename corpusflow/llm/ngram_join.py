@@ -377,16 +377,11 @@ def linked_components(bucket: DataFrame, sets: DataFrame) -> DataFrame:
     return roots
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs(doc_id, text, ...).
+def grouped(rows: DataFrame) -> DataFrame:
+    """doc_id, row, n (size of the set), root for each row of rows(doc_id, row, text): linked sets have one root.
 
-    Words are lower-cased (A-Z) runs of anything but white space; a set has the distinct shingles of N words, of a
-    shorter text the whole sequence. Texts without words, and null ones, have no shingle and no link: their component is
-    their own doc_id. Copies of a set are one node. Rows with a null doc_id take part, but a component is named by its
-    smallest identifier that isn't null (null if it has no other). Other columns are ignored; an empty table gives no
-    rows.
+    Texts without words have no links, but all have one root.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     profile, salt = identified(rows)
     own = profile.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("spare").alias("spare"))
     signs = written(shared(signatures(rows, salt)), "ngram-signatures")
@@ -395,7 +390,28 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sets = written(feature_sets(rows, nodes, salt), "ngram-sets")
     roots = linked_components(bucket, sets)
     dropped(signs, bucket, nodes, sets)
-    named = rooted(profile, roots)
+    return rooted(profile.select("doc_id", "row", "node", "n"), roots).drop("node")
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs(doc_id, text, ...).
+
+    Words are lower-cased (A-Z) runs of anything but white space; a set has the distinct shingles of N words, of a
+    shorter text the whole sequence. Texts without words, and null ones, have no shingle and no link: their component is
+    their own doc_id. Copies of a set are one node. Rows with a null doc_id take part, but a component is named by its
+    smallest identifier that isn't null (null if it has no other). Other columns are ignored; an empty table gives no
+    rows.
+    """
+    named = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text"))
     lowest = written(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-names")
     joined = named.join(lowest, "root", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """row of each of rows(doc_id, row, text) that has a link to a smaller doc_id of its component, or to the same one and a
+    smaller row. A null doc_id is the largest. Rows without words are never among them."""
+    named = grouped(rows).where("n > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = written(named.groupBy("root").agg(F.min(place)["row"].alias("first")), "ngram-first")
+    return named.join(first, "root").where("row != first").select("row")

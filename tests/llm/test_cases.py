@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from corpusflow.llm import (
     arrays, chat_format, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup,
 )
 from corpusflow.llm.components import components
+from corpusflow.session import dropped, kept, scratch, written
 from tests.llm import brute
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -255,6 +257,58 @@ def test_plans_hold_every_piece():
         assert sum(k for _, k in plan) <= (h * np.arange(2049)).sum() / 2048 * 1.15 + 1
 
 
-def test_without_drops_by_identifier(spark):
-    df = frame(spark, [(1, "a"), (2, "b"), (None, "c")])
-    assert sorted(r.text for r in corpus_pipeline.without(df, df.where("doc_id = 1")).collect()) == ["b", "c"]
+def test_without_drops_by_row(spark):
+    rows = corpus_pipeline.numbered(frame(spark, [(1, "a"), (2, "b"), (2, "b"), (None, "c")]))
+    one = rows.where("doc.doc_id = 2").orderBy("row").limit(1).select("row")
+    out = corpus_pipeline.without(rows, one)
+    assert sorted(r.text for r in out.collect()) == ["a", "b", "c"] and out.columns == ["doc_id", "text", *CLASH]
+
+
+LINE = " ".join(f"v{i}" for i in range(60))
+PASSAGE = "one two three four five six seven eight nine ten"
+#: Nulls, repeated rows, rows that share a doc_id, ties, near copies without a doc_id, empty and long texts.
+STAGE_ROWS = [
+    (None, LONG), (None, LONG), (1, None), (2, ""), (3, LONG), (3, LONG), (4, "other words here in a text of its own"), (4, "x " + PASSAGE), (5, PASSAGE),
+    (5, "clean text that nothing else is like at all"), (None, PASSAGE.upper()), (6, f"{LINE}\nfirst"), (7, f"{LINE}\nsecond"), (8, " "), (9, "a b"), (9, "A B"),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name, tmp_path):
+    """Values for nulls, ties, repeated rows, clashing columns and empty tables, for each stage."""
+    spark.createDataFrame([(1, PASSAGE), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (99, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = frame(spark, STAGE_ROWS)
+    out = stage(spark, docs, str(tmp_path))
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=key) if name != "best_fit_packing" else out.collect()
+    want = sorted(STAGE_ROWS, key=key)
+    if name == "quality_classifier":  # all labels say 1
+        assert got == want
+    if name == "line_dedup":
+        long_copies = [(i, "" if t == LONG else t) for i, t in STAGE_ROWS]
+        cut = [(i, "second") if i == 7 else (i, t) for i, t in long_copies]
+        first = [(None, LONG), (None, LONG)]  # a null doc_id counts as 0, and equal rows are one document
+        assert got == sorted(first + [r for r in cut if r[0] is not None or r[1]], key=key)
+    if name == "ngram_jaccard_join":
+        order = sorted(STAGE_ROWS, key=lambda r: (r[0] is None, r[0] or 0))
+        first = {c for _, _, c in brute.components([(k, t) for k, (_, t) in enumerate(order)])}
+        low = lambda rows: sorted(((i, t and t.lower()) for i, t in rows), key=key)  # noqa: E731  which of two equal rows stays is open
+        assert low(got) == low(r for k, r in enumerate(order) if k in first) and len(got) < len(want)
+    if name == "benchmark_decontamination":
+        assert got == [w for w in want if PASSAGE not in (w[1] or "").lower()]
+    if name == "best_fit_packing":
+        assert {r.doc_id for r in got} == {i for i, _ in STAGE_ROWS} and sum(r.start == 0 for r in got) == len(STAGE_ROWS)
+        assert sum(r.length for r in got if r.doc_id == 2) == 1 and sum(r.length for r in got if r.doc_id == 1) == 1
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with scratch(spark):
+        lost = written(spark.range(3).toDF("x"), "scratch-lost")
+        safe = kept(written(lost, "scratch-kept"))
+        paths = [f.inputFiles()[0][len("file://"):] for f in (lost, safe)]
+    assert safe.count() == 3 and [Path(p).exists() for p in paths] == [False, True]
+    dropped(safe)
+    assert not Path(paths[1]).exists()
