@@ -82,9 +82,9 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, F.lower(suffix(path)))
 
 
-def chunk_label(path: Column, parent: Column, symbol: Column, kind: Column, part: Column, part_count: Column) -> Column:
-    """`path · Parent.symbol (part i/n)`; the kind where there is no symbol."""
-    qualified = qualified_name(parent, symbol)
+def chunk_label(path: Column, parent: Column, symbol: Column, kind: Column, part: Column, part_count: Column, label: Column | None = None) -> Column:
+    """`path · Parent.symbol (part i/n)`; the kind where there is no symbol. A label stands in place of the name."""
+    qualified = qualified_name(parent, symbol) if label is None else F.coalesce(label, qualified_name(parent, symbol))
     note = F.when(part.isNotNull() & (part_count > 0), F.format_string(" (part %d/%d)", part + 1, part_count)).otherwise("")
     return F.concat(path, F.lit(" · "), F.when(qualified == "", kind).otherwise(qualified), note)
 

@@ -20,8 +20,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """V1: unit length, in doubles."""
-    return F.transform(v, lambda x: x.cast("double") / norm(v))
+    """V1: unit length, in doubles. The length is worked out once a vector: it stands beside the values in a fold's end."""
+    zero = F.struct(F.lit(0.0).alias("squares"), v.alias("own"))
+    add = lambda s, x: F.struct((s["squares"] + x.cast("double") * x.cast("double")).alias("squares"), s["own"].alias("own"))
+
+    def scaled(s: Column) -> Column:
+        lengths = F.array_repeat(F.sqrt(s["squares"]), F.size(s["own"]))
+        return F.zip_with(s["own"], lengths, lambda x, n: x.cast("double") / n)
+
+    return F.aggregate(v, zero, add, scaled)
 
 
 def vector_faults(v: Column, dim: int) -> Column:
@@ -38,8 +45,11 @@ def vector_faults(v: Column, dim: int) -> Column:
 
 
 def hash_vector(text: Column, dim: int) -> Column:
-    """Bytes of sha256("block:text") for blocks 0, 1, ..., each byte / 127.5 - 1, then unit length."""
+    """Bytes of sha256("block:text") for blocks 0, 1, ..., each byte / 127.5 - 1.
+
+    A text is hashed once for each block of 32 values: the digests are the rows of an array, and its values their bytes.
+    """
     blocks = -(-dim // 32)
-    hexed = F.concat(*(F.sha2(F.concat(F.lit(f"{k}:"), text), 256) for k in range(blocks)))
-    number = lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: number(i) / 127.5 - 1)
+    digests = F.array(*(F.sha2(F.concat(F.lit(f"{k}:"), text), 256) for k in range(blocks)))
+    number = lambda h, i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("double") / 127.5 - 1
+    return F.slice(F.flatten(F.transform(digests, lambda h: F.array(*(number(h, i) for i in range(32))))), 1, dim)

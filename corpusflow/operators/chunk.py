@@ -17,6 +17,7 @@ MAX_TOKENS, OVERLAP_TOKENS, MERGE_TOKENS = 800, 50, 125
 MAX_CHARS, OVERLAP_CHARS = MAX_TOKENS * 3, OVERLAP_TOKENS * 3
 
 MARKDOWN, CONFIG, RST = (".md", ".markdown"), (".json", ".yaml", ".yml"), (".rst",)
+# The signs of Markdown, and the kinds of chunks that may merge.
 HEADING = r"^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 SETEXT = r"^ {0,3}(=+|-+)[ \t]*$"
@@ -193,34 +194,47 @@ def statement_groups(lines: list[str], starts: list[int], cap: int) -> list[tupl
     return [*out, (open_at, len(lines) - 1, None)] if open_at < len(lines) else out
 
 
-PART = pa.schema([("doc", pa.string()), ("part", pa.int32()), ("part_count", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("synthetic", pa.bool_())])
+PART = pa.schema([
+    ("doc", pa.string()), ("part", pa.int32()), ("part_count", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("synthetic", pa.bool_()),
+    ("context", pa.string()),
+])
+PART_DDL = "doc string, part int, part_count int, start_line int, end_line int, text string, synthetic boolean, context string"
 
 
 def split_oversized(chunks: DataFrame) -> DataFrame:
-    """Doc, part, part_count (null: not split), start_line, end_line, text, synthetic for chunks(doc string,
-    start_line, text, starts array<int> or null, prefix string or null).
+    """Doc, part, part_count (null: not split), start_line, end_line, text, synthetic, context.
 
-    A prefix is repeated before each part and shrinks the cap by its size, to a quarter at most.
+    chunks(doc string, start_line, text), and if there are such columns starts (array<int>, the first lines of statements within
+    the text), prefix, signature and whole_end. A prefix is repeated before each part and shrinks the cap by its size, to a
+    quarter at most. The signature is the context of each part but the first. A chunk with a whole_end is a built summary: its
+    parts all have its line range.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, first, text, starts, prefix in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, first, text, starts, prefix, signature, whole_end in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = (text or "").split("\n")
                 cap = max(MAX_TOKENS - len(prefix + "\n") // 3, MAX_TOKENS // 4) if prefix else MAX_TOKENS
                 groups = statement_groups(lines, starts or [], cap) if len(text or "") // 3 > MAX_TOKENS or prefix else [(0, len(lines) - 1, None)]
+                built = whole_end is not None
                 if len(groups) == 1 and groups[0][2] is None and not prefix:
-                    rows.append((doc, None, None, first, first + len(lines) - 1, text, False))
+                    rows.append((doc, None, None, first, whole_end if built else first + len(lines) - 1, text, built, None))
                     continue
                 head = prefix + "\n" if prefix else ""
                 for n, (a, b, own) in enumerate(groups):
                     body = "\n".join(lines[a : b + 1]) if own is None else own
-                    rows.append((doc, n, len(groups), first + a, first + b, head + body, own is not None))
+                    place = (first, whole_end) if built else (first + a, first + b)
+                    rows.append((doc, n, len(groups), *place, head + body, built or own is not None, signature if n else None))
             yield pa.RecordBatch.from_pylist([dict(zip(PART.names, r)) for r in rows], schema=PART)
 
-    own = chunks.select(F.col("doc").cast("string"), "start_line", "text", F.col("starts") if "starts" in chunks.columns else F.lit(None).cast("array<int>"), F.col("prefix") if "prefix" in chunks.columns else F.lit(None).cast("string"))
-    return own.mapInArrow(run, "doc string, part int, part_count int, start_line int, end_line int, text string, synthetic boolean")
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in chunks.columns else F.lit(None).cast(kind).alias(name)
+
+    own = chunks.select(
+        F.col("doc").cast("string"), "start_line", "text", given("starts", "array<int>"), given("prefix", "string"), given("signature", "string"), given("whole_end", "int")
+    )
+    return own.mapInArrow(run, PART_DDL)
 
 
 def group_small(chunks: DataFrame) -> DataFrame:
@@ -249,16 +263,44 @@ def group_small(chunks: DataFrame) -> DataFrame:
     return lists.select("doc", "parent", F.explode(groups).alias("members"))
 
 
+def group_chunks(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """Doc, parent, kind (group, or that of a single chunk), id_key, names, label, start_line, end_line, text, members.
+
+    groups of group_small(), lines(doc, line_no, line). A group is keyed by its first member's id, labelled by the names of all
+    members, and its text is all lines from its first member to its last.
+    """
+    first, last, many = F.get("members", F.lit(0)), F.element_at("members", -1), F.size("members") > 1
+    names = F.flatten(F.transform("members", lambda m: F.coalesce(m["names"], F.array().cast("array<string>"))))
+    rows = groups.select(
+        "doc", "parent", F.when(many, "group").otherwise(first["kind"]).alias("kind"), first["id"].alias("id_key"), names.alias("names"), first["kind"].alias("first_kind"),
+        first["start_line"].alias("start_line"), last["end_line"].alias("end_line"), F.size("members").alias("members"), F.when(~many, first["text"]).alias("own"),
+    )
+    rows = rows.withColumn("label", F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(F.col("first_kind")))
+    wanted = rows.where("members > 1").select("doc", "id_key", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    texts = wanted.join(lines, ["doc", "line_no"]).groupBy("doc", "id_key").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    joined = rows.join(texts, ["doc", "id_key"], "left")
+    text = F.coalesce("own", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text")
+    return joined.select("doc", "parent", "kind", "id_key", "names", "label", "start_line", "end_line", text, "members")
+
+
 def assign_identity(chunks: DataFrame) -> DataFrame:
-    """Ordinal, id, embed_text, content_hash, tokens for chunks(rel_path, kind, parent, symbol, part,
-    part_count, start_line, text)."""
-    same = W.partitionBy("rel_path", "kind", "parent", "symbol").orderBy("start_line")
+    """Ordinal, id, names, embed_text, content_hash, tokens for chunks(rel_path, kind, parent, symbol, part,
+    part_count, start_line, text), and context, names, label and id_key where there are such columns.
+
+    Chunks that share path, kind, parent and symbol are numbered by line; the parts of one chunk share its number. Whole chunks
+    that start on one line go by their text. Names are the symbol unless given; a context stands between label and text.
+    """
+    given = lambda name, kind: F.col(name) if name in chunks.columns else F.lit(None).cast(kind)
+    same = W.partitionBy("rel_path", "kind", "parent", "symbol").orderBy("start_line", F.coalesce("part", F.lit(0)), "text")
     # the parts of one chunk share its ordinal
     rows = chunks.withColumn("ordinal", F.sum(F.when(F.coalesce("part", F.lit(0)) == 0, 1).otherwise(0)).over(same.rowsBetween(W.unboundedPreceding, 0)) - 1)
     number = F.concat(F.col("ordinal").cast("string"), F.when(F.col("part").isNull(), "").otherwise(F.concat(F.lit("."), F.col("part").cast("string"))))
-    key = F.concat_ws("::", "rel_path", tx.qualified_name(F.col("parent"), F.col("symbol")), "kind", number)
-    label = tx.chunk_label(F.col("rel_path"), F.col("parent"), F.col("symbol"), F.col("kind"), F.col("part"), F.col("part_count"))
-    rows = rows.withColumn("id", tx.short_sha1(key)).withColumn("embed_text", F.concat(label, F.lit("\n"), F.col("text")))
+    qualified = F.coalesce(given("id_key", "string"), tx.qualified_name(F.col("parent"), F.col("symbol")))
+    key = F.concat_ws("::", "rel_path", qualified, "kind", number)
+    label = tx.chunk_label(F.col("rel_path"), F.col("parent"), F.col("symbol"), F.col("kind"), F.col("part"), F.col("part_count"), given("label", "string"))
+    context = F.coalesce(F.concat(given("context", "string"), F.lit("\n")), F.lit(""))
+    names = F.coalesce(given("names", "array<string>"), F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("id", tx.short_sha1(key)).withColumn("names", names).withColumn("embed_text", F.concat(label, F.lit("\n"), context, F.col("text")))
     return rows.withColumn("content_hash", tx.short_sha1(F.col("embed_text"))).withColumn("tokens", tx.estimate_tokens(F.col("text")))
 
 
@@ -288,9 +330,14 @@ def demote_crowded(units: DataFrame) -> DataFrame:
 
 
 def attach_comments(units: DataFrame, most: int = 30) -> DataFrame:
-    """Units with `from_row`: where the comment block starts that stands right above, without a blank line."""
-    order = W.partitionBy("doc").orderBy("start_row")
-    rows = units.withColumn("c", F.col("category") == "comment")
+    """Units with `from_row`: where the comment block starts that stands right above, without a blank line.
+
+    A comment that trails another unit on its line isn't leading, and ends the block below it; a block of more than `most` rows
+    isn't attached.
+    """
+    order = W.partitionBy("doc").orderBy("start_row", "end_row")
+    trails = F.coalesce(F.lag("end_row").over(order) == F.col("start_row"), F.lit(False))
+    rows = units.withColumn("c", (F.col("category") == "comment") & ~trails)
     joined = F.col("c") & F.lag("c").over(order) & (F.lag("end_row").over(order) + 1 == F.col("start_row"))
     rows = rows.withColumn("island", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     blocks = rows.where("c").groupBy("doc", "island").agg(F.min("start_row").alias("from_row"), F.max("end_row").alias("to_row"))
@@ -300,15 +347,40 @@ def attach_comments(units: DataFrame, most: int = 30) -> DataFrame:
 
 
 def overview_rows(members: DataFrame) -> DataFrame:
-    """Doc, container, text: the header line of each container, then its members' signatures in order."""
-    lines = members.groupBy("doc", "container").agg(F.min("header").alias("header"), F.sort_array(F.collect_list(F.struct("start_row", "signature"))).alias("ms"))
-    return lines.select("doc", "container", F.concat_ws("\n", "header", F.array_join(F.transform("ms", lambda m: m["signature"]), "\n")).alias("text"))
+    """Doc, container, part, part_count, start_line, end_line, text, synthetic of a summary of each container.
+
+    members(doc, container, header, start_line, end_line (of the container), at (order of a member), entry, is_member). The
+    header line, then all other statements, then the members' signatures, each indented. A summary over the cap is cut between
+    its entries, and every part starts with the header. A container without entries has one row with a null entry.
+    """
+    item = F.struct("is_member", "at", "entry")
+    lists = members.groupBy("doc", "container").agg(
+        F.min("header").alias("header"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"),
+        F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), item))).alias("ms"),
+    )
+    entries = F.transform("ms", lambda m: F.concat(F.lit("    "), m["entry"]))
+    rows = lists.withColumn("entries", entries).withColumn("body", F.array_join("entries", "\n"))
+    whole = F.concat(F.col("header"), F.when(F.size("entries") > 0, F.concat(F.lit("\n"), F.col("body"))).otherwise(""))
+    rows = rows.withColumn("whole", whole).withColumn("cut", (tx.estimate_tokens(whole) > MAX_TOKENS) & (F.size("entries") > 0))
+    # the rows at which the entries start within the body
+    heights = F.transform("entries", lambda e: F.size(F.split(e, "\n")))
+    starts = F.transform("entries", lambda _, i: F.aggregate(F.slice(heights, 1, i), F.lit(0), lambda a, n: a + n))
+    name = F.to_json(F.struct("doc", "container")).alias("doc")
+    parts = split_oversized(
+        rows.select(
+            name, "start_line", F.when(F.col("cut"), F.col("body")).otherwise(F.col("whole")).alias("text"), F.when(F.col("cut"), starts).alias("starts"),
+            F.when(F.col("cut"), F.col("header")).alias("prefix"), F.col("end_line").alias("whole_end"),
+        )
+    )
+    kinds = ", ".join(f"{c} {dict(members.dtypes)[c]}" for c in ("doc", "container"))
+    key = F.from_json("doc", kinds)
+    return parts.select(key["doc"].alias("doc"), key["container"].alias("container"), "part", "part_count", "start_line", "end_line", "text", "synthetic")
 
 
 def parse_failures(docs: DataFrame) -> DataFrame:
-    """Documents flagged by their parser as plain windows: kind text_fallback, parse_error."""
-    plain = plain_chunks(docs.where("parse_error"), "text_fallback")
-    return plain.withColumn("parse_error", F.lit(True))
+    """Documents flagged by their parser as plain text, cut by lines where it is over the cap: kind text_fallback."""
+    plain = plain_chunks(docs.where("parse_error").withColumn("doc", F.col("doc").cast("string")), "text_fallback")
+    return split_oversized(plain).withColumns({"kind": F.lit("text_fallback"), "parse_error": F.lit(True)})
 
 
 def coverage_check(chunks: DataFrame, lines: DataFrame) -> DataFrame:

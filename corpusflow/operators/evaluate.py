@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusflow.operators.budget import fit_to_budget, squeeze_budget
+
 # Rules that were set before the runs.
 TIE, SWITCH_MIN, SWITCH_BUDGET = 2, 3, 4000
 FLOOR_GAP, FLOOR_STEP = 0.05, 0.01
 GATE_SHARE, GATE_MISSES = 0.85, 3
+HOLDOUT_LOSS = 3
+SPEEDUP, FULL_SECONDS = 2, 120
+#: The rank of a miss where ranks are compared.
+MISS = 1 << 30
 
 
 def validate_questions(questions: DataFrame, repos: DataFrame) -> DataFrame:
@@ -116,6 +121,21 @@ def first_of_passage(entries: DataFrame, k: int = 10) -> DataFrame:
     return rows
 
 
+def simulate_context(entries: DataFrame, budget: int, rule: str = "prefix", k: int = 10) -> DataFrame:
+    """question_id, found: whether a kept passage answers, of entries(question_id, pos, passage_key, cost, good).
+
+    Passages are the distinct keys among the first k entries; one answers if any of those entries does. prefix: the first that
+    doesn't fit ends the list; squeeze: it is skipped. The first passage always stays.
+    """
+    if rule not in ("prefix", "squeeze"):
+        raise ValueError(f"unknown budget rule {rule!r}")
+    own = first_of_passage(entries, k)
+    kept = (fit_to_budget(own, budget) if rule == "prefix" else squeeze_budget(own, budget)).select("question_id", "rank", "kept")
+    good = entries.where(F.col("pos") <= k).groupBy("question_id", "passage_key").agg(F.max("good").alias("good"))
+    both = own.join(kept, ["question_id", "rank"]).join(good, ["question_id", "passage_key"])
+    return both.groupBy("question_id").agg(F.max(F.col("kept") & F.col("good")).alias("found"))
+
+
 def agreement(simulated: DataFrame, recorded: DataFrame) -> DataFrame:
     """Questions, agree of two (question_id, found) tables."""
     both = simulated.select("question_id", F.col("found").alias("a")).join(recorded.select("question_id", F.col("found").alias("b")), "question_id")
@@ -216,6 +236,22 @@ def rank_grid(stages: DataFrame, names: list[str]) -> DataFrame:
     return stages.withColumn("cell", cell).groupBy("question_id").pivot("stage", names).agg(F.first("cell"))
 
 
+def holdout_verdict(off: DataFrame, on: DataFrame, final: bool) -> DataFrame:
+    """Gain (of holdout answers in the first three, on less off), tests_lower, verdict (bad, ok) of two
+    (question_id, split, kind, rank) tables, with demotion off and on. Refused unless the run is final.
+
+    bad: three answers fewer, or a question about tests that ranks lower.
+    """
+    if not final:
+        raise ValueError("the holdout is for final runs only")
+    a = off.where("split = 'holdout'").select("question_id", "kind", F.coalesce("rank", F.lit(MISS)).alias("r0"))
+    rows = a.join(on.select("question_id", F.coalesce("rank", F.lit(MISS)).alias("r1")), "question_id")
+    out = rows.agg(
+        (F.count_if(F.col("r1") <= 3) - F.count_if(F.col("r0") <= 3)).alias("gain"), F.count_if((F.col("kind") == "tests") & (F.col("r1") > F.col("r0"))).alias("tests_lower")
+    )
+    return out.withColumn("verdict", F.when((F.col("gain") <= -HOLDOUT_LOSS) | (F.col("tests_lower") > 0), "bad").otherwise("ok"))
+
+
 def timing_summary(timings: DataFrame) -> DataFrame:
     """Repo, queries, median_ms, max_ms, rest_ms (median of the total less the known stages, not below 0)."""
     known = F.aggregate(F.map_values(F.map_filter("stages", lambda k, v: k != "total")), F.lit(0.0), lambda a, v: a + v)
@@ -223,3 +259,10 @@ def timing_summary(timings: DataFrame) -> DataFrame:
     return timings.groupBy("repo").agg(F.count("*").alias("queries"), F.percentile("total_ms", 0.5).alias("median_ms"), F.max("total_ms").alias("max_ms"), F.percentile(rest, 0.5).alias("rest_ms"))
 
 
+def batching_decision(runs: DataFrame, total_chunks: int) -> DataFrame:
+    """per_file, cross_file (medians in ms a chunk), speedup, seconds (of a full index, per file), decision (build, skip) of
+    runs(mode, seconds, chunks). Built only if it is SPEEDUP times as fast and a full index takes more than FULL_SECONDS."""
+    ms = F.col("seconds") * 1000 / F.col("chunks")
+    out = runs.agg(*(F.percentile(F.when(F.col("mode") == m, ms), 0.5).alias(m) for m in ("per_file", "cross_file")))
+    out = out.withColumn("speedup", F.col("per_file") / F.col("cross_file")).withColumn("seconds", F.col("per_file") * total_chunks / 1000)
+    return out.withColumn("decision", F.when((F.col("speedup") >= SPEEDUP) & (F.col("seconds") > FULL_SECONDS), "build").otherwise("skip"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.operators.budget import PASSAGE_OVERHEAD
+from corpusflow.operators import search
+from corpusflow.operators.budget import PASSAGE_OVERHEAD, fit_to_budget
 
 # Limits and wordings of the context text.
 MAX_FILES, MAX_NAMES, MAX_REASON = 20, 8, 100
@@ -119,42 +118,56 @@ def stale_lists(fresh: DataFrame) -> DataFrame:
     return fresh.groupBy("question_id").agg(pick("stale").alias("stale"), pick("deleted").alias("deleted"))
 
 
+#: Tokens kept back for the notes that go with a passage.
+NOTES_TOKENS = 250
+
+
 def ceiling_tokens(budget: int) -> int:
     """What a passage may cost before it is narrowed."""
-    return 2 * budget - 250
+    return max(1, 2 * budget - NOTES_TOKENS)
 
 
-def chosen_parts(costs: dict[int, int], scores: dict[int, float], target: int) -> list[int]:
-    """Hit parts by score while they fit (the first always), then the neighbours of each while there is room."""
-    hits = sorted((n for n in scores if n in costs), key=lambda n: -scores[n]) or [sorted(costs)[len(costs) // 2]]
-    taken, room = [hits[0]], target - PASSAGE_OVERHEAD - costs[hits[0]]
-    for n in hits[1:]:
-        if costs[n] > room:
-            break
-        taken.append(n)
-        room -= costs[n]
-    for n in [m for c in taken for m in (c - 1, c + 1)]:
-        if n in costs and n not in taken and costs[n] <= room:
-            taken.append(n)
-            room -= costs[n]
-    return sorted(taken)
+def narrow_target(budget: int) -> int:
+    """What a narrowed passage may cost."""
+    return max(1, budget - NOTES_TOKENS)
 
 
 def narrow(parts: DataFrame, hits: DataFrame, target: int) -> DataFrame:
     """question_id, pid, part of the parts shown of passages that are too long.
 
-    parts(pid, part, text) of those passages only, hits(question_id, pid, part_scores). The choice is greedy within one
-    passage, so each passage is one group.
+    parts(pid, part, text) of those passages only, hits(question_id, pid, part_scores). Hit parts by score, the earlier of equal
+    ones first, while they fit (the first always; none hit: the middle part), then the neighbours of each while there is room.
+    The choice depends on what was taken before, so it is a fold over a passage's own parts, inside Catalyst.
     """
-    rows = hits.join(parts, "pid").select("question_id", "pid", "part", (tx.estimate_tokens(F.col("text")) + 1).alias("cost"), F.try_element_at("part_scores", F.col("part")).alias("score"))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        costs = dict(zip(group["part"].tolist(), group["cost"].tolist()))
-        scores = {p: s for p, s in zip(group["part"].tolist(), group["score"].tolist()) if s == s and s is not None}
-        shown = chosen_parts(costs, scores, target)
-        return group.iloc[:1][["question_id", "pid"]].merge(pd.DataFrame({"part": shown}), how="cross")
+    rows = hits.join(parts, "pid").select("question_id", "pid", "part", (tx.estimate_tokens(F.col("text")) + 1).cast("long").alias("cost"), F.try_element_at("part_scores", F.col("part")).alias("score"))
+    lists = rows.groupBy("question_id", "pid").agg(
+        F.sort_array(F.collect_list(F.struct("part", "cost"))).alias("all"),
+        F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("minus"), "part", "cost")))).alias("hit"),
+    )
+    middle = F.get("all", F.floor(F.size("all") / 2).cast("int"))
+    order = F.when(F.size("hit") > 0, F.transform("hit", lambda h: F.struct(h["part"].alias("part"), h["cost"].alias("cost")))).otherwise(F.array(middle))
+    rest = F.slice("order", 2, F.size("order"))
+    none = F.slice(F.transform("order", lambda o: o["part"]), 1, 1)
+    room = (F.lit(target - PASSAGE_OVERHEAD) - F.get("order", F.lit(0))["cost"]).cast("long")
+    start = F.struct(room.alias("room"), none.alias("taken"), F.lit(True).alias("open"))
+
+    def take(acc: Column, it: Column, ends: bool) -> Column:
+        fits = it["cost"].isNotNull() & (it["cost"] <= acc["room"]) & ~F.array_contains(acc["taken"], it["part"]) & acc["open"]
+        fits = F.coalesce(fits, F.lit(False))
+        return F.struct(
+            F.when(fits, acc["room"] - it["cost"]).otherwise(acc["room"]).alias("room"),
+            F.when(fits, F.concat(acc["taken"], F.array(it["part"]))).otherwise(acc["taken"]).alias("taken"),
+            (acc["open"] & fits if ends else acc["open"]).alias("open"),
+        )
 
-    return rows.groupBy("question_id", "pid").applyInPandas(choose, "question_id long, pid long, part int")
+    lists = lists.withColumn("order", order)
+    lists = lists.withColumn("acc", F.aggregate(rest, start, lambda acc, it: take(acc, it, True)))
+    costs = F.map_from_entries("all")
+    beside = F.flatten(F.transform(F.col("acc.taken"), lambda c: F.array(c - 1, c + 1)))
+    near = F.transform(beside, lambda n: F.struct(n.alias("part"), F.try_element_at(costs, n).alias("cost")))
+    again = F.struct(F.col("acc.room").alias("room"), F.col("acc.taken").alias("taken"), F.lit(True).alias("open"))
+    shown = F.aggregate(near, again, lambda acc, it: take(acc, it, False))["taken"]
+    return lists.select("question_id", "pid", F.explode(F.transform(shown, lambda p: p.cast("int"))).alias("part"))
 
 
 def render_passage(
@@ -176,8 +189,22 @@ def file_list(names: Column) -> Column:
     return F.concat(shown, F.when(F.size(names) > MAX_FILES, F.format_string(", and %d more", F.size(names) - MAX_FILES)).otherwise(""))
 
 
-def notes(hidden: Column, stale: Column, deleted: Column, dropped: Column, over_budget: Column) -> Column:
-    """The notes block, or an empty text. hidden: array of (name, reason), the others names, a count and a flag."""
+NARROWED = "array<struct<rel_path:string,name:string,first_line:int,last_line:int,part_count:int,parts:string,lines:string>>"
+
+
+def narrowed_notes(narrowed: Column) -> Column:
+    """A line for each narrowed passage: what parts and lines of it are shown, both as ranges."""
+    return F.transform(
+        narrowed,
+        lambda p: F.concat(
+            F.lit("`"), p["rel_path"], F.lit("` ("), p["name"], F.lit(") is very long (lines "), p["first_line"].cast("string"), F.lit("-"), p["last_line"].cast("string"), F.lit(", "),
+            p["part_count"].cast("string"), F.lit(" parts): only parts "), p["parts"], F.lit(" (lines "), p["lines"], F.lit(") are shown. The rest can be read from the file."),
+        ),
+    )
+
+
+def notes(hidden: Column, stale: Column, deleted: Column, dropped: Column, over_budget: Column, narrowed: Column | None = None) -> Column:
+    """The notes block, or an empty text. hidden: array of (name, reason), stale and deleted names, narrowed as NARROWED."""
     first = lambda r: F.element_at(F.split(F.trim(r), "\n"), 1)
     short = lambda r: F.when(F.length(first(r)) > MAX_REASON, F.concat(F.substring(first(r), 1, MAX_REASON), F.lit("…"))).otherwise(first(r))
     shown = F.array_join(F.transform(F.slice(F.array_sort(hidden), 1, MAX_FILES), lambda h: F.concat(F.lit("`"), h["name"], F.lit("` ("), short(h["reason"]), F.lit(")"))), ", ")
@@ -194,6 +221,12 @@ def notes(hidden: Column, stale: Column, deleted: Column, dropped: Column, over_
                 ),
             ),
             F.when(F.size(deleted) > 0, F.concat(F.lit("Results from files that no longer exist were left out: "), file_list(deleted), F.lit(". Re-index to refresh."))),
+        )
+    )
+    if narrowed is not None:
+        lines = F.concat(lines, narrowed_notes(narrowed))
+    last = F.array_compact(
+        F.array(
             F.when(
                 dropped > 0,
                 F.concat(
@@ -204,40 +237,114 @@ def notes(hidden: Column, stale: Column, deleted: Column, dropped: Column, over_
             F.when(over_budget, OVER_BUDGET),
         )
     )
+    lines = F.concat(lines, last)
     return F.when(F.size(lines) > 0, F.concat(F.lit("[Notes]\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise("")
 
 
 def assemble_context(blocks: DataFrame, asked: DataFrame, max_tokens: int) -> DataFrame:
     """question_id, text, shown, over_budget, tokens_used.
 
-    blocks(question_id, rank, block, stale_path or null), asked(question_id, hidden, deleted): every m of first blocks is
-    weighed with the notes that go with it, and the largest that fits wins; lengths alone decide, the text is built for
-    the winner. With blocks, m is never 0: the first alone without the note on what is left out, else flagged.
+    blocks(question_id, rank, block, stale_path or null, and narrowed of NARROWED's struct if there is one), asked(question_id,
+    hidden, deleted): every m of first blocks is weighed with the notes that go with it, and the largest that fits wins. Block
+    lengths are summed along a question's blocks; only notes are built for each m, and the text for the winner alone. With
+    blocks, m is never 0: the first alone without the note on what is left out, else flagged.
     """
     limit = 3 * max_tokens + 2
-    lists = blocks.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "block", "stale_path"))).alias("bs"))
-    rows = asked.join(lists, "question_id", "left").withColumn("bs", F.coalesce("bs", F.array().cast(lists.schema["bs"].dataType)))
-    rows = rows.withColumn("n", F.size("bs"))
+    if "narrowed" not in blocks.columns:
+        blocks = blocks.withColumn("narrowed", F.lit(None).cast(NARROWED[len("array<") : -1]))
+    rows = blocks.select("question_id", "rank", F.length("block").alias("chars"), "stale_path", "narrowed", "block")
+    meta = F.struct("rank", "chars", "stale_path", "narrowed")
+    lists = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(meta)).alias("bs"), F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("texts"))
+    light = asked.join(lists.drop("texts"), "question_id", "left").withColumn("bs", F.coalesce("bs", F.array().cast(lists.schema["bs"].dataType)))
+    light = light.withColumn("n", F.size("bs"))
+    least = F.when(F.col("n") > 0, 1).otherwise(0)
 
-    def text_of(m: Column, told: Column, over: Column) -> Column:
+    def note_of(m: Column, told: Column, over: Column) -> Column:
         some = F.slice("bs", 1, m)
-        body = F.when(m > 0, F.array_join(F.transform(some, lambda b: b["block"]), "\n\n")).otherwise(NONE_FOUND)
         stale = F.array_distinct(F.array_compact(F.transform(some, lambda b: b["stale_path"])))
-        note = notes(F.col("hidden"), stale, F.col("deleted"), F.when(told, F.col("n") - m).otherwise(0), over)
-        return F.concat(body, F.when(note != "", F.concat(F.lit("\n\n"), note)).otherwise(""))
-
-    least = F.when(F.col("n") > 0, 1).otherwise(0)
-    tried = rows.select("question_id", "hidden", "deleted", "bs", "n", F.explode(F.sequence(least, F.col("n"))).alias("m"))
-    fits = tried.where(F.length(text_of(F.col("m"), F.lit(True), F.lit(False))) <= limit).groupBy("question_id").agg(F.max("m").alias("m"))
-    rows = rows.join(fits, "question_id", "left")
-    alone = text_of(F.lit(1), F.lit(False), F.lit(False))
-    rows = rows.withColumn("over_budget", F.col("m").isNull() & (F.col("n") > 0) & (F.length(alone) > limit))
-    text = F.when(F.col("m").isNotNull(), text_of(F.col("m"), F.lit(True), F.lit(False))).when(F.col("n") == 0, text_of(F.lit(0), F.lit(True), F.lit(False)))
-    text = F.coalesce(text, text_of(F.lit(1), F.lit(False), F.col("over_budget")))
-    out = rows.select("question_id", text.alias("text"), F.coalesce("m", least).alias("shown"), "over_budget")
+        narrowed = F.array_compact(F.transform(some, lambda b: b["narrowed"]))
+        note = notes(F.col("hidden"), stale, F.col("deleted"), F.when(told, F.col("n") - m).otherwise(0), over, narrowed)
+        return F.when(note != "", F.concat(F.lit("\n\n"), note)).otherwise("")
+
+    def size_of(m: Column, note: Column) -> Column:
+        body = F.aggregate(F.slice("bs", 1, m), F.lit(0), lambda a, b: a + b["chars"] + 2) - 2
+        return F.when(m > 0, body).otherwise(len(NONE_FOUND)) + F.length(note)
+
+    tried = light.select("*", F.explode(F.sequence(least, F.col("n"))).alias("m"))
+    fits = tried.where(size_of(F.col("m"), note_of(F.col("m"), F.lit(True), F.lit(False))) <= limit).groupBy("question_id").agg(F.max("m").alias("m"))
+    light = light.join(fits, "question_id", "left")
+    alone = size_of(F.lit(1), note_of(F.lit(1), F.lit(False), F.lit(False)))
+    light = light.withColumn("over_budget", F.col("m").isNull() & (F.col("n") > 0) & (alone > limit)).withColumn("shown", F.coalesce("m", least))
+    told = F.col("m").isNotNull() | (F.col("n") == 0)
+    light = light.select("question_id", "shown", "over_budget", note_of(F.col("shown"), told, F.col("over_budget")).alias("note"))
+    both = light.join(lists.select("question_id", "texts"), "question_id", "left")
+    body = F.when(F.col("shown") > 0, F.array_join(F.transform(F.slice("texts", 1, F.col("shown")), lambda t: t["block"]), "\n\n")).otherwise(NONE_FOUND)
+    out = both.select("question_id", F.concat(body, "note").alias("text"), "shown", "over_budget")
     return out.withColumn("tokens_used", tx.estimate_tokens(F.col("text")))
 
 
+def expanded(hits: DataFrame, chunks: DataFrame, max_tokens: int) -> DataFrame:
+    """question_id, rank, score, rel_path, kind, parent, symbol, names, start_line, end_line, text, parts, part_count
+    of the passages of hits(question_id, id, score, rank).
+
+    chunks(id, rel_path, kind, parent, symbol, ordinal, part, part_count, start_line, end_line, text, names). A hit on one part
+    stands for the whole chunk; parts that don't fit together are joined with markers; over the ceiling it is narrowed.
+    """
+    keyed = chunks.withColumn("key", passage_key())
+    found = hits_to_passages(hits, chunks).withColumn("pid", F.to_json("key"))
+    pids = found.select("key", "pid").distinct()
+    parts = keyed.join(pids, keyed["key"].eqNullSafe(pids["key"])).drop("key").withColumns({"part": F.coalesce("part", F.lit(0)), "part_count": F.coalesce("part_count", F.lit(1))})
+    size = parts.groupBy("pid").agg((F.sum(tx.estimate_tokens(F.col("text"))) + PASSAGE_OVERHEAD).alias("size"))
+    long = size.where(F.col("size") > ceiling_tokens(max_tokens)).select("pid")
+    shown = narrow(parts.join(long, "pid", "left_semi").select("pid", "part", "text"), found.join(long, "pid", "left_semi").select("question_id", "pid", "part_scores"), narrow_target(max_tokens))
+    whole = found.join(long, "pid", "left_anti").select("question_id", "pid").join(parts.select("pid", "part"), "pid")
+    rows = whole.unionByName(shown.select("question_id", "pid", "part")).join(parts, ["pid", "part"])
+    keys = ["question_id", "pid"]
+    exact = stitch_lines(rows.select(*keys, "part", "start_line", "end_line", "text"), keys).withColumnRenamed("text", "exact")
+    marked = stitch_markers(rows.select(*keys, "part", "part_count", "text"), keys).withColumnRenamed("text", "marked")
+    about = rows.groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in ("rel_path", "kind", "parent", "symbol")), F.first("names").alias("names"), F.min("start_line").alias("start_line"),
+        F.max("end_line").alias("end_line"), F.array_sort(F.collect_list("part")).alias("parts"), F.max("part_count").alias("part_count"),
+    )
+    joined = found.select(*keys, "rank", "score").join(about, keys).join(exact, keys).join(marked, keys)
+    return joined.withColumn("text", F.coalesce("exact", "marked")).drop("exact", "marked", "pid")
+
+
+def retrieve(
+    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, flagged: DataFrame, tags: DataFrame, stored: DataFrame, live: DataFrame, index: tuple, k: int, max_tokens: int,
+    floor: float = -1.0, margin: float = 2.0,
+) -> DataFrame:
+    """The passages of questions in their order: V10, P1 to P9, P10.
+
+    Hits become whole passages, files that are gone drop out, then the budget counts what is left. Adds status, cost, used,
+    kept and over_budget. Those with kept false are what didn't fit.
+    """
+    hits = search.search(questions, vectors, chunks.select("id", "rel_path"), flagged, tags, index, index, k, floor, margin)
+    return retrieve_hits(hits.select("question_id", "id", "score", "rank"), chunks, stored, live, max_tokens)
+
+
+def retrieve_hits(hits: DataFrame, chunks: DataFrame, stored: DataFrame, live: DataFrame, max_tokens: int) -> DataFrame:
+    """P16 from ranked hits(question_id, id, score, rank) on."""
+    fresh = freshness(expanded(hits, chunks, max_tokens), stored, live).where("status != 'deleted'")
+    return fit_to_budget(fresh.withColumn("cost", tx.estimate_tokens(F.col("text")) + PASSAGE_OVERHEAD), max_tokens)
+
+
+def pool_with_cost(hits: DataFrame, chunks: DataFrame, files: DataFrame, max_tokens: int) -> DataFrame:
+    """question_id, pos, id, score, path, is_test, is_changelog, passage_key, cost of raw hits(question_id, id, score, raw_rank).
+
+    Each hit is a passage by itself, which hits on other parts of its chunk share; its cost is that of the rendered passage.
+    """
+    alone = hits.select(F.struct("question_id", "raw_rank").alias("question_id"), "id", "score", F.col("raw_rank").alias("rank"))
+    one = expanded(alone, chunks, max_tokens)
+    block = render_passage(F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("parent"), F.col("symbol"), F.col("kind"), F.col("names"), F.col("text"))
+    key = F.concat_ws("|", "rel_path", "kind", F.coalesce("parent", F.lit("")), F.coalesce("symbol", F.lit("")), F.array_join(F.transform("parts", lambda p: p.cast("string")), ","))
+    costs = one.select("question_id.*", F.concat_ws("|", key, F.when(F.col("part_count") == 1, F.col("start_line").cast("string"))).alias("passage_key"), tx.estimate_tokens(block).alias("cost"))
+    rows = hits.join(costs, ["question_id", "raw_rank"]).join(chunks.select("id", F.col("rel_path").alias("path")), "id")
+    tags = files.select(F.col("rel_path").alias("path"), "is_test", "is_changelog")
+    out = rows.join(tags, "path", "left").fillna(False, ["is_test", "is_changelog"])
+    return out.select("question_id", F.col("raw_rank").alias("pos"), "id", "score", "path", "is_test", "is_changelog", "passage_key", "cost")
+
+
 def context_summary(passages: DataFrame) -> DataFrame:
     """question_id, sources (array of path, score at 4 places, in rank order), best_score, n of the passages shown."""
     item = F.struct("rank", "rel_path", F.round("score", 4).alias("score"))

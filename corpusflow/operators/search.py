@@ -16,6 +16,8 @@ from corpusflow.session import written
 
 #: Questions scored in one pass over the vectors: the block that is broadcast is bounded, more questions take more passes.
 QUESTION_BLOCK = 4096
+#: Scores that a task holds at a time.
+SCORES = 1 << 23
 #: Margin that a test or (twice) a changelog loses when hits are ordered, and the pool that is ordered anew.
 DEMOTION, LEAST_POOL, POOL_FACTOR = 0.15, 30, 3
 
@@ -29,6 +31,27 @@ def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1))[:, None]
 
 
+def best_of(best_id: np.ndarray, best: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of best and score together, ties by id: those that can be among them first, then sorted."""
+    all_id = np.concatenate([best_id, np.broadcast_to(ids, score.shape)], axis=1)
+    score = np.concatenate([best, score], axis=1)
+    n = score.shape[1]
+    if n > 4 * k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        wide = int((score >= least).sum(axis=1).max())  # more than k where scores tie
+        some = np.argpartition(-score, min(wide, n - 1), axis=1)[:, :wide]
+        all_id, score = np.take_along_axis(all_id, some, 1), np.take_along_axis(score, some, 1)
+    order = np.lexsort((all_id, -score), axis=1)[:, :k]
+    return np.take_along_axis(all_id, order, 1), np.take_along_axis(score, order, 1)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most; empty ones left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def block_topk(block: np.ndarray, ids: list, vectors: DataFrame, k: int, not_self: bool) -> DataFrame:
     """question_id, id, score: the best k of each partition for each question of the block, ties by id."""
     shared = vectors.sparkSession.sparkContext.broadcast((block, np.array(ids)))
@@ -36,18 +59,13 @@ def block_topk(block: np.ndarray, ids: list, vectors: DataFrame, k: int, not_sel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, own = shared.value
         best_id, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             # rounded, so that equal angles tie whatever the order of summation
             score = np.clip(np.round(questions @ unit_rows(batch.column(1), questions.shape[1]).T, 12), -1, 1)
             if not_self:
                 score = np.where(own[:, None] == ids[None, :], -np.inf, score)
-            all_id = np.concatenate([best_id, np.broadcast_to(ids, score.shape)], axis=1)
-            score = np.concatenate([best, score], axis=1)
-            order = np.lexsort((all_id, -score), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(all_id, order, 1), np.take_along_axis(score, order, 1)
+            best_id, best = best_of(best_id, best, ids, score, k)
         ok = np.isfinite(best)
         question = np.broadcast_to(own[:, None], best.shape)[ok] if best.size else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(question), pa.array(best_id[ok]), pa.array(best[ok])], names=["question_id", "id", "score"])
@@ -96,9 +114,7 @@ def cell_topk(block: np.ndarray, ids: list, probed: np.ndarray, placed: DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, own, probed = shared.value
         best_id, best = np.zeros((len(own), k), np.int64), np.full((len(own), k), -np.inf)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
             vec_ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             unit = unit_rows(batch.column(1), questions.shape[1])
             for c in np.unique(cell):
@@ -106,10 +122,7 @@ def cell_topk(block: np.ndarray, ids: list, probed: np.ndarray, placed: DataFram
                 if not len(asked):
                     continue
                 score = np.clip(np.round(questions[asked] @ unit[here].T, 12), -1, 1)
-                all_id = np.concatenate([best_id[asked], np.broadcast_to(vec_ids[here], score.shape)], axis=1)
-                score = np.concatenate([best[asked], score], axis=1)
-                order = np.lexsort((all_id, -score), axis=1)[:, :k]
-                best_id[asked], best[asked] = np.take_along_axis(all_id, order, 1), np.take_along_axis(score, order, 1)
+                best_id[asked], best[asked] = best_of(best_id[asked], best[asked], vec_ids[here], score, k)
         ok = np.isfinite(best)
         question = np.broadcast_to(own[:, None], best.shape)[ok]
         yield pa.RecordBatch.from_arrays([pa.array(question), pa.array(best_id[ok]), pa.array(best[ok])], names=["question_id", "id", "score"])

@@ -37,10 +37,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from corpusflow.plans import chunking, flows  # noqa: F401  they register their queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
@@ -281,14 +284,6 @@ def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
-def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K8, K9, K10, K12."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    parts = chunk.split_oversized(chunk.plain_chunks(docs, "doc_text"))
-    return parts.select("doc", "part", "part_count", "start_line", "end_line", "synthetic", F.length("text").alias("n_chars"), F.sha1("text").alias("sha1"))
-
-
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of documents as chunk rows, with their identity."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("rel_path"), F.col("lang").alias("symbol"), "text")
@@ -314,21 +309,6 @@ def chunk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.assign_identity(document_chunks(spark, sf_dir)).select("doc_id", "id", "ordinal", "content_hash", "tokens")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS doc, CAST(NULL AS INTEGER) AS line_no WHERE false")
-def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of split documents leave no line uncovered, so no row comes back."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    parts = chunk.split_oversized(chunk.plain_chunks(docs, "doc_text")).withColumn("doc", F.col("doc").cast("long"))
-    return chunk.coverage_check(parts, chunk.explode_lines(docs))
-
-
-@query("""SELECT CAST(doc_id AS VARCHAR) AS doc, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN NULL ELSE 'doc_intro' END AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY ALL""")
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3 to K6: the documents have no headings, so each is one intro."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    return chunk.markdown_sections(docs).groupBy("doc", "kind").agg(F.count("*").alias("n"))
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS r FROM documents),
 s AS (SELECT *, trim(line) <> '' AS solid FROM l),
 g AS (SELECT *, r - row_number() OVER (PARTITION BY doc_id, solid ORDER BY r) AS i FROM s)
@@ -375,18 +355,21 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.upsert_chunks(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir), done, MODEL, DIM)
 
 
-@query("""WITH s AS (SELECT source AS rel_path, sha1(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1)
-SELECT rel_path, rel_path NOT IN ('src1', 'src2', 'src3', 'src4') AS skip FROM s""")
+@query("""WITH s AS (SELECT source AS rel_path, CAST(sum(CAST('0x' || left(sha1(doc_id || ':' || text), 15) AS BIGINT)) AS VARCHAR) AS hash FROM documents GROUP BY 1)
+SELECT rel_path, hash, rel_path NOT IN ('src1', 'src2', 'src3', 'src4') AS skip FROM s""")
 def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the sources one has changed, one has other settings, one an error, one a pending chunk."""
+    """Of the sources one has changed, one has other settings, one an error, one a pending chunk.
+
+    A source's hash is a sum over its documents' digests, in any order.
+    """
     docs = table(spark, sf_dir, "documents")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha1("text").alias("h")))), lambda x: x["h"]), "")
-    scanned = docs.groupBy(F.col("source").alias("rel_path")).agg(F.sha1(text).alias("hash"))
+    own = F.conv(F.substring(F.sha1(F.concat_ws(":", "doc_id", "text")), 1, 15), 16, 10).cast("decimal(38,0)")
+    scanned = docs.groupBy(F.col("source").alias("rel_path")).agg(F.sum(own).cast("string").alias("hash"))
     of = lambda n: F.col("rel_path") == f"src{n}"
     state = scanned.select(
         "rel_path", F.when(of(1), "x").otherwise(F.col("hash")).alias("hash"), F.when(of(2), "s0").otherwise("s1").alias("settings"), F.when(of(3), "bad").alias("index_error")
     )
-    return sync.skip_unchanged(scanned, state, "s1", scanned.where(of(4)).select("rel_path")).select("rel_path", "skip")
+    return sync.skip_unchanged(scanned, state, "s1", scanned.where(of(4)).select("rel_path")).select("rel_path", "hash", "skip")
 
 
 @query(f"WITH {SYNC_SQL} SELECT id FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = o.id)")
@@ -504,13 +487,6 @@ def file_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.batch_assign(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("rel_path")), "per_file", 16)
 
 
-@query()
-def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampling operator."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.ceil(F.greatest(F.col("n_chars"), F.lit(1)) / 2400).cast("long").alias("n_chunks"))
-    return embed.even_sample(d, 200)
-
-
 # --- passages --------------------------------------------------------------------------------------------------------
 
 
@@ -540,12 +516,6 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.select("pid", passages.missing_parts(F.col("parts"), F.col("n")).alias("missing"))
 
 
-@query()
-def stitch_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P6."""
-    return passages.stitch_markers(window_parts(spark, sf_dir), ["pid"])
-
-
 @query(f"""WITH {HITS_SQL}, p AS (SELECT question_id, raw_rank AS rank, id, score, source FROM hits JOIN documents ON doc_id = id WHERE raw_rank <= 10)
 SELECT question_id, source, min(rank) AS rank, round(max(score), 6) AS score, count(*) AS parts FROM p GROUP BY question_id, source""")
 def passages_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -603,15 +573,6 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", F.sha2("text", 256).alias("sha256"), "shown", "over_budget", "tokens_used")
 
 
-@query()
-def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages over the ceiling of a small budget, each hit in its third part."""
-    parts = window_parts(spark, sf_dir)
-    long = parts.groupBy("pid").agg(F.sum(tx.estimate_tokens(F.col("text"))).alias("t")).where(F.col("t") + OVERHEAD > passages.ceiling_tokens(1000)).select("pid")
-    hits = long.select(F.lit(0).cast("long").alias("question_id"), "pid", F.create_map(F.lit(2), F.lit(0.9)).alias("part_scores"))
-    return passages.narrow(parts.join(long, "pid", "left_semi").select("pid", "part", "text"), hits, 1000)
-
-
 # --- conversations ---------------------------------------------------------------------------------------------------
 
 TALK_SQL = "m AS (SELECT conv_id AS conversation_id, turn AS id, role, text AS content, turn % 3 <> 2 AS called FROM conversations)"
@@ -749,12 +710,14 @@ SNAP_SQL = """snap AS (SELECT 'p' || (user_id % 3) AS provider, max(ts) AS seen_
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0")
+    """The newest rate headers among the replies of all events; only every fiftieth reply has any."""
+    e = table(spark, sf_dir, "events")
     text = lambda c: F.lit(c) if isinstance(c, str) else c.cast("string")
     headers = {"X-RateLimit-Limit-Requests": "1000", "x-ratelimit-remaining-requests": F.col("event_id") % 100, "x-ratelimit-reset-requests": "400d", "server": "x"}
-    pairs = [v for k, c in headers.items() for v in (F.lit(k), text(c))]
-    at = F.col("ts").cast("timestamp")
-    return usage.latest_snapshot(e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.create_map(*pairs).alias("headers"), F.struct(at.alias("at"), "event_id").alias("at")))
+    rated = F.create_map(*(v for k, c in headers.items() for v in (F.lit(k), text(c))))
+    told = F.when(F.col("event_id") % 50 == 0, rated).otherwise(F.create_map(F.lit("server"), F.lit("x")))
+    at = F.struct(F.col("ts").cast("timestamp").alias("at"), "event_id").alias("at")
+    return usage.latest_snapshot(e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), told.alias("headers"), at))
 
 
 @query(f"WITH {SNAP_SQL} SELECT provider, CAST(e AS VARCHAR) AS remaining, 3 AS headers, seen_at FROM snap")

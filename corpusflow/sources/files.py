@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +17,50 @@ MAX_EVENT_BYTES = 1 << 20
 MAX_SLICE, MAX_LINE = 500, 2000
 
 
+FILE_DDL = "rel_path string, size long, mtime timestamp, content binary"
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
+    """(path, rel_path, size, milliseconds) of the files below root that Spark's sources skip: those with a name, or below a
+    folder with a name, that begins with a dot or an underscore. Only names come to the driver, as they do for any source."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    out, each = [], fs.listFiles(top, True)
+    while each.hasNext():
+        status = each.next()
+        rel = status.getPath().toUri().getPath().removeprefix(base)
+        if any(name[:1] in "._" for name in rel.split("/")):
+            out.append((status.getPath().toUri().toString(), rel, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of path as another column, one file at a time."""
+    for batch in batches:
+        for i, path in enumerate(batch.column(0).to_pylist()):
+            system, name = arrow_fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path)
+            with system.open_input_stream(name) as f:
+                content = f.read()
+            own = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array([content], pa.binary())], names=["rel_path", "size", "mtime", "content"])
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, size, mtime, content of all files below root; unread columns are pruned, sizes filter at the source.
 
-    Names with a leading dot or underscore are skipped by the source.
+    Spark's sources skip names that begin with a dot or an underscore (`__init__.py`, `_private/`): these are listed by
+    themselves and read in the tasks.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     rel = F.substring_index("path", base + "/", -1)
-    return rows.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    plain = rows.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    hidden = hidden_files(spark, root)
+    if not hidden:
+        return plain
+    listed = spark.createDataFrame(hidden, "path string, rel_path string, size long, ms long").select("path", "rel_path", "size", F.timestamp_millis("ms").alias("mtime"))
+    return plain.unionByName(listed.mapInArrow(read_contents, FILE_DDL))
 
 
 def scan_table(spark: SparkSession, directory: str, name: str, schema: str | None = None) -> DataFrame:
@@ -29,23 +69,68 @@ def scan_table(spark: SparkSession, directory: str, name: str, schema: str | Non
     return reader.parquet(f"{directory}/{name}.parquet")
 
 
-def ignore_patterns(lines: DataFrame) -> DataFrame:
-    """S3: pos, regex, negated, dir_only of ignore-file lines(pos, value).
+def glob_regex(pattern: str) -> str:
+    """The regex of one ignore pattern: `*` and `?` within a name, `**` across folders, classes, and escaped signs as such."""
+    out, i = [], 0
+    while i < len(pattern):
+        c, rest = pattern[i], pattern[i:]
+        end = rest.find("]", 3 if rest[1:2] in ("!", "^") else 2) if c == "[" else -1
+        if rest.startswith("**/") and (i == 0 or pattern[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif rest == "**" and i and pattern[i - 1] == "/":
+            out.append(".*")
+            i += 2
+        elif c == "*":
+            out.append("[^/]*")
+            i += len(rest) - len(rest.lstrip("*"))
+        elif c == "?":
+            out.append("[^/]")
+            i += 1
+        elif c == "\\" and len(rest) > 1:
+            out.append(re.escape(rest[1]))
+            i += 2
+        elif end > 0:
+            body = rest[1:end]
+            negated = body[0] in "!^"
+            signs = re.sub(r"([\[&^~])", r"\\\1", body[negated:])
+            out.append(f"(?!/)[{'^' if negated else ''}{signs}]")
+            i += end + 1
+        else:
+            out.append(re.escape(c))
+            i += 1
+    return "".join(out)
+
+
+def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
+    """(regex, negated, dir_only) of a line of an ignore file; none of a blank line or comment.
 
     A pattern with a slash before its end is bound to the root; others match at any depth; what a directory pattern
-    matches hides all below. Signs are swapped for words first, so that escaping doesn't touch them.
+    matches hides all below. A backslash takes the next sign's meaning away, that of a trailing space too.
     """
-    line = F.regexp_replace("value", r"(?<!\\)\s+$", "")
-    rows = lines.select("pos", line.alias("p")).where("p != '' and not startswith(p, '#')")
-    rows = rows.withColumn("negated", F.startswith("p", F.lit("!"))).withColumn("p", F.regexp_replace("p", "^!", ""))
-    rows = rows.withColumn("dir_only", F.endswith("p", F.lit("/"))).withColumn("p", F.regexp_replace("p", "/$", ""))
-    bound = F.contains(F.regexp_replace("p", r"^\*\*/", ""), F.lit("/"))
-    body = F.regexp_replace(F.regexp_replace("p", "^/", ""), r"([.+^$(){}|\[\]\\])", r"\\$1")
-    for sign, regex in ((r"^\*\*/", "(?:.{0,}/)?"), (r"/\*\*/", "/(?:.{0,}/)?"), (r"/\*\*$", "/.{0,}"), (r"\*", "[^/]{0,}"), (r"(?<!\))\?", "[^/]")):
-        body = F.regexp_replace(body, sign, regex)
-    start = F.when(bound, "^").otherwise("^(?:.*/)?")
-    end = F.when(F.col("dir_only"), "/.*$").otherwise("(?:/.*)?$")
-    return rows.select("pos", F.concat(start, body, end).alias("regex"), "negated", "dir_only")
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    negated = line.startswith("!")
+    line = line[negated:]
+    dir_only = line.endswith("/")
+    line = line.removesuffix("/")
+    if not line:
+        return None
+    bound = "/" in line.removeprefix("**/")
+    return f"{'^' if bound else '^(?:.*/)?'}{glob_regex(line.removeprefix('/'))}{'/.*$' if dir_only else '(?:/.*)?$'}", negated, dir_only
+
+
+def ignore_patterns(lines: DataFrame) -> DataFrame:
+    """S3: pos, regex, negated, dir_only of ignore-file lines(pos, value); see ignore_rule()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(pos, *rule) for pos, line in zip(*(c.to_pylist() for c in batch.columns)) if (rule := ignore_rule(line or ""))]
+            kinds = (pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["pos", "regex", "negated", "dir_only"])
+
+    return lines.select(F.col("pos").cast("int"), "value").mapInArrow(run, "pos int, regex string, negated boolean, dir_only boolean")
 
 
 def read_ignore_patterns(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:

@@ -1,7 +1,9 @@
 import datetime as dt
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,10 +173,37 @@ def test_stitching(spark):
     assert {r.pid: r.text for r in passages.stitch_overview(over, ["pid"]).collect()} == {1: "h\nc\nx\ny", 2: None}
 
 
-def test_narrow_choice():
-    assert passages.chosen_parts({0: 10, 1: 10, 2: 10, 3: 10}, {2: 0.9}, 24 + 30) == [1, 2, 3]
-    assert passages.chosen_parts({0: 10, 1: 99, 2: 10}, {0: 0.9, 1: 0.8, 2: 0.7}, 24 + 25) == [0]
-    assert passages.chosen_parts({0: 10, 1: 10, 2: 10}, {}, 24 + 10) == [1]
+def chosen_parts(costs, scores, target):
+    """The greedy choice in plain Python."""
+    hits = sorted((n for n in scores if n in costs), key=lambda n: (-scores[n], n)) or [sorted(costs)[len(costs) // 2]]
+    taken, room = [hits[0]], target - 24 - costs[hits[0]]
+    for n in hits[1:]:
+        if costs[n] > room:
+            break
+        taken.append(n)
+        room -= costs[n]
+    for n in [m for c in taken for m in (c - 1, c + 1)]:
+        if n in costs and n not in taken and costs[n] <= room:
+            taken.append(n)
+            room -= costs[n]
+    return sorted(taken)
+
+
+def test_narrow_choice(spark):
+    assert chosen_parts({0: 10, 1: 10, 2: 10, 3: 10}, {2: 0.9}, 24 + 30) == [1, 2, 3]
+    r = random.Random(4)
+    cases = [({0: 10, 1: 10, 2: 10, 3: 10}, {2: 0.9}), ({0: 10, 1: 99, 2: 10}, {0: 0.9, 1: 0.8, 2: 0.7}), ({0: 10, 1: 10, 2: 10}, {})]
+    for _ in range(60):
+        n = r.randrange(1, 12)
+        cases.append(({k: r.randrange(1, 40) for k in range(n) if r.random() < 0.9 or k == 0}, {r.randrange(n): r.choice([0.5, 0.7, 0.9]) for _ in range(r.randrange(5))}))
+    parts = spark.createDataFrame([(i, k, "x" * 3 * (c - 1)) for i, (costs, _) in enumerate(cases) for k, c in costs.items()], "pid long, part int, text string")
+    hits = spark.createDataFrame([(0, i, s) for i, (_, s) in enumerate(cases)], "question_id long, pid long, part_scores map<int,double>")
+    got = {}
+    for row in passages.narrow(parts, hits, 24 + 50).collect():
+        got.setdefault(row.pid, []).append(row.part)
+    for i, (costs, scores) in enumerate(cases):
+        assert sorted(got[i]) == chosen_parts(costs, scores, 24 + 50)
+    assert passages.ceiling_tokens(100) == 1 and passages.narrow_target(100) == 1 and passages.narrow_target(1000) == 750
 
 
 def test_freshness_and_notes(spark):
@@ -324,3 +353,76 @@ def test_sources(spark, tmp_path):
     fs = spark.createDataFrame([("a", "h", 2)], "rel_path string, hash string, n_lines int")
     got = {r.request_id: r for r in files.slice_lines(req, ls, fs).collect()}
     assert got[1].status == "ok" and len(got[1].lines[0].line) == 2001 and got[2].status == "past_end" and got[3].status == "unknown" and got[4].stale
+
+
+def test_ignore_rules_follow_their_signs():
+    def hides(rules, path):
+        hidden = False
+        for line in rules:
+            rule = files.ignore_rule(line)
+            if rule and re.search(rule[0], path):
+                hidden = not rule[1]
+        return hidden
+
+    cases = {
+        "file[0-9].py": (["file1.py", "d/file9.py"], ["filex.py", "file10.py"]),
+        "x[!a-c]": (["xd"], ["xa", "x/"]),
+        r"\#x": (["#x"], ["\\#x", "x"]),
+        r"\!y": (["!y"], ["y"]),
+        r"a\*b": (["a*b"], ["axb"]),
+        "trail\\ ": (["trail "], ["trail"]),
+        "blank   ": (["blank"], ["blank   "]),
+        "/top": (["top", "top/z"], ["d/top"]),
+        "a/**/b": (["a/b", "a/x/y/b"], ["ab"]),
+        "**/c/d": (["c/d", "x/c/d"], ["xc/d"]),
+        "e/**": (["e/f", "e/f/g"], ["e"]),
+        "dir/": (["dir/x", "z/dir/x"], ["dir"]),
+        "q?": (["q1"], ["q", "q12", "q/"]),
+        "[]x]": (["]", "x"], ["[]x]"]),
+        "[open": (["[open"], ["o"]),
+    }
+    for rule, (yes, no) in cases.items():
+        assert all(hides([rule], p) for p in yes) and not any(hides([rule], p) for p in no), rule
+    assert files.ignore_rule("# c") is None and files.ignore_rule("  ") is None and files.ignore_rule("/") is None
+
+
+def test_scan_finds_hidden_names(spark, tmp_path):
+    for name in ("pkg/a.py", "pkg/__init__.py", "_private/x.py", ".hidden/y z.txt", "_top.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    got = {r.rel_path: bytes(r.content) for r in files.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {n: n.encode() for n in ("pkg/a.py", "pkg/__init__.py", "_private/x.py", ".hidden/y z.txt", "_top.md")}
+    assert files.scan_files(spark, str(tmp_path / "pkg")).where("rel_path = '__init__.py' and size = 15").count() == 1
+
+
+def test_best_of_equals_a_sort():
+    r = np.random.default_rng(3)
+    for k in (1, 3, 10):
+        score, ids = r.integers(0, 6, (5, 200)) / 5, r.permutation(200)
+        got_id, got = search.best_of(np.zeros((5, 0), np.int64), np.zeros((5, 0)), ids, score, k)
+        for row in range(5):
+            want = sorted(zip(-score[row], ids))[:k]
+            assert list(zip(-got[row], got_id[row])) == want
+
+
+def test_narrowed_notes_and_holdout(spark):
+    none = F.array().cast("array<string>")
+    hidden = F.array().cast("array<struct<name:string,reason:string>>")
+    one = F.array(F.struct(*(F.lit(v).alias(n) for n, v in (("rel_path", "a.py"), ("name", "f"), ("first_line", 1), ("last_line", 900), ("part_count", 7), ("parts", "2-3"), ("lines", "120-360")))))
+    text = spark.range(1).select(passages.notes(hidden, none, none, F.lit(1), F.lit(False), one)).first()[0]
+    assert text == (
+        "[Notes]\n- `a.py` (f) is very long (lines 1-900, 7 parts): only parts 2-3 (lines 120-360) are shown. The rest can be read from the file.\n"
+        "- 1 more matching result did not fit and was left out."
+    )
+    kind = "question_id int, split string, kind string, rank int"
+    off = spark.createDataFrame([(1, "holdout", "code", 1), (2, "holdout", "code", 2), (3, "holdout", "code", None), (4, "tune", "code", 1)], kind)
+    on = spark.createDataFrame([(1, "holdout", "code", 4), (2, "holdout", "code", 1), (3, "holdout", "code", 9), (4, "tune", "code", 9)], kind)
+    assert tuple(evaluate.holdout_verdict(off, on, True).first()) == (-1, 0, "ok")
+    worse = on.withColumn("kind", F.lit("tests"))
+    assert evaluate.holdout_verdict(off.withColumn("kind", F.lit("tests")), worse, True).first().verdict == "bad"
+    with pytest.raises(ValueError):
+        evaluate.holdout_verdict(off, on, False)
+    runs = spark.createDataFrame([("per_file", 10.0, 10), ("per_file", 20.0, 10), ("per_file", 90.0, 10), ("cross_file", 9.0, 10)], "mode string, seconds double, chunks int")
+    r = evaluate.batching_decision(runs, 100).first()
+    assert (r.per_file, r.cross_file, round(r.speedup, 3), r.seconds, r.decision) == (2000.0, 900.0, 2.222, 200.0, "build")
+    assert evaluate.batching_decision(runs, 50).first().decision == "skip"
