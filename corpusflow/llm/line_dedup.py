@@ -1,11 +1,11 @@
 """Line-level deduplication by distributed prefix doubling over line identifiers.
 
 A document is a sequence of lines, a line's identifier a 128-bit digest of its bytes. From each line starts a window: the
-fewest lines from there on that have MIN_WORDS words together. A line is removed if any window over it also starts
-earlier in the corpus (smaller doc_id, or the same document and an earlier line). These windows alone leave the tail of a
-repeated run, the lines from whose start less than a window is left. With `whole`, the fewest lines that END at each line
-are windows too; both together cover exactly the maximal repeated runs: of a repeated run, a line either starts a window
-within it, or has less than a window up to the run's end and so lies in the window that ends there.
+fewest lines from there on that have MIN_WORDS words together, and at each line ends one: the fewest lines up to it. A line
+is removed if any window over it also starts earlier in the corpus (smaller doc_id, or the same document and an earlier
+line). Both kinds of windows together cover exactly the maximal repeated runs of at least MIN_WORDS words: a line of such a
+run either starts a window within it, or has less than a window up to the run's end and so lies in the window that ends there.
+Without `whole` only windows that start at a line count, and the tails of runs stay.
 
 Prefix doubling ranks the suffixes: rank 0 is the line's identifier, and rank k + 1 joins rank k here with rank k 2**k
 lines on. Before each doubling, suffixes whose rank no other one has are dropped with all that they could still match:
@@ -84,7 +84,7 @@ def repeated(suffix: DataFrame) -> DataFrame:
     return suffix.join(many, ["a", "b"], "left_semi")
 
 
-def windows(suffix: DataFrame, whole: bool = False) -> DataFrame:
+def windows(suffix: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, row, pos, m, a, b of windows, (a, b) a digest of their lines, leaving out those that can't be repeated."""
     out = None
     ends = suffix.where("back > 0").select("doc_id", "row", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("m"))
@@ -104,7 +104,7 @@ def windows(suffix: DataFrame, whole: bool = False) -> DataFrame:
     return suffix.limit(0) if out is None else out
 
 
-def covered(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def covered(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """row, spans: the windows (pos, m) of each document that start earlier somewhere else."""
     found = windows(written(suffixes(docs, min_words), "lines-suffix"), whole)
     place = F.struct("doc_id", "row", "pos")
@@ -113,14 +113,14 @@ def covered(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) ->
     return later.groupBy("row").agg(F.collect_list(F.struct("pos", "m")).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """doc (the row of docs as it came), kept_text, n_lines, n_removed, n_spans for each row of docs(doc_id, text, ...).
 
     n_spans counts maximal runs of removed lines. A null text stays null and has no lines; an empty one has one empty
     line. A null doc_id counts as 0; rows that share doc_id and text are one document, rows that share only the doc_id
     follow each other by a hash of the text. Blank and short lines go only as parts of repeated windows. Other columns
     come along in doc, whatever their names; an empty table gives no rows. whole: repeated runs of at least min_words words
-    go up to their last line; without it up to min_words - 1 words of their tails stay, as in the SQL of op9_line_dedup.
+    go up to their last line; without it up to min_words - 1 words of their tails stay.
     """
     spans = written(covered(docs.select("doc_id", "text"), min_words, whole), "lines-covered")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), key(docs).alias("row"))

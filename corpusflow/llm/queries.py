@@ -74,7 +74,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the tails of repeated runs, which the SQL of op9_line_dedup keeps."""
+    """The same by its earlier name."""
     return line_digests(line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole=True))
 
 
@@ -179,7 +179,9 @@ l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
 w AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
 s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
 e AS (SELECT s.doc_id, s.pos, min(t.pos) AS last FROM s JOIN s t ON t.doc_id = s.doc_id AND t.pos >= s.pos AND t.upto - s.upto + s.n >= 50 GROUP BY ALL),
-k AS (SELECT e.doc_id, e.pos, e.last, list_slice(d.l, e.pos + 1, e.last + 1) AS win FROM e JOIN d USING (doc_id)),
+b AS (SELECT s.doc_id, max(t.pos) AS pos, s.pos AS last FROM s JOIN s t ON t.doc_id = s.doc_id AND t.pos <= s.pos AND s.upto - t.upto + t.n >= 50 GROUP BY s.doc_id, s.pos),
+w2 AS (SELECT doc_id, pos, last FROM e UNION SELECT doc_id, pos, last FROM b),
+k AS (SELECT e.doc_id, e.pos, e.last, list_slice(d.l, e.pos + 1, e.last + 1) AS win FROM w2 e JOIN d USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM k),
 g AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM r WHERE nth > 1),
 x AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, pos)),
@@ -193,5 +195,8 @@ FROM d LEFT JOIN z USING (doc_id)
 """
 
 
+ORACLES["op9_line_dedup_whole"] = ORACLES["op9_line_dedup"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -9,6 +9,7 @@ whatever their counts; wide ones are reported only where the counts say that the
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.llm.text import small_enough
@@ -17,6 +18,8 @@ from corpusflow.session import written
 #: Patterns in the order of report; group VALUE of each is the secret. \x20 is the space.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": ASSIGN, "access": r"(AKIA[A-Z0-9]+)", "hex": r"([0-9a-f]+)", "owned": r"([A-Za-z0-9_-]+)"}
+#: The first ones are base patterns, whose matches stay; the last is the wide net.
+BASE_KINDS = 3
 #: Characters that a value must have; shorter matches are dropped.
 LEAST = {"assign": 6, "access": 20, "hex": 24, "owned": 20}
 #: The same, as cheap searches: a document without such a piece has no match of the kind.
@@ -30,41 +33,45 @@ COPIED = 3
 BROADCAST_ROWS = 200_000
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """array of (start, end, kind, order, value) of the matches of one kind, leftmost and without overlaps.
+def pieces_of(kind: str, text: Column) -> Column:
+    """order, gaps, found: the matches of one kind, leftmost and without overlaps, and the lengths of what lies between them.
 
-    The gaps between matches come from splitting by the pattern, the matches from extracting it; adding up the lengths
-    of both gives the places, in code points.
+    The gaps come from splitting by the pattern, the matches from extracting it. Null where there is no match.
     """
-    gaps = F.split(text, SEARCH[kind])
-    found = F.regexp_extract_all(text, F.lit(SEARCH[kind]), F.lit(0))
-    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
-    value = lambda m: F.regexp_extract(m, PATTERNS[kind], 1)
     order = list(PATTERNS).index(kind)
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("kind"), value(p["match"]).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    ok = F.filter(spans, lambda s: F.length(s["value"]) >= LEAST[kind])
-    if kind == "owned":
-        ok = F.filter(ok, lambda s: F.rlike(s["value"], F.lit(MIXED)))
-    return F.when(F.rlike(text, F.lit(SEARCH[kind])), ok).otherwise(none)
+    gaps = F.transform(F.split(text, SEARCH[kind]), F.length)
+    found = F.regexp_extract_all(text, F.lit(SEARCH[kind]), F.lit(0))
+    return F.when(F.rlike(text, F.lit(SEARCH[kind])), F.struct(F.lit(order).alias("kind"), gaps.alias("gaps"), found.alias("found")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, owner, repository, spans for each row of docs that has any candidate."""
+    """id, row, owner, repository, start, end, kind (its order), value of each candidate in docs; id is that of the row of docs.
+
+    Adding up the lengths of gaps and matches gives the places, in code points: a running sum over a document's own matches.
+    """
     text = F.coalesce("text", F.lit(""))
-    spans = F.concat(*(spans_of(kind, text) for kind in PATTERNS))
-    rows = docs.select("doc_id", "row", F.col("owner"), F.col("repository"), spans.alias("spans"))
+    found = F.array_compact(F.array(*(pieces_of(k, text) for k in PATTERNS))).alias("ps")
+    numbered = docs.select(F.monotonically_increasing_id().alias("id"), "row", "owner", "repository", found)  # before a row is exploded
+    rows = numbered.select("id", "row", "owner", "repository", F.explode("ps").alias("p"))
+    each = rows.select("id", "row", "owner", "repository", "p.kind", F.posexplode(F.arrays_zip(F.col("p.gaps").alias("gap"), F.col("p.found").alias("match"))).alias("i", "z"))
+    each = each.where("z.match is not null")
+    upto = W.partitionBy("id", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("z.gap") + F.length("z.match")).over(upto).cast("int")
+    value, least, mixed = F.lit(None).cast("string"), F.lit(0), F.lit(True)
+    for order, kind in enumerate(PATTERNS):
+        mine = F.col("kind") == order
+        value = F.when(mine, F.regexp_extract("z.match", PATTERNS[kind], 1)).otherwise(value)
+        least = F.when(mine, LEAST[kind]).otherwise(least)
+        mixed = F.when(mine, F.rlike("value", F.lit(MIXED))).otherwise(mixed) if kind == "owned" else mixed
+    placed = each.select("id", "row", "owner", "repository", "kind", (end - F.length("z.match")).alias("start"), end.alias("end"), value.alias("value"), least.alias("least"))
+    placed = placed.where((F.length("value") >= F.col("least")) & mixed).drop("least")
     # a wide candidate that touches a base one adds nothing
-    base = F.filter("spans", lambda s: s["kind"] < 3)
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.withColumn("spans", F.filter("spans", lambda s: (s["kind"] < 3) | apart(s))).where(F.size("spans") > 0)
+    base = F.col("kind") < BASE_KINDS
+    by_start = W.partitionBy("id").orderBy("start")
+    behind = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, W.unboundedFollowing))
+    touches = (F.coalesce(behind, F.lit(-1)) > F.col("start")) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    return placed.withColumn("touches", touches).where(base | ~F.col("touches")).drop("touches")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def ownership(found: DataFrame) -> DataFrame:
     A value is counted once for each repository before repositories and owners are counted, so that a value that a third
     of the corpus has moves as few rows as it has repositories.
     """
-    each = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["value"])))).alias("hash"))
+    each = found.select("id", "owner", "repository", F.xxhash64("value").alias("hash")).distinct()
     by_repo = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("docs"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("docs").alias("docs"), F.count("*").alias("repositories"))
     total = by_owner.groupBy("hash").agg(
@@ -95,13 +102,13 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "sourc
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text", "owner", "repository"))
     found = written(candidates(docs), "secret-candidates")
     counts = written(ownership(found), "secret-owners")
-    # base spans stay; only those of the wide net depend on the counts, but all report them
-    each = found.dropDuplicates(["row"]).select("row", F.posexplode("spans").alias("i", "s")).select("row", "i", "s", F.xxhash64("s.value").alias("hash"))
+    # base spans stay; only those of the wide net depend on the counts, but all report them. Equal rows have equal spans
+    each = found.select("row", "kind", "start", "end", F.xxhash64("value").alias("hash")).dropDuplicates(["row", "kind", "start"])
     joined = each.join(F.broadcast(counts) if small_enough(counts, BROADCAST_ROWS) else counts, "hash")
-    kept = joined.where((F.col("s.kind") < 3) | (F.col("verdict") == "owned"))
-    kind = F.element_at(F.array(*(F.lit(k) for k in PATTERNS)), F.col("s.kind") + 1)
+    kept = joined.where((F.col("kind") < BASE_KINDS) | (F.col("verdict") == "owned"))
+    kind = F.element_at(F.array(*(F.lit(k) for k in PATTERNS)), F.col("kind") + 1)
     span = F.struct(
-        F.col("s.start").alias("start"), F.col("s.kind").alias("order"), F.col("s.end").alias("end"), kind.alias("kind"),
+        F.col("start"), F.col("kind").alias("order"), F.col("end"), kind.alias("kind"),
         F.col("hash"), "n_docs", "n_repositories", "n_owners", "verdict",
     )
     spans = kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -112,7 +119,7 @@ def digests(scanned: DataFrame) -> DataFrame:
     """The digest columns of op6."""
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    base = F.filter("spans", lambda s: s["order"] < 3)
+    base = F.filter("spans", lambda s: s["order"] < BASE_KINDS)
     return scanned.select(
         "doc_id",
         of("assign").alias("n_assign"),

@@ -19,6 +19,11 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows: the check that stands before every broadcast."""
-    return df.limit(rows + 1).count() <= rows
+#: Bytes, as the optimizer estimates them (of written tables those of the files), up to which a table may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_enough(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes: the check that stands before every broadcast."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= most and df.limit(rows + 1).count() <= rows

@@ -56,22 +56,22 @@ def cut_repeats(rows, window=100):
 
 
 def line_dedup(rows, min_words=50):
-    """doc_id to the text without repeated line windows."""
+    """doc_id to the text without the lines of any run of at least min_words words that starts earlier too."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         lines = (text or "").split("\n")
         words = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in lines]
         gone = set()
         for a in range(len(lines)):
-            total = 0
+            total, digest = 0, hashlib.sha256()
             for b in range(a, len(lines)):
                 total += words[b]
+                digest.update(lines[b].encode() + b"\n")
                 if total >= min_words:
-                    w = tuple(lines[a : b + 1])
+                    w = digest.digest()
                     if w in seen:
                         gone.update(range(a, b + 1))
                     seen.add(w)
-                    break
         out[i] = text if text is None or not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 

@@ -101,6 +101,21 @@ def test_secret_spans(spark):
     assert got[1].spans.startswith("assign:2:22,access:") and got[2].spans == "" and got[3].spans == "" and got[4].spans == "owned:5:29" and got[5].spans == ""
 
 
+def test_secret_spans_of_many_matches(spark):
+    """Wide candidates beside and within base ones, repeated rows, and a text with very many matches."""
+    import time
+
+    wide = "AbcdEfgh0123456789XyzW"
+    rows = [(1, f"{wide} token={wide} {wide[:3]}{'a1' * 14}{wide}", "s"), (1, f"{wide} token={wide} {wide[:3]}{'a1' * 14}{wide}", "s")]
+    long = " ".join(f"{i:032x}" for i in range(32_000))
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string")
+    got = [r.spans for r in secret_scan.digests(secret_scan.secret_scan(df(rows))).collect()]
+    assert got == ["owned:0:22,assign:23:51,hex:53:83"] * 2
+    start = time.time()
+    r = secret_scan.digests(secret_scan.secret_scan(df([(5, long, "s")]))).first()
+    assert r.n_hex == 32_000 and r.spans.endswith(f"hex:{33 * 31_999}:{33 * 31_999 + 32}") and time.time() - start < 30
+
+
 def test_decontaminate_cases(spark):
     item = "One two three four five six seven eight nine ten eleven"
     docs = [(1, f"x {item.upper()} y"), (2, item.replace("six", "SIX,,").replace(" ", "--")), (3, item.replace("six", "sax")), (4, "a b"), (5, None), (6, "a c b"), (7, f"{item} {item}"), (1, f"x {item.upper()} y")]

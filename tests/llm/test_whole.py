@@ -1,33 +1,15 @@
 """Operators against plain versions of their whole job, written from the method and not from the code."""
 
 import random
-import re
 
 from corpusflow.llm import html_extract, line_dedup
+from tests.llm import brute
 
 
 def docs_frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-def without_any_repeated_window(rows, min_words=50):
-    """doc_id to the text without the lines of any run of at least min_words words that starts earlier too."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        lines = text.split("\n")
-        words = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in lines]
-        gone = set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                if sum(words[a : b + 1]) >= min_words:
-                    w = tuple(lines[a : b + 1])
-                    if w in seen:
-                        gone.update(range(a, b + 1))
-                    seen.add(w)
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text
-    return out
-
-
 def test_line_dedup_whole_removes_the_tails_of_repeated_runs(spark):
     r = random.Random(11)
     line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
@@ -40,10 +22,10 @@ def test_line_dedup_whole_removes_the_tails_of_repeated_runs(spark):
         for _ in range(r.randrange(5)):
             lines += r.choice(runs) if r.random() < 0.5 else [r.choice(pool) for _ in range(r.randrange(4))]
         rows.append((i, "\n".join(lines)))
-    got = {x.doc.doc_id: x.kept_text for x in line_dedup.line_dedup(docs_frame(spark, rows), whole=True).collect()}
-    assert got == without_any_repeated_window(rows)
+    got = {x.doc.doc_id: x.kept_text for x in line_dedup.line_dedup(docs_frame(spark, rows)).collect()}
+    assert got == brute.line_dedup(rows)
     assert got[2].split("\n")[1:] == ["own end"] and got[4] == "own" and got[5] == ""
-    short = {x.doc.doc_id: x.kept_text for x in line_dedup.line_dedup(docs_frame(spark, rows)).collect()}
+    short = {x.doc.doc_id: x.kept_text for x in line_dedup.line_dedup(docs_frame(spark, rows), whole=False).collect()}
     assert three[2] in short[2] and two[1] in short[4]  # what the windows that start at a line leave
 
 
