@@ -53,7 +53,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*(pieces_of(k, text) for k in PATTERNS))).alias("ps")
     numbered = docs.select(F.monotonically_increasing_id().alias("id"), "row", "owner", "repository", found)  # before a row is exploded
     rows = numbered.select("id", "row", "owner", "repository", F.explode("ps").alias("p"))
-    each = rows.select("id", "row", "owner", "repository", "p.kind", F.posexplode(F.arrays_zip(F.col("p.gaps").alias("gap"), F.col("p.found").alias("match"))).alias("i", "z"))
+    # the array is a column of its own, so that it isn't carried along with each of its elements
+    zipped = rows.select("id", "row", "owner", "repository", "p.kind", F.arrays_zip(F.col("p.gaps").alias("gap"), F.col("p.found").alias("match")).alias("zs"))
+    each = zipped.select("id", "row", "owner", "repository", "kind", F.posexplode("zs").alias("i", "z"))
     each = each.where("z.match is not null")
     upto = W.partitionBy("id", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("z.gap") + F.length("z.match")).over(upto).cast("int")
@@ -67,9 +69,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     placed = placed.where((F.length("value") >= F.col("least")) & mixed).drop("least")
     # a wide candidate that touches a base one adds nothing
     base = F.col("kind") < BASE_KINDS
-    by_start = W.partitionBy("id").orderBy("start")
-    behind = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, W.unboundedFollowing))
+    upto_here = lambda order: W.partitionBy("id").orderBy(order).rowsBetween(W.unboundedPreceding, 0)  # noqa: E731  grows by a row each step
+    behind = F.max(F.when(base, F.col("end"))).over(upto_here(F.asc("start")))
+    ahead = F.min(F.when(base, F.col("start"))).over(upto_here(F.desc("start")))
     touches = (F.coalesce(behind, F.lit(-1)) > F.col("start")) | F.coalesce(ahead < F.col("end"), F.lit(False))
     return placed.withColumn("touches", touches).where(base | ~F.col("touches")).drop("touches")
 
