@@ -82,24 +82,45 @@ def format_chats(rows: DataFrame) -> DataFrame:
     return back.select("conv_id", "formatted", "escape_level", sure.alias("turns"), loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once, however often and wherever it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Turns whose lengths are added up at a time.
+RUN = 256
+
+
 def loss_spans(formatted: Column) -> Column:
-    """(start, end) of the assistant bodies: what a loss mask covers."""
-    pieces = F.split(formatted, END + "\n?")
-
-    def step(acc: Column, t: Column) -> Column:
-        head = F.length(t) - F.length(F.regexp_extract(t, TURN, 3))
-        end = acc["at"] + F.length(t)
-        span = F.struct((acc["at"] + head).alias("start"), end.alias("end"))
-        mine = F.regexp_extract(t, TURN, 2) == "assistant"
-        return F.struct(
-            (end + F.lit(len(END) + 1)).cast("long").alias("at"),
-            F.when(mine, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    """(start, end) of the assistant bodies: what a loss mask covers.
 
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")
-    )
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["spans"]
+    A turn starts after all turns before it. Their lengths are added up by runs of RUN turns first, and of the turn's own run
+    those before it, so that long conversations don't add up everything for each turn.
+    """
+    add = lambda a, n: a + n
+    total = lambda lengths, first, n: F.aggregate(F.slice(lengths, first + 1, n), F.lit(0).cast("long"), add)
+
+    def spans(turns: Column) -> Column:
+        lengths = F.transform(turns, lambda t: (F.length(t) + len(END) + 1).cast("long"))
+        return bound(lengths, lambda ls: bound(runs(ls), lambda before: placed(turns, ls, before)))
+
+    def runs(ls: Column) -> Column:
+        """The length of all turns before each run."""
+        numbers = F.sequence(F.lit(0), F.floor(F.size(ls) / RUN).cast("int"))
+        sums = F.transform(numbers, lambda r: total(ls, r * RUN, F.lit(RUN)))
+        return bound(sums, lambda ss: F.transform(ss, lambda _, r: total(ss, F.lit(0), r)))
+
+    def placed(turns: Column, ls: Column, before: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            run = F.floor(i / RUN).cast("int")
+            start = F.get(before, run) + total(ls, run * RUN, i % RUN)
+            head = F.length(t) - F.length(F.regexp_extract(t, TURN, 3))
+            mine = F.regexp_extract(t, TURN, 2) == "assistant"
+            return F.when(mine, F.struct((start + head).alias("start"), (start + F.length(t)).alias("end")))
+
+        return F.array_compact(F.transform(turns, one))
+
+    return bound(F.split(formatted, END + "\n?"), lambda ps: bound(F.slice(ps, 1, F.size(ps) - 1), spans))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -79,6 +79,22 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """The loss mask of a long conversation, across the runs by which lengths are added up."""
+    n = 3 * chat_format.RUN + 5
+    rows = [(1, t, "assistant" if t % 3 == 1 else "user", "x" * (t % 7) + ("</turn>" if t % 50 == 1 else "")) for t in range(n)]
+    r = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    masked = [re.sub(r"(?s)\\(.)", r"\1", r.formatted[s.start : s.end]) for s in r.loss_spans]
+    assert masked == [text for _, _, role, text in rows if role == "assistant"] and len(masked) == 258
+
+
+def test_html_learns_from_pages_that_label_themselves(spark):
+    """Of many pages the few that have one article are found, whatever their place."""
+    rows = [(i, "u", "<p>no article</p>") for i in range(50)] + [(100, "u", "<div>menu</div><article><p>one two three</p></article>"), (101, "u", "<articles>x</articles>")]
+    learned = html_extract.learn(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=1)
+    assert learned["word p"] > learned["word div"]
+
+
 def test_html_cases(spark):
     page = """<html><head><title>no</title></head><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies here</div><main><h1>T&eacute;st</h1>
     <p>Hello <a href=x>big</a>\n world<br>line</p><aside>side words here many</aside><p>Second a &lt; b &amp; &#233;</p><form>Search now</form><script>var x="<p>no</p>";</script>
