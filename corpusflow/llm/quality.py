@@ -91,12 +91,14 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.nd
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most `sample` labelled documents(doc_id, text) that aren't held out, in one task.
 
-    labels(doc_id, quality): rows with a null are left out; of several rows of one document the smallest label counts.
+    labels(doc_id, quality): rows with a null are left out; of several rows of one document the smallest label counts, and of
+    several texts of one doc_id the smallest.
     Without any labelled document all weights are 0 and every score one half.
     """
     own = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded set, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # so many rows, however often a doc_id stands
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
