@@ -84,6 +84,43 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: P
     return (sums[ends] - sums[starts]) * down[starts]
 
 
+#: A prime modulus beside the power of two: strings that clash modulo all powers of two, whatever the base, don't modulo this.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_103_515_245
+PRIME_INVERSE = pow(PRIME_BASE, -1, PRIME)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1, modulo PRIME."""
+    out = np.ones(n, np.uint64)
+    known = 1
+    while known < n:
+        take = min(known, n - known)
+        out[known : known + take] = out[:take] * np.uint64(pow(base, known, PRIME)) % np.uint64(PRIME)
+        known += take
+    return out
+
+
+class PrimeHashes:
+    """Hashes below PRIME of any stretches of buffers of bytes; powers are grown as longer buffers come."""
+
+    def __init__(self) -> None:
+        self.up, self.down = prime_powers(PRIME_BASE, 2), prime_powers(PRIME_INVERSE, 2)
+        self.sums = np.zeros(1, np.uint64)
+
+    def load(self, data: np.ndarray) -> None:
+        if len(self.up) <= len(data):
+            self.up, self.down = prime_powers(PRIME_BASE, len(data) + 1), prime_powers(PRIME_INVERSE, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)  # of terms below 2 ** 39, added up by pieces that stay below 2 ** 64
+        for at in range(0, len(data), 1 << 20):
+            some = slice(at, min(at + (1 << 20), len(data)))
+            np.cumsum((data[some].astype(np.uint64) + np.uint64(1)) * self.up[some], out=self.sums[at + 1 : some.stop + 1])
+            self.sums[at + 1 : some.stop + 1] = (self.sums[at + 1 : some.stop + 1] + self.sums[at]) % np.uint64(PRIME)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        p = np.uint64(PRIME)
+        return (self.sums[ends] + p - self.sums[starts]) % p * self.down[starts] % p
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of the runs of bytes that aren't white space; no word crosses the bounds of a text."""
     gap = np.ones(len(data) + 1, bool)

@@ -37,7 +37,7 @@ BLOCK = 16
 #: at: start << 16 | count << 8 | ahead, or start << 16 | length.
 ITEM = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("at", pa.int64())])
 ITEM_DDL = "kind byte, key long, ctx long, doc long, tie long, at long"
-#: A second polynomial, for contexts and whole windows.
+#: A second polynomial, for contexts and whole windows. As both are modulo 2 ** 64, a third one modulo a prime goes with it.
 SECOND = arrays.mixed(arrays.BYTE_VALUES)
 NO_ID = -(1 << 63)
 
@@ -49,10 +49,10 @@ def identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64("doc", "text")).select("doc", "tie", "text")
 
 
-def items_of(sums: np.ndarray, sums2: np.ndarray, keys: tuple, start: np.ndarray, count: np.ndarray, ahead: np.ndarray, power) -> tuple:
+def items_of(sums: np.ndarray, sums2: np.ndarray, prime: arrays.PrimeHashes, keys: tuple, start: np.ndarray, count: np.ndarray, ahead: np.ndarray, power) -> tuple:
     """(key, ctx) of items: keys is (start, end) of the bytes they are found by; places are those in the buffer."""
     key = arrays.mixed(arrays.span_hashes(sums, *keys, power) + (keys[1] - keys[0]).astype(np.uint64))
-    ctx = arrays.span_hashes(sums2, start, start + count + WINDOW, power)
+    ctx = arrays.span_hashes(sums2, start, start + count + WINDOW, power) ^ arrays.mixed(prime(start, start + count + WINDOW))
     return key, arrays.mixed(ctx + (count << 8 | ahead).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -104,7 +104,7 @@ def folded(key, ctx, doc, tie, at) -> Iterator[pa.RecordBatch]:
 
 
 def first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    power = arrays.Powers()
+    power, prime = arrays.Powers(), arrays.PrimeHashes()
     for batch in batches:
         docs, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for first, data, bounds in arrays.chunks(batch.column(2)):
@@ -113,7 +113,8 @@ def first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(start):
                 continue
             text = np.searchsorted(bounds, start, "right") - 1
-            key, ctx = items_of(sums, sums2, (anchor, anchor + SEED), start, count, anchor - start, power)
+            prime.load(data)
+            key, ctx = items_of(sums, sums2, prime, (anchor, anchor + SEED), start, count, anchor - start, power)
             at = (start - bounds[text]) << 16 | count << 8 | (anchor - start)
             yield from folded(key, ctx, docs[first + text], ties[first + text], at)
 
@@ -122,7 +123,7 @@ def next_digit(last: bool):
     """The items of docs(doc, tie, text, items) as finer ones: blocks, or single suffixes if last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = arrays.Powers()
+        power, prime = arrays.Powers(), arrays.PrimeHashes()
         for batch in batches:
             docs, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             lists = batch.column(3)
@@ -149,7 +150,8 @@ def next_digit(last: bool):
                     keys, off = (start, start + WINDOW), np.zeros(len(start), np.int64)
                 else:
                     keys, off = (anchor - block * BLOCK, anchor - block * BLOCK + WINDOW - BLOCK + 1), hi
-                key, ctx = items_of(sums, sums2, keys, start, count, off, power)
+                prime.load(data)
+                key, ctx = items_of(sums, sums2, prime, keys, start, count, off, power)
                 if len(start):
                     yield from folded(key, ctx, docs[first + text], ties[first + text], (start - bounds[text]) << 16 | count << 8 | off)
 

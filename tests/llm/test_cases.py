@@ -167,6 +167,59 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == brute.cut_repeats(rows)
 
 
+def test_quality_trainer_equals_plain_updates(spark):
+    """Follow-the-regularised-leader updates, a coordinate at a time in plain Python, and scores as plain dot products."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for _ in range(60):
+        at = sorted(r.sample(range(40), 6))
+        rows.append((np.array(at), np.array([r.choice([0.5, 1.0, 2.0]) for _ in at])))
+        labels.append(int(sum(at) % 3 == 0))
+    z, n, bias = {}, {}, 1 << quality.BITS
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for (at, values), label in zip(rows, labels):
+            x = {**dict(zip(at.tolist(), values.tolist())), bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.learn(rows, labels)
+    assert np.allclose(got, [weight(i) for i in range(bias + 1)]) and np.count_nonzero(got) > 10
+    texts = ["Some words, some WORDS again 12", "a", "", None, LONG[:5000]]
+    w = np.random.default_rng(1).normal(size=bias + 1).astype(np.float32)
+    scored = {x.doc_id: x.score for x in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), w).collect()}
+    plain = {k: float(w[at] @ values) for k, at, values in quality.vectors(pa.array(texts), arrays.Powers())}
+    assert all(abs(scored[k] - 1 / (1 + np.exp(-(plain.get(k, 0.0) + float(w[-1]))))) < 1e-4 for k in range(len(texts)))
+
+
+def test_prime_hashes_depend_on_content_alone():
+    r = np.random.default_rng(8)
+    data = r.integers(0, 256, 3000, dtype=np.uint8)
+    data[2000:2400] = data[100:500]
+    prime = arrays.PrimeHashes()
+    prime.load(data)
+    starts = np.array([100, 2000, 101, 0])
+    a, b, c, d = prime(starts, starts + 400).tolist()
+    assert a == b and len({a, c, d}) == 3
+    assert a == sum((int(x) + 1) * pow(arrays.PRIME_BASE, k, arrays.PRIME) for k, x in enumerate(data[100:500])) % arrays.PRIME
+
+
+def test_suffix_dedup_tells_thue_and_morse_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = sorted(map(tuple, suffix_dedup.suffix_dedup(frame(spark, rows)).drop("kept").collect()))
+    assert got == brute.cut_repeats(rows)
+
+
 @pytest.mark.parametrize("seed", [3, 67])
 def test_ngram_join_equals_brute_force(spark, seed):
     r = random.Random(seed)
