@@ -311,7 +311,8 @@ def unit_runs(units: DataFrame) -> DataFrame:
     its category flips; comments right above a flip move to the next run.
     """
     order = W.partitionBy("doc").orderBy("start_row")
-    after = F.first(F.when(F.col("category") != "comment", F.col("category")), ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    upwards = W.partitionBy("doc").orderBy(F.desc("start_row")).rowsBetween(W.unboundedPreceding, 0)  # a frame that only grows
+    after = F.last(F.when(F.col("category") != "comment", F.col("category")), ignorenulls=True).over(upwards)
     # a comment counts as what follows it; at the end of a document or above a definition, as other code
     side = F.when(F.col("category") == "definition", "definition").otherwise(F.when(after == "import", "imports").otherwise("module_code"))
     rows = units.withColumn("side", side)
