@@ -30,6 +30,8 @@ from corpusflow.session import written
 MIN_WORDS = 50
 #: Documents with removed lines up to which their spans are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: A rank is hot if it has more than one in HOT of the repeated suffixes: so there are fewer than HOT hot ones.
+HOT = 1000
 
 SUFFIX = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("m", pa.int32()), ("back", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -78,10 +80,21 @@ def digest(*parts: str) -> list[Column]:
     return [F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b")]
 
 
+def matched(rows: DataFrame, ranks: DataFrame, how: str) -> DataFrame:
+    """rows joined with written ranks(a, b, n, ...): hot ones, such as that of a line that very many documents have, by a
+    broadcast of fewer than HOT rows, so that they stay where they are; the others by a shuffle."""
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    hot = ranks.where(F.col("n") * HOT > total).drop("n")
+    if hot.isEmpty():
+        return rows.join(ranks.drop("n"), ["a", "b"], how)
+    cold = rows.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti")
+    return rows.join(F.broadcast(hot), ["a", "b"], how).unionByName(cold.join(ranks.where(F.col("n") * HOT <= total).drop("n"), ["a", "b"], how))
+
+
 def repeated(suffix: DataFrame) -> DataFrame:
     """Those whose rank another suffix has too. The counts fold in the tasks that read the rows."""
-    many = suffix.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return suffix.join(many, ["a", "b"], "left_semi")
+    many = written(suffix.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "lines-many")
+    return matched(suffix, many, "left_semi")
 
 
 def windows(suffix: DataFrame, whole: bool = True) -> DataFrame:
@@ -109,7 +122,7 @@ def covered(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) ->
     found = windows(written(suffixes(docs, min_words), "lines-suffix"), whole)
     place = F.struct("doc_id", "row", "pos")
     first = written(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "lines-first")
-    later = found.join(first, ["a", "b"]).where(place != F.col("first"))
+    later = matched(found, first, "inner").where(place != F.col("first"))
     return later.groupBy("row").agg(F.collect_list(F.struct("pos", "m")).alias("spans"))
 
 

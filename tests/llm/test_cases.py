@@ -140,7 +140,9 @@ def test_decontaminate_cases(spark):
     assert got == [(1, 13, 11, 1, True), (1, 13, 11, 1, True), (2, 11, 11, 1, True), (3, 11, 0, 0, False), (4, 2, 2, 1, True), (5, 0, 0, 0, False), (6, 3, 0, 0, False), (7, 22, 22, 1, True)]
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [2, 1000, 10**9])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(7)
     pool = [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice([0, 1, 3, 12, 26, 55]))) for _ in range(40)]
     runs = [[r.choice(pool) for _ in range(r.randrange(2, 9))] for _ in range(8)]
