@@ -221,7 +221,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), "doc_id", F.sha1("text").alias("hash"))
     live = d.where("doc_id % 10 != 3").select("rel_path", F.when(F.col("doc_id") % 10 == 4, "x").when(F.col("doc_id") % 10 != 5, F.col("hash")).alias("hash"))
     asked = questions(spark, sf_dir).select("question_id", "embedding").withColumn("question", F.lit("where"))
-    # a question is a vector of the index: its own chunk is left out by a flag on the file, question by question, so by the caller here
+    # a question is a vector of the index, so the caller ranks without its own chunk
     plain = tags(spark, sf_dir).withColumns({"is_test": F.lit(False), "is_changelog": F.lit(False)})
     hits = raw_hits(spark, sf_dir, 30).join(asked.select("question_id"), "question_id")
     ranked = search.demote(hits, asked.select("question_id", "question"), plain, 10)

@@ -426,3 +426,31 @@ def test_narrowed_notes_and_holdout(spark):
     r = evaluate.batching_decision(runs, 100).first()
     assert (r.per_file, r.cross_file, round(r.speedup, 3), r.seconds, r.decision) == (2000.0, 900.0, 2.222, 200.0, "build")
     assert evaluate.batching_decision(runs, 50).first().decision == "skip"
+
+
+def test_retrieve_in_order(spark):
+    """A hit on a part is the whole chunk, gone files drop out before the budget, stale ones stay, flagged ones never show."""
+    kind = "id string, rel_path string, kind string, parent string, symbol string, ordinal int, part int, part_count int, start_line int, end_line int, text string, names array<string>"
+    rows = [
+        ("a0", "a.py", "function", None, "f", 0, 0, 2, 1, 2, "one\ntwo", ["f"]), ("a1", "a.py", "function", None, "f", 0, 1, 2, 2, 3, "two\nthree", ["f"]),
+        ("b", "b.py", "function", None, "g", 0, None, None, 1, 1, "b" * 300, ["g"]), ("c", "c.py", "function", None, "h", 0, None, None, 1, 1, "gone", ["h"]),
+        ("d", "d.py", "function", None, "i", 0, None, None, 1, 1, "flagged", ["i"]), ("e", "test_e.py", "function", None, "j", 0, None, None, 1, 1, "e" * 600, ["j"]),
+    ]
+    chunks = spark.createDataFrame(rows, kind)
+    score = {"d": 0.99, "c": 0.98, "a1": 0.97, "e": 0.96, "b": 0.9, "a0": 0.5}
+    vectors = spark.createDataFrame([(i, [s, math.sqrt(1 - s * s)]) for i, s in score.items()], "id string, embedding array<double>").join(
+        spark.createDataFrame([(i, k) for k, i in enumerate(score)], "id string, number long"), "id"
+    )
+    names = vectors.select("id", "number")
+    numbered = lambda df: df.join(names, "id").drop("id").withColumnRenamed("number", "id")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "where")], "question_id long, embedding array<double>, question string")
+    tags = numbered(chunks.select("id", F.startswith("rel_path", F.lit("test_")).alias("is_test"), F.lit(False).alias("is_changelog")))
+    stored = spark.createDataFrame([(f"{x}.py", "1") for x in ("a", "b", "c", "test_e")], "rel_path string, hash string")
+    live = spark.createDataFrame([("a.py", "2"), ("b.py", "1"), ("test_e.py", "1")], "rel_path string, hash string")
+    flagged = spark.createDataFrame([("d.py",)], "rel_path string")
+    for budget_, kept in ((1000, [True, True, True]), (24 + 4 + 24 + 100, [True, True, False]), (24 + 4 + 24 + 99, [True, False, False])):
+        out = passages.retrieve(asked, numbered(vectors.select("id", "embedding")), numbered(chunks), flagged, tags, stored, live, ("m", 2), 10, budget_).orderBy("rank").collect()
+        assert [(r.rel_path, r.status, r.text[:13], r.parts) for r in out] == [
+            ("a.py", "stale", "one\ntwo\nthree", [0, 1]), ("b.py", "fresh", "b" * 13, [0]), ("test_e.py", "fresh", "e" * 13, [0])
+        ]
+        assert [r.kept for r in out] == kept and [r.cost for r in out] == [28, 124, 224]
