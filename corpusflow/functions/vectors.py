@@ -20,15 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """V1: unit length, in doubles. The length is worked out once a vector: it stands beside the values in a fold's end."""
-    zero = F.struct(F.lit(0.0).alias("squares"), v.alias("own"))
-    add = lambda s, x: F.struct((s["squares"] + x.cast("double") * x.cast("double")).alias("squares"), s["own"].alias("own"))
+    """V1: unit length, in doubles. The vector and its length are worked out once, not for each of its values."""
 
-    def scaled(s: Column) -> Column:
-        lengths = F.array_repeat(F.sqrt(s["squares"]), F.size(s["own"]))
-        return F.zip_with(s["own"], lengths, lambda x, n: x.cast("double") / n)
+    def scaled(own: Column) -> Column:
+        return F.zip_with(own, F.array_repeat(norm(own), F.size(own)), lambda x, n: x.cast("double") / n)
 
-    return F.aggregate(v, zero, add, scaled)
+    return F.get(F.transform(F.array(v), scaled), F.lit(0))
 
 
 def vector_faults(v: Column, dim: int) -> Column:
