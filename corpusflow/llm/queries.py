@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup
+from corpusflow.llm import (
+    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, period_runs, quality, secret_scan, suffix_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, docs, table(spark, sf_dir, "labels"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.period_runs(table(spark, sf_dir, "documents"), period_runs.planted)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -198,5 +208,8 @@ FROM d LEFT JOIN z USING (doc_id)
 ORACLES["op9_line_dedup_whole"] = ORACLES["op9_line_dedup"]
 
 
+ORACLES["op12_merkle_manifest"] = merkle.oracle()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
