@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import (
-    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, period_runs, quality, secret_scan, suffix_dedup,
+    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, period_runs, quality, secret_scan, suffix_dedup, suffix_tree,
 )
 
 
@@ -93,6 +93,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.language_model(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
