@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators import search
 from corpusflow.operators.budget import PASSAGE_OVERHEAD, fit_to_budget
+from corpusflow.session import written
 
 # Limits and wordings of the context text.
 MAX_FILES, MAX_NAMES, MAX_REASON = 20, 8, 100
+MISSING = "[... part %d of %d not available ...]"
+GAP_PARTS, GAP_LINES = "[... parts %d-%d not shown ...]", "[... lines %d-%d not shown ...]"
 NONE_FOUND = "No matching code was found."
 OVER_BUDGET = "The best match is longer than the space available and is shown on its own."
 
@@ -88,7 +91,7 @@ def stitch_markers(parts: DataFrame, keys: list[str]) -> DataFrame:
     lists = parts.groupBy(*keys).agg(F.max("part_count").alias("n"), F.map_from_entries(F.collect_list(F.struct("part", "text"))).alias("have"))
     each = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.coalesce(F.try_element_at("have", i), F.format_string("[... part %d of %d not available ...]", i + 1, F.col("n"))),
+        lambda i: F.coalesce(F.try_element_at("have", i), F.format_string(MISSING, i + 1, F.col("n"))),
     )
     return lists.select(*keys, F.array_join(each, "\n").alias("text"))
 
@@ -283,36 +286,128 @@ def assemble_context(blocks: DataFrame, asked: DataFrame, max_tokens: int) -> Da
     return out.withColumn("tokens_used", tx.estimate_tokens(F.col("text")))
 
 
-def expanded(hits: DataFrame, chunks: DataFrame, max_tokens: int) -> DataFrame:
-    """question_id, rank, score, rel_path, kind, parent, symbol, names, start_line, end_line, text, parts, part_count
-    of the passages of hits(question_id, id, score, rank).
+def runs_of_parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first_part, last_part, starts, ends, exact, text of each run of consecutive parts of rows(keys, part, start_line, end_line, synthetic, text).
 
-    chunks(id, rel_path, kind, parent, symbol, ordinal, part, part_count, start_line, end_line, text, names). A hit on one part
-    stands for the whole chunk; parts that don't fit together are joined with markers; over the ceiling it is narrowed.
+    exact is P4's text, null where the lines don't fit together or stand for other lines; text is then the parts' texts in order.
     """
-    keyed = chunks.withColumn("key", passage_key())
-    found = hits_to_passages(hits, chunks).withColumn("pid", F.to_json("key"))
+    k = [*keys, "run"]
+    rows = rows.withColumn("run", F.col("part") - F.row_number().over(W.partitionBy(*keys).orderBy("part")))
+    exact = stitch_lines(rows.select(*k, "part", "start_line", "end_line", "text"), k).withColumnRenamed("text", "exact")
+    plain = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "\n")
+    about = rows.groupBy(*k).agg(
+        F.min("part").alias("first_part"), F.max("part").alias("last_part"), F.min_by("start_line", "part").alias("starts"), F.max_by("end_line", "part").alias("ends"),
+        F.max("synthetic").alias("synthetic"), plain.alias("plain"),
+    )
+    out = about.join(exact, k).withColumn("exact", F.when(~F.col("synthetic"), F.col("exact")))
+    return out.withColumn("text", F.coalesce("exact", "plain")).drop("run", "synthetic", "plain")
+
+
+def whole_texts(parts: DataFrame, stored: DataFrame | None = None, live: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """P3 to P7 in their order: pid, text, source, complete, missing, have, any_synthetic, split, part_count, start_line, end_line.
+
+    parts(pid, rel_path, kind, part, part_count, start_line, end_line, synthetic, split, text). A chunk that isn't split is its own
+    text. If no part is missing, lines that fit together are joined (P4), parts of a class overview keep their header once (P5).
+    Otherwise, if the first and last part are there, the live lines between them count (P7), as long as the file is the one
+    that was indexed; lines(rel_path, line_no, line) has them. What is left shows what there is and a marker for each missing part
+    (P6), and isn't complete.
+    """
+    about = parts.groupBy("pid").agg(
+        F.first("rel_path").alias("rel_path"), F.min_by("kind", "part").alias("kind"), F.min_by("part_count", "part").alias("part_count"), F.array_sort(F.collect_set("part")).alias("have"),
+        F.max("synthetic").alias("any_synthetic"), F.min("synthetic").alias("all_synthetic"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"),
+        F.max("split").alias("split"), F.min_by("text", "part").alias("own"),
+    )
+    about = about.withColumn("missing", missing_parts(F.col("have"), F.col("part_count")))
+    whole = F.size("missing") == 0
+    heads = about.where(whole & F.col("all_synthetic") & (F.col("kind") == "class_overview")).select("pid")
+    overviews = stitch_overview(parts.join(heads, "pid", "left_semi").select("pid", "part", "text"), ["pid"]).withColumnRenamed("text", "overview")
+    runs = runs_of_parts(parts, ["pid"])
+    first = runs.where("first_part = 0").select("pid", "exact")
+    pieces = runs.groupBy("pid").agg(F.collect_list(F.struct(F.col("first_part").alias("at"), "text")).alias("pieces"))
+    both = about.join(first, "pid", "left").join(overviews, "pid", "left").join(pieces, "pid")
+    known = F.when(~F.col("split"), F.col("own")).when(whole & ~F.col("any_synthetic"), F.col("exact")).when(whole, F.col("overview"))
+    both = both.withColumn("known", known)
+    if lines is not None:
+        ends = F.array_contains("have", 0) & F.array_contains("have", F.col("part_count") - 1)
+        wanted = both.where(F.col("known").isNull() & ends).select("pid", "rel_path", "start_line", "end_line")
+        both = both.join(stitch_from_source(wanted, lines, live, stored).withColumnRenamed("text", "read"), "pid", "left")
+    else:
+        both = both.withColumn("read", F.lit(None).cast("string"))
+    marks = F.transform("missing", lambda n: F.struct(n.alias("at"), F.format_string(MISSING, n + 1, F.col("part_count")).alias("text")))
+    marked = F.array_join(F.transform(F.array_sort(F.concat("pieces", marks)), lambda p: p["text"]), "\n")
+    from_file = F.col("known").isNull() & F.col("read").isNotNull()
+    return both.select(
+        "pid", F.coalesce("known", "read", marked).alias("text"), F.when(from_file, "file").otherwise("index").alias("source"), (F.col("known").isNotNull() | from_file).alias("complete"),
+        "missing", "have", "any_synthetic", "split", "part_count", "start_line", "end_line",
+    )
+
+
+def narrowed_texts(shown: DataFrame, texts: DataFrame) -> DataFrame:
+    """question_id, pid, text, parts, ranges, start_line, end_line of the parts shown: their runs, and a line for each gap.
+
+    shown(question_id, pid, part, start_line, end_line, synthetic, text), texts as of whole_texts. Parts that stand for other lines
+    have gaps named by part and the range of the whole chunk.
+    """
+    keys = ["question_id", "pid"]
+    runs = runs_of_parts(shown, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first_part", "last_part", "starts", "ends", "text"))).alias("rs"))
+    info = texts.select("pid", "have", "part_count", F.col("any_synthetic").alias("odd"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    rows = runs.join(info, "pid")
+    end = F.get("rs", F.size("rs") - 1)
+    none = F.array().cast("array<string>")
+
+    def gap(a: Column, b: Column, first: Column, last: Column) -> Column:
+        return F.array(F.when(F.col("odd"), F.format_string(GAP_PARTS, a + 1, b + 1)).otherwise(F.format_string(GAP_LINES, first, last)))
+
+    def block(r: Column, i: Column) -> Column:
+        before = F.get("rs", i - 1)
+        lead = F.when((i == 0) & (r["first_part"] > 0) & F.array_contains("have", 0), gap(F.lit(0), r["first_part"] - 1, F.col("lo"), r["starts"] - 1))
+        lead = lead.when(i > 0, gap(before["last_part"] + 1, r["first_part"] - 1, before["ends"] + 1, r["starts"] - 1)).otherwise(none)
+        return F.concat(lead, F.array(r["text"]))
+
+    tail = F.when((end["last_part"] != F.col("part_count") - 1) & F.array_contains("have", F.col("part_count") - 1), gap(end["last_part"] + 1, F.col("part_count") - 1, end["ends"] + 1, F.col("hi"))).otherwise(none)
+    own = F.transform("rs", lambda r: F.struct(r["starts"].alias("first"), r["ends"].alias("last")))
+    return rows.select(
+        *keys, F.array_join(F.concat(F.flatten(F.transform("rs", block)), tail), "\n").alias("text"), F.flatten(F.transform("rs", lambda r: F.sequence(r["first_part"], r["last_part"]))).alias("parts"),
+        F.when(F.col("odd"), F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last")))).otherwise(own).alias("ranges"),
+        F.when(F.col("odd"), F.col("lo")).otherwise(F.get("rs", F.lit(0))["starts"]).alias("start_line"), F.when(F.col("odd"), F.col("hi")).otherwise(end["ends"]).alias("end_line"),
+    )
+
+
+def expanded(hits: DataFrame, chunks: DataFrame, max_tokens: int, stored: DataFrame | None = None, live: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """The passages of hits(question_id, id, score, rank).
+
+    question_id, rank, score, rel_path, kind, parent, symbol, names, start_line, end_line, text, parts (those that there are, of a
+    narrowed one those shown), part_count, source, complete, missing, narrowed, ranges (lines shown) and whole (lines of all of it).
+    chunks(id, rel_path, kind, parent, symbol, ordinal, part, part_count, start_line, end_line, text, names, and synthetic for parts
+    whose text isn't the lines they name). A hit on one part stands for the whole chunk, whose text whole_texts() chooses; a
+    split chunk over the ceiling is narrowed.
+    """
+    synthetic = F.coalesce("synthetic", F.lit(False)) if "synthetic" in chunks.columns else F.lit(False)
+    keyed = chunks.withColumns({"key": passage_key(), "synthetic": synthetic})
+    found = written(hits_to_passages(hits, chunks).withColumn("pid", F.to_json("key")), "passages")
     pids = found.select("key", "pid").distinct()
-    parts = keyed.join(pids, keyed["key"].eqNullSafe(pids["key"])).drop("key").withColumns({"part": F.coalesce("part", F.lit(0)), "part_count": F.coalesce("part_count", F.lit(1))})
-    size = parts.groupBy("pid").agg((F.sum(tx.estimate_tokens(F.col("text"))) + PASSAGE_OVERHEAD).alias("size"))
-    long = size.where(F.col("size") > ceiling_tokens(max_tokens)).select("pid")
+    parts = keyed.join(pids, keyed["key"].eqNullSafe(pids["key"])).drop("key")
+    parts = parts.withColumns({"split": F.col("part").isNotNull(), "part": F.coalesce("part", F.lit(0)), "part_count": F.coalesce("part_count", F.lit(1))})
+    parts = written(parts, "passage-parts")
+    texts = written(whole_texts(parts, stored, live, lines), "passage-texts")
+    long = texts.where(F.col("split") & (tx.estimate_tokens(F.col("text")) + PASSAGE_OVERHEAD > ceiling_tokens(max_tokens))).select("pid")
     shown = narrow(parts.join(long, "pid", "left_semi").select("pid", "part", "text"), found.join(long, "pid", "left_semi").select("question_id", "pid", "part_scores"), narrow_target(max_tokens))
-    whole = found.join(long, "pid", "left_anti").select("question_id", "pid").join(parts.select("pid", "part"), "pid")
-    rows = whole.unionByName(shown.select("question_id", "pid", "part")).join(parts, ["pid", "part"])
-    keys = ["question_id", "pid"]
-    exact = stitch_lines(rows.select(*keys, "part", "start_line", "end_line", "text"), keys).withColumnRenamed("text", "exact")
-    marked = stitch_markers(rows.select(*keys, "part", "part_count", "text"), keys).withColumnRenamed("text", "marked")
-    about = rows.groupBy(*keys).agg(
-        *(F.first(c).alias(c) for c in ("rel_path", "kind", "parent", "symbol")), F.first("names").alias("names"), F.min("start_line").alias("start_line"),
-        F.max("end_line").alias("end_line"), F.array_sort(F.collect_list("part")).alias("parts"), F.max("part_count").alias("part_count"),
+    cut = narrowed_texts(shown.join(parts.select("pid", "part", "start_line", "end_line", "synthetic", "text"), ["pid", "part"]), texts)
+    cut = cut.select("question_id", "pid", F.struct("text", "parts", "ranges", "start_line", "end_line").alias("cut"))
+    about = parts.groupBy("pid").agg(*(F.min_by(c, "part").alias(c) for c in ("rel_path", "kind", "parent", "symbol", "names")))
+    both = found.select("question_id", "pid", "rank", "score").join(about, "pid").join(texts, "pid").join(cut, ["question_id", "pid"], "left")
+    narrowed = F.col("cut").isNotNull()
+    span = F.struct(F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    return both.select(
+        "question_id", "rank", "score", "rel_path", "kind", "parent", "symbol", "names", F.coalesce("cut.start_line", "start_line").alias("start_line"), F.coalesce("cut.end_line", "end_line").alias("end_line"),
+        F.coalesce("cut.text", "text").alias("text"), F.coalesce("cut.parts", "have").alias("parts"), "part_count", F.when(narrowed, "index").otherwise(F.col("source")).alias("source"),
+        (F.col("complete") & ~narrowed).alias("complete"), "missing", narrowed.alias("narrowed"), F.coalesce("cut.ranges", F.array(span)).alias("ranges"), span.alias("whole"),
     )
-    joined = found.select(*keys, "rank", "score").join(about, keys).join(exact, keys).join(marked, keys)
-    return joined.withColumn("text", F.coalesce("exact", "marked")).drop("exact", "marked", "pid")
 
 
 def retrieve(
     questions: DataFrame, vectors: DataFrame, chunks: DataFrame, flagged: DataFrame, tags: DataFrame, stored: DataFrame, live: DataFrame, index: tuple, k: int, max_tokens: int,
-    floor: float = -1.0, margin: float = 2.0,
+    floor: float = -1.0, margin: float = 2.0, lines: DataFrame | None = None,
 ) -> DataFrame:
     """The passages of questions in their order: V10, P1 to P9, P10.
 
@@ -320,12 +415,12 @@ def retrieve(
     kept and over_budget. Those with kept false are what didn't fit.
     """
     hits = search.search(questions, vectors, chunks.select("id", "rel_path"), flagged, tags, index, index, k, floor, margin)
-    return retrieve_hits(hits.select("question_id", "id", "score", "rank"), chunks, stored, live, max_tokens)
+    return retrieve_hits(hits.select("question_id", "id", "score", "rank"), chunks, stored, live, max_tokens, lines)
 
 
-def retrieve_hits(hits: DataFrame, chunks: DataFrame, stored: DataFrame, live: DataFrame, max_tokens: int) -> DataFrame:
-    """P16 from ranked hits(question_id, id, score, rank) on."""
-    fresh = freshness(expanded(hits, chunks, max_tokens), stored, live).where("status != 'deleted'")
+def retrieve_hits(hits: DataFrame, chunks: DataFrame, stored: DataFrame, live: DataFrame, max_tokens: int, lines: DataFrame | None = None) -> DataFrame:
+    """P16 from ranked hits(question_id, id, score, rank) on; lines(rel_path, line_no, line) of the live files, if they can be read."""
+    fresh = freshness(expanded(hits, chunks, max_tokens, stored, live, lines), stored, live).where("status != 'deleted'")
     return fit_to_budget(fresh.withColumn("cost", tx.estimate_tokens(F.col("text")) + PASSAGE_OVERHEAD), max_tokens)
 
 

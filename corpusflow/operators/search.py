@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.session import written
 
-#: Questions scored in one pass over the vectors: the block that is broadcast is bounded, more questions take more passes.
+#: Questions in a block, which a task scores at a time.
 QUESTION_BLOCK = 4096
 #: Scores that a task holds at a time.
 SCORES = 1 << 23
@@ -52,12 +51,63 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def block_topk(block: np.ndarray, ids: list, vectors: DataFrame, k: int, not_self: bool) -> DataFrame:
-    """question_id, id, score: the best k of each partition for each question of the block, ties by id."""
-    shared = vectors.sparkSession.sparkContext.broadcast((block, np.array(ids)))
+#: A block of questions: their ids, unit vectors and least scores (of interest) or -inf.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Bytes of vectors that a task holds at a time, and of question vectors in a round, where questions come by the shuffle.
+PIECE_BYTES, ROUND_BYTES = 32 << 20, 64 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, own = shared.value
+
+def block_of(ids: pa.Array, embeddings: pa.Array, least: pa.Array, dim: int) -> Block:
+    return ids.to_numpy(zero_copy_only=False), unit_rows(embeddings, dim), least.to_numpy(zero_copy_only=False)
+
+
+def per_question(questions: DataFrame, rows: DataFrame, run: Callable[[Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, block: int | None = None) -> DataFrame:
+    """run(block of questions, batches of rows) over parts of rows and all questions(question_id, embedding, least).
+
+    Up to QUESTION_BLOCK questions are one block, which is broadcast. More are numbered blocks in a table: rows are dealt into
+    pieces of bounded size by the hash of their id, every piece meets every block of a round by the shuffle, and a round has
+    blocks of ROUND_BYTES at most, so that rows are scanned once for it. Nothing of it passes through the driver.
+    """
+    block = block or QUESTION_BLOCK
+    first = questions.select(F.size("embedding")).first()
+    n, dim = questions.count() if first else 0, first[0] if first else 0
+    spark = rows.sparkSession
+    if not n:
+        return spark.createDataFrame([], schema)
+    questions = questions.select("question_id", "embedding", F.col("least").cast("double").alias("least"))
+    if n <= block:
+        t = questions.toArrow().combine_chunks()  # `block` rows at most
+        shared = spark.sparkContext.broadcast(block_of(*(t.column(c).combine_chunks() for c in range(3)), dim))
+        return rows.mapInArrow(lambda batches: run(shared.value, batches), schema)
+    count = -(-n // block)
+    numbered = written(questions.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(count))), "question-blocks")
+    pieces = max(1, -(-rows.count() * 8 * dim // PIECE_BYTES))
+    left = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)))
+    names = [f.name for f in rows.schema.fields]
+
+    def meet(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        for b in np.unique(asked.column("block").to_numpy()).tolist():
+            t = asked.filter(pa.array(asked.column("block").to_numpy() == b))
+            own = block_of(*(t.column(c).combine_chunks() for c in ("question_id", "embedding", "least")), dim)
+            out += run(own, iter(mine.select(names).to_batches()))
+        return pa.Table.from_batches(out) if out else pa.table({c.split()[0]: pa.array([], KINDS[c.split()[1]]) for c in schema.split(", ")})
+
+    step, parts = max(1, ROUND_BYTES // (8 * dim * block)), []
+    for at in range(0, count, step):
+        some = numbered.where((F.col("block") >= at) & (F.col("block") < at + step)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+        parts.append(left.groupBy("piece").cogroup(some.groupBy("piece")).applyInArrow(meet, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+KINDS = {"long": pa.int64(), "double": pa.float64()}
+
+
+def best_rows(k: int, not_self: bool) -> Callable[[Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For per_question: question_id, id, score of the best k of some rows(id, embedding), ties by id."""
+
+    def run(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, questions, _ = block
         best_id, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
         for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -68,115 +118,179 @@ def block_topk(block: np.ndarray, ids: list, vectors: DataFrame, k: int, not_sel
             best_id, best = best_of(best_id, best, ids, score, k)
         ok = np.isfinite(best)
         question = np.broadcast_to(own[:, None], best.shape)[ok] if best.size else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(question), pa.array(best_id[ok]), pa.array(best[ok])], names=["question_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(best_id[ok]), pa.array(best[ok], pa.float64())], names=["question_id", "id", "score"])
 
-    return vectors.select("id", "embedding").mapInArrow(run, "question_id long, id long, score double")
+    return run
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 
 
-def topk(questions: DataFrame, vectors: DataFrame, k: int, not_self: bool = False) -> DataFrame:
+def topk(questions: DataFrame, vectors: DataFrame, k: int, not_self: bool = False, block: int | None = None) -> DataFrame:
     """V2: question_id, id, score, raw_rank; exact cosine, score descending, then id.
 
-    questions(question_id long, embedding), vectors(id long, embedding). Questions are taken to the tasks in blocks of at
-    most QUESTION_BLOCK vectors; each task keeps k rows a question, so only those are shuffled.
+    questions(question_id long, embedding), vectors(id long, embedding). Each task keeps k rows a question, so only those are
+    shuffled; see per_question() for how questions come to the vectors.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    rows = questions.select("question_id", "embedding").orderBy("question_id").toLocalIterator()
-    parts: list[DataFrame] = []
-    ids: list = []
-    block: list = []
-
-    def flush() -> None:
-        if ids and k:
-            m = np.array(block, dtype=np.float64)
-            parts.append(block_topk(m / np.sqrt((m * m).sum(axis=1))[:, None], list(ids), vectors, k, not_self))
-        ids.clear()
-        block.clear()
-
-    for row in rows:
-        ids.append(row.question_id)
-        block.append(row.embedding)
-        if len(ids) == QUESTION_BLOCK:
-            flush()
-    flush()
-    spark = vectors.sparkSession
-    found = parts[0] if parts else spark.createDataFrame([], "question_id long, id long, score double")
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
+    asked = questions.select("question_id", "embedding", F.lit(float("-inf")).alias("least"))
+    return ranked(per_question(asked.limit(0) if not k else asked, vectors.select("id", "embedding"), best_rows(k, not_self), "question_id long, id long, score double", block), k)
 
 
-def cell_topk(block: np.ndarray, ids: list, probed: np.ndarray, placed: DataFrame, k: int) -> DataFrame:
-    """question_id, id, score: the best k of each partition of placed(id, embedding, cell) for each question, in its probed cells only."""
-    shared = placed.sparkSession.sparkContext.broadcast((block, np.array(ids), probed))
+#: Sampled vectors for each cell that the centres are fitted on, and slack for rounding in bounds.
+FITTED, SLACK = 64, 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, own, probed = shared.value
-        best_id, best = np.zeros((len(own), k), np.int64), np.full((len(own), k), -np.inf)
-        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
-            vec_ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-            unit = unit_rows(batch.column(1), questions.shape[1])
-            for c in np.unique(cell):
-                asked, here = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
-                if not len(asked):
-                    continue
-                score = np.clip(np.round(questions[asked] @ unit[here].T, 12), -1, 1)
-                best_id[asked], best[asked] = best_of(best_id[asked], best[asked], vec_ids[here], score, k)
-        ok = np.isfinite(best)
-        question = np.broadcast_to(own[:, None], best.shape)[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(question), pa.array(best_id[ok]), pa.array(best[ok])], names=["question_id", "id", "score"])
 
-    return placed.select("id", "embedding", "cell").mapInArrow(run, "question_id long, id long, score double")
+class VectorIndex:
+    """V3: codes(id, cell, code, scale, error) of all vectors, and of each cell the centre, radius (angle) and share of vectors."""
 
+    def __init__(self, codes: DataFrame, centres: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> None:
+        self.codes, self.centres, self.radius, self.sizes = codes, centres, radius, sizes
 
-def topk_cells(questions: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, seed: int = 7) -> DataFrame:
-    """V3: question_id, id, score, raw_rank, scanned; exact top-k by k-means cells.
 
-    Each question is scored in its `probes` nearest cells first, then in all cells that the angles to their centres and
-    their radii don't exclude by the k-th score so far. scanned is the share of all vectors that the question was scored with.
+def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> VectorIndex:
+    """V3: an index of vectors(id, embedding).
+
+    A code has a byte for each dimension of the unit vector; error is the length of what it loses, so that a score from the code
+    is wrong by that at most. Cells, by default as many as the root of the number of vectors, 4,096 at most, are those of the
+    nearest centre; centres are fitted (k-means) on the FITTED * cells vectors with the smallest hash of their id.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    as_doubles = F.transform("embedding", lambda x: x.cast("double"))
-    vs = vectors.select("id", "embedding", array_to_vector(as_doubles).alias("features"))
-    model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(vs)
-    placed = written(model.transform(vs).select("id", "embedding", F.col("prediction").alias("cell")), "cells-placed")
+    cells = max(1, min(cells or round(vectors.count() ** 0.5), 4096))
+    some = vectors.orderBy(F.xxhash64("id"), "id").limit(FITTED * cells)
+    some = some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(some)
     centres = np.array(model.clusterCenters(), dtype=np.float64)
     centres /= np.sqrt((centres * centres).sum(axis=1))[:, None]
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 15):
+            unit = unit_rows(batch.column(1), shared.value.shape[1])
+            near = unit @ shared.value.T
+            cell = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+            scale = np.abs(unit).max(axis=1) / 127
+            digits = np.round(unit / scale[:, None]).astype(np.int8)
+            lost = unit - digits * scale[:, None]
+            raw = [row.tobytes() for row in digits]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(cell), pa.array(raw, pa.binary()), pa.array(scale), pa.array(np.sqrt((lost * lost).sum(axis=1))), pa.array(angle)],
+                names=["id", "cell", "code", "scale", "error", "angle"],
+            )
+
+    codes = written(vectors.select("id", "embedding").mapInArrow(code, "id long, cell long, code binary, scale double, error double, angle double"), "index-codes")
+    sizes, radius = np.zeros(len(centres)), np.zeros(len(centres))
+    for r in codes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a cell
+        sizes[r.cell], radius[r.cell] = r.n, r.angle
+    return VectorIndex(codes.drop("angle"), centres, radius, sizes / max(1.0, sizes.sum()))
+
+
+def coded_rows(index: VectorIndex, k: int, probes: int, first: bool) -> Callable[[Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For per_question over codes: question_id, id, low, high (bounds of the score) of rows that can be among the best k.
+
+    first: in each question's `probes` nearest cells; else in the other cells that can hold a score of `least`. A row stays if its
+    high is at least `least` and the k-th low of these rows.
+    """
+    centres, radius = index.centres, index.radius
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, questions, least = block
+        seen = visited(questions, least, centres, radius, probes, first)
+        lows = np.full((len(own), k), -np.inf)
+        out: list[tuple[np.ndarray, ...]] = []
+        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
+            ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            scale, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+            digits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(len(ids), -1)
+            for c in np.unique(cell):
+                asked, here = np.flatnonzero(seen[:, c]), np.flatnonzero(cell == c)
+                if not len(asked):
+                    continue
+                score = questions[asked] @ (digits[here] * scale[here, None]).T
+                low = score - error[here] - SLACK
+                kth = np.concatenate([lows[asked], low], axis=1)
+                lows[asked] = -np.partition(-kth, k - 1, axis=1)[:, :k]
+                limit = np.maximum(lows[asked].min(axis=1), least[asked])
+                q, v = np.nonzero(score + error[here] + SLACK >= limit[:, None])
+                out.append((asked[q], ids[here[v]], low[q, v], score[q, v] + error[here[v]] + SLACK))
+        if out:
+            q, v, low, high = (np.concatenate(c) for c in zip(*out))
+            ok = high >= lows.min(axis=1)[q]
+            yield pa.RecordBatch.from_arrays([pa.array(own[q[ok]], pa.int64()), pa.array(v[ok], pa.int64()), pa.array(low[ok]), pa.array(high[ok])], names=["question_id", "id", "low", "high"])
+
+    return run
+
+
+def visited(questions: np.ndarray, least: np.ndarray, centres: np.ndarray, radius: np.ndarray, probes: int, first: bool) -> np.ndarray:
+    """Which cells each question visits: its nearest, or the others that its least score doesn't exclude."""
+    angle = np.arccos(np.clip(questions @ centres.T, -1, 1))
+    near = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1) < probes
+    if first:
+        return near
+    # no vector of a cell is nearer than the angle to its centre less its radius
+    return ~near & (np.cos(np.clip(angle - radius - 1e-6, 0, np.pi)) >= least[:, None] - SLACK)
+
+
+def search_index(questions: DataFrame, vectors: DataFrame, index: VectorIndex, k: int, probes: int = 4, block: int | None = None) -> DataFrame:
+    """V3: question_id, id, score, raw_rank, coded, scanned; the same top-k as exact search.
+
+    The codes in a question's nearest cells give k scores that it reaches at least; other cells are visited unless their centre
+    and radius exclude that score, and only vectors whose code allows it are scored exactly. coded and scanned are the shares of
+    all vectors whose code, and whose vector, was looked at.
+    """
+    if not k:
+        return vectors.sparkSession.createDataFrame([], "question_id long, id long, score double, raw_rank int, coded double, scanned double")
+    asked = questions.select("question_id", "embedding", F.lit(float("-inf")).alias("least"))
+    kinds = "question_id long, id long, low double, high double"
+    codes = index.codes.select("id", "cell", "code", "scale", "error")
+    kth = W.partitionBy("question_id").orderBy(F.desc("low"))
+
+    def reached(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(kth)).where(F.col("nth") == k).select("question_id", F.col("low").alias("least"))
+
+    near = written(per_question(asked, codes, coded_rows(index, k, probes, True), kinds, block), "index-near")
+    bounded = written(asked.drop("least").join(reached(near), "question_id", "left").fillna(float("-inf"), ["least"]), "index-questions")
+    rest = written(near.unionByName(per_question(bounded, codes, coded_rows(index, k, probes, False), kinds, block)), "index-candidates")
+    some = rest.join(reached(rest), "question_id", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("question_id", "id")
+    some = written(some, "index-scored")
+    total = index.codes.count()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 14):
+            dim = index_dim
+            score = np.clip(np.round((unit_rows(batch.column(2), dim) * unit_rows(batch.column(3), dim)).sum(axis=1), 12), -1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["question_id", "id", "score"])
+
+    index_dim = index.centres.shape[1]
+    both = some if some.count() > BROADCAST_PAIRS else F.broadcast(some)
+    pairs = vectors.select("id", "embedding").join(both, "id").join(questions.select("question_id", F.col("embedding").alias("asked")), "question_id")
+    scored = pairs.select("question_id", "id", "asked", "embedding").mapInArrow(exact, "question_id long, id long, score double")
+    sizes, centres, radius = index.sizes, index.centres, index.radius
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cell = batch.column(1).to_numpy(zero_copy_only=False)
-                cos = (unit_rows(batch.column(0), centres.shape[1]) * centres[cell]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["cell", "angle"])
+            own, unit, least = block_of(batch.column(0), batch.column(1), batch.column(2), centres.shape[1])
+            seen = visited(unit, least, centres, radius, probes, True) | visited(unit, least, centres, radius, probes, False)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen @ sizes)], names=["question_id", "coded"])
 
-    sizes, radius = np.zeros(len(centres)), np.zeros(len(centres))
-    angles = placed.select("embedding", "cell").mapInArrow(spread, "cell int, angle double")
-    for r in angles.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a cell
-        sizes[r.cell], radius[r.cell] = r.n, r.angle
-    order = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    ranked = lambda hits: hits.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
-    spark, parts = vectors.sparkSession, []
-    rows = questions.select("question_id", "embedding").orderBy("question_id").toLocalIterator()
-    while k and (some := list(islice(rows, QUESTION_BLOCK))):
-        ids, block = [r.question_id for r in some], np.array([r.embedding for r in some], dtype=np.float64)
-        block /= np.sqrt((block * block).sum(axis=1))[:, None]
-        angle = np.arccos(np.clip(block @ centres.T, -1, 1))
-        first = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1) < probes
-        hits = written(ranked(cell_topk(block, ids, first, placed, k)).drop("raw_rank"), "cells-first")
-        worst = dict(hits.groupBy("question_id").agg(F.min("score"), F.count("*")).where(F.col("count(1)") == k).drop("count(1)").collect())
-        # no vector of a cell is nearer than the angle to its centre less its radius; the slack is for rounding
-        bound = np.cos(np.clip(angle - radius - 1e-6, 0, np.pi))
-        rest = ~first & (bound >= np.array([worst.get(i, -1.0) for i in ids])[:, None] - 1e-9)
-        scanned = (first | rest) @ sizes / max(1.0, sizes.sum())
-        shares = spark.createDataFrame([(i, float(x)) for i, x in zip(ids, scanned)], "question_id long, scanned double")
-        both = hits.unionByName(cell_topk(block, ids, rest, placed, k)) if rest.any() else hits
-        parts.append(ranked(both).join(F.broadcast(shares), "question_id").select("question_id", "id", "score", "raw_rank", "scanned"))
-    empty = spark.createDataFrame([], "question_id long, id long, score double, raw_rank int, scanned double")
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+    coded = bounded.select("question_id", "embedding", "least").mapInArrow(share, "question_id long, coded double")
+    shares = coded.join(some.groupBy("question_id").agg((F.count("*") / F.lit(float(max(1, total)))).alias("scanned")), "question_id")
+    return ranked(scored, k).join(shares, "question_id").select("question_id", "id", "score", "raw_rank", "coded", "scanned")
+
+
+#: Pairs of question and vector (16 bytes each) up to which they are broadcast to the vectors.
+BROADCAST_PAIRS = 500_000
+
+
+def topk_cells(questions: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int = 4, seed: int = 7) -> DataFrame:
+    """V3 at once: build_index() and search_index()."""
+    return search_index(questions, vectors, build_index(vectors, cells, seed), k, probes)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -160,10 +160,10 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: recall of the cells against exact search, and the share of the vectors that they were scored with."""
+    """V3: recall of the index against exact search, and the shares of the vectors whose code, and which, were looked at."""
     q, v = questions(spark, sf_dir), vectors(spark, sf_dir)
-    found = search.topk_cells(q, v, 11, cells=22, probes=8)
-    shares = found.where("raw_rank = 1").select("question_id", "scanned")
+    found = search.topk_cells(q, v, 11)
+    shares = found.where("raw_rank = 1").select("question_id", "coded", "scanned")
     return search.recall(found.where("id != question_id"), raw_hits(spark, sf_dir, 10)).join(shares, "question_id", "left")
 
 

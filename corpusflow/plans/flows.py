@@ -153,10 +153,42 @@ h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 SELECT question_id, id, round(score, 6) AS score, raw_rank FROM h WHERE raw_rank <= 11""")
 def cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: the index gives what exact search gives."""
-    out = search.topk_cells(questions(spark, sf_dir), vectors(spark, sf_dir), 11, cells=22, probes=8)
+    out = search.topk_cells(questions(spark, sf_dir), vectors(spark, sf_dir), 11)
     return out.select("question_id", "id", F.round("score", 6).alias("score"), "raw_rank")
 
 
+#: Copies of each vector in a clustered table, moved a little in each dimension by a rule.
+COPIES = 20
+CLUSTER_SQL = f"""c AS (SELECT vec_id * {COPIES} + j AS id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + ((vec_id * 31 + j * 17 + (i - 1) * 7) % 101 - 50) / 2500.0) AS embedding FROM embeddings, range({COPIES}) t(j)),
+cq AS (SELECT id AS question_id, embedding AS qv FROM c WHERE id % {50 * COPIES} = 0),
+ca AS (SELECT question_id, id, round(greatest(-1, least(1, list_dot_product(qv, embedding) / sqrt(list_dot_product(qv, qv)) / sqrt(list_dot_product(embedding, embedding)))), 12) AS score FROM cq, c),
+ch AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS raw_rank FROM ca)"""
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + ((F.col("id") * 31 + F.col("j") * 17 + i * 7) % 101 - 50) / 2500.0)
+    return v.withColumn("embedding", moved).select((F.col("id") * COPIES + F.col("j")).alias("id"), "embedding")
+
+
+@query(f"WITH {CLUSTER_SQL} SELECT question_id, id, round(score, 6) AS score, raw_rank FROM ch WHERE raw_rank <= 10")
+def clustered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 over a table of narrow clusters; a question is one of the vectors."""
+    v = clustered(spark, sf_dir)
+    asked = v.where(F.col("id") % (50 * COPIES) == 0).withColumnRenamed("id", "question_id")
+    return search.topk_cells(asked, v, 10).select("question_id", "id", F.round("score", 6).alias("score"), "raw_rank")
+
+
+@query(f"WITH {CLUSTER_SQL} SELECT question_id, count(*) AS wanted, count(*) AS found, true AS few_codes, true AS few_vectors FROM ch WHERE raw_rank <= 10 GROUP BY question_id")
+def clustered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: what the index finds of exact search, and whether less than half of the codes and a tenth of the vectors were looked at."""
+    v = clustered(spark, sf_dir)
+    asked = v.where(F.col("id") % (50 * COPIES) == 0).withColumnRenamed("id", "question_id")
+    found = search.topk_cells(asked, v, 10)
+    shares = found.where("raw_rank = 1").select("question_id", (F.col("coded") < 0.5).alias("few_codes"), (F.col("scanned") < 0.1).alias("few_vectors"))
+    return search.recall(found, search.topk(asked, v, 10)).join(shares, "question_id").select("question_id", F.col("wanted").cast("long").alias("wanted"), F.col("found").cast("long").alias("found"), "few_codes", "few_vectors")
+
+
 PARTS_SQL = """n AS (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(ceil(len(string_split(text, chr(10))) / 9) AS BIGINT) AS n FROM documents),
 p AS (SELECT doc_id AS pid, l, n, CAST(unnest(range(n)) AS INTEGER) AS part FROM n), have AS (SELECT *, array_to_string(l[part * 9 + 1:part * 9 + 12], chr(10)) AS text FROM p WHERE NOT (pid % 7 = 0 AND part = 1))"""
 
@@ -229,6 +261,57 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("rel_path").cast("long").alias("id"), "status", "cost", "kept")
 
 
+CASES_SQL = f"""d AS (SELECT doc_id, doc_id % 8 AS c, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS k FROM documents),
+n AS (SELECT *, CASE WHEN c = 6 THEN k WHEN c = 7 THEN greatest(1, CAST(ceil(length(text) / 60) AS BIGINT)) ELSE greatest(1, CAST(ceil((k - 1) / 2) AS BIGINT)) END AS n FROM d),
+m AS (SELECT *, CASE WHEN c = 3 AND n >= 2 THEN 'first' WHEN c = 4 AND n >= 2 THEN 'last' WHEN c IN (2, 5) AND n >= 3 THEN 'middle' ELSE 'none' END AS miss FROM n),
+t AS (SELECT doc_id, c, n, miss, CASE WHEN c = 5 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN c = 7 OR (c = 2 AND miss = 'middle') THEN 'file' ELSE 'index' END AS source,
+  miss = 'none' OR c = 2 AS complete, CASE WHEN miss = 'first' THEN 3 ELSE 1 END AS start_line, CASE WHEN miss = 'last' THEN 2 * n - 1 ELSE k END AS end_line,
+  CASE WHEN c = 6 THEN 'class ' || doc_id || ':' || chr(10) || array_to_string(list_transform(l, lambda x, i: (i - 1) || ' ' || x), chr(10))
+    WHEN miss = 'first' THEN '[... part 1 of ' || n || ' not available ...]' || chr(10) || array_to_string(l[3:], chr(10))
+    WHEN miss = 'last' THEN array_to_string(l[:2 * n - 1], chr(10)) || chr(10) || '[... part ' || n || ' of ' || n || ' not available ...]'
+    WHEN miss = 'middle' AND c = 5 THEN array_to_string(l[:3], chr(10)) || chr(10) || '[... part 2 of ' || n || ' not available ...]' || chr(10) || array_to_string(l[5:], chr(10))
+    ELSE text END AS text FROM m)"""
+
+
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks in eight cases by doc_id: whole; three-line windows that share a line, complete, without the second part, the
+    first, the last, the second again; overview parts of one line behind a header; cuts of 60 characters."""
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 8).cast("int").alias("c"), F.split("text", "\n").alias("l")).withColumn("k", F.size("l"))
+    n = F.when(F.col("c") == 6, F.col("k")).when(F.col("c") == 7, F.greatest(F.lit(1), F.ceil(F.length("text") / 60).cast("int"))).otherwise(F.greatest(F.lit(1), F.ceil((F.col("k") - 1) / 2).cast("int")))
+    rows = d.withColumn("n", F.when(F.col("c") == 0, 1).otherwise(n)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    i, c = F.col("i"), F.col("c")
+    lost = ((c == 3) & (F.col("n") >= 2) & (i == 0)) | ((c == 4) & (F.col("n") >= 2) & (i == F.col("n") - 1)) | (c.isin(2, 5) & (F.col("n") >= 3) & (i == 1))
+    window = F.array_join(F.slice("l", 2 * i + 1, 3), "\n")
+    head = F.concat(F.lit("class "), F.col("doc_id").cast("string"), F.lit(":\n"), i.cast("string"), F.lit(" "), F.get("l", i))
+    odd = c >= 6
+    return rows.where(~lost).select(
+        F.concat_ws(":", "doc_id", i.cast("string")).alias("id"), F.col("doc_id").cast("string").alias("rel_path"), F.when(c == 6, "class_overview").otherwise("doc_text").alias("kind"), none.alias("parent"), none.alias("symbol"),
+        F.lit(0).alias("ordinal"), F.when(c > 0, i).alias("part"), F.when(c > 0, F.col("n")).alias("part_count"), F.when(odd | (c == 0), 1).otherwise(2 * i + 1).alias("start_line"),
+        F.when(odd | (c == 0), F.col("k")).otherwise(F.least(2 * i + 3, F.col("k"))).alias("end_line"), odd.alias("synthetic"),
+        F.when(c == 0, F.col("text")).when(c == 6, head).when(c == 7, F.substring("text", 60 * i + 1, F.lit(60))).otherwise(window).alias("text"), F.array().cast("array<string>").alias("names"),
+    )
+
+
+@query(f"""WITH {HITS_SQL}, {CASES_SQL}
+SELECT question_id, CAST(2 * raw_rank - 1 AS INTEGER) AS rank, id, status, source, complete, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(CASE WHEN miss = 'none' THEN 0 ELSE 1 END AS INTEGER) AS n_missing,
+  length(text) AS n_chars, sha256(text) AS text_sha256, length(text) // 3 + {OVERHEAD} AS cost FROM hits JOIN t ON doc_id = id WHERE raw_rank <= 10 AND doc_id % 16 <> 15""")
+def retrieved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P16 over split chunks with parts missing, overviews, cuts of lines, changed and deleted files; two parts of each chunk are hit."""
+    chunks = split_chunks(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), "doc_id", "text", F.sha1("text").alias("hash"))
+    live = d.where("doc_id % 16 != 15").select("rel_path", F.when(F.col("doc_id") % 8 == 5, "x").otherwise(F.col("hash")).alias("hash"))
+    ends = chunks.groupBy(F.col("rel_path").cast("long").alias("doc_id")).agg(F.min_by("id", "part").alias("a"), F.max_by("id", "part").alias("b"), F.first("id").alias("own"))
+    top = raw_hits(spark, sf_dir, 10).join(ends, F.col("id") == F.col("doc_id"))
+    hit = lambda c, extra: top.select("question_id", F.col(c).alias("id"), "score", (2 * F.col("raw_rank") - 1 + extra).alias("rank"))
+    hits = hit("a", 0).unionByName(hit("b", 1)).where("id is not null").unionByName(top.where("a is null").select("question_id", F.col("own").alias("id"), "score", (2 * F.col("raw_rank") - 1).alias("rank")))
+    out = passages.retrieve_hits(hits, chunks, d.select("rel_path", "hash"), live, 1 << 20, chunk.explode_lines(d.select("rel_path", "text")))
+    return out.select(
+        "question_id", F.col("rank").cast("int").alias("rank"), F.col("rel_path").cast("long").alias("id"), "status", "source", "complete", "start_line", "end_line", F.size("missing").alias("n_missing"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("cost").cast("long").alias("cost"),
+    )
+
+
 @query(f"""WITH {HITS_SQL} SELECT question_id, CAST(raw_rank AS INTEGER) AS pos, id, round(score, 6) AS score, coalesce(l.toxic = 1, false) AS is_test, coalesce(l.quality = 0, false) AS is_changelog,
   id || '|doc_text||' || lang || '|0|1' AS passage_key, length('### ' || id || ':1-' || len(string_split(text, chr(10))) || ' · ' || lang || ' (doc_text)' || chr(10) || '```' || chr(10) || text || chr(10) || '```') // 3 AS cost
 FROM hits JOIN documents d ON d.doc_id = id LEFT JOIN labels l ON l.doc_id = id WHERE raw_rank <= 30""")

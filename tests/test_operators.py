@@ -454,3 +454,60 @@ def test_retrieve_in_order(spark):
             ("a.py", "stale", "one\ntwo\nthree", [0, 1]), ("b.py", "fresh", "b" * 13, [0]), ("test_e.py", "fresh", "e" * 13, [0])
         ]
         assert [r.kept for r in out] == kept and [r.cost for r in out] == [28, 124, 224]
+
+
+PART = "pid string, rel_path string, kind string, part int, part_count int, start_line int, end_line int, synthetic boolean, split boolean, text string"
+
+
+def test_texts_of_split_chunks_in_their_order(spark):
+    """What counts as whole, when the file is read, and what is left shows its gaps."""
+    f = lambda pid, rel, *parts, kind="function": [(pid, rel, kind, *p[:-1], True, p[-1]) for p in parts]
+    rows = [
+        *f("whole", "a.py", (0, 3, 1, 2, False, "1\n2"), (1, 3, 2, 3, False, "2\n3"), (2, 3, 4, 4, False, "4")),
+        *f("middle", "a.py", (0, 3, 1, 1, False, "1"), (2, 3, 3, 4, False, "3\n4")),
+        *f("first", "a.py", (1, 3, 2, 3, False, "2\n3"), (2, 3, 3, 4, False, "3\n4")),
+        *f("last", "a.py", (0, 3, 1, 1, False, "1"), (1, 3, 2, 2, False, "2")),
+        *f("two runs", "b.py", (0, 6, 1, 2, False, "1\n2"), (1, 6, 2, 3, False, "2\n3"), (3, 6, 5, 5, False, "5"), (5, 6, 8, 8, False, "8")),
+        *f("misfit", "a.py", (0, 2, 1, 2, False, "1\n2"), (1, 2, 2, 3, False, "x\n3")),
+        *f("misfit, changed", "b.py", (0, 2, 1, 2, False, "1\n2"), (1, 2, 2, 3, False, "x\n3")),
+        *f("misfit, gone", "gone.py", (0, 2, 1, 1, False, "1"), (1, 2, 4, 4, False, "4")),
+        *f("beyond the file", "a.py", (0, 2, 1, 1, False, "1"), (1, 2, 4, 9, False, "4")),
+        *f("overview", "a.py", (0, 2, 1, 4, True, "class C:\n    x"), (1, 2, 1, 4, True, "class C:\n    y"), kind="class_overview"),
+        *f("overview without a header", "b.py", (0, 2, 1, 4, True, "a"), (1, 2, 1, 4, True, "b"), kind="class_overview"),
+        *f("overview, a part missing", "b.py", (0, 3, 1, 4, True, "class C:\n    x"), (2, 3, 1, 4, True, "class C:\n    z"), kind="class_overview"),
+        *f("cut line", "a.py", (0, 2, 3, 3, True, "3"), (1, 2, 3, 3, True, "")),
+    ]
+    rows.append(("plain", "a.py", "function", 0, 1, 1, 9, False, False, "not nine lines"))
+    lines = spark.createDataFrame([("a.py", k, str(k)) for k in range(1, 5)] + [("b.py", k, "new") for k in range(1, 9)], "rel_path string, line_no int, line string")
+    stored = spark.createDataFrame([("a.py", "1"), ("b.py", "1"), ("gone.py", "1")], "rel_path string, hash string")
+    live = spark.createDataFrame([("a.py", "1"), ("b.py", "2")], "rel_path string, hash string")
+    got = {r.pid: (r.text, r.source, r.complete, r.missing) for r in passages.whole_texts(spark.createDataFrame(rows, PART), stored, live, lines).collect()}
+    gap = "[... part {} of {} not available ...]".format
+    assert got == {
+        "whole": ("1\n2\n3\n4", "index", True, []), "middle": ("1\n2\n3\n4", "file", True, [1]), "first": (gap(1, 3) + "\n2\n3\n4", "index", False, [0]), "last": ("1\n2\n" + gap(3, 3), "index", False, [2]),
+        "two runs": (f"1\n2\n3\n{gap(3, 6)}\n5\n{gap(5, 6)}\n8", "index", False, [2, 4]), "misfit": ("1\n2\n3", "file", True, []), "misfit, changed": ("1\n2\nx\n3", "index", False, []),
+        "misfit, gone": ("1\n4", "index", False, []), "beyond the file": ("1\n4", "index", False, []), "overview": ("class C:\n    x\n    y", "index", True, []), "overview without a header": ("a\nb", "index", False, []),
+        "overview, a part missing": (f"class C:\n    x\n{gap(2, 3)}\nclass C:\n    z", "index", False, [1]), "cut line": ("3", "file", True, []), "plain": ("not nine lines", "index", True, []),
+    }
+    closed = {r.pid: r.source for r in passages.whole_texts(spark.createDataFrame(rows, PART)).collect()}
+    assert set(closed.values()) == {"index"}
+
+
+def test_narrowed_passages_name_what_they_leave_out(spark):
+    """P9 in P16: runs of shown parts with a line for each gap, by line or, where parts stand for other lines, by part."""
+    kind = "id long, rel_path string, kind string, parent string, symbol string, ordinal int, part int, part_count int, start_line int, end_line int, text string, names array<string>, synthetic boolean"
+    body = lambda k: "\n".join(f"{k}{'x' * 297}" for _ in range(3))  # noqa: E731  900 characters: 301 tokens
+    rows = [(k, "a.py", "function", None, "f", 0, k, 10, 3 * k + 1, 3 * k + 3, body(k), ["f"], False) for k in range(10)]
+    rows += [(20 + k, "b.py", "class_overview", None, "C", 0, k, 10, 1, 90, "class C:\n" + body(k), ["C"], True) for k in range(10)]
+    chunks = spark.createDataFrame(rows, kind)
+    hits = spark.createDataFrame([(1, 7, 0.9, 1), (1, 2, 0.8, 2), (1, 27, 0.7, 3), (2, 0, 0.5, 1)], "question_id long, id long, score double, rank int")
+    out = {(r.question_id, r.rel_path): r for r in passages.expanded(hits, chunks, 1250).collect()}
+    r = out[1, "a.py"]
+    assert r.narrowed and not r.complete and (r.parts, r.start_line, r.end_line) == ([2, 6, 7], 7, 24)
+    assert r.text.split("\n") == ["[... lines 1-6 not shown ...]", *body(2).split("\n"), "[... lines 10-18 not shown ...]", *body(6).split("\n"), *body(7).split("\n"), "[... lines 25-30 not shown ...]"]
+    assert [tuple(x) for x in r.ranges] == [(7, 9), (19, 24)] and tuple(r.whole) == (1, 30)
+    r = out[1, "b.py"]
+    assert (r.parts, r.start_line, r.end_line, [tuple(x) for x in r.ranges]) == ([6, 7, 8], 1, 90, [(1, 90)])
+    assert r.text.split("\n")[0] == "[... parts 1-6 not shown ...]" and r.text.split("\n")[-1] == "[... parts 10-10 not shown ...]"
+    r = out[2, "a.py"]
+    assert r.parts == [0, 1] and r.text.split("\n")[-1] == "[... lines 7-30 not shown ...]" and r.text.startswith("0xxx")
