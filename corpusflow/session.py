@@ -52,14 +52,15 @@ def shipped(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only in local mode may that be unset: a temporary folder is made and kept as the setting.
+    Only in local mode may that be unset: a temporary folder is made then, and kept with the application, as Spark lets nobody
+    change that setting while it runs.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_corpusflow_shared", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-corpusflow-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = context._corpusflow_shared = tempfile.mkdtemp(prefix="spark-corpusflow-", dir="/tmp")
     return base.rstrip("/")
 
 
