@@ -230,10 +230,15 @@ def stage_summary(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage", "split").agg(F.count("*").alias("n"), *tops, F.count_if("found").alias("in_context"))
 
 
-def rank_grid(stages: DataFrame, names: list[str]) -> DataFrame:
-    """question_id and a column for each stage: the rank, `*` after it when in context, `-` for a miss."""
-    cell = F.concat(F.coalesce(F.col("rank").cast("string"), F.lit("-")), F.when(F.col("found"), "*").otherwise(""))
-    return stages.withColumn("cell", cell).groupBy("question_id").pivot("stage", names).agg(F.first("cell"))
+def rank_grid(stages: DataFrame, names: list[str], causes: DataFrame | None = None) -> DataFrame:
+    """question_id and a column for each stage: the rank (`miss` without one), `*` after it when in context, `-` where the
+    stage doesn't have the question; with causes(question_id, cause) the cause of those that the last stage misses in context."""
+    cell = F.concat(F.coalesce(F.col("rank").cast("string"), F.lit("miss")), F.when(F.col("found"), "*").otherwise(""))
+    out = stages.withColumn("cell", cell).groupBy("question_id").pivot("stage", names).agg(F.first("cell")).fillna("-", names)
+    if causes is None:
+        return out
+    seen = F.col(names[-1]).endswith("*")
+    return out.join(causes.select("question_id", "cause"), "question_id", "left").withColumn("cause", F.when(~seen, F.coalesce("cause", F.lit("no pool saved"))))
 
 
 def holdout_verdict(off: DataFrame, on: DataFrame, final: bool) -> DataFrame:

@@ -142,6 +142,11 @@ def flag_failures(state: DataFrame, failures: DataFrame, succeeded: DataFrame) -
     return rows.withColumn("index_error", error).select(*state.columns)
 
 
+def failed_files(state: DataFrame) -> DataFrame:
+    """rel_path, index_error of the files whose last run failed; search hides their chunks."""
+    return state.where("index_error is not null").select("rel_path", "index_error")
+
+
 def skip_gate(failures: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
     """C14: new_failures, files, publish: whether failures that weren't known before stay within max(3, 5 %)."""
     new = failures.select("rel_path").distinct().join(known.select("rel_path"), "rel_path", "left_anti").agg(F.count("*").alias("new_failures"))
@@ -162,6 +167,16 @@ def document_chunks(chunks: DataFrame, rel_path: str) -> DataFrame:
     return chunks.where(F.col("rel_path") == rel_path).orderBy("start_line", F.coalesce("part", F.lit(0)), "id")
 
 
+def document_ids(chunks: DataFrame, rel_path: str | None = None) -> DataFrame:
+    """The ids of a document's chunks, or of all."""
+    return (chunks if rel_path is None else chunks.where(F.col("rel_path") == rel_path)).select("id").distinct()
+
+
+def file_states(files: DataFrame, rel_path: str | None = None) -> DataFrame:
+    """rel_path, hash, chunker_version (null if never recorded) of all files, or of one: no row if it is unknown."""
+    return (files if rel_path is None else files.where(F.col("rel_path") == rel_path)).select("rel_path", "hash", "chunker_version")
+
+
 def get_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """C17: rows in the order of wanted(pos, id): the first place of a repeated id counts, unknown ids are skipped."""
     first = wanted.groupBy("id").agg(F.min("pos").alias("pos"))

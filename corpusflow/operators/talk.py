@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import estimate_tokens
+from corpusflow.session import written
 
 TITLE_CHARS, ANSWER_CHARS, HISTORY_TOKENS = 60, 2000, 1500
 CHUNK_SCHEMA = (
@@ -32,15 +33,26 @@ def title_of(question: Column) -> Column:
     return F.substring(F.regexp_replace(F.trim(question), r"\s+", " "), 1, TITLE_CHARS)
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with their number, from 1, in order of keys: places in range partitions plus the rows of the partitions before."""
+    by = [F.col(c) for c in keys]
+    placed = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftrightunsigned("place", 33)
+    counts = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min("place").alias("low"))  # a row a partition
+    before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("task").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    shifts = counts.select(F.col("task").alias("of"), (before - F.col("low") + 1).alias("shift"))
+    return placed.join(F.broadcast(shifts), task == F.col("of")).withColumn(name, F.col("place") + F.col("shift")).drop("place", "of", "shift")
+
+
 def add_exchanges(conversations: DataFrame, messages: DataFrame, batch: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """Conversations and messages with batch(conversation_id, seq, question, answer, meta) added.
 
-    Question and answer rows come together; a title is set once, from the first question; ids go on from the largest.
+    Question and answer rows come together; a title is set once, from the first question; ids go on from the largest, in
+    order of conversation and seq.
     """
     base = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
     first = W.partitionBy("conversation_id").orderBy("seq")
-    at = F.row_number().over(W.orderBy("conversation_id", "seq"))  # a batch is what one writer appends, not the table
-    rows = batch.withColumn("n", at).withColumn("first", F.row_number().over(first) == 1).crossJoin(F.broadcast(base))
+    rows = numbered(batch, ["conversation_id", "seq"], "n").withColumn("first", F.row_number().over(first) == 1).crossJoin(F.broadcast(base))
     pair = F.array(
         F.struct((F.col("base") + 2 * F.col("n") - 1).alias("id"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("meta")),
         F.struct((F.col("base") + 2 * F.col("n")).alias("id"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("meta").alias("meta")),

@@ -148,3 +148,23 @@ def thinking_share(calls: DataFrame) -> DataFrame:
     think, answer = F.sum(F.coalesce("thinking_tokens", F.lit(0))), F.sum(F.coalesce("answer_tokens", F.lit(0)))
     rows = calls.groupBy("provider").agg(F.count("*").alias("calls"), think.alias("t"), answer.alias("a"))
     return rows.select("provider", "calls", F.when(F.col("t") + F.col("a") > 0, F.round(F.col("t") / (F.col("t") + F.col("a")), 4)).alias("thinking_share"))
+
+
+def usage_report(calls: DataFrame, limits: DataFrame, bounds: DataFrame, snapshots: DataFrame, now: str) -> DataFrame:
+    """A row for each provider that has limits, calls or a snapshot: origin, limits (rows of U7 in order), provider_reported
+    (rows of U10), closest (U11), requests, tokens, estimated_calls and thinking_share of all calls.
+
+    limits(provider, limits, origin) as of U5, snapshots(provider, headers, at) as of U8.
+    """
+    own = limit_report(limits, totals(calls, bounds), bounds, now)
+    told = bucket_now(snapshots, now)
+    rows = ["window_order", "kind_order", "window", "kind", "limit", "used", "percent", "reached", "resets_at", "resets_in", "tone"]
+    lists = own.groupBy("provider").agg(F.sort_array(F.collect_list(F.struct(*rows))).alias("limits"))
+    told_lists = told.groupBy("provider").agg(F.sort_array(F.collect_list(F.struct("kind", "limit", "remaining", "used", "percent", "full_again_in", "age"))).alias("provider_reported"))
+    near = closest_limit(own, told).select("provider", F.struct("source", "window", "kind", "percent").alias("closest"))
+    tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("thinking_tokens", F.lit(0)) + F.coalesce("answer_tokens", F.lit(0))
+    counts = calls.groupBy("provider").agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens"), F.count_if("estimated").alias("estimated_calls"))
+    out = limits.select("provider", "origin").join(counts, "provider", "full_outer").join(thinking_share(calls).drop("calls"), "provider", "left")
+    for part in (lists, told_lists, near):
+        out = out.join(part, "provider", "full_outer")
+    return out.fillna(0, ["requests", "tokens", "estimated_calls"]).withColumn("origin", F.coalesce("origin", F.lit("none")))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators import chunk, embed, evaluate, passages, search, sync, talk, usage
 from corpusflow.plans.catalogue import (
-    COS, DIM, FRESH_SQL, HITS_SQL, MODEL, NOW, OVERHEAD, PATH_SQL, Q_SQL, RANK_SQL, TALK_SQL, TOKENS, asked_texts, calls, eval_scores, limits_of, messages, new_chunks, old_chunks, page_files,
-    query, questions, ranked_passages, raw_hits, table, tags, vectors, window_parts,
+    BUCKET_SQL, COS, DIM, FRESH_SQL, HITS_SQL, MODEL, NOW, OVERHEAD, PATH_SQL, Q_SQL, RANK_SQL, REPORT_SQL, TALK_SQL, TOKENS, ZONE, asked_texts, calls, eval_scores, limits_of, messages, new_chunks, old_chunks, page_files,
+    query, questions, ranked_passages, raw_hits, snapshots, table, tags, vectors, window_parts,
 )
 from corpusflow.session import shared_dir
 from corpusflow.sources import files as source_files
@@ -76,6 +76,50 @@ def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_snapshot(spark, path)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN sha1(text || 'new') ELSE sha1(text) END AS hash, CASE WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS rows FROM documents WHERE doc_id % 100 <> 8
+UNION ALL SELECT -1 - doc_id, sha1(text), 1 FROM documents WHERE doc_id % 100 = 9""")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each hundred documents one changes and has two rows, one goes, one is new; the second version has those only, a replay nothing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("hash"), "text", F.lit(1).alias("rows"))
+    path = scratch_path(spark, "index")
+    store.publish(d.drop("text"), d, path, 0, ["doc_id"])
+    changed = d.where("doc_id % 100 = 7").withColumns({"hash": F.sha1(F.concat("text", F.lit("new"))), "rows": F.lit(2)}).drop("text")
+    fresh = d.where("doc_id % 100 = 9").withColumn("doc_id", -1 - F.col("doc_id")).drop("text")
+    touched = d.where("doc_id % 100 in (7, 8)").select("doc_id").unionByName(fresh.select("doc_id"))
+    for _ in range(2):
+        store.publish(changed.unionByName(changed).unionByName(fresh), touched, path, 1, ["doc_id"])
+    return store.read_index(spark, path).groupBy("doc_id", "hash").agg(F.sum(F.lit(1)).cast("int").alias("rows"))
+
+
+@query("""SELECT p, 'src1' AS rel_path, id, hash FROM (SELECT doc_id % 3 AS p, source, doc_id AS id, sha1(text) AS hash FROM documents) WHERE source = 'src1' AND p = 1
+UNION ALL SELECT doc_id % 3, source, NULL, CASE WHEN source = 'src2' THEN 'changed' ELSE sha1(source) END FROM documents WHERE doc_id % 3 = 2 GROUP BY ALL""")
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of stores laid out by project and path, the chunk ids and texts' hashes of one file of a project and the states of another's files."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("project_id"), F.col("source").alias("rel_path"), F.col("doc_id").alias("id"), F.sha1("text").alias("hash"))
+    chunks, files, key = scratch_path(spark, "chunks"), scratch_path(spark, "files"), ["project_id", "rel_path"]
+    store.publish(d, d, chunks, 0, key, ["project_id"])
+    states = d.select(*key).distinct().select(*key, F.sha1("rel_path").alias("hash"), F.lit("v1").alias("chunker_version"))
+    store.publish(states, states, files, 0, key, ["project_id"])
+    changed = states.where("rel_path = 'src2'").withColumn("hash", F.lit("changed"))
+    store.publish(changed, changed, files, 1, key, ["project_id"])
+    one = store.read_index(spark, chunks, {"project_id": 1, "rel_path": "src1"})
+    ids = sync.document_ids(one).join(one, "id").select(F.col("project_id").alias("p"), "rel_path", "id", "hash")
+    own = sync.file_states(store.read_index(spark, files, {"project_id": 2}))
+    return ids.unionByName(own.select(F.lit(2).cast("long").alias("p"), "rel_path", F.lit(None).cast("long").alias("id"), "hash"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '_private/' WHEN 1 THEN '.hidden/deep/' WHEN 2 THEN 'plain/' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '__init__' ELSE 'page' END || page_id || '.html' AS rel_path, html FROM pages WHERE html IS NOT NULL)
+SELECT rel_path, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha256 FROM p""")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, some with names, or in folders with names, that begin with a dot or an underscore."""
+    top = F.when(F.col("page_id") % 4 == 0, "_private/").when(F.col("page_id") % 4 == 1, ".hidden/deep/").when(F.col("page_id") % 4 == 2, "plain/").otherwise("")
+    name = F.concat(top, F.when(F.col("page_id") % 3 == 0, "__init__").otherwise("page"), F.col("page_id").cast("string"), F.lit(".html"))
+    root = scratch_path(spark, "tree")
+    source_files.write_files(table(spark, sf_dir, "pages").where("html is not null").select(name.alias("rel_path"), F.col("html").cast("binary").alias("content")), root)
+    out = source_files.scan_files(spark, root)
+    return out.select("rel_path", "size", F.sha2("content", 256).alias("sha256"))
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
 SELECT doc_id AS request_id, CASE WHEN doc_id % 10 = 9 THEN 'unknown' WHEN len(l) < 3 THEN 'past_end' ELSE 'ok' END AS status, doc_id % 10 = 9 OR doc_id % 2 = 1 AS stale,
   CASE WHEN doc_id % 10 <> 9 AND len(l) >= 3 THEN sha1(array_to_string(list_transform(l[3:8], lambda x: CASE WHEN length(x) > 2000 THEN left(x, 2000) || '…' ELSE x END), chr(10))) END AS sha1 FROM l""")
@@ -365,6 +409,36 @@ def limit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.validate_limits(limits_of(spark, sf_dir).withColumn("limits", zero))
 
 
+GRID_SQL = f"""{RANK_SQL}, g AS (SELECT question_id, coalesce(CAST(CASE WHEN rank <= 10 THEN rank END AS VARCHAR), 'miss') AS cell, coalesce(rank <= 3, false) AS seen FROM ranks)"""
+
+
+@query(f"""WITH {GRID_SQL} SELECT question_id, cell AS first, CASE WHEN question_id % 100 = 0 THEN '-' ELSE cell || CASE WHEN seen THEN '*' ELSE '' END END AS last,
+  CASE WHEN question_id % 100 = 0 OR NOT seen THEN CASE WHEN question_id % 150 = 0 THEN 'no pool saved' ELSE 'low' END END AS cause FROM g""")
+def rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages; the second lacks every second question, and causes are known but for those about tests."""
+    r = eval_scores(spark, sf_dir).select("question_id", "kind", F.when(F.col("rank") <= 10, F.col("rank")).alias("rank"))
+    first = r.select("question_id", "rank", F.lit("first").alias("stage"), F.lit(False).alias("found"))
+    last = r.where("question_id % 100 != 0").select("question_id", "rank", F.lit("last").alias("stage"), F.coalesce(F.col("rank") <= 3, F.lit(False)).alias("found"))
+    causes = r.where("question_id % 150 != 0").select("question_id", F.lit("low").alias("cause"))
+    return evaluate.rank_grid(first.unionByName(last), ["first", "last"], causes)
+
+
+@query(f"""WITH {REPORT_SQL}, {BUCKET_SQL}, c AS (SELECT provider, count(*) AS requests, CAST(sum(coalesce(pt, 0) + coalesce(tt, 0) + coalesce(at_, 0)) AS BIGINT) AS tokens, count(*) FILTER (estimated) AS estimated_calls,
+  round(sum(coalesce(tt, 0)) / sum(coalesce(tt, 0) + coalesce(at_, 0)), 4) AS thinking_share FROM calls GROUP BY provider),
+r AS (SELECT provider, string_agg(win || ' ' || kind || ' ' || used || '/' || lim, ', ' ORDER BY win_order, kind_order) AS limits FROM rep GROUP BY provider),
+t AS (SELECT provider, string_agg(kind || ' ' || remaining, ', ') AS reported FROM bucket GROUP BY provider),
+u AS (SELECT provider, 0 AS source, win_order, kind_order, round(100.0 * used / lim, 1) AS percent FROM rep UNION ALL SELECT provider, 1, 9, 1, round_even(100.0 * (lim - remaining) / lim, 1) FROM bucket),
+n AS (SELECT provider, max(percent) AS closest FROM u GROUP BY provider)
+SELECT provider, 'published' AS origin, requests, tokens, estimated_calls, thinking_share, limits, reported, closest FROM c LEFT JOIN r USING (provider) LEFT JOIN t USING (provider) LEFT JOIN n USING (provider)""")
+def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed report of each provider, its lists as text."""
+    bounds = usage.window_bounds(spark, NOW, ZONE)
+    out = usage.usage_report(calls(spark, sf_dir), limits_of(spark, sf_dir), bounds, snapshots(spark, sf_dir).withColumn("at", F.col("at.at")), NOW)
+    told = F.transform("limits", lambda r: F.format_string("%s %s %d/%d", r["window"], r["kind"], r["used"], r["limit"]))
+    reported = F.transform("provider_reported", lambda r: F.format_string("%s %d", r["kind"], r["remaining"]))
+    return out.select("provider", "origin", "requests", "tokens", "estimated_calls", "thinking_share", F.array_join(told, ", ").alias("limits"), F.array_join(reported, ", ").alias("reported"), F.col("closest.percent").alias("closest"))
+
+
 # --- conversations ---------------------------------------------------------------------------------------------------
 
 
@@ -417,9 +491,74 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: an index that grows by micro-batches of documents."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha1("text").alias("hash"))
     index = scratch_path(spark, "stream-index")
-    build = lambda batch, old: batch if old is None else old.unionByName(batch)
-    streams.stream_ingest(streamed(spark, d), index, scratch_path(spark, "stream-state"), build).awaitTermination()
-    return store.read_snapshot(spark, index)
+    streams.stream_ingest(streamed(spark, d), index, scratch_path(spark, "stream-state"), ["id"]).awaitTermination()
+    return store.read_index(spark, index)
+
+
+ANSWERS_SQL = """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS stream_id, sha256(string_agg(text, '' ORDER BY seq)) AS text_sha256, max(n) + CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END AS events,
+  CASE conv_id % 3 WHEN 0 THEN 'stopped' WHEN 1 THEN 'done' ELSE 'failed' END AS outcome FROM r GROUP BY conv_id"""
+
+
+@query(ANSWERS_SQL)
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: each conversation is a stream of its texts, a second apart; of each three one is done, one fails, one falls silent. Rows come
+    turn by turn; an event much later keeps time, so that silent ones end."""
+    c = table(spark, sf_dir, "conversations")
+    mine = chunk.W.partitionBy("conv_id").orderBy("turn")
+    rows = c.select("conv_id", "text", (F.row_number().over(mine) - 1).cast("long").alias("seq"), F.count("*").over(chunk.W.partitionBy("conv_id")).alias("n"))
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    said = rows.select(F.col("conv_id").cast("string").alias("stream_id"), "seq", F.lit("delta").alias("type"), "text", at(F.col("seq")).alias("at"))
+    last = rows.where("seq = n - 1 and conv_id % 3 != 0").select(
+        F.col("conv_id").cast("string"), F.col("n"), F.when(F.col("conv_id") % 3 == 1, "done").otherwise("error"), F.lit(None).cast("string"), at(F.col("n"))
+    )
+    events, path = said.union(last), scratch_path(spark, "answers")
+    middle = events.where("seq >= 2").unionByName(events.limit(0))
+    for some in (events.where("seq < 2"), middle, spark.range(1).select(F.lit("clock").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.lit("clock").alias("type"), F.lit(None).cast("string").alias("text"), at(F.lit(1_000_000)).alias("at"))):
+        some.coalesce(1).write.mode("append").parquet(path)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streams.stream_answers(streams.file_stream(spark, path, events.schema, 1))
+        done = scratch_path(spark, "answers-out")
+        out.writeStream.format("parquet").option("path", done).outputMode("append").option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return spark.read.schema(out.schema).parquet(done).select("stream_id", F.sha2("text", 256).alias("text_sha256"), "events", "outcome")
+
+
+def rolling_sql(length: str, slide: str, n: int) -> str:
+    """Sliding windows that begin on multiples of slide, n of them over each row."""
+    return f"""WITH c AS (SELECT 'p' || (user_id % 3) AS provider, ts, coalesce(CASE WHEN event_id % 9 <> 0 THEN CAST(floor(abs(value)) AS BIGINT) END, 0) + coalesce(CASE WHEN event_id % 2 = 0 THEN CAST(floor(abs(value) / 2) AS BIGINT) END, 0) + CAST(floor(abs(value) / 3) AS BIGINT) AS tokens FROM events)
+SELECT provider, time_bucket(INTERVAL '{slide}', ts) - i * INTERVAL '{slide}' AS starts, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM c, range({n}) t(i) GROUP BY ALL"""
+
+
+def rolling(spark: SparkSession, sf_dir: str, length: str, slide: str) -> DataFrame:
+    """Every seventh event comes in the last of three parts, behind events that are days newer, so that its windows are closed."""
+    c = calls(spark, sf_dir).select("id", "at", "provider", "prompt_tokens", "thinking_tokens", "answer_tokens")
+    path, side = scratch_path(spark, "stream"), scratch_path(spark, "late")
+    cut = F.lit("2024-01-15").cast("timestamp")
+    for some in (c.where((F.col("id") % 7 != 0) & (F.col("at") < cut)), c.where((F.col("id") % 7 != 0) & (F.col("at") >= cut)), c.where("id % 7 = 0")):
+        some.drop("id").coalesce(1).write.mode("append").parquet(path)
+    source = lambda: streams.file_stream(spark, path, c.drop("id").schema, 1)
+    kept = run_to_end(spark, streams.stream_usage(source(), length, slide), "update", ["provider", "window"])
+    streams.keep_late(source(), side, scratch_path(spark, "stream-state")).awaitTermination()
+    late = spark.read.schema(c.drop("id").schema).option("recursiveFileLookup", True).parquet(f"{side}/rows")
+    out = streams.recounted(kept, late, spark.read.schema(c.drop("id").schema).parquet(path), length, slide)
+    return out.select("provider", F.col("window.start").cast("timestamp_ntz").alias("starts"), "requests", "tokens")
+
+
+@query(rolling_sql("1 hour", "15 minutes", 4))
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the last hour at every quarter, with events far behind the watermark."""
+    return rolling(spark, sf_dir, "1 hour", "15 minutes")
+
+
+@query(rolling_sql("1 minute", "20 seconds", 3))
+def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the last minute, every twenty seconds, the same way."""
+    return rolling(spark, sf_dir, "1 minute", "20 seconds")
 
 
 @query("""SELECT 'p' || (user_id % 3) AS provider, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS requests,

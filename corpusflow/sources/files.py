@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.session import written
 from corpusflow.sources.schemas import EVENT_SCHEMA, QUESTION_SCHEMA, RUN_SCHEMA
 
 EVENT_TYPES = ("start", "stage", "thinking", "delta", "done", "error")
@@ -20,26 +22,67 @@ MAX_SLICE, MAX_LINE = 500, 2000
 FILE_DDL = "rel_path string, size long, mtime timestamp, content binary"
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
-    """(path, rel_path, size, milliseconds) of the files below root that Spark's sources skip: those with a name, or below a
-    folder with a name, that begins with a dot or an underscore. Only names come to the driver, as they do for any source."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    out, each = [], fs.listFiles(top, True)
-    while each.hasNext():
-        status = each.next()
-        rel = status.getPath().toUri().getPath().removeprefix(base)
-        if any(name[:1] in "._" for name in rel.split("/")):
-            out.append((status.getPath().toUri().toString(), rel, status.getLen(), status.getModificationTime()))
-    return out
+def system_of(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if re.match("file:/[^/]", path):
+        path = path.replace("file:/", "file:///", 1)
+    return arrow_fs.FileSystem.from_uri(path)
+
+
+def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rel_path, folder, size, mtime of what is in each folder (root, rel_path)."""
+    for batch in batches:
+        for root, rel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            system, top = system_of(root)
+            found = system.get_file_info(arrow_fs.FileSelector(f"{top.rstrip('/')}/{rel}".rstrip("/"), recursive=False))
+            names = [f"{rel}/{f.base_name}".lstrip("/") for f in found]
+            folder = [f.type == arrow_fs.FileType.Directory for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(folder, pa.bool_()), pa.array([f.size for f in found], pa.int64()), pa.array([f.mtime for f in found], pa.timestamp("us", "UTC"))],
+                names=["rel_path", "folder", "size", "mtime"],
+            )
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, size, mtime of all files below root, whatever their names: folders are listed by tasks, a level at a time."""
+    shape = "rel_path string, folder boolean, size long, mtime timestamp"
+    level, parts = spark.createDataFrame([("",)], "rel_path string"), []
+    while True:
+        spread = level if not parts else level.repartition("rel_path")
+        found = written(spread.select(F.lit(root).alias("root"), "rel_path").mapInArrow(list_folders, shape), "listing")
+        parts.append(found.where("not folder").select("rel_path", "size", "mtime"))
+        level = found.where("folder").select("rel_path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Each row (rel_path, content) as a file below root, by tasks; a task that is run again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, name = system_of(f"{root}/{rel}")
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("rel_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def is_hidden(rel_path: Column) -> Column:
+    """Whether Spark's sources skip the path: a name in it begins with a dot or an underscore."""
+    return F.rlike(rel_path, F.lit(r"(^|/)[._]"))
 
 
 def read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The content of path as another column, one file at a time."""
     for batch in batches:
         for i, path in enumerate(batch.column(0).to_pylist()):
-            system, name = arrow_fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path)
+            system, name = system_of(path)
             with system.open_input_stream(name) as f:
                 content = f.read()
             own = batch.slice(i, 1)
@@ -49,18 +92,16 @@ def read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, size, mtime, content of all files below root; unread columns are pruned, sizes filter at the source.
 
-    Spark's sources skip names that begin with a dot or an underscore (`__init__.py`, `_private/`): these are listed by
-    themselves and read in the tasks.
+    Spark's sources skip names that begin with a dot or an underscore (`__init__.py`, `_private/`): these are listed and read
+    by tasks.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     rel = F.substring_index("path", base + "/", -1)
     plain = rows.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    hidden = hidden_files(spark, root)
-    if not hidden:
-        return plain
-    listed = spark.createDataFrame(hidden, "path string, rel_path string, size long, ms long").select("path", "rel_path", "size", F.timestamp_millis("ms").alias("mtime"))
-    return plain.unionByName(listed.mapInArrow(read_contents, FILE_DDL))
+    hidden = listed_files(spark, root).where(is_hidden(F.col("rel_path"))).repartition("rel_path")
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("rel_path"))
+    return plain.unionByName(hidden.select(path.alias("path"), "rel_path", "size", "mtime").mapInArrow(read_contents, FILE_DDL))
 
 
 def scan_table(spark: SparkSession, directory: str, name: str, schema: str | None = None) -> DataFrame:
