@@ -76,6 +76,17 @@ def known(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return there, np.where(there, values[at], values.dtype.type(0))
 
 
+class Filter:
+    """Which keys can be in a table of keys, by their first 24 bits: most that aren't are told without a search."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.may = np.zeros(1 << 24, bool)
+        self.may[(keys >> np.uint64(40)).astype(np.int64)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.may[(keys >> np.uint64(40)).astype(np.int64)]
+
+
 def chunks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for first, data, bounds in arrays.chunks(batch.column(column)):
@@ -83,10 +94,20 @@ def chunks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
 
 
 def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Rows of (key, further columns ..., count) with counts added by key, sorted by key."""
-    columns = [np.concatenate(c) for c in zip(*parts)]
-    key, first, which = np.unique(columns[0], return_index=True, return_inverse=True)
-    return (key, *(c[first] for c in columns[1:-1]), np.bincount(which, columns[-1], len(key)).astype(np.int64))
+    """Rows of (key, further columns ..., count) with counts added by key, sorted by key. The parts are used up."""
+    columns = []
+    for k in range(len(parts[0])):
+        columns.append(np.concatenate([p[k] for p in parts]))
+        parts[:] = [(*p[:k], None, *p[k + 1 :]) for p in parts]
+    parts.clear()
+    order = np.argsort(columns[0])
+    columns[0] = columns[0][order]
+    new = np.ones(len(order), bool)
+    new[1:] = columns[0][1:] != columns[0][:-1]
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(columns[-1][order], first, dtype=columns[-1].dtype) if len(first) else columns[-1]
+    order = order[first]
+    return (columns[0][first], *(c[order] for c in columns[1:-1]), n)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -103,7 +124,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held += len(keys)
             if held > SLICE:
                 yield pa.RecordBatch.from_arrays([signed(c) for c in added(parts)], names=["word", "n"])
-                parts, held = [], 0
+                held = 0
         if parts:
             yield pa.RecordBatch.from_arrays([signed(c) for c in added(parts)], names=["word", "n"])
 
@@ -139,15 +160,15 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
     bits = max(0, (slices - 1).bit_length())
 
     def pack(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        key, columns = rows[0], rows[1:]
+        key, columns = rows[0], [*rows[1:2], *([] if depth > 1 else [rows[0][:0]]), *rows[2:]]
         cut = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
         ends = np.append(cut[1:], len(key))
         full = np.flatnonzero(ends > cut)
         blobs = [pa.array([c[cut[b] : ends[b]].tobytes() for b in full], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *blobs], names=["slice", "context", "middle", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *blobs], names=["slice", "context", "middle", "word", "n"])  # without middle if depth is 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, may = [], 0, None if contexts is None else Filter(contexts.value)
         for _, keys, codes, firsts in chunks_of(batches, 0):
             there, n = known(shared.value, keys)
             n = np.where(there, n, least - 1)  # a word that isn't among the frequent ones stands less often
@@ -159,33 +180,35 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
             at = np.flatnonzero(ok)
             for d in range(1, depth + 1):
                 at = at[frequent[at - d]]
-            context, middle = keys[codes[at - depth]], np.zeros(len(at), np.uint64)
+            context, middle = keys[codes[at - depth]], np.zeros(len(at) if depth > 1 else 0, np.uint64)
             for d in range(depth - 1, 0, -1):
                 word = keys[codes[at - d]]
                 middle = word if d == depth - 1 else extended(middle, word)
                 context = extended(context, word)
             if contexts is not None:
                 own = contexts.value
-                some = own[np.minimum(np.searchsorted(own, context), len(own) - 1)] == context if len(own) else np.zeros(len(at), bool)
-                at, context, middle = at[some], context[some], middle[some]
+                some = np.flatnonzero(may(context))
+                some = some[own[np.minimum(np.searchsorted(own, context[some]), len(own) - 1)] == context[some]] if len(own) else some
+                at, context, middle = at[some], context[some], middle[some] if depth > 1 else middle
             word = keys[codes[at]]
-            parts.append(added([(extended(context, word), context, middle, word, np.ones(len(at)))]))
-            held += len(parts[-1][0])
-            if held > 4 * SLICE:
+            parts.append((extended(context, word), context, *([middle] if depth > 1 else []), word, np.ones(len(at), np.int32)))
+            held += len(word)
+            if held > SLICE:
                 yield from pack(added(parts))
-                parts, held = [], 0
+                held = 0
         if parts:
             yield from pack(added(parts))
 
     def count(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in rows:
-            for r in batch.select(["context", "middle", "word", "n"]).to_pylist():
-                c, m, w, n = (np.frombuffer(r[x], t) for x, t in (("context", np.uint64), ("middle", np.uint64), ("word", np.uint64), ("n", np.int64)))
-                parts.append((extended(c, w), c, m, w, n))
-        _, c, m, w, n = added(parts)
+            for i in range(batch.num_rows):
+                c, m, w = (np.frombuffer(batch.column(x)[i].as_buffer(), np.uint64) for x in ("context", "middle", "word"))
+                parts.append((extended(c, w), c, *([m] if depth > 1 else []), w, np.frombuffer(batch.column("n")[i].as_buffer(), np.int32)))
+        _, c, *m, w, n = added(parts)
         some = n >= CUT
-        yield pa.RecordBatch.from_arrays([signed(x[some]) for x in (c, m, w, n)], names=["context", "middle", "word", "n"])
+        c, w, n = c[some], w[some], n[some].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([signed(x) for x in (c, m[0][some] if m else np.zeros(len(c), np.uint64), w, n)], names=["context", "middle", "word", "n"])
 
     sent = docs.select("text").mapInArrow(run, "slice long, context binary, middle binary, word binary, n binary")
     return sent.groupBy("slice").applyInArrow(count, EVENTS)
@@ -271,6 +294,7 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
     all_words, all_weights = least <= 1, heaviest <= 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = Filter(weights.value[0])
         for some, keys, codes, firsts in chunks_of(batches, 3):
             texts = len(firsts) - 1
             text = np.repeat(np.arange(texts), np.diff(firsts))
@@ -292,10 +316,13 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
                     gram = extended(gram[:-1], keys[codes[d:]])
                 within = np.arange(len(gram)) + d < firsts[text[: len(gram)] + 1]
                 t, g = text[: len(gram)][within], gram[within]
-                hit, w = known(weights.value, g)
-                extra += np.bincount(t[hit], w[hit], texts)
+                at = np.flatnonzero(may(g))
+                hit, w = known(weights.value, g[at])
+                extra += np.bincount(t[at[hit]], w[hit], texts)
                 if not all_weights:
-                    far.append((t[~hit], g[~hit], 1))
+                    rest = np.ones(len(g), bool)
+                    rest[at[hit]] = False
+                    far.append((t[rest], g[rest], 1))
             lists: list[list] = [[] for _ in range(texts)]
             for kind in (0, 1):
                 mine = [(t, g) for t, g, k in far if k == kind]
