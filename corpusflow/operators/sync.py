@@ -36,7 +36,8 @@ def duplicates(chunks: DataFrame) -> DataFrame:
 def plan_sync(old: DataFrame, new: DataFrame, model: str, dim: int, fields: list[str] | None = None) -> DataFrame:
     """Id, bucket: new > changed > needs_vector > moved > unchanged, and gone. Duplicate ids are refused.
 
-    old(id, content_hash, embed_model, embed_dim, fields), new(id, content_hash, fields), for the documents of both.
+    old(id, content_hash, embed_model, embed_dim, fields), new(id, content_hash, fields), for the documents of both. A stored side
+    in buckets of id (sources.store.bucketed) isn't shuffled, neither here nor in upsert_chunks.
     """
     for side in (old, new):
         if not duplicates(side).isEmpty():

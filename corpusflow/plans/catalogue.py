@@ -7,6 +7,7 @@ calls (user_id % 3 is the provider).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators import admit, budget, chunk, embed, evaluate, passages, search, sync, talk, usage
 from corpusflow.sources import files as source_files
+from corpusflow.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -337,6 +339,17 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir)
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """old_chunks as a table in buckets of id."""
+    return store.bucketed(old_chunks(spark, sf_dir), f"stored_chunks_{uuid.uuid4().hex}", "id", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+@query(f"WITH {SYNC_SQL} SELECT * FROM plan")
+def sync_plan_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 against a table in buckets, which isn't shuffled."""
+    return sync.plan_sync(stored_chunks(spark, sf_dir), new_chunks(spark, sf_dir), MODEL, DIM)
+
+
 @query(f"""WITH {SYNC_SQL} SELECT count(*) FILTER (bucket = 'new') AS "new", count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'needs_vector') AS needs_vector,
   count(*) FILTER (bucket = 'moved') AS moved, count(*) FILTER (bucket = 'unchanged') AS unchanged, count(*) FILTER (bucket = 'gone') AS gone,
   count(*) FILTER (bucket IN ('new', 'changed', 'needs_vector')) AS embedded FROM plan""")

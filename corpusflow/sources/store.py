@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusflow.session import shared_dir
+
 #: Hash buckets of an incremental index, and the share of the full version that later ones change before all is written anew.
 BUCKETS, REWRITE = 32, 0.5
 
@@ -135,6 +137,17 @@ def read_index(spark: SparkSession, path: str, at: dict | None = None) -> DataFr
     return rows.select(*kind.names)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int = 64) -> DataFrame:
+    """Df as a table of the catalogue, in sorted buckets of key, that joins and groups by key read without a shuffle.
+
+    Its files are in the shared folder. For what stays between runs: a run's own rows are dealt once, into as many buckets, and the stored side isn't moved. The
+    number of buckets is the table's; make it so large that one fits a task.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def forget(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Delete what no version from the last `keep` full ones on reads."""
     known = versions(spark, path)

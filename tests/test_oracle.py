@@ -53,3 +53,31 @@ def test_flagship_plan_has_no_cartesian_product(spark):
 def test_scans_read_only_the_columns_they_need(spark):
     plan = catalogue.queries()["tag_paths"](spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_a_stored_side_in_buckets_is_not_shuffled(spark):
+    """Only the run's own rows, and what is planned of them, are dealt out."""
+    from corpusflow.operators import sync
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old, new = catalogue.stored_chunks(spark, SF), catalogue.new_chunks(spark, SF)
+        plan = sync.plan_sync(old, new, "m1", 64)
+        both = plan, sync.upsert_chunks(old, new, sync.to_embed(plan), "m1", 64)
+        for df in both:
+            lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            stored = [i for i, x in enumerate(lines) if "stored_chunks" in x]
+            assert stored
+            for i in stored:
+                depth = next(k for k, c in enumerate(lines[i]) if c not in " :+-|")
+                above = []
+                for x in reversed(lines[:i]):
+                    k = next((k for k, c in enumerate(x) if c not in " :+-|*"), 0)
+                    if k < depth:
+                        above.append(x)
+                        depth = k
+                until = next(j for j, x in enumerate(above) if "Join" in x)
+                assert not any("Exchange" in x for x in above[:until])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
