@@ -53,15 +53,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact matches only, as in the SQL."""
-    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
-    return hits.drop("hit_items", "hit_spans", "n_near")
+    """Exact matches by the contract, and n_near: how many windows of items have eight or nine of ten words in place."""
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.drop("hit_items", "hit_spans").withColumn("n_near", F.col("n_near").cast("long"))
 
 
 def op8_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the number of proximity matches."""
-    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return hits.drop("hit_items", "hit_spans")
+    """The same by its earlier name."""
+    return op8_decontaminate(spark, sf_dir)
 
 
 def line_digests(out: DataFrame) -> DataFrame:
@@ -146,13 +145,20 @@ hit AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
 ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM d),
+ip AS (SELECT item_id, len(w) AS n, least(len(w), 10) AS size, unnest(w) AS x, unnest(range(len(w))) AS p FROM i),
+al AS (SELECT doc_id, item_id, pos - p AS shift, n, size, list(p) AS ats FROM dp JOIN ip USING (x) GROUP BY ALL HAVING count(*) * 10 >= size * 8),
+held AS (SELECT doc_id, size, unnest(list_transform(range(n - size + 1), lambda s: len(list_filter(ats, lambda a: a >= s AND a < s + size)))) AS h FROM al),
+nw AS (SELECT doc_id, count(*) AS n_near FROM held WHERE h < size AND h * 10 >= size * 8 GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN nw USING (doc_id)
 """
 
 
+ORACLES["op8_decontaminate_near"] = ORACLES["op8_decontaminate"]
+
 ASSIGN_SQL = secret_scan.ASSIGN.replace("'", "''")
 
 ORACLES["op6_secret_scan"] = rf"""
