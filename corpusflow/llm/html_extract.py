@@ -3,7 +3,9 @@
 A page is a sequence of tokens: words and tags. Words score positive, tags negative, both by weights learned from labelled
 pages: pages that mark their own content with one `article` or `main` element label every token of theirs as inside or
 outside. A word's weight depends on the kind of element that it stands in, a tag's on its name; the weight is the smoothed
-log odds of being inside. One linear scan finds the contiguous run with the largest sum. Elements that are never content
+log odds of being inside. Tags that follow each other without a word between them count once for each name, so that no number of
+empty cells or line breaks outweighs the words behind them. One linear scan finds the contiguous run with the largest sum; an article
+or main element that holds it, or that it enters, is taken whole. Elements that are never content
 (scripts, styles, forms, menus, and those whose class or id as a whole names an advert, notice or comment) are taken out first: they
 neither add to a sum nor take from it, and end a block. What is left of the region is joined by blocks.
 """
@@ -41,13 +43,14 @@ HINTS = (
 #: Hints that name boilerplate wherever they stand; inside an article or main only these count.
 PLAIN = (
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "sidebar", "navbar", "breadcrumb",
-    "breadcrumbs", "comments", "commentlist", "disqus", "cookie", "cookies", "gdpr", "popup", "newsletter", "pagination", "pager",
+    "breadcrumbs", "comment", "comments", "commentlist", "disqus", "respond", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "popup", "newsletter", "pagination", "pager",
 )
 #: Words beside a hint that say nothing about what an element holds. With any other word a name is not boilerplate as a whole.
 FRAME = (
     "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "container", "content", "div", "fixed", "form", "global", "group",
-    "inline", "inner", "item", "items", "left", "links", "list", "main", "mobile", "module", "outer", "overlay", "panel", "primary", "right",
-    "row", "secondary", "section", "site", "slot", "sticky", "thread", "top", "unit", "wrap", "wrapper",
+    "inline", "inner", "item", "items", "left", "links", "list", "main", "mobile", "module", "outer", "overlay", "panel", "primary", "reader", "readers",
+    "right", "row", "secondary", "section", "site", "slot", "sticky", "thread", "top", "unit", "user", "users", "visitor", "visitors", "wrap", "wrapper",
 )
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog")
 CONTENT = ("article", "main")
@@ -96,13 +99,14 @@ def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, dropped, labelled) for each token: kind "tag" with a name, or "text" with the decoded text.
+def tokens(page: str) -> Iterator[tuple[str, str, bool, tuple[int, ...]]]:
+    """(kind, value, dropped, content) for each token: kind "tag" with a name, or "text" with the decoded text.
 
-    dropped: within an element that never holds content. labelled: within an article or main element.
+    dropped: within an element that never holds content. content: the article and main elements that it is in, by number.
     """
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, content
-    dropped = content = 0
+    dropped = number = 0
+    content: tuple[int, ...] = ()
     raw = ""
     count: Counter = Counter()  # of the open elements by name
 
@@ -110,7 +114,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         nonlocal dropped, content
         for name, bad, own in stack[at:upto]:
             dropped -= bad
-            content -= own
+            content = content[:-1] if own else content
             count[name] -= 1
         del stack[at:upto]
 
@@ -129,20 +133,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if raw:
             if name == raw and closing:
                 raw = ""
-                yield "tag", name, True, content > 0
+                yield "tag", name, True, content
             continue
         if not name:
             text = m[0]
             if text[0] == "<" and len(text) > 1:
                 continue  # a comment or declaration
-            yield "text", entities.unescape(text), dropped > 0, content > 0
+            yield "text", entities.unescape(text), dropped > 0, content
         elif closing:
             table_part = name in SCOPES or name in ROWS or name == "tr"
             at = innermost(HEADINGS if name in HEADINGS else (name,), TABLE if table_part and name != "table" else () if name == "table" else SCOPES)
             inline = name in INLINE
             if at is not None and not inline:
                 close(at + 1)  # whatever was left open in it
-            yield "tag", "/" + name, dropped > 0, content > 0
+            yield "tag", "/" + name, dropped > 0, content
             if at is not None:
                 close(at, at + 1)  # blocks within an inline element stay open
         else:
@@ -155,16 +159,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 close(len(stack) - 1)
             if name in RAW:
                 raw = "" if own_end and name in ("svg", "math") else name
-                yield "tag", name, True, content > 0
+                yield "tag", name, True, content
                 continue
-            bad = is_boilerplate(name, m[3], content > 0)
+            bad = is_boilerplate(name, m[3], len(content) > 0)
             if name not in VOID:
                 own = not bad and name in CONTENT
                 stack.append((name, bad, own))
                 count[name] += 1
                 dropped += bad
-                content += own
-            yield "tag", name, dropped > 0 or bad, content > 0
+                if own:
+                    number += 1
+                    content = (*content, number)
+            yield "tag", name, dropped > 0 or bad, content
 
 
 def context(name: str) -> str:
@@ -176,19 +182,22 @@ def context(name: str) -> str:
 def counted(page: str) -> Counter:
     """How often each feature stands inside and outside of the page's own content element: (feature, inside)."""
     out: Counter = Counter()
-    near = "body"
+    near, gap = "body", set()
     seen = list(tokens(page))
     if sum(t[0] == "tag" and t[1] in CONTENT for t in seen) != 1:
         return out  # not a labelled page
-    for kind, value, dropped, inside in seen:
+    for kind, value, dropped, content in seen:
         if dropped:
             continue
+        inside = len(content) > 0
         if kind == "tag":
-            out["tag " + context(value), inside] += 1
+            out["tag " + context(value), inside] += (context(value), inside) not in gap
+            gap.add((context(value), inside))
             if value.lstrip("/") not in INLINE:
                 near = context(value)
         elif n := len(value.split()):
             out["word " + near, inside] += n
+            gap.clear()
     return out
 
 
@@ -220,6 +229,20 @@ def region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def whole(content: list[tuple[int, ...]], lo: int, hi: int) -> tuple[int, int]:
+    """The region taken to the ends of the innermost content element around it, or of those that it enters."""
+    if lo >= hi:
+        return lo, hi
+    a, b = content[lo], content[hi - 1]
+    common = [x for x, y in zip(a, b) if x == y]
+    first, last = (common[-1], common[-1]) if common else (a[0] if a else 0, b[0] if b else 0)
+    while first and lo and first in content[lo - 1]:
+        lo -= 1
+    while last and hi < len(content) and last in content[hi]:
+        hi += 1
+    return lo, hi
+
+
 def extract(page: str | None, learned: dict[str, float]) -> str:
     """The text of the best region: blocks in page order joined by an empty line, white space within a block one space.
 
@@ -227,17 +250,21 @@ def extract(page: str | None, learned: dict[str, float]) -> str:
     the element around it, or with the page.
     """
     seen = list(tokens(page or ""))
-    scores, near = [], "body"
+    scores, near, gap = [], "body", set()
     for kind, value, dropped, _ in seen:
         if dropped:
             scores.append(0.0)
         elif kind == "tag":
-            scores.append(learned.get("tag " + context(value), TAG))
+            scores.append(0.0 if context(value) in gap else learned.get("tag " + context(value), TAG))
+            gap.add(context(value))
             if value.lstrip("/") not in INLINE:
                 near = context(value)
         else:
-            scores.append(learned.get("word " + near, WORD) * len(value.split()))
-    lo, hi = region(scores)
+            n = len(value.split())
+            scores.append(learned.get("word " + near, WORD) * n)
+            if n:
+                gap.clear()
+    lo, hi = whole([content for *_, content in seen], *region(scores))
     blocks, block = [], []
     for kind, value, dropped, _ in seen[lo:hi]:
         if kind == "text":

@@ -51,11 +51,42 @@ def test_html_everyday_names_keep_their_content():
     text = lambda page: html_extract.extract(page, {})
     for tag in (
         "h2 id=search", 'h2 class="section-header"', "section id=legal-history", "p class=related", 'div class="share-price-table"', 'div class="entry-header"',
-        "div class=notice", 'div class="cookie-recipes"', 'div class="has-sidebar"', "h2 class=ad",
+        "div class=notice-period", 'div class="cookie-recipes"', 'div class="has-sidebar"', "h2 class=ad",
     ):
         assert text(f"<article><p>One</p><{tag}>Two</{tag.split()[0]}><p>Three</p></article>") == "One\n\nTwo\n\nThree", tag
-    for tag in ("div class=ad", 'div class="ad-slot-3"', "div id=comments", 'div class="sidebar-left"', 'div class="x newsletter-signup"', 'div class="cookie-notice"'):
-        assert text(f"<article><p>One</p><{tag}>Two</div><p>Three</p></article>") == "One\n\nThree", tag
+    for tag in ("div class=ad", 'div class="ad-slot-3"', "div id=comments", "div class=comment", 'section class="reader-comments"', 'div id="user-comments"', "div class=notice", 'div class="sidebar-left"', 'div class="x newsletter-signup"', 'div class="cookie-notice"'):
+        assert text(f"<article><p>One</p><{tag}>Two</{tag.split()[0]}><p>Three</p></article>") == "One\n\nThree", tag
+    for tag in ('section class="reader-comments"', 'div id="user-comments"', "div class=comment"):
+        assert text(f"<body><article><p>One</p></article><{tag}>Two words</{tag.split()[0]}></body>") == "One", tag
     for tag in ("div class=notice", 'div class="site-header"', "div id=search", 'div class="share-buttons"', 'div class="related-links"'):
         assert text(f"<body><{tag}>Two</div><article><p>One</p></article></body>") == "One", tag
     assert text('<body><div class="has-sidebar"><div class="entry-header"><h1 class=header>One</h1></div><p>Two</p></div></body>') == "One\n\nTwo"
+
+
+def test_html_gaps_without_words_cut_nothing_off(spark):
+    """Whatever is empty in an article, its last words stay; with weights from labelled pages and with none."""
+    learned = html_extract.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for weights in (learned, {}):
+        for gap in ("<table>" + "<tr><td></td><th></th></tr>" * 400 + "</table>", "<br>" * 3000, "<div><span></span></div>" * 500, "<ul>" + "<li>" * 300 + "</ul>", "<figure><img src=x></figure>" * 200):
+            around = ("<nav>Menu one two</nav>", "<footer>Foot</footer>")
+            assert html_extract.extract(f"<body>{around[0]}<article><p>First</p>{gap}<p>Last</p></article>{around[1]}</body>", weights) == "First\n\nLast", gap[:20]
+            many = "a b c d e f g h i j"
+            if weights:
+                continue  # these pages' own tags may speak against a plain div
+            assert html_extract.extract(f"<body><div><p>{many}</p>{gap}<p>{many}</p></div></body>", weights) == f"{many}\n\n{many}", gap[:20]
+
+
+def test_html_region_is_the_largest_sum():
+    r = random.Random(4)
+    for _ in range(300):
+        s = [r.choice([-2, -1, -0.5, 0, 0.5, 1, 3]) for _ in range(r.randint(0, 25))]
+        lo, hi = html_extract.region(s)
+        assert sum(s[lo:hi]) == max([0, *(sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1))])
+
+
+def test_html_without_article_leaves_what_scores_badly():
+    """Pages of plain divs: the region is where the words are; links far off in many tags are not in it."""
+    learned = {"tag li": -1.5, "tag /li": -0.5, "tag ul": -1.0, "tag /ul": -1.0, "tag a": -0.5, "tag /a": -0.1, "word li": 0.1, "word p": 1.0, "tag p": -0.02, "tag /p": -0.02}
+    menu = "<ul>" + "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(20)) + "</ul>"
+    body = "".join(f"<p>Paragraph {k} of the text.</p>" for k in range(6))
+    assert html_extract.extract(f"<html><body>{menu}<div>{body}</div>{menu}</body></html>", learned) == "\n\n".join(f"Paragraph {k} of the text." for k in range(6))
