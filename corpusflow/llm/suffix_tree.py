@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from corpusflow.session import written
 
 DEPTH = 2
 #: How often a context, and an event, stands at least.
-CONTEXT, CUT = 16, 4
+CONTEXT, CUT = 32, 8
 #: Nats that a context gains for each of its events and itself.
 GAIN = 2.0
 #: N-grams, the most frequent ones, that a broadcast holds at most (16 bytes each).
@@ -87,6 +88,14 @@ class Filter:
         return self.may[(keys >> np.uint64(40)).astype(np.int64)]
 
 
+def seen_in(may: Filter, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """known(), of keys that are mostly not there."""
+    hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.flatnonzero(may(keys))
+    hit[at], out[at] = known(table, keys[at])
+    return hit, out
+
+
 def chunks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for first, data, bounds in arrays.chunks(batch.column(column)):
@@ -235,10 +244,10 @@ def contexts_of(rows: DataFrame, gain: float) -> DataFrame:
 
 
 class Model:
-    """words(word, n), weights(key, n, weight) of n-grams (n: how often they stand), N and V."""
+    """words(word, n); contexts(key, n, weight) that are kept and gains(key, n, weight) of events after them, in log10; N and V."""
 
-    def __init__(self, words: DataFrame, weights: DataFrame, total: int, kinds: int) -> None:
-        self.words, self.weights, self.total, self.kinds = words, weights, total, kinds
+    def __init__(self, words: DataFrame, contexts: DataFrame, gains: DataFrame, total: int, kinds: int) -> None:
+        self.words, self.contexts, self.gains, self.total, self.kinds = words, contexts, gains, total, kinds
 
 
 def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = HEAD) -> Model:
@@ -266,18 +275,17 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
         if d < depth:
             some = can.select("context").limit(head + 1)
             known_contexts = docs.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column(0).to_numpy().view(np.uint64))) if some.count() <= head else None
-    weights, inner = None, None
+    gains, losses, inner = [], [], None
     for level in reversed(levels):
         kept = level.where("keep")
         if inner is not None:  # suffixes of kept contexts
             kept = kept.unionByName(level.where("not keep").join(inner, "context", "left_semi"))
         inner = kept.select(F.col("middle").alias("context")).distinct()
         lost = F.log10(F.col("rest") / F.col("size"))
-        gains = kept.select("key", "n", (F.log10("p") - F.log10("below") - lost).alias("weight"))
-        losses = kept.groupBy(F.col("context").alias("key")).agg(F.max("size").alias("n"), F.first(lost).alias("weight"))
-        weights = gains.unionByName(losses) if weights is None else weights.unionByName(gains).unionByName(losses)
-    weights = written(weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "tree-weights")
-    return Model(words, weights, total, kinds)
+        gains.append(kept.select("key", "n", (F.log10("p") - F.log10("below") - lost).alias("weight")))
+        losses.append(kept.groupBy(F.col("context").alias("key")).agg(F.max("size").alias("n"), F.first(lost).alias("weight")))
+    both = (written(reduce(DataFrame.unionByName, x), "tree-weights") for x in (losses, gains))
+    return Model(words, *both, total, kinds)
 
 
 def in_tenth() -> Column:
@@ -285,16 +293,40 @@ def in_tenth() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+#: What a text's n-gram can be: a word, a kept context, an event after one.
+WORD, LOSS, WON = 0, 1, 2
+FAR = "array<struct<key:long,kind:int,n:long>>"
+
+
+def lists_of(texts: int, parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.Array:
+    """FAR for each text from (texts, keys, kind), equal ones counted."""
+    text, key = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    kind = np.concatenate([np.full(len(t), k) for t, _, k in parts] or [np.zeros(0, np.int64)])
+    order = np.lexsort((key, kind, text))
+    text, key, kind = text[order], key[order].astype(np.uint64).view(np.int64), kind[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(text)))
+    rows = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(kind[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "kind", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(texts + 1)).astype(np.int32)), rows)
+
+
 def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
-    """docs(doc_id, held_out, text) with n_tokens, n_known, base_score and score (log10) in place of the text."""
-    spark = docs.sparkSession
-    (words, least), (weights, heaviest) = head_of(model.words, "word", "n", head), head_of(model.weights, "key", "weight", head, "n")
+    """docs(doc_id, held_out, text) with n_tokens, n_known, base_score and score (log10) in place of the text.
+
+    N-grams that the broadcast heads don't have, and that can be in the rest of the model, meet it in a join: events only where
+    they follow a kept context, if all contexts are in their head.
+    """
+    words, least = head_of(model.words, "word", "n", head)
+    contexts, rarest = head_of(model.contexts, "key", "weight", head, "n")
+    gains, fewest = head_of(model.gains, "key", "weight", head, "n")
     divisor = model.total + SMOOTH * (model.kinds + 1)
     none = math.log10(SMOOTH / divisor)
-    all_words, all_weights = least <= 1, heaviest <= 1
+    all_words, all_contexts, all_gains = least <= 1, rarest <= 1, fewest <= 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = Filter(weights.value[0])
+        may_lose, may_win = Filter(contexts.value[0]), Filter(gains.value[0])
         for some, keys, codes, firsts in chunks_of(batches, 3):
             texts = len(firsts) - 1
             text = np.repeat(np.arange(texts), np.diff(firsts))
@@ -308,44 +340,41 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
             sure = there[codes] | once
             base = np.bincount(text[sure], log[sure], texts).astype(float)
             count = np.bincount(text[sure], minlength=texts)
-            far = [(text[~sure], keys[codes[~sure]], 0)] if not all_words else []
-            extra = np.zeros(texts)
-            gram = keys[codes]
+            far = [] if all_words else [(text[~sure], keys[codes[~sure]], WORD)]
+            extra, gram, kept = np.zeros(texts), keys[codes], None
             for d in range(depth + 1):
                 if d:
                     gram = extended(gram[:-1], keys[codes[d:]])
-                within = np.arange(len(gram)) + d < firsts[text[: len(gram)] + 1]
-                t, g = text[: len(gram)][within], gram[within]
-                at = np.flatnonzero(may(g))
-                hit, w = known(weights.value, g[at])
-                extra += np.bincount(t[at[hit]], w[hit], texts)
-                if not all_weights:
-                    rest = np.ones(len(g), bool)
-                    rest[at[hit]] = False
-                    far.append((t[rest], g[rest], 1))
-            lists: list[list] = [[] for _ in range(texts)]
-            for kind in (0, 1):
-                mine = [(t, g) for t, g, k in far if k == kind]
-                if mine:
-                    t, g = (np.concatenate(c) for c in zip(*mine))
-                    pairs, n = np.unique(np.stack([t.astype(np.uint64), g]), axis=1, return_counts=True)
-                    for a, key, c in zip(pairs[0].tolist(), pairs[1].view(np.int64).tolist(), n.tolist()):
-                        lists[a].append({"key": key, "kind": kind, "n": c})
+                t = text[: len(gram)]
+                within = np.arange(len(gram)) + d < firsts[t + 1]
+                if d:  # events after the d words before
+                    at = np.flatnonzero(within & kept[: len(gram)] if all_contexts else within)
+                    hit, w = seen_in(may_win, gains.value, gram[at])
+                    extra += np.bincount(t[at], w, texts)
+                    if not all_gains:
+                        far.append((t[at[~hit]], gram[at[~hit]], WON))
+                if d < depth:
+                    kept, w = seen_in(may_lose, contexts.value, gram)
+                    kept &= within
+                    extra += np.bincount(t[kept], w[kept], texts)
+                    if not all_contexts:
+                        rest = within & ~kept
+                        far.append((t[rest], gram[rest], LOSS))
             yield pa.RecordBatch.from_arrays(
-                [*some.columns[:3], pa.array(np.diff(firsts)), pa.array(count), pa.array(base), pa.array(extra), pa.array(lists, far_type)],
+                [*some.columns[:3], pa.array(np.diff(firsts)), pa.array(count), pa.array(base), pa.array(extra), lists_of(texts, far)],
                 names=["row", "doc_id", "held_out", "n_tokens", "count", "base", "extra", "far"],
             )
 
-    far_type = pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())]))
     types = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, count long, base double, extra double"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = written(rows.mapInArrow(run, f"{types}, far array<struct<key:long,kind:int,n:long>>"), "tree-scored")
-    if not (all_words and all_weights):
+    rows = written(rows.mapInArrow(run, f"{types}, far {FAR}"), "tree-scored")
+    if not (all_words and all_contexts and all_gains):
         far = rows.select("row", F.explode("far").alias("f")).select("row", "f.key", "f.kind", F.col("f.n").alias("times"))
         log = F.log10((F.col("n") + SMOOTH) / divisor)
-        tail = model.words.select(F.col("word").alias("key"), F.lit(0).alias("kind"), log.alias("weight"), "n").where(F.col("n") < least)
-        tail = tail.unionByName(model.weights.where(F.col("n") < heaviest).select("key", F.lit(1).alias("kind"), "weight", "n"))
-        word = F.col("kind") == 0
+        tail = model.words.select(F.col("word").alias("key"), F.lit(WORD).alias("kind"), log.alias("weight"), "n").where(F.col("n") < least)
+        for table, bound, kind in ((model.contexts, rarest, LOSS), (model.gains, fewest, WON)):
+            tail = tail.unionByName(table.where(F.col("n") < bound).select("key", F.lit(kind).alias("kind"), "weight", "n"))
+        word = F.col("kind") == WORD
         more = far.join(tail, ["key", "kind"]).groupBy("row").agg(
             F.sum(F.when(word, F.col("times")).otherwise(0)).alias("count2"), F.sum(F.when(word, F.col("times") * F.col("weight")).otherwise(0.0)).alias("base2"),
             F.sum(F.when(word, 0.0).otherwise(F.col("times") * F.col("weight"))).alias("extra2"),
