@@ -249,37 +249,40 @@ def assemble_context(blocks: DataFrame, asked: DataFrame, max_tokens: int) -> Da
 
     blocks(question_id, rank, block, stale_path or null, and narrowed of NARROWED's struct if there is one), asked(question_id,
     hidden, deleted): every m of first blocks is weighed with the notes that go with it, and the largest that fits wins. Block
-    lengths are summed along a question's blocks; only notes are built for each m, and the text for the winner alone. With
+    lengths are running sums; only notes are built for each m, and the text for the winner alone. With
     blocks, m is never 0: the first alone without the note on what is left out, else flagged.
     """
     limit = 3 * max_tokens + 2
     if "narrowed" not in blocks.columns:
         blocks = blocks.withColumn("narrowed", F.lit(None).cast(NARROWED[len("array<") : -1]))
-    rows = blocks.select("question_id", "rank", F.length("block").alias("chars"), "stale_path", "narrowed", "block")
-    meta = F.struct("rank", "chars", "stale_path", "narrowed")
+    order = W.partitionBy("question_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = blocks.select("question_id", "rank", F.sum(F.length("block") + 2).over(order).alias("upto"), "stale_path", "narrowed", "block")
+    meta = F.struct("rank", "upto", "stale_path", "narrowed")
     lists = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(meta)).alias("bs"), F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("texts"))
+    lists = written(lists, "context-lists")
     light = asked.join(lists.drop("texts"), "question_id", "left").withColumn("bs", F.coalesce("bs", F.array().cast(lists.schema["bs"].dataType)))
     light = light.withColumn("n", F.size("bs"))
     least = F.when(F.col("n") > 0, 1).otherwise(0)
 
-    def note_of(m: Column, told: Column, over: Column) -> Column:
-        some = F.slice("bs", 1, m)
-        stale = F.array_distinct(F.array_compact(F.transform(some, lambda b: b["stale_path"])))
-        narrowed = F.array_compact(F.transform(some, lambda b: b["narrowed"]))
-        note = notes(F.col("hidden"), stale, F.col("deleted"), F.when(told, F.col("n") - m).otherwise(0), over, narrowed)
-        return F.when(note != "", F.concat(F.lit("\n\n"), note)).otherwise("")
-
-    def size_of(m: Column, note: Column) -> Column:
-        body = F.aggregate(F.slice("bs", 1, m), F.lit(0), lambda a, b: a + b["chars"] + 2) - 2
-        return F.when(m > 0, body).otherwise(len(NONE_FOUND)) + F.length(note)
-
-    tried = light.select("*", F.explode(F.sequence(least, F.col("n"))).alias("m"))
-    fits = tried.where(size_of(F.col("m"), note_of(F.col("m"), F.lit(True), F.lit(False))) <= limit).groupBy("question_id").agg(F.max("m").alias("m"))
-    light = light.join(fits, "question_id", "left")
-    alone = size_of(F.lit(1), note_of(F.lit(1), F.lit(False), F.lit(False)))
-    light = light.withColumn("over_budget", F.col("m").isNull() & (F.col("n") > 0) & (alone > limit)).withColumn("shown", F.coalesce("m", least))
-    told = F.col("m").isNotNull() | (F.col("n") == 0)
-    light = light.select("question_id", "shown", "over_budget", note_of(F.col("shown"), told, F.col("over_budget")).alias("note"))
+    def sized(rows: DataFrame, told: Column, over: Column) -> DataFrame:
+        """rows with the note of their first m blocks, and the length of the text with it."""
+        some = F.slice("bs", 1, F.col("m"))
+        rows = rows.withColumns(
+            {
+                "stale": F.array_distinct(F.array_compact(F.transform(some, lambda b: b["stale_path"]))), "cut": F.array_compact(F.transform(some, lambda b: b["narrowed"])),
+                "body": F.when(F.col("m") > 0, F.get("bs", F.col("m") - 1)["upto"] - 2).otherwise(len(NONE_FOUND)),
+            }
+        )
+        rows = rows.withColumn("raw", notes(F.col("hidden"), F.col("stale"), F.col("deleted"), F.when(told, F.col("n") - F.col("m")).otherwise(0), over, F.col("cut")))
+        return rows.withColumn("size", F.col("body") + F.when(F.col("raw") != "", F.length("raw") + 2).otherwise(0))
+
+    tried = sized(light.select("*", F.explode(F.sequence(least, F.col("n"))).alias("m")), F.lit(True), F.lit(False))
+    fits = tried.where(F.col("size") <= limit).groupBy("question_id").agg(F.max_by(F.struct("m", "raw"), "m").alias("won"))
+    alone = sized(light.withColumn("m", F.lit(1)), F.lit(False), F.lit(False)).where("n > 0").select("question_id", (F.col("size") > limit).alias("over"))
+    light = light.join(fits, "question_id", "left").join(alone, "question_id", "left")
+    light = light.withColumns({"over_budget": F.col("won").isNull() & F.coalesce("over", F.lit(False)), "m": F.coalesce("won.m", least)})
+    light = sized(light, F.col("won").isNotNull() | (F.col("n") == 0), F.col("over_budget"))
+    light = light.select("question_id", F.col("m").alias("shown"), "over_budget", F.when(F.col("raw") != "", F.concat(F.lit("\n\n"), "raw")).otherwise("").alias("note"))
     both = light.join(lists.select("question_id", "texts"), "question_id", "left")
     body = F.when(F.col("shown") > 0, F.array_join(F.transform(F.slice("texts", 1, F.col("shown")), lambda t: t["block"]), "\n\n")).otherwise(NONE_FOUND)
     out = both.select("question_id", F.concat(body, "note").alias("text"), "shown", "over_budget")

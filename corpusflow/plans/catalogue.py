@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators import admit, budget, chunk, embed, evaluate, passages, search, sync, talk, usage
+from corpusflow.session import written
 from corpusflow.sources import files as source_files
 from corpusflow.sources import store
 
@@ -574,7 +575,7 @@ SELECT question_id, sha256(text) AS sha256, CAST(m AS INTEGER) AS shown, false A
 @query(CONTEXT_SQL)
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At this budget the first passage of every question fits."""
-    rows = fresh_passages(spark, sf_dir)
+    rows = written(fresh_passages(spark, sf_dir), "fresh-passages")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     shown = rows.where("status != 'deleted'").join(docs, "id")
     none = F.lit(None).cast("string")
