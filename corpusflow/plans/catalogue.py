@@ -221,12 +221,12 @@ def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.squeeze_budget(ranked_passages(spark, sf_dir), TOKENS)
 
 
-@query("""WITH g AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM (SELECT DISTINCT source, doc_id FROM documents WHERE n_chars % 3 <> 0)),
-r AS (SELECT source, min(doc_id) AS a, max(doc_id) AS b FROM g GROUP BY source, i)
-SELECT source, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY source""")
+@query("""WITH g AS (SELECT lang, n_chars, n_chars - row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS i FROM (SELECT DISTINCT lang, n_chars FROM documents)),
+r AS (SELECT lang, min(n_chars) AS a, max(n_chars) AS b FROM g GROUP BY lang, i)
+SELECT lang, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY lang""")
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P12."""
-    return budget.compress_ranges(table(spark, sf_dir, "documents").where("n_chars % 3 != 0"), ["source"], "doc_id")
+    """The lengths that the documents of a language have."""
+    return budget.compress_ranges(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
 
 
 # --- admission, lines and chunks -------------------------------------------------------------------------------------

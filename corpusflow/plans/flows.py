@@ -246,10 +246,10 @@ def stitch_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
 SELECT doc_id AS pid, 'class ' || doc_id || ':' || chr(10) || '    x' || chr(10) || string_agg(array_to_string(list_transform(l[i * 9 + 1:i * 9 + 9], lambda x, k: i || '.' || k || ' ' || x), chr(10)), chr(10) ORDER BY i) AS text
-FROM (SELECT *, unnest(range(CAST(ceil(len(l) / 9) AS BIGINT))) AS i FROM n) WHERE len(l) > 9 GROUP BY doc_id""")
+FROM (SELECT *, unnest(range(CAST(ceil(len(l) / 9) AS BIGINT))) AS i FROM n) GROUP BY doc_id""")
 def stitch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: parts that share two lines; what follows differs from part to part."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), F.split("text", "\n").alias("ls")).where(F.size("ls") > 9)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), F.split("text", "\n").alias("ls"))
     rows = d.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ls") / 9).cast("int") - 1)).alias("part"))
     own = F.transform(F.slice("ls", F.col("part") * 9 + 1, 9), lambda x, k: F.concat(F.col("part").cast("string"), F.lit("."), (k + 1).cast("string"), F.lit(" "), x))
     head = F.concat(F.lit("class "), F.col("pid").cast("string"), F.lit(":\n    x\n"))
