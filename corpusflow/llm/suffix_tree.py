@@ -37,7 +37,7 @@ from corpusflow.session import written
 
 DEPTH = 2
 #: How often a context, and an event, stands at least.
-CONTEXT, CUT = 32, 8
+CONTEXT, CUT = 16, 4
 #: Nats that a context gains for each of its events and itself.
 GAIN = 2.0
 #: N-grams, the most frequent ones, that a broadcast holds at most (16 bytes each).
@@ -167,20 +167,34 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
     """
     shared, least = words
     bits = max(0, (slices - 1).bit_length())
+    # words of events are all among the frequent ones, unless these begin above CUT; then their places there stand for them
+    short = least <= CUT
+    kinds = [np.int32 if short and depth == 1 else np.uint64, np.int32 if short and depth == 2 else np.uint64, np.int32 if short else np.uint64, np.int32]
+    names = ["context", "middle", "word", "n"]
+
+    def full(column: np.ndarray) -> np.ndarray:
+        """The hashes that places stand for."""
+        return shared.value[0][column] if column.dtype == np.int32 else column
 
     def pack(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        key, columns = rows[0], [*rows[1:2], *([] if depth > 1 else [rows[0][:0]]), *rows[2:]]
-        cut = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-        ends = np.append(cut[1:], len(key))
-        full = np.flatnonzero(ends > cut)
-        blobs = [pa.array([c[cut[b] : ends[b]].tobytes() for b in full], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *blobs], names=["slice", "context", "middle", "word", "n"])  # without middle if depth is 1
+        part = (rows[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows[0]), np.int64)
+        order = np.lexsort((rows[1], part))  # equal contexts together: they take little room
+        part = part[order]
+        columns = [c[order] for c in rows[1:]]
+        if depth == 1:
+            columns.insert(1, rows[0][:0])  # no middle
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cut[1:], len(part))
+        blobs = [pa.array([c[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *blobs], names=["slice", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, may = [], 0, None if contexts is None else Filter(contexts.value)
         for _, keys, codes, firsts in chunks_of(batches, 0):
-            there, n = known(shared.value, keys)
-            n = np.where(there, n, least - 1)  # a word that isn't among the frequent ones stands less often
+            own = shared.value[0]
+            place = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1)).astype(np.int32)
+            there = own[place] == keys if len(own) else np.zeros(len(keys), bool)
+            n = np.where(there, shared.value[1][place] if len(own) else 0, least - 1)  # a word that isn't among the frequent ones stands less often
             ok = np.ones(len(codes), bool)  # position i ends an event
             for d in range(depth):
                 ok[firsts[:-1][firsts[:-1] + d < firsts[1:]] + d] = False
@@ -189,19 +203,23 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
             at = np.flatnonzero(ok)
             for d in range(1, depth + 1):
                 at = at[frequent[at - d]]
-            context, middle = keys[codes[at - depth]], np.zeros(len(at) if depth > 1 else 0, np.uint64)
+            context, middle = keys[codes[at - depth]], np.zeros(0, np.uint64)
             for d in range(depth - 1, 0, -1):
                 word = keys[codes[at - d]]
                 middle = word if d == depth - 1 else extended(middle, word)
                 context = extended(context, word)
             if contexts is not None:
-                own = contexts.value
                 some = np.flatnonzero(may(context))
-                some = some[own[np.minimum(np.searchsorted(own, context[some]), len(own) - 1)] == context[some]] if len(own) else some
+                table = contexts.value
+                some = some[table[np.minimum(np.searchsorted(table, context[some]), len(table) - 1)] == context[some]] if len(table) else some
                 at, context, middle = at[some], context[some], middle[some] if depth > 1 else middle
-            word = keys[codes[at]]
-            parts.append((extended(context, word), context, *([middle] if depth > 1 else []), word, np.ones(len(at), np.int32)))
-            held += len(word)
+            key = extended(context, keys[codes[at]])
+            if short:
+                context = place[codes[at - 1]] if depth == 1 else context
+                middle = place[codes[at - 1]] if depth == 2 else middle
+            word = place[codes[at]] if short else keys[codes[at]]
+            parts.append((key, context, *([middle] if depth > 1 else []), word, np.ones(len(at), np.int32)))
+            held += len(at)
             if held > SLICE:
                 yield from pack(added(parts))
                 held = 0
@@ -212,12 +230,12 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
         parts = []
         for batch in rows:
             for i in range(batch.num_rows):
-                c, m, w = (np.frombuffer(batch.column(x)[i].as_buffer(), np.uint64) for x in ("context", "middle", "word"))
-                parts.append((extended(c, w), c, *([m] if depth > 1 else []), w, np.frombuffer(batch.column("n")[i].as_buffer(), np.int32)))
+                c, m, w, n = (np.frombuffer(batch.column(x)[i].as_buffer(), t) for x, t in zip(names, kinds))
+                parts.append((extended(full(c), full(w)), c, *([m] if depth > 1 else []), w, n))
         _, c, *m, w, n = added(parts)
         some = n >= CUT
-        c, w, n = c[some], w[some], n[some].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([signed(x) for x in (c, m[0][some] if m else np.zeros(len(c), np.uint64), w, n)], names=["context", "middle", "word", "n"])
+        c, w, n = full(c[some]), full(w[some]), n[some].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([signed(x) for x in (c, full(m[0][some]) if m else np.zeros(len(c), np.uint64), w, n)], names=names)
 
     sent = docs.select("text").mapInArrow(run, "slice long, context binary, middle binary, word binary, n binary")
     return sent.groupBy("slice").applyInArrow(count, EVENTS)
@@ -332,6 +350,7 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
             text = np.repeat(np.arange(texts), np.diff(firsts))
             held = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
             there, n = known(words.value, keys)
+            often = np.where(there, n, least - 1) >= CUT  # no event ends with a rarer word
             once = np.zeros(len(codes), bool)
             if not all_words and least <= 2:  # a word of a text that was learned from stands once, if it isn't among those that stand twice
                 once = ~there[codes] & ~held[text]
@@ -352,7 +371,9 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
                     hit, w = seen_in(may_win, gains.value, gram[at])
                     extra += np.bincount(t[at], w, texts)
                     if not all_gains:
-                        far.append((t[at[~hit]], gram[at[~hit]], WON))
+                        at = at[~hit]
+                        at = at[often[codes[at + d]]]
+                        far.append((t[at], gram[at], WON))
                 if d < depth:
                     kept, w = seen_in(may_lose, contexts.value, gram)
                     kept &= within
