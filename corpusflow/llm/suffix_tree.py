@@ -311,6 +311,20 @@ def in_tenth() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A table of 2 ** 27 bits (16 MB, however many keys there are) in which the bit of each key's first 27 bits is set."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 37) & 63 as int))")
+    rows = keys.groupBy(F.shiftrightunsigned("key", 43).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** 21 rows
+    out = np.zeros(1 << 21, np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that aren't among those of bits_of()."""
+    return (bits[(keys >> np.uint64(43)).astype(np.int64)] >> ((keys >> np.uint64(37)) & np.uint64(63))) & np.uint64(1) == 1
+
+
 #: What a text's n-gram can be: a word, a kept context, an event after one.
 WORD, LOSS, WON = 0, 1, 2
 FAR = "array<struct<key:long,kind:int,n:long>>"
@@ -334,7 +348,7 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
     """docs(doc_id, held_out, text) with n_tokens, n_known, base_score and score (log10) in place of the text.
 
     N-grams that the broadcast heads don't have, and that can be in the rest of the model, meet it in a join: events only where
-    they follow a kept context, if all contexts are in their head.
+    they follow a kept context, if all contexts are in their head, and n-grams only where a bit table of fixed size lets them be there.
     """
     words, least = head_of(model.words, "word", "n", head)
     contexts, rarest = head_of(model.contexts, "key", "weight", head, "n")
@@ -342,6 +356,8 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
     divisor = model.total + SMOOTH * (model.kinds + 1)
     none = math.log10(SMOOTH / divisor)
     all_words, all_contexts, all_gains = least <= 1, rarest <= 1, fewest <= 1
+    rest_of = model.contexts.where(F.col("n") < rarest).select("key").unionByName(model.gains.where(F.col("n") < fewest).select("key"))
+    tail_bits = docs.sparkSession.sparkContext.broadcast(None if all_contexts and all_gains else bits_of(rest_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_lose, may_win = Filter(contexts.value[0]), Filter(gains.value[0])
@@ -373,13 +389,15 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
                     if not all_gains:
                         at = at[~hit]
                         at = at[often[codes[at + d]]]
+                        at = at[in_bits(tail_bits.value, gram[at])]
                         far.append((t[at], gram[at], WON))
                 if d < depth:
                     kept, w = seen_in(may_lose, contexts.value, gram)
                     kept &= within
                     extra += np.bincount(t[kept], w[kept], texts)
                     if not all_contexts:
-                        rest = within & ~kept
+                        rest = np.flatnonzero(within & ~kept)
+                        rest = rest[in_bits(tail_bits.value, gram[rest])]
                         far.append((t[rest], gram[rest], LOSS))
             yield pa.RecordBatch.from_arrays(
                 [*some.columns[:3], pa.array(np.diff(firsts)), pa.array(count), pa.array(base), pa.array(extra), lists_of(texts, far)],
