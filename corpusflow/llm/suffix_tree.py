@@ -281,6 +281,8 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
     known_contexts, levels = None, []
     for d in range(1, depth + 1):
         found = written(events(docs, d, frequent, known_contexts, slices), "tree-events")
+        if known_contexts:
+            known_contexts.destroy()
         rows = found.join(can.where(F.col("total") >= CONTEXT), "context")
         if d == 1:
             rows = rows.join(words.select("word", ((F.col("n") + SMOOTH) / divisor).alias("below")), "word")
@@ -293,6 +295,7 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
         if d < depth:
             some = can.select("context").limit(head + 1)
             known_contexts = docs.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column(0).to_numpy().view(np.uint64))) if some.count() <= head else None
+    frequent[0].destroy()
     gains, losses, inner = [], [], None
     for level in reversed(levels):
         kept = level.where("keep")
@@ -407,6 +410,8 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
     types = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, count long, base double, extra double"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     rows = written(rows.mapInArrow(run, f"{types}, far {FAR}"), "tree-scored")
+    for used in (words, contexts, gains, tail_bits):
+        used.destroy()  # the table is written, nothing asks for them again
     if not (all_words and all_contexts and all_gains):
         far = rows.select("row", F.explode("far").alias("f")).select("row", "f.key", "f.kind", F.col("f.n").alias("times"))
         log = F.log10((F.col("n") + SMOOTH) / divisor)
