@@ -69,7 +69,8 @@ def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS doc, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 5 IN (1, 2)")
 def wrong_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each five documents one is a chunk that has another text than its lines, one a line too few, one is synthetic."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", F.size(F.split("text", "\n")).alias("n"))
+    own = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), own.alias("text"), F.size(F.split(own, "\n")).alias("n"))
     text = F.when(F.col("doc") % 5 == 1, F.concat("text", F.lit("x"))).when(F.col("doc") % 5 == 2, F.concat("text", F.lit("\nnot there"))).otherwise(F.col("text"))
     chunks = d.select("doc", F.col("doc").cast("string").alias("id"), F.when(F.col("doc") % 5 == 3, "made up").otherwise(text).alias("text"), F.lit(1).alias("start_line"), F.col("n").alias("end_line"), (F.col("doc") % 5 == 3).alias("synthetic"))
     return chunk.pointer_check(chunks, chunk.explode_lines(d.select("doc", "text")))
