@@ -15,8 +15,8 @@ from corpusflow.session import written
 
 #: Questions in a block, which a task scores at a time.
 QUESTION_BLOCK = 4096
-#: Scores that a task holds at a time.
-SCORES = 1 << 23
+#: Scores that a task holds at a time (8 bytes each, and about as much again for each step on them), however many questions there are.
+SCORES = 1 << 20
 #: Margin that a test or (twice) a changelog loses when hits are ordered, and the pool that is ordered anew.
 DEMOTION, LEAST_POOL, POOL_FACTOR = 0.15, 30, 3
 
@@ -109,7 +109,7 @@ def best_rows(k: int, not_self: bool) -> Callable[[Block, Iterator[pa.RecordBatc
     def run(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, questions, _ = block
         best_id, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
-        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
+        for batch in slices(batches, max(4 * k, SCORES // max(1, len(own)))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             # rounded, so that equal angles tie whatever the order of summation
             score = np.clip(np.round(questions @ unit_rows(batch.column(1), questions.shape[1]).T, 12), -1, 1)

@@ -1,9 +1,14 @@
 """What only shows on larger tables: long texts, many questions, large samples."""
 
+import re
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusflow.operators import passages
+from corpusflow.operators import passages, search
 from corpusflow.plans import catalogue
 from tests.test_oracle import SF, rows_of
 
@@ -29,3 +34,28 @@ def test_what_fits_is_told_from_what_is_shown_all_the_same(spark):
     blocks = spark.createDataFrame([(1, 1, "x" * 170, None), (1, 2, "y" * 90, None), (2, 1, "z" * 900, None), (3, 1, "w" * 9, None)], "question_id long, rank int, block string, stale_path string")
     got = {r.question_id: (r.fits, r.shown, r.over_budget) for r in passages.assemble_context(blocks, asked, 59).collect()}
     assert got == {1: (False, 1, False), 2: (False, 1, True), 3: (True, 1, False)}
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def floats(r, n, dim=8):
+    return pa.FixedSizeListArray.from_arrays(pa.array(r.normal(size=n * dim)), dim).cast(pa.list_(pa.float64()))
+
+
+def block_of_questions(r):
+    return np.arange(search.QUESTION_BLOCK), search.unit_rows(floats(r, search.QUESTION_BLOCK), 8), np.full(search.QUESTION_BLOCK, -np.inf)
+
+
+def test_a_task_holds_few_scores_whatever_the_questions():
+    """V2: as many questions as a block can have; an array of the scores of all rows would be 98 MB, and there are several."""
+    r = np.random.default_rng(1)
+    block = block_of_questions(r)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), floats(r, 3000)], names=["id", "embedding"])
+    assert peak_mb(lambda: list(search.best_rows(30, False)(block, iter([rows])))) < 150
