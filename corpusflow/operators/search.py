@@ -145,32 +145,42 @@ FITTED, SLACK = 64, 1e-9
 
 
 class VectorIndex:
-    """V3: codes(id, cell, code, scale, error) of all vectors, and of each cell the centre, radius (angle) and share of vectors."""
+    """V3: codes(id, cell, code, scale, error) of all vectors, and of each cell the centre, radius (angle) and number of vectors."""
 
     def __init__(self, codes: DataFrame, centres: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> None:
         self.codes, self.centres, self.radius, self.sizes = codes, centres, radius, sizes
 
 
+def hashed_sample(vectors: DataFrame, n: int, total: int) -> DataFrame:
+    """About n of the total vectors (all, if there are no more): those whose id's hash is below the n / total part of all hashes.
+
+    Each task decides about its own rows, so that none meets those of the others.
+    """
+    if n >= total:
+        return vectors
+    return vectors.where(F.xxhash64("id") < F.lit(-(1 << 63) + (n << 64) // total))
+
+
 def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> VectorIndex:
     """V3: an index of vectors(id, embedding).
 
     A code has a byte for each dimension of the unit vector; error is the length of what it loses, so that a score from the code
     is wrong by that at most. Cells, by default as many as the root of the number of vectors, 4,096 at most, are those of the
-    nearest centre; centres are fitted (k-means) on the FITTED * cells vectors with the smallest hash of their id.
+    nearest centre; centres are fitted (k-means) on a hashed_sample() of about FITTED * cells vectors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    cells = max(1, min(cells or round(vectors.count() ** 0.5), 4096))
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(FITTED * cells)
-    some = some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    total = vectors.count()
+    cells = max(1, min(cells or round(total**0.5), 4096))
+    some = hashed_sample(vectors, FITTED * cells, total).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(some)
     centres = np.array(model.clusterCenters(), dtype=np.float64)
     centres /= np.sqrt((centres * centres).sum(axis=1))[:, None]
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 15):
+        for batch in slices(batches, max(1, SCORES // len(shared.value))):
             unit = unit_rows(batch.column(1), shared.value.shape[1])
             near = unit @ shared.value.T
             cell = near.argmax(axis=1)
@@ -188,7 +198,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7) ->
     sizes, radius = np.zeros(len(centres)), np.zeros(len(centres))
     for r in codes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a cell
         sizes[r.cell], radius[r.cell] = r.n, r.angle
-    return VectorIndex(codes.drop("angle"), centres, radius, sizes / max(1.0, sizes.sum()))
+    return VectorIndex(codes.drop("angle"), centres, radius, sizes)
 
 
 def coded_rows(index: VectorIndex, k: int, probes: int, first: bool) -> Callable[[Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -204,14 +214,11 @@ def coded_rows(index: VectorIndex, k: int, probes: int, first: bool) -> Callable
         seen = visited(questions, least, centres, radius, probes, first)
         lows = np.full((len(own), k), -np.inf)
         out: list[tuple[np.ndarray, ...]] = []
-        for batch in slices(batches, max(1, SCORES // max(1, len(own)))):
+        for batch in slices(batches, 1 << 14):
             ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             scale, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
             digits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(len(ids), -1)
-            for c in np.unique(cell):
-                asked, here = np.flatnonzero(seen[:, c]), np.flatnonzero(cell == c)
-                if not len(asked):
-                    continue
+            for asked, here in met(seen, cell):
                 score = questions[asked] @ (digits[here] * scale[here, None]).T
                 low = score - error[here] - SLACK
                 kth = np.concatenate([lows[asked], low], axis=1)
@@ -227,14 +234,29 @@ def coded_rows(index: VectorIndex, k: int, probes: int, first: bool) -> Callable
     return run
 
 
+def met(seen: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each cell that a question visits, these questions and its rows, of SCORES pairs at most (but one row at least)."""
+    order = np.argsort(cell, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        asked = np.flatnonzero(seen[:, cell[here[0]]]) if len(here) else here
+        if len(asked):
+            step = max(1, SCORES // len(asked))
+            for at in range(0, len(here), step):
+                yield asked, here[at : at + step]
+
+
 def visited(questions: np.ndarray, least: np.ndarray, centres: np.ndarray, radius: np.ndarray, probes: int, first: bool) -> np.ndarray:
     """Which cells each question visits: its nearest, or the others that its least score doesn't exclude."""
-    angle = np.arccos(np.clip(questions @ centres.T, -1, 1))
-    near = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1) < probes
-    if first:
-        return near
-    # no vector of a cell is nearer than the angle to its centre less its radius
-    return ~near & (np.cos(np.clip(angle - radius - 1e-6, 0, np.pi)) >= least[:, None] - SLACK)
+    step = max(1, SCORES // len(centres))
+    out = np.empty((len(questions), len(centres)), bool)
+    for at in range(0, len(questions), step):
+        angle = np.arccos(np.clip(questions[at : at + step] @ centres.T, -1, 1))
+        near = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1) < probes
+        if not first:
+            # no vector of a cell is nearer than the angle to its centre less its radius
+            near = ~near & (np.cos(np.clip(angle - radius - 1e-6, 0, np.pi)) >= least[at : at + step, None] - SLACK)
+        out[at : at + step] = near
+    return out
 
 
 def search_index(questions: DataFrame, vectors: DataFrame, index: VectorIndex, k: int, probes: int = 4, block: int | None = None) -> DataFrame:
@@ -274,10 +296,10 @@ def search_index(questions: DataFrame, vectors: DataFrame, index: VectorIndex, k
     sizes, centres, radius = index.sizes, index.centres, index.radius
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, max(1, SCORES // len(centres))):
             own, unit, least = block_of(batch.column(0), batch.column(1), batch.column(2), centres.shape[1])
             seen = visited(unit, least, centres, radius, probes, True) | visited(unit, least, centres, radius, probes, False)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen @ sizes)], names=["question_id", "coded"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen @ sizes / sizes.sum())], names=["question_id", "coded"])
 
     coded = bounded.select("question_id", "embedding", "least").mapInArrow(share, "question_id long, coded double")
     shares = coded.join(some.groupBy("question_id").agg((F.count("*") / F.lit(float(max(1, total)))).alias("scanned")), "question_id")

@@ -59,3 +59,24 @@ def test_a_task_holds_few_scores_whatever_the_questions():
     block = block_of_questions(r)
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), floats(r, 3000)], names=["id", "embedding"])
     assert peak_mb(lambda: list(search.best_rows(30, False)(block, iter([rows])))) < 150
+
+
+def test_a_task_of_the_index_holds_few_scores_whatever_the_cells():
+    """V3: as many questions and cells as there can be."""
+    r = np.random.default_rng(1)
+    _, questions, least = block_of_questions(r)
+    centres = search.unit_rows(floats(r, 4096), 8)
+    assert peak_mb(lambda: search.visited(questions, least, centres, np.ones(4096), 4, True)) < 100
+    cell = np.zeros(20_000, np.int64)
+    pieces = list(search.met(np.ones((len(questions), 1), bool), cell))
+    assert max(len(a) * len(b) for a, b in pieces) <= search.SCORES and np.array_equal(np.sort(np.concatenate([b for _, b in pieces])), np.arange(len(cell)))
+
+
+def test_the_sample_for_the_centres_is_taken_in_each_task(spark):
+    vectors = spark.range(0, 20_000, numPartitions=8).select("id", F.array(F.lit(1.0)).alias("embedding"))
+    some = search.hashed_sample(vectors, 2000, 20_000)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("TakeOrdered|Limit|Exchange", plan)
+    ids = {x.id for x in some.collect()}
+    assert 1800 < len(ids) < 2200 and ids == {x.id for x in search.hashed_sample(vectors.repartition(3), 2000, 20_000).collect()}
+    assert search.hashed_sample(vectors, 20_000, 20_000).count() == 20_000
