@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import arrays
 from corpusflow.llm.tokens import word_codes
-from corpusflow.session import written
+from corpusflow.session import dropped, written
 
 DEPTH = 2
 #: How often a context, and an event, stands at least.
@@ -289,10 +289,11 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
         else:  # an event after a context stands after its suffix at least as often
             rows = rows.join(below, ["middle", "word"])
         level = written(contexts_of(rows, gain).withColumn("key", key_of("context", "word")), "tree-contexts")
+        dropped(found)
         levels.append(level)
         below = level.select(F.col("context").alias("middle"), "word", F.col("p").alias("below"))
-        can = written(level.where((F.col("n") >= CONTEXT) & (F.col("word") != ends)).select(F.col("key").alias("context"), F.col("n").alias("total")), "tree-can")
         if d < depth:
+            can = written(level.where((F.col("n") >= CONTEXT) & (F.col("word") != ends)).select(F.col("key").alias("context"), F.col("n").alias("total")), "tree-can")
             some = can.select("context").limit(head + 1)
             known_contexts = docs.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column(0).to_numpy().view(np.uint64))) if some.count() <= head else None
     frequent[0].destroy()
@@ -305,7 +306,8 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
         lost = F.log10(F.col("rest") / F.col("size"))
         gains.append(kept.select("key", "n", (F.log10("p") - F.log10("below") - lost).alias("weight")))
         losses.append(kept.groupBy(F.col("context").alias("key")).agg(F.max("size").alias("n"), F.first(lost).alias("weight")))
-    both = (written(reduce(DataFrame.unionByName, x), "tree-weights") for x in (losses, gains))
+    both = [written(reduce(DataFrame.unionByName, x), "tree-weights") for x in (losses, gains)]
+    dropped(*levels)  # all that is left of them is in the weights
     return Model(words, *both, total, kinds)
 
 
