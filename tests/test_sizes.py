@@ -6,6 +6,8 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import passages, search
@@ -80,3 +82,47 @@ def test_the_sample_for_the_centres_is_taken_in_each_task(spark):
     ids = {x.id for x in some.collect()}
     assert 1800 < len(ids) < 2200 and ids == {x.id for x in search.hashed_sample(vectors.repartition(3), 2000, 20_000).collect()}
     assert search.hashed_sample(vectors, 20_000, 20_000).count() == 20_000
+
+
+#: Queries by exact search, each of which is tried with many questions.
+SEARCHES = [
+    "context_summary",
+]
+
+
+@pytest.fixture(scope="module")
+def many_questions(tmp_path_factory):
+    """A document and a label for each of 4,096 vectors, every second of which is a question."""
+    at, r = tmp_path_factory.mktemp("many_questions"), np.random.default_rng(1)
+    ids = np.arange(4096) // 2 * 50 + np.arange(4096) % 2
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(r.normal(size=len(ids) * catalogue.DIM).astype(np.float32)), catalogue.DIM).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": vectors, "label": (ids % 7).astype(np.int32)}), at / "embeddings.parquet")
+    texts = [f"text {i}" for i in ids]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts, "lang": ["en"] * len(ids), "source": [f"src{i % 5}" for i in range(len(ids))], "n_chars": [len(x) for x in texts]}), at / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": ids, "quality": (ids % 3 > 0).astype(np.int32), "toxic": (ids % 4 == 0).astype(np.int32)}), at / "labels.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_a_query_holds_few_scores_in_each_task(spark, many_questions, monkeypatch, name):
+    """An array of a question's scores of all vectors would be 67 MB for these, and there are several."""
+    real = search.best_rows
+
+    def measured(k, not_self):
+        run = real(k, not_self)
+
+        def best(block, batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            try:
+                yield from run(block, batches)
+                peak = tracemalloc.get_traced_memory()[1] / 1e6
+            finally:
+                tracemalloc.stop()
+            assert len(block[0]) == 2048 and peak < 150, f"{len(block[0])} questions, {peak:.0f} MB"
+
+        return best
+
+    monkeypatch.setattr(search, "best_rows", measured)
+    catalogue.queries()[name](spark, many_questions).write.format("noop").mode("overwrite").save()
