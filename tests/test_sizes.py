@@ -86,7 +86,7 @@ def test_the_sample_for_the_centres_is_taken_in_each_task(spark):
 
 #: Queries by exact search, each of which is tried with many questions.
 SEARCHES = [
-    "context_summary", "retrieved", "stage_summary", "passages_of_hits", "holdout", "hit_rates",
+    "context_summary", "retrieved", "stage_summary", "passages_of_hits", "holdout", "hit_rates", "costed_pool",
 ]
 
 
