@@ -88,6 +88,7 @@ def test_the_sample_for_the_centres_is_taken_in_each_task(spark):
 SEARCHES = [
     "context_summary", "retrieved", "stage_summary", "passages_of_hits", "holdout", "hit_rates", "costed_pool",
     "rank_grid", "gate", "floor_stats", "simulated", "search_visible", "topk_budget", "demote",
+    "topk",
 ]
 
 
