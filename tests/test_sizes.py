@@ -107,7 +107,7 @@ def many_questions(tmp_path_factory):
 
 @pytest.mark.parametrize("name", SEARCHES)
 def test_a_query_holds_few_scores_in_each_task(spark, many_questions, monkeypatch, name):
-    """An array of a question's scores of all vectors would be 67 MB for these, and there are several."""
+    """An array of the scores of all questions and vectors would be 67 MB, and there are several."""
     real = search.best_rows
 
     def measured(k, not_self):
