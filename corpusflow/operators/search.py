@@ -103,22 +103,54 @@ def per_question(questions: DataFrame, rows: DataFrame, run: Callable[[Block, It
 KINDS = {"long": pa.int64(), "double": pa.float64()}
 
 
+def rounded(score: np.ndarray) -> np.ndarray:
+    """Scores at 12 places, so that equal angles tie whatever the order of summation; -inf (no hit) stays."""
+    return np.where(np.isneginf(score), score, np.clip(np.round(score, 12), -1, 1))
+
+
+def first_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each number in found(number, id, score), ties by id, and each one's place from 0."""
+    n, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, -score, n))
+    n, ids, score = n[order], ids[order], score[order]
+    place = np.arange(len(n)) - np.searchsorted(n, n)
+    ok = place < k
+    return n[ok], ids[ok], score[ok], place[ok]
+
+
 def best_rows(k: int, not_self: bool) -> Callable[[Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For per_question: question_id, id, score of the best k of some rows(id, embedding), ties by id."""
+    """For per_question: question_id, id, score of the best k of some rows(id, embedding), ties by id.
+
+    Only scores that reach their question's k-th so far are looked at again. They wait until they are as many as the k best of
+    all questions, so that a task sorts seldom.
+    """
 
     def run(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, questions, _ = block
-        best_id, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        none = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        found, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        kth, kth_id = np.full(len(own), -np.inf), np.zeros(len(own), np.int64)
         for batch in slices(batches, max(4 * k, SCORES // max(1, len(own)))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            # rounded, so that equal angles tie whatever the order of summation
-            score = np.clip(np.round(questions @ unit_rows(batch.column(1), questions.shape[1]).T, 12), -1, 1)
+            score = questions @ unit_rows(batch.column(1), questions.shape[1]).T
             if not_self:
-                score = np.where(own[:, None] == ids[None, :], -np.inf, score)
-            best_id, best = best_of(best_id, best, ids, score, k)
-        ok = np.isfinite(best)
-        question = np.broadcast_to(own[:, None], best.shape)[ok] if best.size else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(best_id[ok]), pa.array(best[ok], pa.float64())], names=["question_id", "id", "score"])
+                score[own[:, None] == ids] = -np.inf
+            near = score > kth[:, None] - 1e-12  # what rounding can bring to the k-th
+            if np.count_nonzero(near) > 2 * k * len(own):
+                some_id, some = (x.ravel() for x in best_of(*none, ids, rounded(score), k))
+                n = np.repeat(np.arange(len(own)), len(some) // len(own))
+            else:
+                n, at = np.nonzero(near)
+                some_id, some = ids[at], rounded(score[n, at])
+            ok = np.isfinite(some) & ((some > kth[n]) | ((some == kth[n]) & (some_id < kth_id[n])))
+            found.append((n[ok], some_id[ok], some[ok]))
+            waiting += len(found[-1][0])
+            if waiting >= k * len(own):
+                *best, place = first_of(found, k)
+                found, waiting, last = [tuple(best)], 0, place == k - 1
+                kth[best[0][last]], kth_id[best[0][last]] = best[2][last], best[1][last]
+        n, ids, score, _ = first_of(found, k)
+        yield pa.RecordBatch.from_arrays([pa.array(own[n], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["question_id", "id", "score"])
 
     return run
 

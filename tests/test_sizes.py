@@ -63,6 +63,37 @@ def test_a_task_holds_few_scores_whatever_the_questions():
     assert peak_mb(lambda: list(search.best_rows(30, False)(block, iter([rows])))) < 150
 
 
+def test_a_task_sorts_seldom(monkeypatch):
+    """V2: the scores of most rows are not sorted; 79 pieces of the rows were."""
+    r = np.random.default_rng(1)
+    block, calls, real = block_of_questions(r), [], search.best_of
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), floats(r, 20_000)], names=["id", "embedding"])
+    monkeypatch.setattr(search, "best_of", lambda *a: calls.append(1) or real(*a))
+    list(search.best_rows(10, False)(block, iter([rows])))
+    assert len(calls) <= 2
+
+
+def test_a_task_finds_the_best_whatever_their_order():
+    """V2: ties, zero vectors, best last, the question itself and batches of any size, against a sort of everything."""
+    r = np.random.default_rng(2)
+    for kind in ("ties", "zero", "last"):
+        x = r.normal(size=(3000, 4))
+        x = np.sign(x) if kind == "ties" else x
+        x[::7] *= kind != "zero"
+        x = np.sort(x, axis=0) if kind == "last" else x
+        ids, asked = r.permutation(3000), np.arange(1, 3000, 10)
+        with np.errstate(invalid="ignore"):
+            unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            score = np.round(unit[asked] @ unit.T, 12)
+            score[np.arange(len(asked)), asked] = np.nan
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 4).cast(pa.list_(pa.float64()))
+            rows = pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["id", "embedding"])
+            cuts = [0, 3, 40, 1000, 3000]
+            got = pa.Table.from_batches(search.best_rows(5, True)((ids[asked], unit[asked], np.full(len(asked), -np.inf)), (rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])))).to_pydict()
+        want = [(i, d) for i, s in zip(ids[asked], score) for _, d in sorted((-round(v, 9), d) for v, d in zip(s, ids) if v == v)[:5]]
+        assert sorted(zip(got["question_id"], got["id"])) == sorted(want)
+
+
 def test_a_task_of_the_index_holds_few_scores_whatever_the_cells():
     """V3: as many questions and cells as there can be."""
     r = np.random.default_rng(1)
