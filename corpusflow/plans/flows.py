@@ -13,7 +13,7 @@ from corpusflow.plans.catalogue import (
     BUCKET_SQL, COS, DIM, FRESH_SQL, HITS_SQL, MODEL, NOW, OVERHEAD, PATH_SQL, Q_SQL, RANK_SQL, REPORT_SQL, TALK_SQL, TOKENS, ZONE, asked_texts, calls, eval_scores, limits_of, messages, new_chunks, old_chunks, page_files,
     query, questions, ranked_passages, raw_hits, snapshots, table, tags, vectors, window_parts,
 )
-from corpusflow.session import shared_dir
+from corpusflow.session import shared_dir, written
 from corpusflow.sources import files as source_files
 from corpusflow.sources import store
 from corpusflow.streaming import streams
@@ -386,7 +386,7 @@ v AS (SELECT count(*) FILTER (r1 <= 3) - count(*) FILTER (r0 <= 3) AS gain, coun
 SELECT *, CASE WHEN gain <= -3 OR tests_lower > 0 THEN 'bad' ELSE 'ok' END AS verdict FROM v""")
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run that misses every question whose number four divides."""
-    off = eval_scores(spark, sf_dir).select("question_id", "split", "kind", "rank")
+    off = written(eval_scores(spark, sf_dir).select("question_id", "split", "kind", "rank"), "scores")
     return evaluate.holdout_verdict(off, off.withColumn("rank", F.when(F.col("question_id") % 4 != 0, F.col("rank"))), True)
 
 
