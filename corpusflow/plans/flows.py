@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators import chunk, embed, evaluate, passages, search, sync, talk, usage
 from corpusflow.plans.catalogue import (
-    BUCKET_SQL, COS, DIM, FRESH_SQL, HITS_SQL, MODEL, NOW, OVERHEAD, PATH_SQL, Q_SQL, RANK_SQL, REPORT_SQL, TALK_SQL, TOKENS, ZONE, asked_texts, calls, eval_scores, limits_of, messages, new_chunks, old_chunks, page_files,
+    BUCKET_SQL, COS, DIM, FRESH_SQL, HITS_SQL, MODEL, NOW, OVERHEAD, PATH_SQL, Q_SQL, RANK_SQL, REPORT_SQL, TALK_SQL, TOKENS, ZONE, asked_texts, calls, eval_scores, hits_to_reuse, limits_of, messages, new_chunks, old_chunks, page_files,
     query, questions, ranked_passages, raw_hits, snapshots, table, tags, vectors, window_parts,
 )
 from corpusflow.session import shared_dir, written
@@ -362,7 +362,7 @@ FROM hits JOIN documents d ON d.doc_id = id LEFT JOIN labels l ON l.doc_id = id
 def costed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R24."""
     files = tags(spark, sf_dir).select(F.col("id").cast("string").alias("rel_path"), "is_test", "is_changelog")
-    out = passages.pool_with_cost(raw_hits(spark, sf_dir, 30), whole_chunks(spark, sf_dir), files, 1 << 20)
+    out = passages.pool_with_cost(hits_to_reuse(spark, sf_dir, 30), whole_chunks(spark, sf_dir), files, 1 << 20)
     return out.select("question_id", "pos", "id", F.round("score", 6).alias("score"), "is_test", "is_changelog", "passage_key", "cost")
 
 
