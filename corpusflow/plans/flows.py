@@ -416,7 +416,7 @@ GRID_SQL = f"""{RANK_SQL}, g AS (SELECT question_id, coalesce(CAST(CASE WHEN ran
   CASE WHEN question_id % 100 = 0 OR NOT seen THEN CASE WHEN question_id % 150 = 0 THEN 'no pool saved' ELSE 'low' END END AS cause FROM g""")
 def rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages; the second lacks every second question, and causes are known but for those about tests."""
-    r = eval_scores(spark, sf_dir).select("question_id", "kind", F.when(F.col("rank") <= 10, F.col("rank")).alias("rank"))
+    r = written(eval_scores(spark, sf_dir).select("question_id", "kind", F.when(F.col("rank") <= 10, F.col("rank")).alias("rank")), "scores")
     first = r.select("question_id", "rank", F.lit("first").alias("stage"), F.lit(False).alias("found"))
     last = r.where("question_id % 100 != 0").select("question_id", "rank", F.lit("last").alias("stage"), F.coalesce(F.col("rank") <= 3, F.lit(False)).alias("found"))
     causes = r.where("question_id % 150 != 0").select("question_id", F.lit("low").alias("cause"))
