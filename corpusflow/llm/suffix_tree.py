@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import arrays
 from corpusflow.llm.tokens import word_codes
-from corpusflow.session import dropped, written
+from corpusflow.session import batches_of, dropped, written
 
 DEPTH = 2
 #: How often a context, and an event, stands at least.
@@ -44,6 +44,8 @@ GAIN = 2.0
 HEAD = 1 << 21
 #: N-grams in a slice, about.
 SLICE = 1 << 20
+#: Texts that go to Python at a time.
+ROWS = 500
 SMOOTH = 0.1
 #: The end of a text: one token more, which is no word's hash but by chance.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -270,7 +272,8 @@ class Model:
 
 def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = HEAD) -> Model:
     """The tree of docs(text), as weights of its n-grams, in log10."""
-    words = written(word_counts(docs), "tree-words")
+    with batches_of(docs.sparkSession, ROWS):
+        words = written(word_counts(docs), "tree-words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = total + SMOOTH * (kinds + 1)
     frequent = head_of(words, "word", "n", head)
@@ -280,7 +283,8 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
     can, below = words.where(F.col("word") != ends).select(F.col("word").alias("context"), F.col("n").alias("total")), None
     known_contexts, levels = None, []
     for d in range(1, depth + 1):
-        found = written(events(docs, d, frequent, known_contexts, slices), "tree-events")
+        with batches_of(docs.sparkSession, ROWS):
+            found = written(events(docs, d, frequent, known_contexts, slices), "tree-events")
         if known_contexts:
             known_contexts.destroy()
         rows = found.join(can.where(F.col("total") >= CONTEXT), "context")
@@ -411,7 +415,8 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
 
     types = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, count long, base double, extra double"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = written(rows.mapInArrow(run, f"{types}, far {FAR}"), "tree-scored")
+    with batches_of(docs.sparkSession, ROWS):
+        rows = written(rows.mapInArrow(run, f"{types}, far {FAR}"), "tree-scored")
     for used in (words, contexts, gains, tail_bits):
         used.destroy()  # the table is written, nothing asks for them again
     if not (all_words and all_contexts and all_gains):

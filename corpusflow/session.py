@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files go when the job that wrote them is done: its table is written, or its rows are with the driver.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to Python at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The paths of the tables written in the innermost scratch().
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
@@ -79,6 +81,20 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run within sends `rows` rows to Python at a time, or the session's fewer.
+
+    Each task holds its batch several times, outside the heap and in Python, so that long texts by thousands take much memory.
+    """
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def deleted(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

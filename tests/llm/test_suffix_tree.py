@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusflow.llm import suffix_tree as st
+from corpusflow.session import BATCH_ROWS, batches_of
 from tests.llm.test_cases import LONG, ODD, frame
 
 END = ("end",)
@@ -108,3 +109,33 @@ def test_odd_rows(spark):
     assert st.language_model(frame(spark, []).limit(0)).count() == 0
     alone = st.language_model(frame(spark, [(i, LONG[:50]) for i in range(300) if held(i)])).collect()
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score for r in alone)
+
+
+def test_few_texts_go_to_python_at_a_time(spark, monkeypatch):
+    """2,000 texts in one task; with the session's 10,000 rows they were one batch. The session's own setting stays."""
+    real, before = st.chunks_of, spark.conf.get(BATCH_ROWS)
+
+    def few(batches, column):
+        def seen():
+            for b in batches:
+                assert b.num_rows <= 500, f"{b.num_rows} texts in a batch"
+                yield b
+
+        return real(seen(), column)
+
+    monkeypatch.setattr(st, "chunks_of", few)
+    rows = frame(spark, [(i, f"word{i % 7} and word{i % 3}") for i in range(2000)]).coalesce(1)
+    assert st.language_model(rows).count() == 2000
+    assert spark.conf.get(BATCH_ROWS) == before
+
+
+def test_a_session_with_fewer_rows_in_a_batch_keeps_them(spark):
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for own, within in (("100", "100"), ("10000", "500"), ("0", "500")):
+            spark.conf.set(BATCH_ROWS, own)
+            with batches_of(spark, 500):
+                assert spark.conf.get(BATCH_ROWS) == within
+            assert spark.conf.get(BATCH_ROWS) == own
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
