@@ -44,12 +44,12 @@ GAIN = 2.0
 HEAD = 1 << 21
 #: N-grams in a slice, about.
 SLICE = 1 << 20
-#: Texts that go to Python at a time.
-ROWS = 500
+#: Texts that go to Python at a time, and bytes of them that are laid out at a time: a word is hashed once for each such piece.
+ROWS, PIECE = 500, 2 << 20
 SMOOTH = 0.1
 #: The end of a text: one token more, which is no word's hash but by chance.
 END = np.uint64(0x5851F42D4C957F2D)
-EVENTS = "context long, middle long, word long, n long"
+EVENTS = "context long, word long, n long"
 
 
 def word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def seen_in(may: Filter, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray)
 
 def chunks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for first, data, bounds in arrays.chunks(batch.column(column)):
+        for first, data, bounds in arrays.chunks(batch.column(column), PIECE):
             yield (batch.slice(first, len(bounds) - 1), *word_keys(data, bounds))
 
 
@@ -163,28 +163,29 @@ def head_of(table: DataFrame, key: str, value: str, most: int, by: str | None =
 
 
 def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts: Broadcast | None, slices: int) -> DataFrame:
-    """context, middle, word, n (CUT at least) of events after contexts of `depth` words; middle: the context without its first word.
+    """context, word, n (CUT at least) of events after contexts of `depth` words.
 
     words: counts of frequent words, and the least of them; contexts: the keys of the contexts that can be kept, None: not known.
     """
     shared, least = words
     bits = max(0, (slices - 1).bit_length())
-    # words of events are all among the frequent ones, unless these begin above CUT; then their places there stand for them
+    # words of events are all among the frequent ones, unless these begin above CUT; then their places there stand for them,
+    # and so do those of known contexts
     short = least <= CUT
-    kinds = [np.int32 if short and depth == 1 else np.uint64, np.int32 if short and depth == 2 else np.uint64, np.int32 if short else np.uint64, np.int32]
-    names = ["context", "middle", "word", "n"]
+    kinds = [np.int32 if contexts is not None or short and depth == 1 else np.uint64, np.int32 if short else np.uint64, np.int32]
+    names = ["context", "word", "n"]
 
-    def full(column: np.ndarray) -> np.ndarray:
-        """The hashes that places stand for."""
-        return shared.value[0][column] if column.dtype == np.int32 else column
+    def full(column: np.ndarray, known: bool = False) -> np.ndarray:
+        """The hashes that places stand for, of words or of known contexts."""
+        if column.dtype != np.int32:
+            return column
+        return (contexts.value if known else shared.value[0])[column]
 
     def pack(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         part = (rows[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows[0]), np.int64)
         order = np.lexsort((rows[1], part))  # equal contexts together: they take little room
         part = part[order]
         columns = [c[order] for c in rows[1:]]
-        if depth == 1:
-            columns.insert(1, rows[0][:0])  # no middle
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         ends = np.append(cut[1:], len(part))
         blobs = [pa.array([c[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()) for c in columns]
@@ -205,22 +206,23 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
             at = np.flatnonzero(ok)
             for d in range(1, depth + 1):
                 at = at[frequent[at - d]]
-            context, middle = keys[codes[at - depth]], np.zeros(0, np.uint64)
+            context = keys[codes[at - depth]]
             for d in range(depth - 1, 0, -1):
-                word = keys[codes[at - d]]
-                middle = word if d == depth - 1 else extended(middle, word)
-                context = extended(context, word)
+                context = extended(context, keys[codes[at - d]])
             if contexts is not None:
                 some = np.flatnonzero(may(context))
                 table = contexts.value
-                some = some[table[np.minimum(np.searchsorted(table, context[some]), len(table) - 1)] == context[some]] if len(table) else some
-                at, context, middle = at[some], context[some], middle[some] if depth > 1 else middle
+                among = np.minimum(np.searchsorted(table, context[some]), max(0, len(table) - 1)).astype(np.int32)
+                there = table[among] == context[some] if len(table) else np.zeros(len(some), bool)
+                some, among = some[there], among[there]
+                at, context = at[some], context[some]
             key = extended(context, keys[codes[at]])
-            if short:
-                context = place[codes[at - 1]] if depth == 1 else context
-                middle = place[codes[at - 1]] if depth == 2 else middle
+            if contexts is not None:
+                context = among
+            elif short and depth == 1:
+                context = place[codes[at - 1]]
             word = place[codes[at]] if short else keys[codes[at]]
-            parts.append((key, context, *([middle] if depth > 1 else []), word, np.ones(len(at), np.int32)))
+            parts.append((key, context, word, np.ones(len(at), np.int32)))
             held += len(at)
             if held > SLICE:
                 yield from pack(added(parts))
@@ -232,14 +234,13 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
         parts = []
         for batch in rows:
             for i in range(batch.num_rows):
-                c, m, w, n = (np.frombuffer(batch.column(x)[i].as_buffer(), t) for x, t in zip(names, kinds))
-                parts.append((extended(full(c), full(w)), c, *([m] if depth > 1 else []), w, n))
-        _, c, *m, w, n = added(parts)
+                c, w, n = (np.frombuffer(batch.column(x)[i].as_buffer(), t) for x, t in zip(names, kinds))
+                parts.append((extended(full(c, contexts is not None), full(w)), c, w, n))
+        _, c, w, n = added(parts)
         some = n >= CUT
-        c, w, n = full(c[some]), full(w[some]), n[some].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([signed(x) for x in (c, full(m[0][some]) if m else np.zeros(len(c), np.uint64), w, n)], names=names)
+        yield pa.RecordBatch.from_arrays([signed(x) for x in (full(c[some], contexts is not None), full(w[some]), n[some].astype(np.int64))], names=names)
 
-    sent = docs.select("text").mapInArrow(run, "slice long, context binary, middle binary, word binary, n binary")
+    sent = docs.select("text").mapInArrow(run, "slice long, context binary, word binary, n binary")
     return sent.groupBy("slice").applyInArrow(count, EVENTS)
 
 
@@ -279,8 +280,8 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
     frequent = head_of(words, "word", "n", head)
     slices = max(1, total // SLICE)
     ends = int(END.view(np.int64))
-    # n-grams that can be contexts: key, n
-    can, below = words.where(F.col("word") != ends).select(F.col("word").alias("context"), F.col("n").alias("total")), None
+    # n-grams that can be contexts: key, n and middle, the key without the first word
+    can, below = words.where(F.col("word") != ends).select(F.col("word").alias("context"), F.col("n").alias("total"), F.lit(0).cast("long").alias("middle")), None
     known_contexts, levels = None, []
     for d in range(1, depth + 1):
         with batches_of(docs.sparkSession, ROWS):
@@ -297,7 +298,7 @@ def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, head: int = H
         levels.append(level)
         below = level.select(F.col("context").alias("middle"), "word", F.col("p").alias("below"))
         if d < depth:
-            can = written(level.where((F.col("n") >= CONTEXT) & (F.col("word") != ends)).select(F.col("key").alias("context"), F.col("n").alias("total")), "tree-can")
+            can = written(level.where((F.col("n") >= CONTEXT) & (F.col("word") != ends)).select(F.col("key").alias("context"), F.col("n").alias("total"), (F.col("word") if d == 1 else key_of("middle", "word")).alias("middle")), "tree-can")
             some = can.select("context").limit(head + 1)
             known_contexts = docs.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column(0).to_numpy().view(np.uint64))) if some.count() <= head else None
     frequent[0].destroy()
@@ -401,7 +402,9 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH, head: int = HEAD) -
                         at = at[in_bits(tail_bits.value, gram[at])]
                         far.append((t[at], gram[at], WON))
                 if d < depth:
-                    kept, w = seen_in(may_lose, contexts.value, gram)
+                    kept, w = seen_in(may_lose, contexts.value, gram if d else keys)
+                    if not d:  # a word is looked up once for all its places
+                        kept, w = kept[codes], w[codes]
                     kept &= within
                     extra += np.bincount(t[kept], w[kept], texts)
                     if not all_contexts:
