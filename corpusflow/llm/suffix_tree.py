@@ -26,7 +26,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +43,8 @@ GAIN = 2.0
 HEAD = 1 << 21
 #: N-grams in a slice, about.
 SLICE = 1 << 20
-#: Texts that go to Python at a time, and bytes of them that are laid out at a time: a word is hashed once for each such piece.
-ROWS, PIECE = 500, 2 << 20
+#: Texts that go to Python at a time.
+ROWS = 500
 SMOOTH = 0.1
 #: The end of a text: one token more, which is no word's hash but by chance.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -55,8 +54,10 @@ EVENTS = "context long, word long, n long"
 def word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, codes, firsts) of the tokens of texts: keys[codes[i]] is token i's hash; text t has tokens firsts[t]:firsts[t + 1]."""
     codes, edge, at, packed, values = word_codes(arrays.TO_LOWER[data], bounds)
-    raw = packed.tobytes()
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[values].tolist(), at[values + 1].tolist())), np.uint64, len(values))
+    length = at[values + 1] - at[values]
+    ends = np.cumsum(length)
+    own = packed[np.repeat(at[values] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]  # each word's bytes once
+    keys = arrays.word_hashes(own, ends - length, ends, _powers)
     texts = len(bounds) - 1
     out = np.full(len(codes) + texts, len(keys), np.int64)
     firsts = edge + np.arange(texts + 1)
@@ -64,30 +65,43 @@ def word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(keys, END), out, firsts
 
 
+_powers = arrays.Powers()
+
+
 def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of an n-gram from those of all but its last word and of that."""
     return arrays.mixed(context * np.uint64(arrays.BASE) + word + np.uint64(1))
 
 
+def places(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted(own, keys), within own: in the order of the keys, which reads a large table from one end to the other."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.minimum(np.searchsorted(own, keys[order]), max(0, len(own) - 1))
+    return out
+
+
 def known(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether keys are in the table, their values or 0)."""
     own, values = table
     if not len(own):
         return np.zeros(len(keys), bool), np.zeros(len(keys), values.dtype)
-    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    at = places(own, keys)
     there = own[at] == keys
     return there, np.where(there, values[at], values.dtype.type(0))
 
 
 class Filter:
-    """Which keys can be in a table of keys, by their first 24 bits: most that aren't are told without a search."""
+    """Which keys can be in a table of keys, by their first 24 bits: most that aren't are told without a search. It takes 2 MB."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.may = np.zeros(1 << 24, bool)
-        self.may[(keys >> np.uint64(40)).astype(np.int64)] = True
+        may = np.zeros(1 << 24, bool)
+        may[(keys >> np.uint64(40)).astype(np.int64)] = True
+        self.may = np.packbits(may, bitorder="little")
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return self.may[(keys >> np.uint64(40)).astype(np.int64)]
+        first = (keys >> np.uint64(40)).astype(np.int32)
+        return (self.may[first >> 3] >> (first & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def seen_in(may: Filter, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +114,7 @@ def seen_in(may: Filter, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray)
 
 def chunks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for first, data, bounds in arrays.chunks(batch.column(column), PIECE):
+        for first, data, bounds in arrays.chunks(batch.column(column)):
             yield (batch.slice(first, len(bounds) - 1), *word_keys(data, bounds))
 
 
@@ -195,7 +209,7 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
         parts, held, may = [], 0, None if contexts is None else Filter(contexts.value)
         for _, keys, codes, firsts in chunks_of(batches, 0):
             own = shared.value[0]
-            place = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1)).astype(np.int32)
+            place = places(own, keys)
             there = own[place] == keys if len(own) else np.zeros(len(keys), bool)
             n = np.where(there, shared.value[1][place] if len(own) else 0, least - 1)  # a word that isn't among the frequent ones stands less often
             ok = np.ones(len(codes), bool)  # position i ends an event
@@ -212,7 +226,7 @@ def events(docs: DataFrame, depth: int, words: tuple[Broadcast, float], contexts
             if contexts is not None:
                 some = np.flatnonzero(may(context))
                 table = contexts.value
-                among = np.minimum(np.searchsorted(table, context[some]), max(0, len(table) - 1)).astype(np.int32)
+                among = places(table, context[some])
                 there = table[among] == context[some] if len(table) else np.zeros(len(some), bool)
                 some, among = some[there], among[there]
                 at, context = at[some], context[some]

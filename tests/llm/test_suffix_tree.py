@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from corpusflow.llm import suffix_tree as st
@@ -139,3 +140,27 @@ def test_a_session_with_fewer_rows_in_a_batch_keeps_them(spark):
             assert spark.conf.get(BATCH_ROWS) == own
     finally:
         spark.conf.set(BATCH_ROWS, before)
+
+
+def test_words_have_the_same_key_in_any_piece_and_lookups_find_them():
+    """Words of any length, one beside itself and none; keys in no order, more than once and absent, and an empty table."""
+    texts = ["A b a", "", " ", "é", "x" * 23, "x" * 24, "x" * 25, "y" * 300, "b\x00 b", "A b a"]
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    keys, codes, firsts = st.word_keys(np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, ends))
+    found = [keys[codes[a:b]].tolist() for a, b in zip(firsts, firsts[1:])]
+    for text, mine in zip(texts, found):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        k, c, _ = st.word_keys(raw, np.array([0, len(raw)]))
+        assert mine == k[c].tolist() and len(mine) == len(tokens(text))
+    assert len(set(sum(found, []))) == len({w for t in texts for w in tokens(t)})
+    own, asked = np.array([3, 5, 9], np.uint64), np.array([9, 1, 5, 10, 9, 4], np.uint64)
+    there, n = st.known((own, np.array([30, 50, 90])), asked)
+    assert there.tolist() == [True, False, True, False, True, False] and n.tolist() == [90, 0, 50, 0, 90, 0]
+    assert st.places(own[:0], asked).tolist() == [0] * 6 and not st.known((own[:0], own[:0]), asked)[0].any()
+
+
+def test_the_filter_lets_all_keys_of_its_table_through():
+    r = np.random.default_rng(3)
+    keys, others = (r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) for _ in range(2))
+    may = st.Filter(keys)
+    assert may.may.nbytes <= 2 << 20 and may(keys).all() and may(others).mean() < 0.01 and not st.Filter(keys[:0])(keys).any()
