@@ -160,18 +160,21 @@ def stream_outcome(events: DataFrame) -> DataFrame:
     return out.select("stream_id", F.when(F.col("type") == "done", "done").when(F.col("type") == "error", "failed").otherwise("stopped").alias("outcome"))
 
 
-def split_fences(docs: DataFrame) -> DataFrame:
-    """Doc, seq, kind (prose, code), lang, text of docs(doc, text); an unclosed fence is code to the end."""
+def split_fences(docs: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """Doc, seq, kind (prose, code), lang, text of docs(doc, text); an unclosed fence is code to the end.
+
+    Parts of blank lines only are left out unless keep_blank; a part without lines is none.
+    """
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     order = W.partitionBy("doc").orderBy("n")
     rows = rows.withColumn("mark", F.rlike("line", F.lit(r"^\s*```")))
     rows = rows.withColumn("marks", F.sum(F.col("mark").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     lang = F.max(F.when(F.col("mark"), F.trim(F.regexp_replace("line", r"^\s*```", ""))))
     parts = rows.groupBy("doc", "marks").agg(lang.alias("lang"), F.sort_array(F.collect_list(F.when(~F.col("mark"), F.struct("n", "line")))).alias("ls"))
-    text = F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "")
+    text = F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), r"^(?:[ \t]*+\n)++|(?:\n[ \t]*+)++$", "")
     code = F.col("marks") % 2 == 1
-    out = parts.select("doc", F.col("marks").alias("seq"), F.when(code, "code").otherwise("prose").alias("kind"), F.when(code, F.col("lang")).alias("lang"), text.alias("text"))
-    return out.where(F.trim("text") != "")
+    kept = parts.where(F.size("ls") > 0 if keep_blank else F.trim(text) != "")
+    return kept.select("doc", F.col("marks").alias("seq"), F.when(code, "code").otherwise("prose").alias("kind"), F.when(code, F.col("lang")).alias("lang"), text.alias("text"))
 
 
 def extract_citations(docs: DataFrame) -> DataFrame:

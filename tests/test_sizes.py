@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import passages, search
+from corpusflow.operators import passages, search, talk
 from corpusflow.plans import catalogue
 from tests.test_oracle import SF, rows_of
 
@@ -30,6 +30,27 @@ def test_contexts_whose_first_passage_does_not_fit(spark, tmp_path):
     assert rows_of([tuple(r) for r in ours.select(theirs.columns).collect()], theirs.columns) == rows_of(want, theirs.columns)
 
 
+def test_blank_texts_and_fenced_ones_are_a_part_of_prose(spark, tmp_path):
+    """fences counts each text once, as its SQL does, and what its own open fence adds."""
+    texts = ["", "  ", "\n", "\n" * 20_000, " \n\t\n", None, "a", "\n\na\n", "a\n```js\nb", "a\n```\nb\n```\n\nc", "```", "a\n  ````\nb"]
+    rows = [(2 * i + odd, t) for i, t in enumerate(texts) for odd in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    ours, theirs = catalogue.queries()["fences"](spark, str(tmp_path)), db.sql(catalogue.oracle_sql()["fences"])
+    want = rows_of(theirs.fetchall(), theirs.columns)
+    assert len(want) == 3 * len(texts) and rows_of([tuple(r) for r in ours.select(theirs.columns).collect()], theirs.columns) == want
+
+
+def test_parts_of_blank_lines_are_left_out_or_kept(spark):
+    """As many blank lines as a text can have; parts without lines are none."""
+    many = "\n" * 20_000
+    docs = spark.createDataFrame([(1, ""), (2, f"a{many}\n```py\n{many}\n b{many}```\n```\n```\n ")], "doc int, text string")
+    shown = lambda keep: [(r.doc, r.kind, r.lang, r.text) for r in talk.split_fences(docs, keep).orderBy("doc", "seq").collect()]
+    parts = [(2, "prose", None, "a"), (2, "code", "py", " b")]
+    assert shown(False) == parts and shown(True) == [(1, "prose", None, ""), *parts, (2, "prose", None, " ")]
+
+
 def test_what_fits_is_told_from_what_is_shown_all_the_same(spark):
     none = F.array().cast("array<struct<name:string,reason:string>>")
     asked = spark.range(1, 4).select(F.col("id").alias("question_id"), none.alias("hidden"), F.array().cast("array<string>").alias("deleted"))
